@@ -106,29 +106,26 @@ def threshold_sweep(df: DataFrame, label_col: str, score_col: str,
                     thresholds: list[float] | None = None) -> DataFrame:
     """Best threshold by balanced accuracy in ONE data pass; first threshold wins ties.
 
-    Each row is bucketed by how many thresholds its score reaches; per-threshold
-    confusion counts are suffix sums over <= len(thresholds)+1 buckets.
+    One aggregation counts, for every threshold, predicted positives among
+    positives and negatives; the 50-row choice runs on that single row.
     """
     ts = thresholds or threshold_grid()
-    arr = F.array(*[F.lit(float(t)) for t in ts])
-    reached = F.size(F.filter(arr, lambda t: F.col(score_col) >= t))
+    s = F.col(score_col)
     y = F.col(label_col).cast("int")
-    counts = (df.groupBy(reached.alias("_r"))
-              .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
-    # a bucket with r reached thresholds predicts 1 for thresholds 0..r-1
-    per_t = (counts.select("pos", "neg", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("k"))
-             .groupBy("k").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp")))
-    totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    p_all = totals.select("P").scalar()
-    n_all = totals.select("N").scalar()
-    grid = counts.sparkSession.range(len(ts)).select(F.col("id").cast("int").alias("k"))
-    full = grid.join(F.broadcast(per_t), "k", "left").fillna(0, ["tp", "fp"])
-    tpr = F.try_divide(F.col("tp"), p_all)
-    tnr = F.try_divide(n_all - F.col("fp"), n_all)
-    bacc = F.when(tpr.isNull(), tnr).when(tnr.isNull(), tpr).otherwise((tpr + tnr) / 2)
-    scored = full.select("k", bacc.alias("bacc"))
-    best = scored.agg(F.max_by(F.struct("k", "bacc"), F.struct(F.col("bacc"), -F.col("k"))).alias("b"))
-    return best.select(arr[F.col("b.k")].alias("best_threshold"), F.col("b.bacc").alias("best_balanced_accuracy"))
+    aggs = [F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N")]
+    for k, t in enumerate(ts):
+        aggs += [F.count_if((s >= F.lit(float(t))) & (y == 1)).alias(f"tp{k}"),
+                 F.count_if((s >= F.lit(float(t))) & (y == 0)).alias(f"fp{k}")]
+    one = df.agg(*aggs)
+    tpr = lambda k: F.try_divide(F.col(f"tp{k}"), F.col("P"))
+    tnr = lambda k: F.try_divide(F.col("N") - F.col(f"fp{k}"), F.col("N"))
+    bacc = lambda k: (F.when(tpr(k).isNull(), tnr(k)).when(tnr(k).isNull(), tpr(k))
+                      .otherwise((tpr(k) + tnr(k)) / 2))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t"), bacc(k).alias("bacc"))
+                     for k, t in enumerate(ts)])
+    long = one.select(F.inline(rows))
+    best = long.agg(F.max_by(F.struct("t", "bacc"), F.struct(F.col("bacc"), -F.col("k"))).alias("b"))
+    return best.select(F.col("b.t").alias("best_threshold"), F.col("b.bacc").alias("best_balanced_accuracy"))
 
 
 def evaluate_binary(df: DataFrame, label_col: str, prob_col: str, threshold: float = 0.5,
