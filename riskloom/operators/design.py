@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.sqltext import ident, literal
 from riskloom.operators.hygiene import MAX_LEVELS_PER_COLUMN, level_counts
 from riskloom.operators.linalg import duplicate_order, full_rank_order, gram_by_group
 
@@ -28,12 +29,16 @@ class DesignSpec:
     source: dict[str, tuple[str, str | None]] = field(default_factory=dict)
     dropped: dict[str, str] = field(default_factory=dict)   # term -> reason
 
-    def term_expr(self, term: str, overrides: dict | None = None) -> Column:
+    def term_sql(self, term: str, overrides: dict | None = None) -> str:
+        """Spark SQL text of one term (numeric value or 0/1 level indicator)."""
         col, level = self.source[term]
-        x = F.lit(overrides[col]) if overrides and col in overrides else F.col(col)
+        x = literal(overrides[col]) if overrides and col in overrides else ident(col)
         if level is None:
-            return x.cast("double")
-        return F.when(x.cast("string") == F.lit(level), F.lit(1.0)).otherwise(F.lit(0.0))
+            return f"CAST({x} AS DOUBLE)"
+        return f"(CASE WHEN CAST({x} AS STRING) = {literal(level)} THEN 1.0D ELSE 0.0D END)"
+
+    def term_expr(self, term: str, overrides: dict | None = None) -> Column:
+        return F.expr(self.term_sql(term, overrides))
 
     def encode(self, df: DataFrame, keep: list[str] | None = None, terms: list[str] | None = None) -> DataFrame:
         """Project ``keep`` columns plus one double column per term."""

@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from riskloom.functions.scalar import sigmoid
+from riskloom.functions.sqltext import number
 from riskloom.operators.fit import LogitModel
 from riskloom.presets import Z_PREDICTION_INTERVAL
 
 
-def linear_predictor(model: LogitModel, overrides: dict | None = None) -> Column:
-    eta = F.lit(float(model.intercept))
+def linear_predictor_sql(model: LogitModel, overrides: dict | None = None) -> str:
+    parts = [number(model.intercept)]
     for t, b in zip(model.terms, model.coef):
         if b != 0.0:
-            eta = eta + F.lit(float(b)) * model.spec.term_expr(t, overrides)
-    return eta
+            parts.append(f"{number(b)} * {model.spec.term_sql(t, overrides)}")
+    return "(" + " + ".join(parts) + ")"
+
+
+def linear_predictor(model: LogitModel, overrides: dict | None = None) -> Column:
+    """η = b0 + Σ b_j x_j as one parsed expression (coefficients are literals)."""
+    return F.expr(linear_predictor_sql(model, overrides))
 
 
 def term_vector(model: LogitModel, overrides: dict | None = None) -> Column:
@@ -43,6 +49,40 @@ def _quadratic_form_udf(cov: np.ndarray):
     return qform
 
 
+# Up to this many non-zero products the quadratic form stays a JVM expression.
+MAX_EXPRESSION_PRODUCTS = 4000
+
+
+def quadratic_form(model: LogitModel, overrides: dict | None = None) -> Column:
+    """xᵀΣx for the row's term vector.
+
+    Dummies of one categorical column are mutually exclusive, so their cross
+    products vanish; what remains is a plain expression (whole-stage codegen).
+    Very wide models fall back to an Arrow-batched pandas UDF.
+    """
+    terms = model.terms
+    src = model.spec.source
+    cov = np.asarray(model.cov, dtype="float64")
+    pairs = []
+    for j in range(len(terms)):
+        for k in range(j, len(terms)):
+            if cov[j, k] == 0.0:
+                continue
+            (cj, lj), (ck, lk) = src[terms[j]], src[terms[k]]
+            if j != k and cj == ck and lj is not None and lk is not None:
+                continue            # two levels of one column are never both 1
+            pairs.append((j, k))
+    if len(pairs) > MAX_EXPRESSION_PRODUCTS:
+        return _quadratic_form_udf(cov)(term_vector(model, overrides))
+    x = [model.spec.term_sql(t, overrides) for t in terms]
+    parts = ["0.0D"]
+    for j, k in pairs:
+        w = cov[j, k] if j == k else 2.0 * cov[j, k]
+        prod = x[j] if (j == k and src[terms[j]][1] is not None) else f"{x[j]} * {x[k]}"
+        parts.append(f"{number(w)} * {prod}")
+    return F.expr("(" + " + ".join(parts) + ")")
+
+
 def interval_columns(model: LogitModel, overrides: dict | None = None,
                      z: float = Z_PREDICTION_INTERVAL, prefix: str = "") -> list[Column]:
     """Predicted_Probability, CI_Lower_95, CI_Upper_95 (NULL bounds without covariance)."""
@@ -51,7 +91,7 @@ def interval_columns(model: LogitModel, overrides: dict | None = None,
     if model.cov is None:
         return [p, F.lit(None).cast("double").alias(f"{prefix}CI_Lower_95"),
                 F.lit(None).cast("double").alias(f"{prefix}CI_Upper_95")]
-    var = _quadratic_form_udf(model.cov)(term_vector(model, overrides))
+    var = quadratic_form(model, overrides)
     se = F.sqrt(F.greatest(var, F.lit(0.0)))
     return [p, sigmoid(eta - F.lit(z) * se).alias(f"{prefix}CI_Lower_95"),
             sigmoid(eta + F.lit(z) * se).alias(f"{prefix}CI_Upper_95")]
