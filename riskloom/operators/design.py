@@ -98,12 +98,19 @@ class TermStats:
 
 
 def term_stats(enc: DataFrame, terms: list[str], y_col: str | None, split_col: str | None = None,
-               n_groups: int = 1) -> list[TermStats]:
-    """One aggregation pass: variation, 0/1-ness, active counts, active positives per term."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+               n_groups: int = 1, spec: "DesignSpec | None" = None) -> list[TermStats]:
+    """Per-term variation, 0/1-ness, active counts and active positives, per split.
+
+    Level-indicator terms are 0/1 and never NULL by construction, so their
+    counts come from one grouped level count; only numeric terms need
+    min/max/NULL checks.  Two small aggregations in total.
+    """
     y = (F.col(y_col) == 1) if y_col else F.lit(False)
-    aggs.append(F.count_if(y).alias("_npos"))
-    for i, t in enumerate(terms):
+    g = F.col(split_col).cast("int") if split_col else F.lit(0)
+    dummies = [t for t in terms if spec is not None and spec.source[t][1] is not None]
+    numeric = [t for t in terms if t not in set(dummies)]
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(y).alias("_npos")]
+    for i, t in enumerate(numeric):
         x = F.col(t)
         aggs += [
             ((F.min(x) != F.max(x)) | ((F.count_if(x.isNull()) > 0) & (F.count(x) > 0))).alias(f"v{i}"),
@@ -112,23 +119,31 @@ def term_stats(enc: DataFrame, terms: list[str], y_col: str | None, split_col: s
             F.count_if(x > 0.5).alias(f"a{i}"),
             F.count_if((x > 0.5) & y).alias(f"ap{i}"),
         ]
-    grouped = enc.groupBy(F.col(split_col).cast("int").alias("_g")) if split_col else enc.groupBy(F.lit(0).alias("_g"))
-    rows = {r["_g"]: r for r in grouped.agg(*aggs).collect()}
+    rows = {r["_g"]: r for r in enc.groupBy(g.alias("_g")).agg(*aggs).collect()}
+    level_rows: dict[tuple[int, str], tuple[int, int]] = {}
+    if dummies:
+        pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("x")) for t in dummies])
+        lv = (enc.select(g.alias("_g"), y.alias("_y"), F.inline(pairs)).filter(F.col("x") > 0.5)
+              .groupBy("_g", "term").agg(F.count(F.lit(1)).alias("a"), F.count_if("_y").alias("ap")))
+        for r in lv.collect():          # at most groups x dummy terms rows
+            level_rows[(r["_g"], r["term"])] = (r["a"], r["ap"])
     out = []
-    for g in range(n_groups):
-        r = rows.get(g)
-        if r is None:
-            out.append(TermStats(0, {t: False for t in terms}, {t: False for t in terms},
-                                 {t: 0 for t in terms}, {t: 0 for t in terms}, 0))
-            continue
-        out.append(TermStats(
-            n=r["_n"],
-            varies={t: bool(r[f"v{i}"]) for i, t in enumerate(terms)},
-            binary={t: (not r[f"nb{i}"]) and r[f"nn{i}"] > 0 for i, t in enumerate(terms)},
-            active={t: int(r[f"a{i}"]) for i, t in enumerate(terms)},
-            active_pos={t: int(r[f"ap{i}"]) for i, t in enumerate(terms)},
-            n_pos=int(r["_npos"]),
-        ))
+    for gid in range(n_groups):
+        r = rows.get(gid)
+        n = r["_n"] if r is not None else 0
+        varies, binary, active, active_pos = {}, {}, {}, {}
+        for i, t in enumerate(numeric):
+            varies[t] = bool(r[f"v{i}"]) if r is not None else False
+            binary[t] = (r is not None) and (not r[f"nb{i}"]) and r[f"nn{i}"] > 0
+            active[t] = int(r[f"a{i}"]) if r is not None else 0
+            active_pos[t] = int(r[f"ap{i}"]) if r is not None else 0
+        for t in dummies:
+            a, ap = level_rows.get((gid, t), (0, 0))
+            varies[t] = 0 < a < n
+            binary[t] = n > 0
+            active[t] = a
+            active_pos[t] = ap
+        out.append(TermStats(n, varies, binary, active, active_pos, int(r["_npos"]) if r is not None else 0))
     return out
 
 
@@ -195,7 +210,7 @@ def prune_design(spec: DesignSpec, df: DataFrame, y_col: str | None, *, split_co
     cols = [F.col(c) for c in ([y_col] if y_col else []) + ([split_col] if split_col else [])]
     enc = df.select(*cols, *[spec.term_expr(t).alias(t) for t in terms])
     n_groups = 2 if split_col else 1
-    parts = term_stats(enc, terms, y_col, split_col, n_groups)
+    parts = term_stats(enc, terms, y_col, split_col, n_groups, spec)
     grams, _ = gram_by_group(enc, terms, split_col, n_groups)
     index = {t: i for i, t in enumerate(terms)}
     all_stats = combine_stats(parts, terms)

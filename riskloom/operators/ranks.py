@@ -87,38 +87,100 @@ def row_index(df: DataFrame, order_cols: list[str], group_cols: list[str] | None
     return out.withColumnRenamed("_one_before", name).drop("_one")
 
 
-def flag_first_n(df: DataFrame, order_cols: list[str], quota: Column | int,
-                 group_cols: list[str] | None = None, name: str = "_first_n",
-                 n_buckets: int | None = None, groups_bound: int | None = None) -> DataFrame:
-    """Flag (1/0) the first ``quota`` rows per group in order.
-
-    Only the bucket that straddles the cut-off is ranked row by row; all other
-    buckets are decided from bucket totals alone.
-    ``quota`` may be a column computed from the per-group size ``_group_n``.
+# At most this many (group, bucket) totals are gathered on the driver.
+MAX_BUCKET_ROWS = 1_000_000
+
+
+def _lex_le(cols: list[str], values: list) -> Column:
+    """(c1, c2, ...) <= (v1, v2, ...) in lexicographic order, as a plain predicate."""
+    out = F.col(cols[-1]) <= F.lit(values[-1])
+    for c, v in zip(reversed(cols[:-1]), reversed(values[:-1])):
+        out = (F.col(c) < F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
+    return out
+
+
+def first_n_cutoffs(df: DataFrame, order_cols: list[str], quota, group_cols: list[str] | None = None,
+                    n_buckets: int | None = None) -> dict[tuple, tuple | None | str]:
+    """Per group, the order tuple of the quota-th row (inclusive cut-off).
+
+    ``quota`` is an int or a function of the group size.  Only a narrow
+    projection (group + order columns) is cached; bucket totals pick, per group,
+    the one bucket that holds the cut-off, and only that bucket is ranked.
+    Result per group: a tuple, "all" (quota >= size) or None (quota 0).
     """
-    g = group_cols or []
-    nb = n_buckets or _default_buckets(df)
-    gb = groups_bound if g else 1
-    b = bucket_column(df, g, order_cols[0], nb, groups_bound=gb)
-    keys = g + ["_bucket"]
-    totals = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    w_off = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    w_grp = Window.partitionBy(*g)
-    q = quota if isinstance(quota, Column) else F.lit(int(quota))
-    status = (totals
-              .withColumn("_off", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)))
-              .withColumn("_group_n", F.sum("_cnt").over(w_grp))
-              .withColumn("_quota", q.cast("bigint"))
-              .select(*keys, "_off", "_cnt", "_quota"))
-    b = join_small(b, status, keys, "left", bound=None if gb is None else gb * nb)
-    decided = b.filter((F.col("_off") + F.col("_cnt") <= F.col("_quota")) | (F.col("_off") >= F.col("_quota")))
-    decided = decided.withColumn(name, (F.col("_off") < F.col("_quota")).cast("int"))
-    straddle = b.filter((F.col("_off") < F.col("_quota")) & (F.col("_off") + F.col("_cnt") > F.col("_quota")))
-    w_in = Window.partitionBy(*keys).orderBy(*order_cols)
-    straddle = straddle.withColumn(
-        name, ((F.col("_off") + F.row_number().over(w_in)) <= F.col("_quota")).cast("int"))
-    cols = [F.col(c) for c in df.columns] + [F.col(name)]
-    return decided.select(cols).unionByName(straddle.select(cols))
+    from pyspark import StorageLevel
+    g = list(group_cols or [])
+    narrow = df.select(*g, *order_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        nb = n_buckets or _default_buckets(df)
+        b = bucket_column(narrow, g, order_cols[0], nb, groups_bound=None if g else 1)
+        totals = b.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+        rows = totals.limit(MAX_BUCKET_ROWS + 1).collect()
+        if len(rows) > MAX_BUCKET_ROWS:
+            raise ValueError("too many groups for a per-group cut-off")
+        per_group: dict[tuple, list[tuple[int, int]]] = {}
+        for r in rows:
+            per_group.setdefault(tuple(r[c] for c in g), []).append((r["_bucket"], r["_cnt"]))
+        result: dict[tuple, tuple | None | str] = {}
+        targets = []      # (group, bucket, rank within bucket)
+        for key, bl in per_group.items():
+            bl.sort()
+            n = sum(c for _, c in bl)
+            q = int(quota(n) if callable(quota) else quota)
+            if q <= 0:
+                result[key] = None
+                continue
+            if q >= n:
+                result[key] = "all"
+                continue
+            off = 0
+            for bucket, cnt in bl:
+                if off + cnt >= q:
+                    targets.append((key, bucket, q - off))
+                    break
+                off += cnt
+        if targets:
+            cond = None
+            for key, bucket, _ in targets:
+                c = F.col("_bucket") == F.lit(bucket)
+                for col, v in zip(g, key):
+                    c = c & (F.col(col) == F.lit(v))
+                cond = c if cond is None else cond | c
+            w = Window.partitionBy(*g, "_bucket").orderBy(*order_cols)
+            ranked = b.filter(cond).withColumn("_rn", F.row_number().over(w))
+            want = None
+            for key, bucket, rank in targets:
+                c = (F.col("_bucket") == F.lit(bucket)) & (F.col("_rn") == F.lit(rank))
+                for col, v in zip(g, key):
+                    c = c & (F.col(col) == F.lit(v))
+                want = c if want is None else want | c
+            for r in ranked.filter(want).collect():      # one row per group
+                result[tuple(r[c] for c in g)] = tuple(r[c] for c in order_cols)
+        return result
+    finally:
+        narrow.unpersist()
+
+
+def flag_first_n(df: DataFrame, order_cols: list[str], quota, group_cols: list[str] | None = None,
+                 name: str = "_first_n", n_buckets: int | None = None) -> DataFrame:
+    """Flag (1/0) the first ``quota`` rows per group in (order_cols) order.
+
+    The cut-offs are found on a cached narrow projection; the flag itself is a
+    plain predicate on the original rows (no window, no join, no shuffle).
+    ``order_cols`` must identify a row within its group.
+    """
+    g = list(group_cols or [])
+    cut = first_n_cutoffs(df, order_cols, quota, g, n_buckets)
+    expr = F.lit(False)
+    for key, c in cut.items():
+        if c is None:
+            continue
+        pred = F.lit(True) if c == "all" else _lex_le(order_cols, list(c))
+        in_group = F.lit(True)
+        for col, v in zip(g, key):
+            in_group = in_group & (F.col(col) == F.lit(v))
+        expr = F.when(in_group, pred).otherwise(expr)
+    return df.withColumn(name, F.coalesce(expr, F.lit(False)).cast("int"))
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -157,11 +219,54 @@ def quantiles_frame(df: DataFrame, cols: list[str], probs: list[float],
           for i, nm in enumerate(names)])
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Driver-side dict {column: [quantile per prob]}; None for all-missing columns."""
-    rows = quantiles_frame(df, cols, probs).collect()
-    found = {r["variable"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
-    return {c: found.get(c, [None] * len(probs)) for c in cols}
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    small_limit: int = 200_000) -> dict[str, list[float | None]]:
+    """Driver-side dict {column: [quantile per prob]}; None for all-missing columns.
+
+    Values are first counted per distinct value.  If that table is small (checked),
+    it is collected and interpolated locally; otherwise the bucketed prefix sums
+    run on the cluster.
+    """
+    from pyspark import StorageLevel
+    vc = (long_values(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        n_distinct = vc.count()
+        if n_distinct <= small_limit:
+            by_var: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
+            for r in vc.collect():
+                by_var[r["variable"]].append((r["value"], r["cnt"]))
+            out = {}
+            for c in cols:
+                pairs = sorted(by_var[c])
+                out[c] = [_interpolate(pairs, p) for p in probs]
+            return out
+        rows = quantiles_frame(df, cols, probs).collect()
+        found = {r["variable"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
+        return {c: found.get(c, [None] * len(probs)) for c in cols}
+    finally:
+        vc.unpersist()
+
+
+def _interpolate(pairs: list[tuple[float, int]], p: float) -> float | None:
+    """Linear-interpolated quantile from sorted (value, count) pairs."""
+    n = sum(c for _, c in pairs)
+    if n == 0:
+        return None
+    h = (n - 1) * p
+    lo, hi = int(h // 1), int(-(-h // 1))
+    frac = h - lo
+
+    def at(rank: int) -> float:
+        seen = 0
+        for v, c in pairs:
+            seen += c
+            if rank < seen:
+                return v
+        return pairs[-1][0]
+
+    a, b = at(lo), at(hi)
+    return a + frac * (b - a)
 
 
 def hashed_order_key(seed: int, key: Column) -> tuple[Column, Column]:
@@ -172,7 +277,7 @@ def hashed_order_key(seed: int, key: Column) -> tuple[Column, Column]:
 
 
 def ceil_share(n: Column, share: float) -> Column:
-    """ceil(share * n) computed in exact integer arithmetic for shares with <= 6 decimals."""
+    """ceil(share * n) in exact integer arithmetic for shares with <= 6 decimals."""
     scale = 10 ** 6
     num = int(round(share * scale))
     return F.floor((n * F.lit(num) + F.lit(scale - 1)) / F.lit(scale)).cast("bigint")

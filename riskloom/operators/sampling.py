@@ -6,7 +6,7 @@ and repeatable by any SQL engine with md5.  Nothing is ranked in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ranks import ceil_share, flag_first_n, hashed_order_key, row_index
@@ -28,29 +28,60 @@ def stratified_split(df: DataFrame, label_col: str, test_share: float = 0.30, se
                      key_col: str = "row_key", flag_col: str = "is_test") -> DataFrame:
     """Flag the test rows: per class, the first ceil(share * class size) rows in hashed order."""
     h = _with_hash(df, seed, key_col)
-    quota = ceil_share(F.col("_group_n"), test_share)
+    scale = 10 ** 6
+    num = int(round(test_share * scale))
+    quota = lambda n: (n * num + scale - 1) // scale      # ceil(share * n), exact
     flagged = flag_first_n(h, ["_hk", "_h", key_col], quota, group_cols=[label_col], name=flag_col)
     return flagged.drop("_hk", "_h")
 
 
+# Draw tables up to this size are broadcast to the row scan (bounded by n_draws).
+MAX_BROADCAST_DRAWS = 2_000_000
+
+
 def bootstrap_sample(spark: SparkSession, df: DataFrame, n_draws: int, seed: int = 42,
                      key_col: str = "row_key") -> DataFrame:
-    """``n_draws`` rows with replacement.
+    """``n_draws`` rows with replacement (exact, reproducible).
 
-    Rows get a global 0-based index in hashed order (bucketed, no global window);
-    draw ``j`` picks index ``md5("<seed>:draw:<j>") mod N``; the draw table is
-    joined to the indexed rows on that index.  Draw counts per row are ~Poisson(1),
-    so the join has no hot keys.
+    Rows are ordered by hashed key; draw ``j`` picks position
+    ``md5("<seed>:draw:<j>") mod N``.  Positions are resolved on a cached narrow
+    projection (key + hash): bucket totals give offsets, rows are numbered only
+    within their bucket, and the picked keys (n_draws rows) are joined back to
+    the full rows.  Picks per row are ~Poisson(1): no hot keys.
     """
-    h = _with_hash(df, seed, key_col)
-    indexed = row_index(h, ["_hk", "_h", key_col], name="_idx").drop("_hk", "_h")
-    n_rows = indexed.count()
-    if n_rows == 0:
-        return indexed.drop("_idx").withColumn("draw_id", F.lit(None).cast("bigint")).limit(0)
-    draw_key = F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.md5(draw_key), 1, 15), 16, 10).cast("bigint"), F.lit(n_rows))
-    draws = spark.range(n_draws).select(F.col("id").alias("draw_id"), pick.alias("_idx"))
-    return draws.join(indexed, "_idx").drop("_idx")
+    from pyspark import StorageLevel
+    from riskloom.operators.ranks import _default_buckets, bucket_column
+
+    h = _with_hash(df.select(key_col), seed, key_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        nb = _default_buckets(df)
+        b = bucket_column(h, [], "_hk", nb)
+        totals = sorted((r["_bucket"], r["_cnt"]) for r in
+                        b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt")).collect())
+        n_rows = sum(c for _, c in totals)
+        if n_rows == 0:
+            return df.limit(0).withColumn("draw_id", F.lit(None).cast("bigint"))
+        ids, offs, acc = [], [], 0
+        for bucket, cnt in totals:
+            ids.append(int(bucket))
+            offs.append(acc)
+            acc += cnt
+        w = Window.partitionBy("_bucket").orderBy("_hk", "_h", key_col)
+        ranked = b.select(key_col, "_bucket", (F.row_number().over(w) - 1).alias("_rn"))
+        draw_key = F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string"))
+        pos = F.pmod(F.conv(F.substring(F.md5(draw_key), 1, 15), 16, 10).cast("bigint"), F.lit(n_rows))
+        off_arr = F.array(*[F.lit(o).cast("bigint") for o in offs])
+        id_arr = F.array(*[F.lit(i) for i in ids])
+        draws = (spark.range(n_draws).select(F.col("id").alias("draw_id"), pos.alias("_pos"))
+                 .withColumn("_k", F.size(F.filter(off_arr, lambda o: o <= F.col("_pos"))))
+                 .select("draw_id", F.element_at(id_arr, F.col("_k")).alias("_bucket"),
+                         (F.col("_pos") - F.element_at(off_arr, F.col("_k"))).alias("_rn")))
+        picked = draws.join(ranked, ["_bucket", "_rn"]).select("draw_id", key_col)
+        picked = picked.checkpoint(eager=True)       # n_draws rows; lineage cut
+    finally:
+        h.unpersist()
+    side = F.broadcast(picked) if n_draws <= MAX_BROADCAST_DRAWS else picked
+    return df.join(side, key_col)
 
 
 def poisson_bootstrap(df: DataFrame, n_draws: int, n_rows: int, seed: int = 42) -> DataFrame:

@@ -741,7 +741,7 @@ def q_sparse_dummy_prune(spark, d):
     p = prepared_records(spark, d)
     spec = fit_design(p, _SP_FEATS, _SP_FEATS)
     enc = spec.encode(p, keep=["y"])
-    st = term_stats(enc, spec.terms, "y")[0]
+    st = term_stats(enc, spec.terms, "y", spec=spec)[0]
     drop = set(sparse_dummy_drop(st, spec.terms))
     rows = [(t, st.active[t], st.n - st.active[t], st.active_pos[t], st.active[t] - st.active_pos[t], t not in drop)
             for t in spec.terms]
@@ -1156,3 +1156,119 @@ def q_odds_ratios_ordinal(spark, d):
     feats = g.select(F.concat(F.lit("p_type_"), F.col("p_type")).alias("Term"),
                      F.log(F.col("r") / (1 - F.col("r"))).alias("Coefficient"))
     return r6(odds_ratios_ordinal(cuts.unionByName(feats)))
+
+
+# --------------------------------------------------------------------------- fitted models (rows-only checks)
+
+from riskloom.operators.fit import fit_report, logit_l1, logit_l2, logit_mle, term_table  # noqa: E402
+from riskloom.operators.ordinal import ordered_logit, ordinal_term_table  # noqa: E402
+from riskloom.plans import suites as SU  # noqa: E402
+from riskloom.presets import (RECORD_COMBINED_CATEGORICAL, RECORD_COMBINED_FEATURES,  # noqa: E402
+                              RECORD_CONTEXT_CATEGORICAL, RECORD_CONTEXT_FEATURES, RECORD_ITEM_CATEGORICAL,
+                              RECORD_ITEM_FEATURES, RECORD_ITEM_IMPUTE)
+
+CONTEXT = SU.ModelSpec("Context", RECORD_CONTEXT_FEATURES, RECORD_CONTEXT_CATEGORICAL)
+ITEM = SU.ModelSpec("Item", RECORD_ITEM_FEATURES, RECORD_ITEM_CATEGORICAL, RECORD_ITEM_IMPUTE)
+COMBINED = SU.ModelSpec("Combined", RECORD_COMBINED_FEATURES, RECORD_COMBINED_CATEGORICAL, RECORD_ITEM_IMPUTE)
+ORD_FEATURES_CTX = RECORD_CONTEXT_FEATURES + ["ship_year"]
+ORD_CONTEXT = SU.ModelSpec("Context ordinal", ORD_FEATURES_CTX, RECORD_CONTEXT_CATEGORICAL)
+ORD_ITEM = SU.ModelSpec("Item ordinal", ["p_type", "p_brand", "p_size", "c_acctbal"], RECORD_ITEM_CATEGORICAL)
+ORD_COMBINED = SU.ModelSpec("Combined ordinal", ORD_FEATURES_CTX + ["p_type", "p_brand", "p_size", "c_acctbal"],
+                            RECORD_COMBINED_CATEGORICAL)
+
+
+def _combined_fit(spark, d, fit):
+    """Prepare (cached), split and prune the combined design, then fit on the train rows."""
+    p = prepared_records(spark, d)
+    tbl, spec, cached = SU.prepare_split_design(p, COMBINED, "y", RECORDS, include_other=True)
+    try:
+        return spec, fit(tbl.filter("is_test = 0"), spec)
+    finally:
+        SU.release(cached)
+
+
+@register("full_rank_columns")
+def q_full_rank_columns(spark, d):
+    spec, _ = _combined_fit(spark, d, lambda t, s: None)
+    rows = [(i, t, "kept") for i, t in enumerate(spec.terms)] + \
+           [(-1, t, why) for t, why in spec.dropped.items()]
+    return spark.createDataFrame(rows, "Position int, Term string, Status string")
+
+
+@register("logit_mle")
+def q_logit_mle(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
+    return term_table(spark, model)
+
+
+@register("fit_report")
+def q_fit_report(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
+    return fit_report(spark, model, "Combined (with_other_group)")
+
+
+@register("logit_l1")
+def q_logit_l1(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_l1(t, s, "y", alpha=0.1))
+    return term_table(spark, model)
+
+
+@register("logit_l2")
+def q_logit_l2(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_l2(t, s, "y", C=1.0))
+    return term_table(spark, model)
+
+
+@register("ordered_logit")
+def q_ordered_logit(spark, d):
+    p = prepared_records(spark, d)
+    res = SU.fit_ordinal(spark, p, ORD_COMBINED, "y_ord", RECORDS, include_other=True)
+    return ordinal_term_table(spark, res.model)
+
+
+@register("ordered_pipeline")
+def q_ordered_pipeline(spark, d):
+    p = prepared_records(spark, d)
+    return SU.fit_ordinal(spark, p, ORD_CONTEXT, "y_ord", RECORDS, include_other=True).metrics
+
+
+@register("binary_suite")
+def q_binary_suite(spark, d):
+    table, _ = SU.binary_suite(spark, prepared_records(spark, d), [CONTEXT, ITEM, COMBINED], "y", RECORDS)
+    return table
+
+
+@register("ordinal_suite")
+def q_ordinal_suite(spark, d):
+    table, _ = SU.ordinal_suite(spark, prepared_records(spark, d), [ORD_CONTEXT, ORD_ITEM, ORD_COMBINED],
+                                "y_ord", RECORDS)
+    return table
+
+
+@register("model_comparison")
+def q_model_comparison(spark, d):
+    return SU.model_comparison(spark, prepared_records(spark, d), [CONTEXT, ITEM, COMBINED], "y",
+                               [ORD_CONTEXT, ORD_ITEM, ORD_COMBINED], "y_ord", RECORDS)
+
+
+@register("exploratory_fatal")
+def q_exploratory(spark, d):
+    p = prepared_records(spark, d).withColumn("y_filled", (F.col("o_orderstatus") == "F").cast("int"))
+    out = SU.exploratory(spark, p, CONTEXT, "y_filled", alpha=0.1, min_share=0.05)
+    return out["metrics"]
+
+
+def _what_if(spark, d):
+    m = SU.ModelSpec("Combined", [c for c in RECORD_COMBINED_FEATURES if c != "ship_lag"] + ["ship_lag"],
+                     RECORD_COMBINED_CATEGORICAL)
+    return SU.what_if_report(spark, prepared_records(spark, d), m, "y", RECORDS,
+                             baseline_defaults=RECORD_BASELINE_DEFAULTS, switch_scenarios=RECORD_SWITCH_SCENARIOS,
+                             risk_profile_list=[(n, {k: (float(v) if not isinstance(v, str) else v)
+                                                     for k, v in ov.items()}) for n, ov in RECORD_RISK_PROFILES],
+                             contrast=RECORD_CONTRAST, curves=[("p_size", VEHICLE_AGE_GRID),
+                                                               ("l_quantity", PERSON_AGE_GRID)])
+
+
+@register("what_if_report")
+def q_what_if_report(spark, d):
+    return _what_if(spark, d)["category_switch"]
