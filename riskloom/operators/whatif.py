@@ -43,23 +43,23 @@ def _override_vector(model: LogitModel, ov: dict) -> tuple[set[int], np.ndarray]
 def scenario_means(pop: DataFrame, model: LogitModel, overrides: list[dict], with_ci: bool = True):
     """Per-row scenario scores, ready to average.
 
-    For a scenario that replaces the terms S by constants d, with r the row's
-    term vector with S zeroed:  eta' = b·r + b·d  and
-    x'ᵀΣx' = rᵀΣr + 2 dᵀΣr + dᵀΣd.  rᵀΣr depends only on S, so scenarios
-    that override the same columns (a whole curve) share one quadratic form;
-    each scenario adds one linear form.  All of it is one projection.
+    A scenario replaces the terms S by constants d.  With r the row's term vector
+    with S zeroed and u = Σr:
+        eta' = eta - Σ_{j∈S} b_j x_j + b·d
+        x'ᵀΣx' = rᵀΣr + 2 Σ_{j∈S} d_j u_j + dᵀΣd
+    rᵀΣr and u_S depend only on S, so scenarios overriding the same columns (a
+    whole curve) share them and each scenario costs O(|S|).  Every stage is a
+    small expression, so the projection stays inside whole-stage codegen.
     """
     p = len(model.terms)
     b = np.asarray(model.coef, dtype="float64")
     cov = None if model.cov is None else np.asarray(model.cov, dtype="float64")
     names = [f"_x{j}" for j in range(p)]
-    feats = [c for c in model.spec.features if c in pop.columns]
-    staged = pop.select(*feats, *[model.spec.term_expr(t).alias(names[j]) for j, t in enumerate(model.terms)])
     src = model.spec.source
-
-    def lin(coefs: np.ndarray, skip: set[int]) -> str:
-        parts = [f"{number(c)} * {names[j]}" for j, c in enumerate(coefs) if c != 0.0 and j not in skip]
-        return "(" + " + ".join(["0.0D"] + parts) + ")"
+    feats = [c for c in model.spec.features if c in pop.columns]
+    stage = pop.select(*feats, *[model.spec.term_expr(t).alias(names[j]) for j, t in enumerate(model.terms)])
+    eta_full = "(" + " + ".join([number(model.intercept)] +
+                                [f"{number(c)} * {names[j]}" for j, c in enumerate(b) if c != 0.0]) + ")"
 
     def qform(skip: set[int]) -> str:
         parts = ["0.0D"]
@@ -76,29 +76,48 @@ def scenario_means(pop: DataFrame, model: LogitModel, overrides: list[dict], wit
                 parts.append(f"{number(w)} * {names[j]}" + ("" if (j == k and lj is not None) else f" * {names[k]}"))
         return "(" + " + ".join(parts) + ")"
 
-    eta_full = f"({number(model.intercept)} + {lin(b, set())})"
-    cols = [F.expr(f"1.0D / (1.0D + exp(-{eta_full}))").alias("pb")]
-    shared: dict[frozenset, str] = {}
-    for i, ov in enumerate(overrides):
+    # stage B: per distinct override set S -> eta_r, q_S, u_{S,j}
+    sets: dict[frozenset, int] = {}
+    plans = []
+    for ov in overrides:
         skip, d = _override_vector(model, ov)
-        eta = f"({number(model.intercept + float(b @ d))} + {lin(b, skip)})"
-        cols.append(F.expr(f"1.0D / (1.0D + exp(-{eta}))").alias(f"s{i}_Predicted_Probability"))
+        key = frozenset(skip)
+        if key not in sets:
+            sets[key] = len(sets)
+        plans.append((sets[key], skip, d))
+    stage_b = [F.expr(eta_full).alias("_eta")]
+    for key, k in sets.items():
+        minus = " ".join(f"- {number(b[j])} * {names[j]}" for j in sorted(key) if b[j] != 0.0)
+        stage_b.append(F.expr(f"({eta_full} {minus})").alias(f"_er{k}"))
         if with_ci and cov is not None:
-            key = frozenset(skip)
-            if key not in shared:
-                shared[key] = f"_q{len(shared)}"
-            var = f"({shared[key]} + 2.0D * {lin(cov @ d, skip)} + {number(float(d @ cov @ d))})"
-            se = f"sqrt(greatest({var}, 0.0D))"
-            cols.append(F.expr(f"1.0D / (1.0D + exp(-({eta} - {number(Z_PREDICTION_INTERVAL)} * {se})))")
-                        .alias(f"s{i}_CI_Lower_95"))
-            cols.append(F.expr(f"1.0D / (1.0D + exp(-({eta} + {number(Z_PREDICTION_INTERVAL)} * {se})))")
-                        .alias(f"s{i}_CI_Upper_95"))
+            stage_b.append(F.expr(qform(set(key))).alias(f"_q{k}"))
+            for j in sorted(key):
+                row = " + ".join(["0.0D"] + [f"{number(cov[j, m])} * {names[m]}" for m in range(p)
+                                             if m not in key and cov[j, m] != 0.0])
+                stage_b.append(F.expr(f"({row})").alias(f"_u{k}_{j}"))
+    staged = stage.select(*feats, *stage_b)
+
+    # stage C: per scenario eta and variance
+    stage_c = [F.col(c) for c in feats] + [F.expr("1.0D / (1.0D + exp(-_eta))").alias("pb")]
+    for i, (k, skip, d) in enumerate(plans):
+        stage_c.append(F.expr(f"_er{k} + {number(float(b @ d))}").alias(f"_e{i}"))
+        if with_ci and cov is not None:
+            lin = " + ".join(["0.0D"] + [f"{number(2.0 * d[j])} * _u{k}_{j}" for j in sorted(skip) if d[j] != 0.0])
+            stage_c.append(F.expr(f"greatest(_q{k} + {lin} + {number(float(d @ cov @ d))}, 0.0D)").alias(f"_v{i}"))
+    scored_c = staged.select(*stage_c)
+
+    # stage D: probabilities and bounds
+    z = number(Z_PREDICTION_INTERVAL)
+    cols = [F.col(c) for c in feats] + [F.col("pb")]
+    for i in range(len(plans)):
+        cols.append(F.expr(f"1.0D / (1.0D + exp(-_e{i}))").alias(f"s{i}_Predicted_Probability"))
+        if with_ci and cov is not None:
+            cols.append(F.expr(f"1.0D / (1.0D + exp(-(_e{i} - {z} * sqrt(_v{i}))))").alias(f"s{i}_CI_Lower_95"))
+            cols.append(F.expr(f"1.0D / (1.0D + exp(-(_e{i} + {z} * sqrt(_v{i}))))").alias(f"s{i}_CI_Upper_95"))
         else:
             cols += [F.lit(None).cast("double").alias(f"s{i}_CI_Lower_95"),
                      F.lit(None).cast("double").alias(f"s{i}_CI_Upper_95")]
-    # shared quadratic forms first (one per distinct override set), then the scenarios
-    first = staged.select("*", *[F.expr(qform(set(k))).alias(v) for k, v in shared.items()])
-    scored = first.select(*feats, *cols)
+    scored = scored_c.select(*cols)
     aggs = [F.avg("pb").alias("pb")]
     for i in range(len(overrides)):
         aggs += [F.avg(f"s{i}_{k}").alias(f"s{i}_{k}") for k in ("Predicted_Probability", "CI_Lower_95", "CI_Upper_95")]
@@ -110,8 +129,10 @@ def what_if_switch(pop: DataFrame, model: LogitModel, scenarios: list[tuple]) ->
     overrides = [({} if v is None else {var: v}) for _, var, v in scenarios]
     scored, aggs = scenario_means(pop, model, overrides)
     variables = sorted({var for _, var, _ in scenarios})
-    aggs += [_common_value(v).alias(f"base_{v}") for v in variables]
-    one = scored.agg(*aggs)
+    # text min/max needs a sort-based aggregate: keep it out of the numeric pass
+    common = pop.agg(*[_common_value(v).alias(f"base_{v}") for v in variables])
+    arr = common.select(F.array(*[F.col(f"base_{v}") for v in variables])).scalar()
+    one = scored.agg(*aggs).select("*", *[arr[i].alias(f"base_{v}") for i, v in enumerate(variables)])
     rows = []
     for i, (name, var, value) in enumerate(scenarios):
         p = F.col(f"s{i}_Predicted_Probability")

@@ -31,7 +31,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = (builder.config("spark.ui.enabled", "false")
+    # Generated scoring code for many scenarios can exceed the JIT's 8 KB
+    # method cut-off; let the JIT compile it instead of interpreting it.
+    jit = "-XX:-DontCompileHugeMethods"
+    builder = (builder.config("spark.driver.extraJavaOptions", jit)
+               .config("spark.executor.extraJavaOptions", jit)
+               .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("RISKLOOM_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
