@@ -11,7 +11,9 @@ NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 RECORDS_CTE = """records AS (
   SELECT concat_ws('|', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR),
-                   CAST(l.l_partkey AS VARCHAR), CAST(l.l_suppkey AS VARCHAR)) AS row_key,
+                   CAST(l.l_partkey AS VARCHAR), CAST(l.l_suppkey AS VARCHAR),
+                   CAST(CAST(round(l.l_extendedprice * 100) AS BIGINT) AS VARCHAR),
+                   CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR)) AS row_key,
          l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
          l.l_returnflag, l.l_linestatus, o.o_orderpriority, o.o_orderstatus, c.c_mktsegment,
          p.p_type, p.p_brand, l.l_quantity, l.l_discount, CAST(p.p_size AS DOUBLE) AS p_size, c.c_acctbal,

@@ -80,10 +80,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def record_key(prefix: str = "") -> F.Column:
-    """Unique, engine-independent text key of a record row (used by hashed draws)."""
+    """Unique, engine-independent text key of a record row (used by hashed draws):
+    the line-item keys plus price in cents and ship date."""
     return F.concat_ws(
         "|",
         *[F.col(c).cast("string") for c in RECORD_KEY_COLUMNS],
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
+        F.col("l_shipdate").cast("date").cast("string"),
     ).alias(f"{prefix}row_key")
 
 
@@ -95,7 +98,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
