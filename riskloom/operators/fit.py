@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -60,11 +61,15 @@ def logit_mle(df: DataFrame, spec: DesignSpec, y_col: str, *, fit_intercept: boo
     """Unpenalised binary logit by IRLS (one convex optimum: no solver ladder)."""
     if not spec.terms:
         raise ValueError("no terms left to fit")
-    data = _assemble(df, spec, y_col)
+    # IRLS makes one pass per iteration: cache the assembled vectors once
+    data = _assemble(df, spec, y_col).persist(StorageLevel.MEMORY_AND_DISK)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=fit_intercept,
                                       maxIter=max_iter, tol=tol, regParam=0.0, labelCol="label",
                                       featuresCol="features")
-    m = glr.fit(data)
+    try:
+        m = glr.fit(data)
+    finally:
+        data.unpersist()
     coef = np.array(m.coefficients.toArray(), dtype="float64")
     s = m.summary
     iters = int(s.numIterations)
@@ -97,12 +102,15 @@ def logit_penalized(df: DataFrame, spec: DesignSpec, y_col: str, *, alpha: float
 
     Spark scales the loss by 1/n, so ``regParam = alpha / n``.
     """
-    data = _assemble(df, spec, y_col)
+    data = _assemble(df, spec, y_col).persist(StorageLevel.MEMORY_AND_DISK)
     n = n_rows if n_rows is not None else data.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", fitIntercept=fit_intercept,
                             standardization=False, elasticNetParam=l1_ratio,
                             regParam=alpha / max(1, n), maxIter=max_iter, tol=tol)
-    m = lr.fit(data)
+    try:
+        m = lr.fit(data)
+    finally:
+        data.unpersist()
     coef = np.array(m.coefficients.toArray(), dtype="float64")
     coef[np.abs(coef) < zero_tol] = 0.0
     kind = "Regularized (L1)" if l1_ratio == 1.0 else "Regularized (L2)" if l1_ratio == 0.0 else "Elastic net"
