@@ -1272,3 +1272,48 @@ def _what_if(spark, d):
 @register("what_if_report")
 def q_what_if_report(spark, d):
     return _what_if(spark, d)["category_switch"]
+
+
+# --------------------------------------------------------------------------- sinks, reuse, alignment
+
+
+@register("write_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def q_write_table(spark, d):
+    """Result table written as Parquet to the shared scratch folder and read back typed."""
+    path = write_table(read_table(spark, d, "orders"), scratch_dir(spark, "write") + "/orders")
+    return spark.read.schema(SCHEMAS["orders"]).parquet(path)
+
+
+@register("load_or_compute", REC + f""", src AS (SELECT * FROM records)
+SELECT variable, level, count(*) AS count FROM ({_UNPIVOT_CATS}) u GROUP BY variable, level""")
+def q_load_or_compute(spark, d):
+    """First call computes and stores the level-count table; the second finds it complete and reads it."""
+    from riskloom.sources.tables import load_or_compute
+    paths = {"level_counts": scratch_dir(spark, "reuse") + "/level_counts"}
+    compute = lambda: {"level_counts": HY.level_counts(records(spark, d), CATS)}
+    load_or_compute(spark, paths, compute)
+    return load_or_compute(spark, paths, compute)["level_counts"]
+
+
+def _scenario_cross_sql() -> str:
+    return ("SELECT Scenario, Variable, Scenario_Value, Predicted_Probability FROM (" + _SWITCH_SQL + ") s")
+
+
+@register("scenario_cross", _scenario_cross_sql())
+def q_scenario_cross(spark, d):
+    """Every row under every scenario, scored in one projection (no cross join), averaged."""
+    return r6(_switch_df(spark, d)).select("Scenario", "Variable", "Scenario_Value", "Predicted_Probability")
+
+
+ORACLE_ALIGN = REC + """
+SELECT row_key, l_returnflag, CAST(p_size AS DOUBLE) AS p_size, 0.0 AS l_returnflag_R
+FROM records WHERE l_returnflag = 'N'"""
+
+
+@register("align_terms", ORACLE_ALIGN)
+def q_align_terms(spark, d):
+    """Train terms come from rows with flag A (reference) and R; rows with the unseen level N
+    align to the train term list with zeros (the reference level)."""
+    r = records(spark, d)
+    spec = fit_design(r.filter(F.col("l_returnflag") != "N"), ["l_returnflag", "p_size"], ["l_returnflag"])
+    return spec.encode(r.filter(F.col("l_returnflag") == "N"), keep=["row_key", "l_returnflag"])
