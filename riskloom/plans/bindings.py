@@ -16,7 +16,7 @@ from riskloom.functions.scalar import null_out_of_range
 from riskloom.operators.design import DesignSpec
 from riskloom.operators.fit import LogitModel
 from riskloom.operators.ordinal import OrderedModel
-from riskloom.sources.tables import read_table, records
+from riskloom.sources.tables import read_table, records_table
 
 STATUS_CLASS = {"F": 1, "O": 2, "P": 3}
 
@@ -24,7 +24,7 @@ STATUS_CLASS = {"F": 1, "O": 2, "P": 3}
 def prepared_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records plus labels: ``y`` (status O/P), ``y_ord`` (F<O<P) and ``ship_lag``
     (ship year - order year, kept only inside 0..60)."""
-    r = records(spark, sf_dir)
+    r = records_table(spark, sf_dir)
     y_ord = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in STATUS_CLASS.items()])
     lag = (F.col("ship_year") - F.col("order_year")).cast("double")
     return r.select("*", F.col("o_orderstatus").isin("O", "P").cast("int").alias("y"),

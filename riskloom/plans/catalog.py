@@ -32,7 +32,8 @@ from riskloom.presets import (BASELINE_SCENARIO_NAME, COMPARISON_COLUMNS, DEFAUL
                               RECORD_RISK_PROFILES, RECORD_SCENARIO_LABELS, RECORD_SWITCH_SCENARIOS,
                               RECORD_TERM_OVERRIDES, RECORD_VALUE_LABELS, RECORD_VARIABLE_LABELS, RECORDS,
                               RISK_BANDS, VEHICLE_AGE_GRID, Z_COEF_INTERVAL)
-from riskloom.sources.tables import ingest_csv, read_table, records, shape_summary, write_table, SCHEMAS
+from riskloom.sources.tables import (ingest_csv, read_table, records, records_table, shape_summary,
+                                     write_table, SCHEMAS)
 from riskloom.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +79,7 @@ _N_RECORD_COLS = 18
 
 @register("shape_summary", REC + f"SELECT count(*) AS n_rows, CAST({_N_RECORD_COLS} AS BIGINT) AS n_cols FROM records")
 def q_shape_summary(spark, d):
-    return shape_summary(records(spark, d))
+    return shape_summary(records_table(spark, d))
 
 
 # --------------------------------------------------------------------------- 2.2 scalar
@@ -116,7 +117,7 @@ def q_derive_age(spark, d):
 @register("null_out_of_range", REC + """
 SELECT row_key, CASE WHEN l_quantity BETWEEN 1 AND 45 THEN l_quantity END AS l_quantity_valid FROM records""")
 def q_null_out_of_range(spark, d):
-    return records(spark, d).select("row_key", null_out_of_range("l_quantity", 1.0, 45.0).alias("l_quantity_valid"))
+    return records_table(spark, d).select("row_key", null_out_of_range("l_quantity", 1.0, 45.0).alias("l_quantity_valid"))
 
 
 @register("filter_valid_class", REC + "SELECT row_key, y_ord FROM prepared WHERE y_ord IN (1, 2)")
@@ -142,7 +143,7 @@ _COLLAPSE_SQL = (f"CASE WHEN l_returnflag IN ({SPECIALS}) THEN 'OTHER' ELSE l_re
 
 @register("collapse_special_levels", REC + f"SELECT row_key, {_COLLAPSE_SQL} FROM records")
 def q_collapse(spark, d):
-    r = HY.collapse_special_levels(records(spark, d), ["l_returnflag", "l_linestatus"])
+    r = HY.collapse_special_levels(records_table(spark, d), ["l_returnflag", "l_linestatus"])
     return r.select("row_key", "l_returnflag", "l_linestatus")
 
 
@@ -150,7 +151,7 @@ def q_collapse(spark, d):
 SELECT * FROM (SELECT row_key, {_COLLAPSE_SQL} FROM records) t
 WHERE l_returnflag <> 'OTHER' AND l_linestatus <> 'OTHER'""")
 def q_drop_other_rows(spark, d):
-    r = HY.collapse_special_levels(records(spark, d), ["l_returnflag", "l_linestatus"])
+    r = HY.collapse_special_levels(records_table(spark, d), ["l_returnflag", "l_linestatus"])
     return HY.drop_other_rows(r, ["l_returnflag", "l_linestatus"]).select("row_key", "l_returnflag", "l_linestatus")
 
 
@@ -168,7 +169,7 @@ SELECT row_key, lpad(CAST(CAST(p_size AS BIGINT) AS VARCHAR), 2, '0') AS size_co
        {Q.normalize_sql("l_returnflag")} AS flag_norm
 FROM records""")
 def q_normalize_code(spark, d):
-    r = records(spark, d)
+    r = records_table(spark, d)
     code = F.lpad(F.col("p_size").cast("bigint").cast("string"), 2, "0")
     return r.select("row_key", code.alias("size_code"), normalize_code(code).alias("size_norm"),
                     normalize_code(F.col("l_quantity").cast("string")).alias("qty_norm"),
@@ -186,7 +187,7 @@ SELECT row_key,
   {Q.value_label_sql("'o_orderpriority'", "lower(o_orderpriority)", RECORD_VALUE_LABELS)} AS priority_label
 FROM records""")
 def q_decode_labels(spark, d):
-    r = records(spark, d)
+    r = records_table(spark, d)
     code = F.lpad(F.col("p_size").cast("bigint").cast("string"), 2, "0")
     return r.select(
         "row_key",
@@ -214,7 +215,7 @@ _TERMS_SQL = " UNION ".join(
 
 @register("term_labels", REC + f"SELECT term, {_term_label_sql('term')} AS label FROM ({_TERMS_SQL}) t")
 def q_term_labels(spark, d):
-    counts = HY.level_counts(records(spark, d), CATS).filter(F.col("level").isNotNull())
+    counts = HY.level_counts(records_table(spark, d), CATS).filter(F.col("level").isNotNull())
     terms = counts.select(F.concat(F.col("variable"), F.lit("_"), F.col("level")).alias("term"))
     extra = spark.range(1).select(F.explode(F.array(F.lit("const"), F.lit("l_quantity"), F.lit("ship_lag"))).alias("term"))
     allt = terms.unionByName(extra).distinct()
@@ -305,7 +306,7 @@ def q_fisher(spark, d):
 SELECT p_type, count(*) AS count, round(count(*) / (SELECT count(p_type) FROM records), 6) AS share
 FROM records GROUP BY p_type""")
 def q_value_counts(spark, d):
-    return r6(HY.value_counts(records(spark, d), "p_type"))
+    return r6(HY.value_counts(records_table(spark, d), "p_type"))
 
 
 _UNPIVOT_CATS = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS level FROM src" for c in CATS)
@@ -314,7 +315,7 @@ _UNPIVOT_CATS = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCH
 @register("level_counts_all", REC + f""", src AS (SELECT * FROM records)
 SELECT variable, level, count(*) AS count FROM ({_UNPIVOT_CATS}) u GROUP BY variable, level""")
 def q_level_counts_all(spark, d):
-    return HY.level_counts(records(spark, d), CATS)
+    return HY.level_counts(records_table(spark, d), CATS)
 
 
 def _rare_sql(col: str, share: float, keep: list[str], other: str = "OTHER", src: str = "records") -> str:
@@ -329,7 +330,7 @@ SELECT row_key, p_brand, CAST(p_brand IN {_rare_sql('p_brand', 0.04, RECORDS.kee
        CASE WHEN p_brand IN {_rare_sql('p_brand', 0.04, RECORDS.keep_levels['p_brand'])} THEN 'RARE' ELSE p_brand END AS p_brand_grouped
 FROM records""")
 def q_level_lookup(spark, d):
-    r = records(spark, d)
+    r = records_table(spark, d)
     rule = HY.fit_rare_levels(r, ["p_brand"], shares={"p_brand": 0.04}, keep_levels=RECORDS.keep_levels,
                               other_label="RARE")
     g = rule.apply(r.select("row_key", F.col("p_brand").alias("_orig"), "p_brand"))
@@ -342,7 +343,7 @@ SELECT CASE WHEN p_brand IN {_rare_sql('p_brand', 0.04, RECORDS.keep_levels['p_b
        count(*) AS count
 FROM records GROUP BY 1""")
 def q_group_rare_levels(spark, d):
-    r = records(spark, d)
+    r = records_table(spark, d)
     rule = HY.fit_rare_levels(r, ["p_brand"], shares={"p_brand": 0.04}, keep_levels=RECORDS.keep_levels,
                               other_label="RARE")
     return rule.apply(r).groupBy("p_brand").agg(F.count(F.lit(1)).alias("count"))
@@ -669,7 +670,7 @@ def q_histogram(spark, d):
 @register("sample_n", REC + """
 SELECT row_key, l_orderkey, p_type, l_quantity FROM records ORDER BY md5('42:' || row_key), row_key LIMIT 5000""")
 def q_sample_n(spark, d):
-    return SA.sample_n(records(spark, d), 5000, 42).select("row_key", "l_orderkey", "p_type", "l_quantity")
+    return SA.sample_n(records_table(spark, d), 5000, 42).select("row_key", "l_orderkey", "p_type", "l_quantity")
 
 
 @register("stratified_split", REC + """
@@ -690,7 +691,7 @@ draws AS (SELECT range AS draw_id,
 
 @register("bootstrap_sample", _BOOT_SQL + "SELECT d.draw_id, x.row_key FROM draws d JOIN idx x ON d.i = x.i")
 def q_bootstrap_sample(spark, d):
-    return SA.bootstrap_sample(spark, records(spark, d), 5000, 42).select("draw_id", "row_key")
+    return SA.bootstrap_sample(spark, records_table(spark, d), 5000, 42).select("draw_id", "row_key")
 
 
 # --------------------------------------------------------------------------- encoding and pruning
@@ -700,7 +701,7 @@ _ENC_CATS = ["l_returnflag", "l_linestatus", "o_orderpriority", "p_type"]
 
 
 def _enc_spec(spark, d):
-    return fit_design(records(spark, d), _ENC_FEATS, _ENC_CATS)
+    return fit_design(records_table(spark, d), _ENC_FEATS, _ENC_CATS)
 
 
 def _enc_sql() -> str:
@@ -712,7 +713,7 @@ def _enc_sql() -> str:
 @register("dummy_encode", None)
 def q_dummy_encode(spark, d):
     spec = _enc_spec(spark, d)
-    return spec.encode(records(spark, d), keep=["row_key"])
+    return spec.encode(records_table(spark, d), keep=["row_key"])
 
 
 def _dummy_encode_sql(spark=None) -> str:
@@ -723,7 +724,7 @@ def _dummy_encode_sql(spark=None) -> str:
 
 @register("encode_with_training_levels", None)
 def q_encode_training_levels(spark, d):
-    r = records(spark, d)
+    r = records_table(spark, d)
     spec = fit_design(r.filter(F.col("l_returnflag") != "N"), ["l_returnflag", "p_size"], ["l_returnflag"])
     return spec.encode(r, keep=["row_key", "l_returnflag"])
 
@@ -783,7 +784,7 @@ def q_gram_matrix(spark, d):
            "l_linestatus_O": ("l_linestatus", "O"), "p_type_LARGE": ("p_type", "LARGE"),
            "p_type_SMALL": ("p_type", "SMALL")}
     spec = DesignSpec([], [], {}, list(_GRAM_TERMS), src)
-    g = gram_matrix(spec.encode(records(spark, d)), _GRAM_TERMS)
+    g = gram_matrix(spec.encode(records_table(spark, d)), _GRAM_TERMS)
     rows = [(i, j, float(round(g[i, j], 4))) for i in range(len(_GRAM_TERMS)) for j in range(len(_GRAM_TERMS))]
     return spark.createDataFrame(rows, "i int, j int, value double")
 
@@ -791,7 +792,7 @@ def q_gram_matrix(spark, d):
 @register("duplicate_columns", None)
 def q_duplicate_columns(spark, d):
     from riskloom.operators.linalg import duplicate_order
-    r = records(spark, d).withColumn("status_copy", F.col("l_linestatus"))
+    r = records_table(spark, d).withColumn("status_copy", F.col("l_linestatus"))
     spec = fit_design(r, ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority"],
                       ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority"])
     g = gram_matrix(spec.encode(r), spec.terms)
@@ -1290,7 +1291,7 @@ def q_load_or_compute(spark, d):
     """First call computes and stores the level-count table; the second finds it complete and reads it."""
     from riskloom.sources.tables import load_or_compute
     paths = {"level_counts": scratch_dir(spark, "reuse") + "/level_counts"}
-    compute = lambda: {"level_counts": HY.level_counts(records(spark, d), CATS)}
+    compute = lambda: {"level_counts": HY.level_counts(records_table(spark, d), CATS)}
     load_or_compute(spark, paths, compute)
     return load_or_compute(spark, paths, compute)["level_counts"]
 
@@ -1314,6 +1315,6 @@ FROM records WHERE l_returnflag = 'N'"""
 def q_align_terms(spark, d):
     """Train terms come from rows with flag A (reference) and R; rows with the unseen level N
     align to the train term list with zeros (the reference level)."""
-    r = records(spark, d)
+    r = records_table(spark, d)
     spec = fit_design(r.filter(F.col("l_returnflag") != "N"), ["l_returnflag", "p_size"], ["l_returnflag"])
     return spec.encode(r.filter(F.col("l_returnflag") == "N"), keep=["row_key", "l_returnflag"])
