@@ -136,8 +136,6 @@ def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hy
     keep = list(dict.fromkeys([key_col, y_col] + m.features))
     d = stratified_split(d.select(keep), y_col, test_share, seed, key_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if d.limit(1).count() == 0:
-            raise ValueError(f"{m.label}: no rows left after class filter and missing-value removal")
         spec = fit_design(d, m.features, m.categorical)
         spec = prune_design(spec, d, None, split_col="is_test", sparse=False)
         train = d.filter(F.col("is_test") == 0)
