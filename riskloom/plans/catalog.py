@@ -1318,3 +1318,18 @@ def q_align_terms(spark, d):
     r = records_table(spark, d)
     spec = fit_design(r.filter(F.col("l_returnflag") != "N"), ["l_returnflag", "p_size"], ["l_returnflag"])
     return spec.encode(r.filter(F.col("l_returnflag") == "N"), keep=["row_key", "l_returnflag"])
+
+
+def _dummy_encode_oracle() -> str:
+    """Levels of the encoded columns are fixed domains in these tables (sorted, first dropped)."""
+    domains = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"],
+               "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+               "p_type": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]}
+    cols = ["row_key", "CAST(l_quantity AS DOUBLE) AS l_quantity", "CAST(p_size AS DOUBLE) AS p_size"]
+    for c in _ENC_CATS:
+        for lv in domains[c][1:]:
+            cols.append(f"CASE WHEN {c} = {Q.lit(lv)} THEN 1.0 ELSE 0.0 END AS \"{c}_{lv}\"")
+    return REC + "SELECT " + ", ".join(cols) + " FROM records"
+
+
+ORACLE["dummy_encode"] = _dummy_encode_oracle()
