@@ -220,27 +220,39 @@ def quantiles_frame(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    small_limit: int = 200_000) -> dict[str, list[float | None]]:
+                    small_limit: int = 200_000, missing: dict | None = None) -> dict[str, list[float | None]]:
     """Driver-side dict {column: [quantile per prob]}; None for all-missing columns.
 
-    Values are first counted per distinct value.  If that table is small (checked),
-    it is collected and interpolated locally; otherwise the bucketed prefix sums
-    run on the cluster.
+    Values are first counted per distinct value (missing values form their own
+    group, so ``missing`` - if given - receives the NULL/NaN count per column
+    from the same pass).  If that table is small (checked), it is collected and
+    interpolated locally; otherwise the bucketed prefix sums run on the cluster.
     """
     from pyspark import StorageLevel
-    vc = (long_values(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
+                      for c in cols])
+    v = F.col("value")
+    vc = (df.select(F.inline(pairs))
+          .select("variable", F.when(v.isNotNull() & ~F.isnan(v), v).alias("value"))
+          .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
           .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         n_distinct = vc.count()
         if n_distinct <= small_limit:
             by_var: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
+            miss = {c: 0 for c in cols}
             for r in vc.collect():
-                by_var[r["variable"]].append((r["value"], r["cnt"]))
-            out = {}
+                if r["value"] is None:
+                    miss[r["variable"]] += r["cnt"]
+                else:
+                    by_var[r["variable"]].append((r["value"], r["cnt"]))
+            if missing is not None:
+                missing.update(miss)
+            return {c: [_interpolate(sorted(by_var[c]), p) for p in probs] for c in cols}
+        if missing is not None:
+            missing.update({r["variable"]: r["cnt"] for r in vc.filter(F.col("value").isNull()).collect()})
             for c in cols:
-                pairs = sorted(by_var[c])
-                out[c] = [_interpolate(pairs, p) for p in probs]
-            return out
+                missing.setdefault(c, 0)
         rows = quantiles_frame(df, cols, probs).collect()
         found = {r["variable"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
         return {c: found.get(c, [None] * len(probs)) for c in cols}
