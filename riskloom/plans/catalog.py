@@ -1333,3 +1333,20 @@ def _dummy_encode_oracle() -> str:
 
 
 ORACLE["dummy_encode"] = _dummy_encode_oracle()
+
+
+def _brief_sql() -> str:
+    prof = " || ', ' || ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in _BASE_FEATS)
+    hi = RISK_BANDS[-1][1]
+    return (_bootstrap_scored_sql().rstrip("\n") + f""",
+summ AS (SELECT median(p) AS med, quantile_cont(p, 0.05) AS p05, quantile_cont(p, 0.95) AS p95,
+                CAST(count_if(p >= {Q.lit(hi)}) AS DOUBLE) / count(*) AS high FROM scored)
+SELECT 1 AS Line, 'Baseline profile: ' || {prof} AS Text FROM baseline
+UNION ALL SELECT 2, printf('Baseline predicted probability: %.4f (95%% CI %.4f to %.4f)',
+       Predicted_Probability, CI_Lower_95, CI_Upper_95) FROM bscore
+UNION ALL SELECT 3, printf('Monte Carlo central range: 5th percentile %.4f, median %.4f, 95th percentile %.4f',
+       p05, med, p95) FROM summ
+UNION ALL SELECT 4, printf('High-risk draws (>= 0.75): %.1f%%', high * 100.0) FROM summ""")
+
+
+ORACLE["brief_details"] = _brief_sql()
