@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Broadcast small derived tables only below this many rows (checked at run time).
 SMALL_TABLE_MAX_ROWS = 200_000
+# Up to this many groups, per-group bucket bounds are inlined as literals.
+MAX_LITERAL_GROUPS = 64
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
@@ -44,7 +46,19 @@ def bucket_column(df: DataFrame, group_cols: list[str], key: str, n_buckets: int
     bounds = (df.groupBy(*group_cols)
               .agg(F.percentile_approx(F.col(key).cast("double"), probs, 10000).alias("_bounds")))
     if group_cols:
-        with_bounds = join_small(df, bounds, group_cols, "left", bound=groups_bound)
+        rows = bounds.limit(MAX_LITERAL_GROUPS + 1).collect()
+        if len(rows) > MAX_LITERAL_GROUPS:
+            with_bounds = join_small(df, bounds, group_cols, "left", bound=groups_bound)
+        else:
+            # few groups: bounds become literals in one CASE (no join, no extra job)
+            expr = F.lit(None).cast("array<double>")
+            for r in rows:
+                cond = F.lit(True)
+                for c in group_cols:
+                    cond = cond & (F.col(c).eqNullSafe(F.lit(r[c])))
+                arr = F.array(*[F.lit(float(v)) for v in (r["_bounds"] or [])]).cast("array<double>")
+                expr = F.when(cond, arr).otherwise(expr)
+            with_bounds = df.withColumn("_bounds", expr)
     else:
         row = bounds.first()
         values = [float(v) for v in (row["_bounds"] or [])] if row else []
