@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import ceil_share, flag_first_n, hashed_order_key, row_index
+from riskloom.operators.ranks import flag_first_n, hashed_order_key
 
 
 def _with_hash(df: DataFrame, seed: int, key_col: str) -> DataFrame:

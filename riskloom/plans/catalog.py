@@ -21,13 +21,13 @@ from riskloom.operators import profile as PR
 from riskloom.operators import report as RP
 from riskloom.operators import sampling as SA
 from riskloom.operators import whatif as WI
-from riskloom.operators.design import fit_design, prune_design, sparse_dummy_drop, term_stats
+from riskloom.operators.design import fit_design, sparse_dummy_drop, term_stats
 from riskloom.operators.linalg import gram_matrix, logistic_information
 from riskloom.operators.ordinal import class_probabilities, odds_ratios_ordinal, ordered_predict
 from riskloom.operators.score import batch_score, interval_columns, score_with_interval
 from riskloom.plans import sqlgen as Q
 from riskloom.plans.bindings import (FIXED_LOGIT, FIXED_ORDINAL, prepared_records, scored_documents)
-from riskloom.presets import (BASELINE_SCENARIO_NAME, COMPARISON_COLUMNS, DEFAULT_SPECIAL_LEVELS,
+from riskloom.presets import (DEFAULT_SPECIAL_LEVELS,
                               PERSON_AGE_GRID, RECORD_BASELINE_DEFAULTS, RECORD_CONTRAST,
                               RECORD_RISK_PROFILES, RECORD_SCENARIO_LABELS, RECORD_SWITCH_SCENARIOS,
                               RECORD_TERM_OVERRIDES, RECORD_VALUE_LABELS, RECORD_VARIABLE_LABELS, RECORDS,
@@ -585,7 +585,7 @@ def _eval_rows_sql() -> str:
     parts = [f"SELECT 'length score @0.10' AS Model, 0.1 AS Threshold, m.* FROM {_metrics_sql(0.1)} m",
              f"SELECT 'length score @0.50', 0.5, m.* FROM {_metrics_sql(0.5)} m",
              f"SELECT 'inverse length @0.90', 0.9, m.* FROM {_metrics_sql(0.9, 'docs2')} m"]
-    return Q.with_ctes(cte) + ", ".join([]) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") r"
+    return Q.with_ctes(cte) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") r"
 
 
 _EVAL_SQL = _eval_rows_sql()
@@ -704,24 +704,12 @@ def _enc_spec(spark, d):
     return fit_design(records_table(spark, d), _ENC_FEATS, _ENC_CATS)
 
 
-def _enc_sql() -> str:
-    # levels are sorted and the first dropped; written out from the data in SQL
-    cols = ["row_key", "CAST(l_quantity AS DOUBLE) AS l_quantity", "CAST(p_size AS DOUBLE) AS p_size"]
-    return cols
-
-
 @register("dummy_encode", None)
 def q_dummy_encode(spark, d):
     spec = _enc_spec(spark, d)
     return spec.encode(records_table(spark, d), keep=["row_key"])
 
 
-def _dummy_encode_sql(spark=None) -> str:
-    """Dummy columns depend on observed levels; the oracle lists them from the data
-    at verification time (see ``oracle_sql_dynamic``)."""
-    return ""
-
-
 @register("encode_with_training_levels", None)
 def q_encode_training_levels(spark, d):
     r = records_table(spark, d)
@@ -855,7 +843,7 @@ def q_relative_change(spark, d):
 
 
 @register("tornado_table", "SELECT Scenario, Variable, Absolute_Change, CAST(sign(Absolute_Change) AS INTEGER) AS Direction FROM ("
-          + _SWITCH_SQL.replace("WITH records", "WITH records", 1) + f") s WHERE Scenario <> {Q.lit(RECORD_SWITCH_SCENARIOS[0][0])}")
+          + _SWITCH_SQL + f") s WHERE Scenario <> {Q.lit(RECORD_SWITCH_SCENARIOS[0][0])}")
 def q_tornado(spark, d):
     return RP.tornado_table(r6(_switch_df(spark, d)), RECORD_SWITCH_SCENARIOS[0][0])
 
@@ -953,9 +941,6 @@ def _baseline_scored_sql() -> str:
             f"{hi} AS CI_Upper_95 FROM baseline)\n")
 
 
-_FIX_BASE_FEATS = _BASE_FEATS
-
-
 def _baseline_scored_df(spark, d):
     return _baseline_df(spark, d).select("*", *interval_columns(FIXED_LOGIT))
 
@@ -1056,7 +1041,7 @@ SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS Accuracy,
        round(avg(coalesce(CAST(tp AS DOUBLE) / nullif(pred, 0), 0.0)), 6) AS Macro_Precision,
        round(avg(coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0)), 6) AS Macro_Recall,
        round(avg(coalesce(2.0 * tp / nullif(pred + support, 0), 0.0)), 6) AS Macro_F1,
-       round(CAST(sum(abs_err) AS DOUBLE) / sum(support), 6) AS MAE FROM lab""".replace("WITH records", "WITH records", 1).replace("\n, pr AS", ",\npr AS", 1))
+       round(CAST(sum(abs_err) AS DOUBLE) / sum(support), 6) AS MAE FROM lab""".replace("\n, pr AS", ",\npr AS", 1))
 def q_ordinal_metrics(spark, d):
     pr = ordered_predict(prepared_records(spark, d).select("y_ord", *FIXED_LOGIT.spec.features), FIXED_ORDINAL)
     cm = EV.confusion_matrix(pr, "y_ord", "predicted")
@@ -1162,7 +1147,7 @@ def q_odds_ratios_ordinal(spark, d):
 # --------------------------------------------------------------------------- fitted models (rows-only checks)
 
 from riskloom.operators.fit import fit_report, logit_l1, logit_l2, logit_mle, term_table  # noqa: E402
-from riskloom.operators.ordinal import ordered_logit, ordinal_term_table  # noqa: E402
+from riskloom.operators.ordinal import ordinal_term_table  # noqa: E402
 from riskloom.plans import suites as SU  # noqa: E402
 from riskloom.presets import (RECORD_COMBINED_CATEGORICAL, RECORD_COMBINED_FEATURES,  # noqa: E402
                               RECORD_CONTEXT_CATEGORICAL, RECORD_CONTEXT_FEATURES, RECORD_ITEM_CATEGORICAL,
