@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import window_dedup
+from riskloom.llm import suffix_dedup, window_dedup
 from riskloom.llm.oracle import ORACLE as ORACLE
 
 
@@ -12,10 +12,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.digest(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op6_window_dedup": op6_window_dedup,
 }
