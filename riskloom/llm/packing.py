@@ -77,8 +77,8 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> np.ndarray:
                 if take < n:
                     heapq.heappush(open_, (used, sequence + take, n - take))
             else:
-                used, sequence, take = 0, fresh, left
-                fresh += left
+                used, sequence, take = 0, fresh, -(-left // (capacity // length))  # as many as these fill
+                fresh += take
             placed.append((length, rank, sequence, used))
             if used + length < capacity:
                 heapq.heappush(open_, (used + length, sequence, take))
