@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import suffix_dedup, window_dedup
+from riskloom.llm import chunk_bpe, language, packing, suffix_dedup, topk_bits, window_dedup
 from riskloom.llm.oracle import ORACLE as ORACLE
 
 
@@ -16,11 +17,31 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op5_topk_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_bits.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.digest(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return packing.digest(spark, documents(spark, sf_dir), tokenizer)
+
+
+def op9_chunk_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    return chunk_bpe.digest(documents(spark, sf_dir), tokenizer)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language": op2_language,
+    "op5_topk_bits": op5_topk_bits,
     "op6_window_dedup": op6_window_dedup,
+    "op8_packing": op8_packing,
+    "op9_chunk_bpe": op9_chunk_bpe,
 }
