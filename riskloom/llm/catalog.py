@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chunk_bpe, language, packing, suffix_dedup, topk_bits, window_dedup
+from riskloom.llm import chunk_bpe, language, minhash, packing, suffix_dedup, topk_bits, window_dedup
 from riskloom.llm.oracle import ORACLE as ORACLE
 
 
@@ -29,6 +29,10 @@ def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.digest(documents(spark, sf_dir))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     return packing.digest(spark, documents(spark, sf_dir), tokenizer)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op5_topk_bits": op5_topk_bits,
     "op6_window_dedup": op6_window_dedup,
+    "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_chunk_bpe": op9_chunk_bpe,
 }

@@ -4,8 +4,8 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP6 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
-k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM at),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM pos),
 rep AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
 gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN rep USING (s))),
 wl AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
@@ -16,9 +16,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 OP5 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
       FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
