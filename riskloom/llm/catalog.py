@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chunk_bpe, language, minhash, packing, suffix_dedup, topk_bits, window_dedup
+from riskloom.llm import chunk_bpe, language, line_dedup, minhash, packing, quality, secrets, suffix_dedup, topk_bits, window_dedup
 from riskloom.llm.oracle import ORACLE as ORACLE
 
 
@@ -21,6 +21,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(spark, documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(spark, documents(spark, sf_dir))
+
+
 def op5_topk_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_bits.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -41,12 +49,19 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = public_toke
     return chunk_bpe.digest(documents(spark, sf_dir), tokenizer)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
     "op5_topk_bits": op5_topk_bits,
     "op6_window_dedup": op6_window_dedup,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_chunk_bpe": op9_chunk_bpe,
+    "op10_secrets": op10_secrets,
 }

@@ -2,10 +2,10 @@
 
 Every rule looks at one statistic of a document and votes good (+1), bad (-1)
 or abstains (0). Expectation-maximisation over the counts of vote patterns (at
-most 3^rules rows, however large the corpus) estimates how often each rule is
-right and how common good documents are; a document's posterior probability
-of being good replaces the demand that every rule pass. DataFrame functions
-only; texts are read once.
+most 3^rules rows, however large the corpus) estimates, for each rule, how often
+it is right about good and about bad documents, and how common good documents
+are; a document's posterior probability of being good replaces the demand that
+every rule pass. DataFrame functions only; texts are read once.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ RULES = {
     "words": ("n_words", 50, None, 20, None),
     "word_length": ("word_chars / n_words", 3.0, 10.0, 2.0, 14.0),
     "symbols": ("n_symbols / n_words", None, 0.05, None, 0.2),
+    "symbol_share": ("n_symbols / word_chars", None, 0.01, None, 0.04),
     "duplicate_lines": ("n_dup_lines / n_lines", None, 0.1, None, 0.3),
     "repeated_words": ("n_repeat_words / n_words", None, 0.1, None, 0.2),
     "capitals": ("n_capitals / word_chars", None, 0.2, None, 0.5),
-    "letters": ("n_letters / word_chars", 0.75, None, 0.6, None),
+    "letters": ("n_letters / word_chars", 0.9, None, 0.75, None),
 }
-START_ACCURACY, START_PRIOR, LEAST_ACCURACY, MOST_ACCURACY = 0.8, 0.8, 0.55, 0.98
+#: Accuracies (on good, on bad documents) and the share of good ones to start from; accuracies stay in the ranges.
+START, START_PRIOR = (0.9, 0.5), 0.8
+RANGES = ((0.55, 0.999), (0.1, 0.95))
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -78,35 +81,38 @@ def votes(rules: dict = RULES) -> list[Column]:
     return out
 
 
-def posterior(accuracy: dict[str, float], prior: float) -> Column:
+def posterior(accuracy: dict[str, tuple[float, float]], prior: float) -> Column:
     """Probability that a document is good, given its votes."""
     odds = F.lit(math.log(prior / (1 - prior)))
-    for name, a in accuracy.items():
-        odds = odds + F.col(f"vote_{name}") * math.log(a / (1 - a))
+    for name, (good, bad) in accuracy.items():
+        vote = F.col(f"vote_{name}")
+        odds = odds + F.when(vote > 0, math.log(good / (1 - bad))).when(vote < 0, math.log((1 - good) / bad)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(spark: SparkSession, voted: DataFrame, rounds: int = 50, tolerance: float = 1e-6, rules: dict = RULES) -> tuple[dict[str, float], float]:
-    """(accuracy of each rule, share of good documents) by expectation-maximisation.
+def estimate(spark: SparkSession, voted: DataFrame, rounds: int = 50, tolerance: float = 1e-4, rules: dict = RULES) -> tuple[dict[str, tuple[float, float]], float]:
+    """(each rule's accuracy on good and on bad documents, share of good documents) by expectation-maximisation.
 
-    Each round is one aggregation over the pattern counts. Accuracies stay
-    within [0.55, 0.98], so a rule is never taken for its opposite; no rows:
-    the starting values.
+    Each round is one aggregation over the pattern counts. Accuracies stay in
+    their ranges, so that a vote is never taken for its opposite; no rows: the
+    starting values.
     """
-    accuracy, prior = {n: START_ACCURACY for n in rules}, START_PRIOR
+    accuracy, prior = {n: START for n in rules}, START_PRIOR
     columns = [f"vote_{n}" for n in rules]
     patterns = saved(spark, voted.groupBy(*columns).agg(F.count("*").alias("n")).coalesce(1), "patterns")
     for _ in range(rounds):
         p, n = posterior(accuracy, prior), F.col("n")
-        right = [F.sum(n * F.when(F.col(c) > 0, p).when(F.col(c) < 0, 1 - p).otherwise(0.0)).alias(f"r_{c}") for c in columns]
-        given = [F.sum(n * F.abs(F.col(c))).alias(f"g_{c}") for c in columns]
-        r = patterns.agg(F.sum(n).alias("n"), F.sum(n * p).alias("good"), *right, *given).first()
+        sums = [F.sum(F.when(F.col(c) == sign, n * (p if good else 1 - p)).otherwise(0.0)).alias(f"{c}{sign}{good}") for c in columns for sign in (1, -1) for good in (True, False)]
+        r = patterns.agg(F.sum(n).alias("n"), F.sum(n * p).alias("good"), *sums).first()
         if not r["n"]:
             break
-        new = {x: min(max(r[f"r_vote_{x}"] / r[f"g_vote_{x}"], LEAST_ACCURACY), MOST_ACCURACY) if r[f"g_vote_{x}"] else accuracy[x] for x in rules}
-        prior_ = min(max(r["good"] / r["n"], 0.05), 0.95)
-        moved = max(abs(prior_ - prior), *(abs(new[x] - accuracy[x]) for x in rules))
-        accuracy, prior = new, prior_
+        new = {}
+        for x in rules:
+            counts = [[r[f"vote_{x}{sign}{good}"] for sign in ((1, -1) if good else (-1, 1))] for good in (True, False)]
+            new[x] = tuple(min(max(hit / (hit + miss), low), high) if hit + miss else old for (hit, miss), old, (low, high) in zip(counts, accuracy[x], RANGES))
+        share = min(max(r["good"] / r["n"], 0.05), 0.95)
+        moved = max(abs(share - prior), *(abs(v - w) for x in rules for v, w in zip(new[x], accuracy[x])))
+        accuracy, prior = new, share
         if moved < tolerance:
             break
     return accuracy, prior
