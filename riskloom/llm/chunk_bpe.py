@@ -12,7 +12,7 @@ one and are encoded again, until every join agrees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ _ROLL = B.Rolling(83)
 #: Bytes under the rolling hash, and cuts taken of every 256 candidates.
 HASHED, CUTS_IN_256 = 4, 224
 #: Documents are handled in groups of about so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def cuts(data: np.ndarray, ends: np.ndarray, taken: int = CUTS_IN_256) -> np.ndarray:
@@ -44,12 +44,10 @@ def cuts(data: np.ndarray, ends: np.ndarray, taken: int = CUTS_IN_256) -> np.nda
     return np.unique(np.concatenate(([0], ends[:-1], at)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text, as the tokenizer encodes it without added special tokens.
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    A null or empty text has no ids; null ids of documents stay; each input row
-    gives one row; an empty table gives none; other columns are not read.
-    """
+
+def _encoding(path: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         for batch in batches:
@@ -69,12 +67,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 so_far = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)))
                 offsets = np.concatenate(([0], so_far[np.searchsorted(starts, upto)]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+    return run
 
-    return ties.document_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
-
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``text``: the bytes of all tokens, special ones included, as UTF-8 (ill-formed parts replaced)."""
+def _decoding(path: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, begin = token_bytes(path)
         for batch in batches:
@@ -91,11 +87,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 edge = place[ends[a:b + 1] - ends[a]].tolist()
                 out += [text[x:y].decode("utf-8", "replace") for x, y in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), col, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+    return run
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text, as the tokenizer encodes it without added special tokens.
+
+    A null or empty text has no ids; null ids of documents stay; each input row
+    gives one row; an empty table gives none; other columns are not read.
+    """
+    return ties.document_bytes(docs, id_col, text_col).mapInArrow(_encoding(path), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """Adds ``text``: the bytes of all tokens, special ones included, as UTF-8 (ill-formed parts replaced)."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(path), "doc_id long, ids array<int>, text string")
+
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task has one Python worker."""
+    there, back = _encoding(path), _decoding(path)
+    return ties.document_bytes(docs, id_col, text_col).mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids array<int>, text string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

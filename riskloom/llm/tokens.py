@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks remembered in each of two generations by a Python worker.
-GENERATION = 300_000
+GENERATION = 150_000
 
 
 class Encoder:
@@ -32,8 +32,8 @@ class Encoder:
                 young[c] = ids
             else:
                 unknown.append(c)
-        for a in range(0, len(unknown), 10_000):
-            part = unknown[a:a + 10_000]
+        for a in range(0, len(unknown), 1_000):
+            part = unknown[a:a + 1_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
                 young[c] = np.asarray(e.ids, "<u4").tobytes()
         if len(young) > GENERATION:
