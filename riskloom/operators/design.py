@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.sqltext import ident, literal
-from riskloom.operators.hygiene import MAX_LEVELS_PER_COLUMN, level_counts
+from riskloom.operators.hygiene import level_counts
 from riskloom.operators.linalg import duplicate_order, full_rank_order, gram_by_group
 
 
@@ -58,15 +58,20 @@ class DesignSpec:
 
 
 def fit_design(df: DataFrame, features: list[str], categorical: list[str],
-               drop_first: bool = True) -> DesignSpec:
-    """Observe the level lists (one counting pass) and lay out the candidate terms."""
+               drop_first: bool = True, max_levels: int = 10_000) -> DesignSpec:
+    """Observe the level lists (one counting pass) and lay out the candidate terms.
+
+    Every level is a term, and a fit needs terms x terms numbers on the driver,
+    so a column with more than ``max_levels`` levels is refused: group its rare
+    levels first, or raise the limit.
+    """
     cats = [c for c in features if c in categorical]
     numeric = [c for c in features if c not in categorical]
     levels: dict[str, list[str]] = {c: [] for c in cats}
     if cats:
         counts = level_counts(df, cats).filter(F.col("level").isNotNull())
         sizes = {r["variable"]: r["n"] for r in counts.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if any(n > MAX_LEVELS_PER_COLUMN for n in sizes.values()):
+        if any(n > max_levels for n in sizes.values()):
             raise ValueError(f"too many levels to dummy-encode: {sizes}")
         for r in counts.select("variable", "level").collect():
             levels[r["variable"]].append(r["level"])

@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import coerce_numeric, nan_to_null
-from riskloom.operators.ranks import exact_quantiles, join_small
+from riskloom.operators.ranks import exact_quantiles
 from riskloom.presets import DEFAULT_KEEP_LEVELS, DEFAULT_SPECIAL_LEVELS, HygieneSpec
-
-# A categorical column with more levels than this is not a categorical; refuse
-# to pull its level list to the driver.
-MAX_LEVELS_PER_COLUMN = 10_000
+from riskloom.session import checkpointed
 
 
 def collapse_special_levels(df: DataFrame, cols: list[str], levels: list[str] | None = None,
@@ -47,17 +44,27 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 @dataclass
 class RareRule:
-    """Fitted rare-level rule: per column, the levels to replace and the label."""
+    """Fitted rare-level rule: a (variable, level) table of what to replace, and the label.
+
+    The table stays on the cluster and is joined, so a column may have any
+    number of rare levels; the planner broadcasts it while it is small.
+    """
 
-    rare: dict[str, list[str]] = field(default_factory=dict)
+    columns: list[str]
+    rare: DataFrame | None = None
     other_label: str = "RARE"
 
     def apply(self, df: DataFrame) -> DataFrame:
-        repl = {}
-        for c, lv in self.rare.items():
-            s = F.col(c).cast("string")
-            repl[c] = F.when(s.isin(lv), F.lit(self.other_label)).otherwise(s) if lv else s
-        return df.withColumns(repl) if repl else df
+        if self.rare is None:
+            return df
+        out = df.withColumns({c: F.col(c).cast("string") for c in self.columns})
+        for i, c in enumerate(self.columns):
+            lv = f"_rare_level_{i}"
+            levels = self.rare.filter(F.col("variable") == c).select(F.col("level").alias(lv))
+            out = (out.join(levels, F.col(c) == F.col(lv), "left")
+                   .withColumn(c, F.when(F.col(lv).isNotNull(), F.lit(self.other_label)).otherwise(F.col(c)))
+                   .drop(lv))
+        return out
 
 
 def _threshold_column(spec_thresholds: dict[str, int], spec_shares: dict[str, float],
@@ -79,12 +86,12 @@ def fit_rare_levels(df: DataFrame, cols: list[str], *, min_count: int = 3000,
     """Count all columns in one pass and pick, per column, levels with
     count < threshold (strict), not in the keep set and not missing."""
     if not cols:
-        return RareRule({}, other_label)
+        return RareRule([], None, other_label)
     thresholds = thresholds or {}
     shares = shares or {}
     counts = level_counts(df, cols)
     totals = counts.groupBy("variable").agg(F.sum("count").alias("_total"))
-    counts = join_small(counts, totals, ["variable"], "inner", bound=len(cols))
+    counts = counts.join(totals, "variable")
     counts = counts.withColumn("_min", _threshold_column(thresholds, shares, min_count, cols))
     if isinstance(keep_levels, dict):
         keep_map = {c: list(keep_levels.get(c, DEFAULT_KEEP_LEVELS)) for c in cols}
@@ -95,20 +102,8 @@ def fit_rare_levels(df: DataFrame, cols: list[str], *, min_count: int = 3000,
     for c in cols:
         keep_expr = F.when(F.col("variable") == c, F.col("level").isin(keep_map[c])).otherwise(keep_expr)
     rare = counts.filter(F.col("level").isNotNull() & (F.col("count") < F.col("_min")) & ~keep_expr)
-    rare = rare.select("variable", "level").persist()
-    # size check before any level list is gathered
-    sizes = {r["variable"]: r["n"] for r in rare.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = {v: n for v, n in sizes.items() if n > MAX_LEVELS_PER_COLUMN}
-    if too_many:
-        rare.unpersist()
-        raise ValueError(f"too many rare levels for a categorical column: {too_many}")
-    rule = RareRule({c: [] for c in cols}, other_label)
-    for r in rare.collect():   # bounded: at most MAX_LEVELS_PER_COLUMN per column
-        rule.rare[r["variable"]].append(r["level"])
-    rare.unpersist()
-    for c in cols:
-        rule.rare[c].sort()
-    return rule
+    # counted once; a small table in the shared folder feeds all the joins
+    return RareRule(list(cols), checkpointed(rare.select("variable", "level")), other_label)
 
 
 def group_rare_levels(df: DataFrame, col: str, min_count: int = 3000, other_label: str = "RARE",
@@ -151,8 +146,8 @@ def variablewise_preprocess(df: DataFrame, spec: HygieneSpec, cols: list[str] |
     return out, rule
 
 
-def level_outcome_rates(df: DataFrame, col: str, y_col: str, top_n: int | None = 10) -> DataFrame:
-    """Per level (NULL kept): row count and event rate, highest rate first."""
+def level_outcome_rates(df: DataFrame, col: str, y_col: str, top_n: int | None = None) -> DataFrame:
+    """Per level (NULL kept): row count and event rate, highest rate first; all levels unless ``top_n`` is given."""
     out = (df.groupBy(col)
            .agg(F.count(F.col(y_col)).alias("count"), F.avg(F.col(y_col).cast("double")).alias("event_rate"))
            .orderBy(F.desc("event_rate"), F.desc("count"), F.asc_nulls_first(col)))

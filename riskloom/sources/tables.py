@@ -158,40 +158,3 @@ def load_or_compute(spark: SparkSession, paths: dict[str, str],
     for k, p in paths.items():
         write_table(produced[k], p)
     return {k: spark.read.parquet(p) for k, p in paths.items()}
-
-
-def _fingerprint(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
-    """Identity of the inputs (path, size, modification time) for a derived table."""
-    import hashlib
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = []
-    for n in names:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{n}.parquet")
-        fs = p.getFileSystem(conf)
-        st = fs.getFileStatus(p)
-        parts.append(f"{fs.makeQualified(p).toString()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.md5("|".join(parts).encode()).hexdigest()[:16]
-
-
-def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record table materialised once as typed Parquet in the shared checkpoint
-    folder (keyed by the inputs' identity) and read back for every later query.
-
-    The four-way join and the row keys are computed once; every analysis then
-    scans one table with column pruning and predicate pushdown.  Written to a
-    temporary folder and renamed, so readers never see a partial table.
-    """
-    from riskloom.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/riskloom-records-{_fingerprint(spark, sf_dir, ['lineitem', 'orders', 'customer', 'part'])}"
-    if not _complete(spark, path):
-        import uuid
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        write_table(records(spark, sf_dir), tmp)
-        jvm = spark.sparkContext._jvm
-        src = jvm.org.apache.hadoop.fs.Path(tmp)
-        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.rename(src, jvm.org.apache.hadoop.fs.Path(path)):
-            fs.delete(src, True)          # another writer won; its table is complete
-    return spark.read.parquet(path)
