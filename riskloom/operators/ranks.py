@@ -1,11 +1,10 @@
-"""Distributed ordered statistics: prefix sums, exact quantiles, first-n flags, row index.
+"""Distributed ordered statistics: prefix sums, exact quantiles, hashed cut-offs.
 
 A running sum over a global order is the one shape Spark cannot run without
-care: ``Window.orderBy`` with no partition puts every row into one task.  Here
-the ordering key is cut into ~equal buckets (approximate quantiles), bucket
-totals (a small table) give each bucket its offset, and the running sum is only
-computed inside a bucket.  Exactness does not depend on the approximation; only
-bucket balance does.
+care: ``Window.orderBy`` with no partition puts every row into one task. Here
+rows are range-partitioned by the order (as many parts as the session shuffles
+into, so they grow with the cluster and the data), the totals of the parts give
+each its offset, and the running sum is only computed inside a part.
 """
 
 from __future__ import annotations
@@ -13,188 +12,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Broadcast small derived tables only below this many rows (checked at run time).
-SMALL_TABLE_MAX_ROWS = 200_000
-# Up to this many groups, per-group bucket bounds are inlined as literals.
-MAX_LITERAL_GROUPS = 64
+from riskloom.session import checkpointed
 
+#: Bits of the 60-bit hash that a level of ``hash_cutoffs`` counts by, and levels.
+LEVEL_BITS, LEVELS = 12, 3
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = SMALL_TABLE_MAX_ROWS, bound: int | None = None) -> DataFrame:
-    """Join a derived lookup table; broadcast it only if its size is within bound.
 
-    ``bound`` is a size the caller can prove (e.g. number of variables x buckets);
-    without one the table is counted first.
-    """
-    n = bound if bound is not None else small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
-def _default_buckets(df: DataFrame) -> int:
-    parts = df.rdd.getNumPartitions()
-    return int(min(4096, max(8, 2 * parts)))
-
-
-def bucket_column(df: DataFrame, group_cols: list[str], key: str, n_buckets: int,
-                  name: str = "_bucket", groups_bound: int | None = None) -> DataFrame:
-    """Attach a bucket id: the number of approximate quantile bounds below the key."""
-    if n_buckets <= 1:
-        return df.withColumn(name, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = (df.groupBy(*group_cols)
-              .agg(F.percentile_approx(F.col(key).cast("double"), probs, 10000).alias("_bounds")))
-    if group_cols:
-        rows = bounds.limit(MAX_LITERAL_GROUPS + 1).collect()
-        if len(rows) > MAX_LITERAL_GROUPS:
-            with_bounds = join_small(df, bounds, group_cols, "left", bound=groups_bound)
-        else:
-            # few groups: bounds become literals in one CASE (no join, no extra job)
-            expr = F.lit(None).cast("array<double>")
-            for r in rows:
-                cond = F.lit(True)
-                for c in group_cols:
-                    cond = cond & (F.col(c).eqNullSafe(F.lit(r[c])))
-                arr = F.array(*[F.lit(float(v)) for v in (r["_bounds"] or [])]).cast("array<double>")
-                expr = F.when(cond, arr).otherwise(expr)
-            with_bounds = df.withColumn("_bounds", expr)
-    else:
-        row = bounds.first()
-        values = [float(v) for v in (row["_bounds"] or [])] if row else []
-        with_bounds = df.withColumn("_bounds", F.array(*[F.lit(v) for v in values]).cast("array<double>"))
-    return with_bounds.withColumn(
-        name, F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(key).cast("double"))), F.lit(0))
-    ).drop("_bounds")
-
-
-def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                sum_cols: list[str], n_buckets: int | None = None,
-                groups_bound: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], sum_cols: list[str]) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over rows strictly earlier in
-    (group, order) order.  ``order_cols`` must identify a row within a group;
-    the first one must be numeric (it drives the bucketing).
+    (group, order) order. ``order_cols`` must identify a row within a group.
+
+    The range-partitioned rows are kept in the shared folder, so the totals and
+    the running sums see the same parts, and the input is computed once.
     """
-    nb = n_buckets or _default_buckets(df)
-    gb = groups_bound if group_cols else 1
-    b = bucket_column(df, group_cols, order_cols[0], nb, groups_bound=gb)
-    keys = group_cols + ["_bucket"]
-    totals = b.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
-                                     for c in sum_cols])
-    b = join_small(b, offsets, keys, "left", bound=None if gb is None else gb * nb)
-    w_in = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    return b.select(
+    parts = checkpointed(df.repartitionByRange(*group_cols, *order_cols).withColumn("_part", F.spark_partition_id()))
+    keys = [*group_cols, "_part"]
+    totals = parts.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    earlier = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                            *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    inside = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(offsets, same).select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0))).alias(f"{c}_before")
-          for c in sum_cols],
-    )
+        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sum_cols])
 
 
-def row_index(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
-              name: str = "_row_index", n_buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in (group, order) order, computed without a global window."""
-    g = group_cols or []
-    with_one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    out = prefix_sums(with_one, g, order_cols, ["_one"], n_buckets)
-    return out.withColumnRenamed("_one_before", name).drop("_one")
+def hash_cutoffs(df: DataFrame, order_cols: list[str], quota, group_cols: list[str]) -> DataFrame:
+    """Per group (NULL is a group), where its quota of rows in hash order ends.
 
-
-# At most this many (group, bucket) totals are gathered on the driver.
-MAX_BUCKET_ROWS = 1_000_000
-
-
-def _lex_le(cols: list[str], values: list) -> Column:
-    """(c1, c2, ...) <= (v1, v2, ...) in lexicographic order, as a plain predicate."""
-    out = F.col(cols[-1]) <= F.lit(values[-1])
-    for c, v in zip(reversed(cols[:-1]), reversed(values[:-1])):
-        out = (F.col(c) < F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
-    return out
-
-
-def first_n_cutoffs(df: DataFrame, order_cols: list[str], quota, group_cols: list[str] | None = None,
-                    n_buckets: int | None = None) -> dict[tuple, tuple | None | str]:
-    """Per group, the order tuple of the quota-th row (inclusive cut-off).
-
-    ``quota`` is an int or a function of the group size.  Only a narrow
-    projection (group + order columns) is cached; bucket totals pick, per group,
-    the one bucket that holds the cut-off, and only that bucket is ranked.
-    Result per group: a tuple, "all" (quota >= size) or None (quota 0).
+    The first order column is a 60-bit hash. Rows are counted by its upper bits;
+    only the prefix in which the quota ends is counted by the next bits, and
+    so on: after three levels about rows / 2^36 rows a group are left to rank.
+    ``quota`` maps the group size (a column) to the number of rows. One row a
+    group: the group columns as ``_g_<c>``, ``_all`` (quota >= size), the order
+    columns of the last row as ``_c_<c>``, and ``_ties``: how many of the rows
+    equal to it in all order columns are inside. Rows without a hash do not count.
     """
-    from pyspark import StorageLevel
-    g = list(group_cols or [])
-    narrow = df.select(*g, *order_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        nb = n_buckets or _default_buckets(df)
-        b = bucket_column(narrow, g, order_cols[0], nb, groups_bound=None if g else 1)
-        totals = b.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-        rows = totals.limit(MAX_BUCKET_ROWS + 1).collect()
-        if len(rows) > MAX_BUCKET_ROWS:
-            raise ValueError("too many groups for a per-group cut-off")
-        per_group: dict[tuple, list[tuple[int, int]]] = {}
-        for r in rows:
-            per_group.setdefault(tuple(r[c] for c in g), []).append((r["_bucket"], r["_cnt"]))
-        result: dict[tuple, tuple | None | str] = {}
-        targets = []      # (group, bucket, rank within bucket)
-        for key, bl in per_group.items():
-            bl.sort()
-            n = sum(c for _, c in bl)
-            q = int(quota(n) if callable(quota) else quota)
-            if q <= 0:
-                result[key] = None
-                continue
-            if q >= n:
-                result[key] = "all"
-                continue
-            off = 0
-            for bucket, cnt in bl:
-                if off + cnt >= q:
-                    targets.append((key, bucket, q - off))
-                    break
-                off += cnt
-        if targets:
-            cond = None
-            for key, bucket, _ in targets:
-                c = F.col("_bucket") == F.lit(bucket)
-                for col, v in zip(g, key):
-                    c = c & (F.col(col) == F.lit(v))
-                cond = c if cond is None else cond | c
-            w = Window.partitionBy(*g, "_bucket").orderBy(*order_cols)
-            ranked = b.filter(cond).withColumn("_rn", F.row_number().over(w))
-            want = None
-            for key, bucket, rank in targets:
-                c = (F.col("_bucket") == F.lit(bucket)) & (F.col("_rn") == F.lit(rank))
-                for col, v in zip(g, key):
-                    c = c & (F.col(col) == F.lit(v))
-                want = c if want is None else want | c
-            for r in ranked.filter(want).collect():      # one row per group
-                result[tuple(r[c] for c in g)] = tuple(r[c] for c in order_cols)
-        return result
-    finally:
-        narrow.unpersist()
+    hk = F.col(order_cols[0])
+    g = [f"_g_{c}" for c in group_cols]
+    rows = df.filter(hk.isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(group_cols, g)], *order_cols)
+    need = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).withColumn("_need", quota(F.col("_n")))
+    rest = rows
+    done = need.select(*g, (F.col("_need") >= F.col("_n")).alias("_all"), "_need")
+    left = done.filter(~F.col("_all") & (F.col("_need") > 0)).drop("_all")
+    for level in range(1, LEVELS + 1):
+        prefix = F.shiftrightunsigned(hk, 60 - LEVEL_BITS * level)
+        counts = rest.groupBy(*g, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
+        upto = F.sum("_cnt").over(Window.partitionBy(*g).orderBy("_p"))
+        counts = counts.withColumn("_upto", upto)
+        hit = _join_groups(counts, left, g).filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_cnt") < F.col("_need")))
+        left = hit.select(*g, "_p", (F.col("_need") - F.col("_upto") + F.col("_cnt")).alias("_need"))
+        rest = _join_groups(rest.withColumn("_q", prefix), left, g).filter(F.col("_q") == F.col("_p")).select(*g, *order_cols)
+        left = left.drop("_p")
+    ranked = rest.withColumn("_rn", F.row_number().over(Window.partitionBy(*g).orderBy(*order_cols))) \
+        .withColumn("_ties", F.row_number().over(Window.partitionBy(*g, *order_cols).orderBy("_rn")))
+    last = _join_groups(ranked, left, g).filter(F.col("_rn") == F.col("_need"))
+    last = last.select(*[F.col(n).alias(f"_l{n}") for n in g], *[F.col(c).alias(f"_c_{c}") for c in order_cols], "_ties")
+    return done.drop("_need").join(last, [F.col(n).eqNullSafe(F.col(f"_l{n}")) for n in g] or F.lit(True), "left") \
+        .drop(*[f"_l{n}" for n in g])
+
+
+def _join_groups(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
+    """Inner join on the group columns, NULL equal to NULL; without groups ``b`` is one row."""
+    right = b.select(*[F.col(n).alias(f"_r{n}") for n in g], *[c for c in b.columns if c not in g])
+    on = [F.col(n).eqNullSafe(F.col(f"_r{n}")) for n in g] or F.lit(True)
+    return a.join(right, on).drop(*[f"_r{n}" for n in g])
 
 
 def flag_first_n(df: DataFrame, order_cols: list[str], quota, group_cols: list[str] | None = None,
-                 name: str = "_first_n", n_buckets: int | None = None) -> DataFrame:
+                 name: str = "_first_n") -> DataFrame:
     """Flag (1/0) the first ``quota`` rows per group in (order_cols) order.
 
-    The cut-offs are found on a cached narrow projection; the flag itself is a
-    plain predicate on the original rows (no window, no join, no shuffle).
-    ``order_cols`` must identify a row within its group.
+    Rows before a group's cut-off are in by a plain comparison; of the rows that
+    equal it in every order column (repeated keys) as many as the quota still
+    holds. NULL is a group like any other.
     """
     g = list(group_cols or [])
-    cut = first_n_cutoffs(df, order_cols, quota, g, n_buckets)
-    expr = F.lit(False)
-    for key, c in cut.items():
-        if c is None:
-            continue
-        pred = F.lit(True) if c == "all" else _lex_le(order_cols, list(c))
-        in_group = F.lit(True)
-        for col, v in zip(g, key):
-            in_group = in_group & (F.col(col) == F.lit(v))
-        expr = F.when(in_group, pred).otherwise(expr)
-    return df.withColumn(name, F.coalesce(expr, F.lit(False)).cast("int"))
+    cut = checkpointed(hash_cutoffs(df, order_cols, quota, g))
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g] or F.lit(True)
+    joined = df.join(cut, on, "left")
+    equal, before = F.lit(True), F.lit(False)
+    for c in order_cols:
+        before = before | (equal & (F.col(c) < F.col(f"_c_{c}")))
+        equal = equal & (F.col(c) == F.col(f"_c_{c}"))
+    whole = F.coalesce(F.col("_all"), F.lit(False))
+    equal = F.coalesce(equal & ~whole, F.lit(False))
+    inside = whole & F.col(order_cols[0]).isNotNull() | F.coalesce(before, F.lit(False))
+    plain = joined.filter(~equal).select(*[F.col(c) for c in df.columns], inside.cast("int").alias(name))
+    turn = F.row_number().over(Window.partitionBy(*g, *order_cols).orderBy(*order_cols))
+    tied = joined.filter(equal).select(*[F.col(c) for c in df.columns], (turn <= F.col("_ties")).cast("int").alias(name))
+    return plain.unionByName(tied)
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -205,94 +113,48 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def quantiles_frame(df: DataFrame, cols: list[str], probs: list[float],
-                    names: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas / ``quantile_cont`` rule).
-
-    One row per variable: ``variable, n, <name_i>...``.  Values are counted by
-    distinct value first (partial aggregation), so repeated values cost nothing.
-    """
-    names = names or [f"q{i}" for i in range(len(probs))]
-    vc = long_values(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    nb = n_buckets or 64
-    pre = prefix_sums(vc, ["variable"], ["value"], ["cnt"], nb, groups_bound=len(cols))
-    sizes = vc.groupBy("variable").agg(F.sum("cnt").alias("n"))
-    pre = join_small(pre, sizes, ["variable"], "inner", bound=len(cols))
+def _quantiles(counted: DataFrame, probs: list[float], names: list[str]) -> DataFrame:
+    """Quantiles of (variable, value, cnt) by linear interpolation between order statistics."""
+    sizes = counted.groupBy("variable").agg(F.sum("cnt").alias("n"))
+    pre = prefix_sums(counted, ["variable"], ["value"], ["cnt"]).join(sizes, "variable")
     aggs = [F.first("n").alias("n")]
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.ceil(h)
-        aggs.append(F.max(F.when(F.col("cnt_before") <= lo, F.col("value"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("cnt_before") <= hi, F.col("value"))).alias(f"_hi{i}"))
-        aggs.append(F.first(h - lo).alias(f"_fr{i}"))
+        lo, hi = F.floor(h), F.ceil(h)
+        aggs += [F.max(F.when(F.col("cnt_before") <= lo, F.col("value"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("cnt_before") <= hi, F.col("value"))).alias(f"_hi{i}"), F.first(h - lo).alias(f"_fr{i}")]
     out = pre.groupBy("variable").agg(*aggs)
-    return out.select(
-        "variable", "n",
-        *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-          for i, nm in enumerate(names)])
+    return out.select("variable", "n", *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
+                                         for i, nm in enumerate(names)])
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    small_limit: int = 200_000, missing: dict | None = None) -> dict[str, list[float | None]]:
-    """Driver-side dict {column: [quantile per prob]}; None for all-missing columns.
+def quantiles_frame(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont`` rule).
 
-    Values are first counted per distinct value (missing values form their own
-    group, so ``missing`` - if given - receives the NULL/NaN count per column
-    from the same pass).  If that table is small (checked), it is collected and
-    interpolated locally; otherwise the bucketed prefix sums run on the cluster.
+    One row per variable: ``variable, n, <name_i>...``. Values are counted by
+    distinct value first (partial aggregation), so repeated values cost nothing.
     """
-    from pyspark import StorageLevel
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
-                      for c in cols])
-    v = F.col("value")
-    vc = (df.select(F.inline(pairs))
-          .select("variable", F.when(v.isNotNull() & ~F.isnan(v), v).alias("value"))
-          .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        n_distinct = vc.count()
-        if n_distinct <= small_limit:
-            by_var: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
-            miss = {c: 0 for c in cols}
-            for r in vc.collect():
-                if r["value"] is None:
-                    miss[r["variable"]] += r["cnt"]
-                else:
-                    by_var[r["variable"]].append((r["value"], r["cnt"]))
-            if missing is not None:
-                missing.update(miss)
-            return {c: [_interpolate(sorted(by_var[c]), p) for p in probs] for c in cols}
-        if missing is not None:
-            missing.update({r["variable"]: r["cnt"] for r in vc.filter(F.col("value").isNull()).collect()})
-            for c in cols:
-                missing.setdefault(c, 0)
-        rows = quantiles_frame(df, cols, probs).collect()
-        found = {r["variable"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
-        return {c: found.get(c, [None] * len(probs)) for c in cols}
-    finally:
-        vc.unpersist()
-
+    counted = checkpointed(long_values(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    return _quantiles(counted, probs, names or [f"q{i}" for i in range(len(probs))])
 
-def _interpolate(pairs: list[tuple[float, int]], p: float) -> float | None:
-    """Linear-interpolated quantile from sorted (value, count) pairs."""
-    n = sum(c for _, c in pairs)
-    if n == 0:
-        return None
-    h = (n - 1) * p
-    lo, hi = int(h // 1), int(-(-h // 1))
-    frac = h - lo
 
-    def at(rank: int) -> float:
-        seen = 0
-        for v, c in pairs:
-            seen += c
-            if rank < seen:
-                return v
-        return pairs[-1][0]
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], missing: dict | None = None) -> dict[str, list[float | None]]:
+    """Driver-side dict {column: [quantile per prob]}; None for all-missing columns.
 
-    a, b = at(lo), at(hi)
-    return a + frac * (b - a)
+    Values are counted per distinct value once, missing ones as a group of their
+    own, so ``missing`` (if given) receives the NULL/NaN count per column from
+    the same pass; one row a column reaches the driver.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
+    v = F.col("value")
+    counted = checkpointed(df.select(F.inline(pairs)).select("variable", F.when(v.isNotNull() & ~F.isnan(v), v).alias("value"))
+                           .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    if missing is not None:
+        missing.update({c: 0 for c in cols})
+        missing.update({r["variable"]: r["cnt"] for r in counted.filter(F.col("value").isNull()).collect()})
+    names = [f"q{i}" for i in range(len(probs))]
+    found = {r["variable"]: [r[n] for n in names] for r in _quantiles(counted.filter(F.col("value").isNotNull()), probs, names).collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
 def hashed_order_key(seed: int, key: Column) -> tuple[Column, Column]:

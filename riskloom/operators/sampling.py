@@ -1,7 +1,9 @@
 """Reproducible hashed sampling, stratified splitting and bootstrap draws.
 
 Draws are keyed by ``md5("<seed>:<row key>")``: stable under any partitioning
-and repeatable by any SQL engine with md5.  Nothing is ranked in one task.
+and repeatable by any SQL engine with md5. The hash is uniform, so its upper
+bits are the buckets: rows are counted by prefix, and only the prefixes that
+matter are looked at row by row.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import flag_first_n, hashed_order_key
+from riskloom.operators.ranks import ceil_share, flag_first_n, hashed_order_key
+from riskloom.session import checkpointed
 
 
 def _with_hash(df: DataFrame, seed: int, key_col: str) -> DataFrame:
@@ -18,72 +21,57 @@ def _with_hash(df: DataFrame, seed: int, key_col: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key_col: str = "row_key") -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement, chosen by hashed key order."""
-    h = _with_hash(df, seed, key_col)
-    flagged = flag_first_n(h, ["_hk", "_h", key_col], n, name="_keep")
+    """Exactly ``min(n, rows)`` rows without replacement, chosen by hashed key order.
+
+    Of rows with one key as many as fit are taken; rows with a NULL key are never
+    drawn, being without a place in the order.
+    """
+    h = _with_hash(df.filter(F.col(key_col).isNotNull()), seed, key_col)
+    flagged = flag_first_n(h, ["_hk", "_h", key_col], lambda _: F.lit(n).cast("bigint"), name="_keep")
     return flagged.filter(F.col("_keep") == 1).drop("_keep", "_hk", "_h")
 
 
 def stratified_split(df: DataFrame, label_col: str, test_share: float = 0.30, seed: int = 42,
                      key_col: str = "row_key", flag_col: str = "is_test") -> DataFrame:
-    """Flag the test rows: per class, the first ceil(share * class size) rows in hashed order."""
+    """Flag the test rows: per class (NULL is one), the first ceil(share * class size) rows in hashed order."""
     h = _with_hash(df, seed, key_col)
-    scale = 10 ** 6
-    num = int(round(test_share * scale))
-    quota = lambda n: (n * num + scale - 1) // scale      # ceil(share * n), exact
-    flagged = flag_first_n(h, ["_hk", "_h", key_col], quota, group_cols=[label_col], name=flag_col)
+    flagged = flag_first_n(h, ["_hk", "_h", key_col], lambda size: ceil_share(size, test_share), group_cols=[label_col], name=flag_col)
     return flagged.drop("_hk", "_h")
 
 
-# Draw tables up to this size are broadcast to the row scan (bounded by n_draws).
-MAX_BROADCAST_DRAWS = 2_000_000
-
-
 def bootstrap_sample(spark: SparkSession, df: DataFrame, n_draws: int, seed: int = 42,
                      key_col: str = "row_key") -> DataFrame:
     """``n_draws`` rows with replacement (exact, reproducible).
 
     Rows are ordered by hashed key; draw ``j`` picks position
-    ``md5("<seed>:draw:<j>") mod N``.  Positions are resolved on a cached narrow
-    projection (key + hash): bucket totals give offsets, rows are numbered only
-    within their bucket, and the picked keys (n_draws rows) are joined back to
-    the full rows.  Picks per row are ~Poisson(1): no hot keys.
+    ``md5("<seed>:draw:<j>") mod N``. Counts by 12 and by 24 upper bits of the
+    hash say in which prefix a position lies; only rows of drawn prefixes are
+    numbered, and the rows themselves (not their keys) are picked, so repeated
+    keys are rows of their own.
     """
-    from pyspark import StorageLevel
-    from riskloom.operators.ranks import _default_buckets, bucket_column
-
-    h = _with_hash(df.select(key_col), seed, key_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        nb = _default_buckets(df)
-        b = bucket_column(h, [], "_hk", nb)
-        totals = sorted((r["_bucket"], r["_cnt"]) for r in
-                        b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt")).collect())
-        n_rows = sum(c for _, c in totals)
-        if n_rows == 0:
-            return df.limit(0).withColumn("draw_id", F.lit(None).cast("bigint"))
-        ids, offs, acc = [], [], 0
-        for bucket, cnt in totals:
-            ids.append(int(bucket))
-            offs.append(acc)
-            acc += cnt
-        w = Window.partitionBy("_bucket").orderBy("_hk", "_h", key_col)
-        ranked = b.select(key_col, "_bucket", (F.row_number().over(w) - 1).alias("_rn"))
-        draw_key = F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string"))
-        pos = F.pmod(F.conv(F.substring(F.md5(draw_key), 1, 15), 16, 10).cast("bigint"), F.lit(n_rows))
-        off_arr = F.array(*[F.lit(o).cast("bigint") for o in offs])
-        id_arr = F.array(*[F.lit(i) for i in ids])
-        draws = (spark.range(n_draws).select(F.col("id").alias("draw_id"), pos.alias("_pos"))
-                 .withColumn("_k", F.size(F.filter(off_arr, lambda o: o <= F.col("_pos"))))
-                 .select("draw_id", F.element_at(id_arr, F.col("_k")).alias("_bucket"),
-                         (F.col("_pos") - F.element_at(off_arr, F.col("_k"))).alias("_rn")))
-        picked = draws.join(ranked, ["_bucket", "_rn"]).select("draw_id", key_col)
-        picked = picked.checkpoint(eager=True)       # n_draws rows; lineage cut
-    finally:
-        h.unpersist()
-    side = F.broadcast(picked) if n_draws <= MAX_BROADCAST_DRAWS else picked
-    return df.join(side, key_col)
-
-
-def poisson_bootstrap(df: DataFrame, n_draws: int, n_rows: int, seed: int = 42) -> DataFrame:
-    """Approximate-size resampling (Poisson weights), for very large draw counts."""
-    return df.sample(withReplacement=True, fraction=float(n_draws) / max(1, n_rows), seed=seed)
+    h = _with_hash(df, seed, key_col).withColumn("_p", F.shiftrightunsigned("_hk", 36))
+    fine = checkpointed(h.groupBy("_p").agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_top", F.shiftrightunsigned("_p", 12)))
+    tops = [(r["_top"], r["n"]) for r in fine.groupBy("_top").agg(F.sum("_cnt").alias("n")).orderBy("_top").collect()]  # at most 4,096
+    n_rows = sum(n for _, n in tops)
+    if n_rows == 0:
+        return df.limit(0).withColumn("draw_id", F.lit(None).cast("bigint"))
+    starts, at = [], 0
+    for _, n in tops:
+        starts.append(at)
+        at += n
+    draw_key = F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string"))
+    pos = F.pmod(F.conv(F.substring(F.md5(draw_key), 1, 15), 16, 10).cast("bigint"), F.lit(n_rows))
+    start_of = F.expr("array(" + ", ".join(f"{s}L" for s in starts) + ")")
+    top_of = F.expr("array(" + ", ".join(f"{t}L" for t, _ in tops) + ")")
+    k = F.size(F.filter(start_of, lambda s: s <= F.col("_pos")))
+    draws = spark.range(n_draws).select(F.col("id").alias("draw_id"), pos.alias("_pos")).withColumn("_k", k) \
+        .select("draw_id", F.element_at(top_of, F.col("_k")).alias("_top"),
+                (F.col("_pos") - F.element_at(start_of, F.col("_k"))).alias("_in_top"))
+    upto = F.sum("_cnt").over(Window.partitionBy("_top").orderBy("_p"))
+    spans = fine.select("_top", "_p", "_cnt", (upto - F.col("_cnt")).alias("_from"))
+    drawn = draws.join(spans, "_top").filter((F.col("_from") <= F.col("_in_top")) & (F.col("_in_top") < F.col("_from") + F.col("_cnt"))) \
+        .select("draw_id", "_p", (F.col("_in_top") - F.col("_from") + 1).alias("_rn"))
+    drawn = checkpointed(drawn)
+    numbered = h.join(drawn.select("_p").distinct(), "_p", "left_semi") \
+        .withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_hk", "_h", key_col)))
+    return numbered.join(drawn, ["_p", "_rn"]).select(*[F.col(c) for c in df.columns], "draw_id")
