@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import NUMERIC_PATTERN, format_number_text, normalize_code
@@ -34,6 +34,13 @@ def lookup_value_label(variable: Column, value: Column, value_labels: dict[str,
     return F.when(value.isNotNull() & (raw != F.lit("")), found)
 
 
+def label_table(spark: SparkSession, value_labels: dict[str, dict[str, str]]) -> DataFrame:
+    """(label_variable, label_code, label) of the presets, codes normalised once, for joins."""
+    rows = [(var, code, label) for var, codes in value_labels.items() for code, label in codes.items()]
+    table = spark.createDataFrame(rows, "label_variable string, label_code string, label string")
+    return table.withColumn("label_code", normalize_code("label_code")).dropDuplicates(["label_variable", "label_code"])
+
+
 def variable_label(variable: Column, variable_labels: dict[str, str]) -> Column:
     m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in variable_labels.items()))
     return F.coalesce(F.try_element_at(m, variable), F.regexp_replace(variable, "_", " "))

@@ -32,32 +32,27 @@ def null_out_of_range(c: str | Column, lo: float, hi: float) -> Column:
     return F.when(x.between(F.lit(lo), F.lit(hi)) & ~F.isnan(x), x)
 
 
-def derive_difference(a: str | Column, b: str | Column) -> Column:
-    return _col(a).cast("double") - _col(b).cast("double")
-
-
-def class_in(c: str | Column, values: list) -> Column:
-    """0/1 label by membership (NULL stays NULL)."""
-    return _col(c).isin(list(values)).cast("int")
-
-
 def downcast(df: DataFrame) -> DataFrame:
-    """double -> float, bigint -> int, other columns unchanged."""
-    out = []
-    for name, dtype in df.dtypes:
-        if dtype == "double":
-            out.append(F.col(name).cast("float").alias(name))
-        elif dtype == "bigint":
-            out.append(F.col(name).cast("int").alias(name))
-        else:
-            out.append(F.col(name))
-    return df.select(out)
+    """double -> float, bigint -> int where all its values fit; other columns unchanged.
+
+    One aggregation finds the range of every bigint column; one that does not
+    fit keeps its type.
+    """
+    longs = [n for n, t in df.dtypes if t == "bigint"]
+    fits: set[str] = set()
+    if longs:
+        row = df.agg(*[F.coalesce(F.min(n).between(-2**31, 2**31 - 1) & F.max(n).between(-2**31, 2**31 - 1), F.lit(True)).alias(n)
+                       for n in longs]).first()
+        fits = {n for n in longs if row[n]}
+    types = {"double": "float"}
+    return df.select([F.col(n).cast("int" if n in fits else types.get(t, t)).alias(n) for n, t in df.dtypes])
 
 
 def normalize_code(c: str | Column) -> Column:
-    """Trim; a numeric code becomes its integer text ("01" -> "1", "1.0" -> "1")."""
+    """Trim; a numeric code becomes its integer text ("01" -> "1", "1.0" -> "1"); one beyond the
+    bigint range stays as it is."""
     s = F.trim(_col(c).cast("string"))
-    as_int = s.try_cast("double").cast("bigint").cast("string")
+    as_int = F.when(F.abs(s.try_cast("double")) < 2.0**63, s.try_cast("double")).try_cast("bigint").cast("string")
     return F.when(s.rlike(NUMERIC_PATTERN), F.coalesce(as_int, s)).otherwise(s)
 
 
@@ -83,7 +78,3 @@ def format_number_text(x: Column) -> Column:
     """Whole numbers as integers, others with one decimal (display format)."""
     return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(
         F.format_string("%.1f", x))
-
-
-def is_string(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.ranks import prefix_sums
-from riskloom.presets import COMPARISON_COLUMNS, METRIC_COLUMNS
+from riskloom.presets import COMPARISON_COLUMNS, COMPARISON_RENAMES, METRIC_COLUMNS
+from riskloom.session import checkpointed
 
 
 def threshold_grid(start: float = 0.01, stop: float = 0.50, num: int = 50) -> list[float]:
@@ -24,10 +25,32 @@ def predict_at(p: str | Column, threshold: float) -> Column:
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Long confusion table (actual, predicted, n) over observed cells."""
-    return (df.groupBy(F.col(actual).cast("bigint").alias("actual"),
-                       F.col(predicted).cast("bigint").alias("predicted"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Long confusion table (actual, predicted, n) over all pairs of labels that occur on either side.
+
+    Pairs that do not occur have n = 0. Rows without an actual or a predicted
+    label are left out.
+    """
+    seen = (df.select(F.col(actual).cast("bigint").alias("actual"), F.col(predicted).cast("bigint").alias("predicted"))
+            .dropna().groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")))
+    return _all_cells(seen)
+
+
+def _all_cells(seen: DataFrame) -> DataFrame:
+    """Observed cells (actual, predicted, n) filled up with zeros; classes are few, so this is one row's work."""
+    cells = seen.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("actual", "predicted"), "n"))).alias("_n"),
+                     F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("_labels"))
+    rows = cells.select("_n", "_labels", F.explode("_labels").alias("actual"))
+    pairs = rows.select("_n", "actual", F.explode("_labels").alias("predicted"))
+    n = F.coalesce(F.col("_n")[F.struct("actual", "predicted")], F.lit(0).cast("bigint"))
+    return pairs.select("actual", "predicted", n.alias("n"))
+
+
+def matrix_text(cm: DataFrame) -> DataFrame:
+    """The confusion table as one row, ``Confusion_Matrix``: '[[n, n], [n, n]]', rows by actual label."""
+    rows = cm.groupBy("actual").agg(F.array_sort(F.collect_list(F.struct("predicted", "n"))).alias("r"))
+    text = rows.select("actual", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["n"].cast("string")), ", "), F.lit("]")).alias("t"))
+    every = F.array_sort(F.collect_list(F.struct("actual", "t")))
+    return text.agg(F.concat(F.lit("["), F.array_join(F.transform(every, lambda x: x["t"]), ", "), F.lit("]")).alias("Confusion_Matrix"))
 
 
 def _per_label(cm: DataFrame) -> DataFrame:
@@ -83,7 +106,12 @@ def roc_auc(df: DataFrame, label_col: str, score_col: str, positive=1) -> DataFr
     by_score = (df.filter(F.col(score_col).isNotNull())
                 .groupBy(F.col(score_col).cast("double").alias("score"))
                 .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
-    pre = prefix_sums(by_score, [], ["score"], ["neg"], n_buckets=64)
+    return auc_from_counts(by_score)
+
+
+def auc_from_counts(by_score: DataFrame) -> DataFrame:
+    """ROC_AUC from (score, pos, neg) counts."""
+    pre = prefix_sums(by_score, [], ["score"], ["neg"])
     return pre.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
                                 F.sum("pos").cast("double") * F.sum("neg")).alias("ROC_AUC"))
 
@@ -92,10 +120,10 @@ def roc_auc_ovr_macro(df: DataFrame, label_col: str, prob_cols: dict) -> DataFra
     """Mean one-vs-rest AUC over classes; NULL if any class AUC is undefined."""
     pairs = F.array(*[F.struct(F.lit(k).cast("bigint").alias("cls"), F.col(c).cast("double").alias("score"))
                       for k, c in prob_cols.items()])
-    long = df.select(F.col(label_col).cast("bigint").alias("_y"), F.inline(pairs))
+    long = df.select(F.col(label_col).cast("bigint").alias("_y"), F.inline(pairs)).filter(F.col("score").isNotNull())
     pos = (F.col("_y") == F.col("cls")).cast("bigint")
     by_score = long.groupBy("cls", "score").agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
-    pre = prefix_sums(by_score, ["cls"], ["score"], ["neg"], n_buckets=64, groups_bound=len(prob_cols))
+    pre = prefix_sums(by_score, ["cls"], ["score"], ["neg"])
     per_class = pre.groupBy("cls").agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
                      F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
@@ -104,48 +132,56 @@ def roc_auc_ovr_macro(df: DataFrame, label_col: str, prob_cols: dict) -> DataFra
 
 def threshold_sweep(df: DataFrame, label_col: str, score_col: str,
                     thresholds: list[float] | None = None) -> DataFrame:
-    """Best threshold by balanced accuracy in ONE data pass; first threshold wins ties.
+    """Best threshold by balanced accuracy in ONE data pass; the first of ``thresholds`` wins ties.
 
-    One aggregation counts, for every threshold, predicted positives among
-    positives and negatives; the 50-row choice runs on that single row.
+    Each row is counted at the number of thresholds that its score reaches, so
+    the data pass makes one small table; running sums over it give the true and
+    false positives of all thresholds.
     """
     ts = thresholds or threshold_grid()
-    s = F.col(score_col)
-    y = F.col(label_col).cast("int")
-    aggs = [F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N")]
-    for k, t in enumerate(ts):
-        aggs += [F.count_if((s >= F.lit(float(t))) & (y == 1)).alias(f"tp{k}"),
-                 F.count_if((s >= F.lit(float(t))) & (y == 0)).alias(f"fp{k}")]
-    one = df.agg(*aggs)
-    tpr = lambda k: F.try_divide(F.col(f"tp{k}"), F.col("P"))
-    tnr = lambda k: F.try_divide(F.col("N") - F.col(f"fp{k}"), F.col("N"))
-    bacc = lambda k: (F.when(tpr(k).isNull(), tnr(k)).when(tnr(k).isNull(), tpr(k))
-                      .otherwise((tpr(k) + tnr(k)) / 2))
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t"), bacc(k).alias("bacc"))
-                     for k, t in enumerate(ts)])
-    long = one.select(F.inline(rows))
-    best = long.agg(F.max_by(F.struct("t", "bacc"), F.struct(F.col("bacc"), -F.col("k"))).alias("b"))
+    ascending = sorted(range(len(ts)), key=lambda k: ts[k])
+    s, y = F.col(score_col).cast("double"), F.col(label_col).cast("int")
+    grid = F.array(*[F.lit(float(ts[k])) for k in ascending])
+    reached = F.coalesce(F.size(F.filter(grid, lambda t: s >= t)), F.lit(0))
+    counted = df.select(reached.alias("r"), y.alias("y")).groupBy("r").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    one = counted.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.collect_list(F.struct("r", "pos", "neg")).alias("all"))
+
+    def above(k: int, side: str) -> Column:
+        return F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["r"] > k, x[side]).otherwise(0))
+
+    rows = []
+    for k, i in enumerate(ascending):
+        tpr = F.try_divide(above(k, "pos"), F.col("P"))
+        tnr = F.try_divide(F.col("N") - above(k, "neg"), F.col("N"))
+        both = F.when(tpr.isNull(), tnr).when(tnr.isNull(), tpr).otherwise((tpr + tnr) / 2)
+        rows.append(F.struct(F.lit(i).alias("k"), F.lit(float(ts[i])).alias("t"), both.alias("bacc")))
+    best = one.select(F.inline(F.array(*rows))).agg(F.max_by(F.struct("t", "bacc"), F.struct(F.col("bacc"), -F.col("k"))).alias("b"))
     return best.select(F.col("b.t").alias("best_threshold"), F.col("b.bacc").alias("best_balanced_accuracy"))
 
 
 def evaluate_binary(df: DataFrame, label_col: str, prob_col: str, threshold: float = 0.5,
                     title: str = "Model") -> DataFrame:
-    """One metrics row for a scored table at a threshold (Model .. MAE)."""
-    scored = df.select(F.col(label_col).cast("int").alias("_y"), F.col(prob_col).cast("double").alias("_p"))
-    cm = confusion_matrix(scored.withColumn("_pred", predict_at("_p", threshold)), "_y", "_pred")
-    auc = roc_auc(scored, "_y", "_p").select("ROC_AUC").scalar()
+    """One metrics row for a scored table at a threshold (Model .. MAE, Confusion_Matrix).
+
+    Rows are counted by (label, score) once and kept; the matrix, the metrics
+    and the AUC come from that table. A labelled row without a score is an error.
+    """
+    p = F.coalesce(F.col(prob_col).cast("double"), F.raise_error(F.lit(f"a row to evaluate has no {prob_col}")).cast("double"))
+    counted = checkpointed(df.filter(F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("_y"), p.alias("_p"))
+                           .groupBy("_y", "_p").agg(F.count(F.lit(1)).alias("_n")))
+    by_cell = counted.groupBy(F.col("_y").cast("bigint").alias("actual"), predict_at("_p", threshold).cast("bigint").alias("predicted")).agg(F.sum("_n").alias("n"))
+    cm = checkpointed(_all_cells(by_cell))
+    auc = auc_from_counts(counted.groupBy(F.col("_p").alias("score")).agg(F.sum(F.when(F.col("_y") == 1, F.col("_n")).otherwise(0)).alias("pos"),
+                                                                       F.sum(F.when(F.col("_y") == 1, 0).otherwise(F.col("_n"))).alias("neg")))
     m = classification_metrics(cm)
     return m.select(F.lit(title).alias("Model"), F.lit(float(threshold)).alias("Threshold"),
                     "Accuracy", "Balanced_Accuracy", "Macro_Precision", "Macro_Recall", "Macro_F1",
-                    auc.alias("ROC_AUC"), "MAE")
+                    auc.select("ROC_AUC").scalar().alias("ROC_AUC"), "MAE", matrix_text(cm).scalar().alias("Confusion_Matrix"))
 
 
 def standardize_metrics(df: DataFrame, family: str) -> DataFrame:
     """Rename metric columns to the comparison names, pad absent ones with NULL, add Family."""
-    rename = {"model": "Model", "Model_Name": "Model", "accuracy": "Accuracy",
-              "balanced_accuracy": "Balanced_Accuracy", "macro_f1": "Macro_F1",
-              "roc_auc": "ROC_AUC", "mae": "MAE"}
-    present = {rename.get(c, c): c for c in df.columns}
+    present = {COMPARISON_RENAMES.get(c, c): c for c in df.columns}
     out = []
     for c in COMPARISON_COLUMNS:
         if c == "Family":

@@ -74,12 +74,16 @@ def logit_mle(df: DataFrame, spec: DesignSpec, y_col: str, *, fit_intercept: boo
     s = m.summary
     iters = int(s.numIterations)
     converged = iters < max_iter
-    cov = None
+    cov = intercept_cov = None
     se = pv = None
     if with_covariance:
-        info = logistic_information(spec.encode(df), spec.terms, coef, float(m.intercept))
+        info = logistic_information(spec.encode(df), spec.terms, coef, float(m.intercept), fit_intercept)
         try:
-            cov = np.linalg.inv(info)
+            # of the coefficients; the intercept's uncertainty is in it, its own row is not kept apart
+            full = np.linalg.inv(info)
+            k = len(spec.terms)
+            cov = full[:k, :k]
+            intercept_cov = full[k] if fit_intercept else None
             se = np.sqrt(np.clip(np.diag(cov), 0, None))
             z = coef / np.where(se > 0, se, np.nan)
             pv = _normal_sf(z)
@@ -92,7 +96,8 @@ def logit_mle(df: DataFrame, spec: DesignSpec, y_col: str, *, fit_intercept: boo
             pv = np.asarray(s.pValues[:k], dtype="float64")
         except Exception:  # singular information: no standard errors
             se = pv = None
-    return LogitModel(spec, coef, cov, float(m.intercept), "MLE", converged, iters, se, pv)
+    return LogitModel(spec, coef, cov, float(m.intercept), "MLE", converged, iters, se, pv,
+                      {} if intercept_cov is None else {"intercept_cov": intercept_cov})
 
 
 def logit_penalized(df: DataFrame, spec: DesignSpec, y_col: str, *, alpha: float, l1_ratio: float,

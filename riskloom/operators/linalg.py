@@ -39,6 +39,9 @@ def partial_sums(df: DataFrame, x_cols: list[str], extra_cols: list[str], length
             if b.num_rows == 0:
                 continue
             X = _batch_matrix(b, names)
+            if not np.isfinite(X).all():
+                bad = [n for n, ok in zip(names, np.isfinite(X).all(axis=0)) if not ok]
+                raise ValueError(f"missing or non-finite values in {bad}: drop or impute them first")
             ex = {e: np.asarray(b.column(b.schema.get_field_index(e)).to_numpy(zero_copy_only=False),
                                 dtype="float64") for e in extras}
             acc += kernel(X, ex)
@@ -46,11 +49,8 @@ def partial_sums(df: DataFrame, x_cols: list[str], extra_cols: list[str], length
 
     sel = df.select([F.col(c).cast("double").alias(c) for c in dict.fromkeys(names + extras)])
     parts = sel.mapInArrow(fold, "s array<double>")
-    n_parts = max(1, sel.rdd.getNumPartitions())
-    fan_in = max(1, int(math.ceil(math.sqrt(n_parts))))
-    vec = parts.select(array_to_vector("s").alias("v"))
-    if n_parts > 4:
-        vec = vec.repartition(fan_in)
+    fan_in = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    vec = parts.select(array_to_vector("s").alias("v")).repartition(fan_in)
     row = vec.agg(Summarizer.sum(F.col("v")).alias("t")).first()
     if row is None or row["t"] is None:
         return np.zeros(length)
@@ -88,15 +88,20 @@ def gram_matrix(df: DataFrame, x_cols: list[str]) -> np.ndarray:
 
 
 def logistic_information(df: DataFrame, x_cols: list[str], beta: np.ndarray,
-                         intercept: float = 0.0) -> np.ndarray:
-    """Fisher information Σ p(1-p) x xᵀ of a binary logit at ``beta``."""
-    p = len(x_cols)
+                         intercept: float = 0.0, with_intercept: bool = False) -> np.ndarray:
+    """Fisher information Σ p(1-p) x xᵀ of a binary logit at ``beta``.
+
+    ``with_intercept`` adds the constant as a last row and column.
+    """
+    p = len(x_cols) + with_intercept
     b = np.asarray(beta, dtype="float64")
 
     def kernel(X, ex):
         eta = X @ b + intercept
         mu = 1.0 / (1.0 + np.exp(-eta))
         w = mu * (1.0 - mu)
+        if with_intercept:
+            X = np.column_stack([X, np.ones(len(X))])
         return (X.T @ (X * w[:, None])).ravel()
 
     return partial_sums(df, x_cols, [], p * p, kernel).reshape(p, p)

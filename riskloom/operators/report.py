@@ -58,3 +58,8 @@ def profile_unpivot(profile: DataFrame, features: list[str], categorical: list[s
     long = profile.select(F.inline(pairs))
     return long.select("Order", variable_label(F.col("variable"), variable_labels).alias("Feature"),
                        format_value(F.col("variable"), F.col("text"), F.col("number"), value_labels).alias("Value"))
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Number the rows of a small ordered report table from 1, in the order they come in."""
+    return df.coalesce(1).withColumn("Position", F.monotonically_increasing_id() + 1)

@@ -1,17 +1,14 @@
 """Scoring whole populations with a fitted logit: probabilities and Wald intervals.
 
 The linear predictor is a plain column expression (coefficients as literals,
-whole-stage codegen).  The interval needs the quadratic form xᵀΣx, computed
-by an Arrow-batched pandas UDF over the term vector.
+whole-stage codegen), and so is the quadratic form xᵀΣx that the interval needs.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from riskloom.functions.scalar import sigmoid
 from riskloom.functions.sqltext import number
@@ -32,33 +29,12 @@ def linear_predictor(model: LogitModel, overrides: dict | None = None) -> Column
     return F.expr(linear_predictor_sql(model, overrides))
 
 
-def term_vector(model: LogitModel, overrides: dict | None = None) -> Column:
-    return F.array(*[model.spec.term_expr(t, overrides) for t in model.terms])
-
-
-def _quadratic_form_udf(cov: np.ndarray):
-    sigma = np.asarray(cov, dtype="float64")
-
-    @pandas_udf("double")
-    def qform(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        X = np.stack(x.to_numpy()).astype("float64")
-        return pd.Series(np.einsum("ij,jk,ik->i", X, sigma, X))
-
-    return qform
-
-
-# Up to this many non-zero products the quadratic form stays a JVM expression.
-MAX_EXPRESSION_PRODUCTS = 4000
-
-
 def quadratic_form(model: LogitModel, overrides: dict | None = None) -> Column:
     """xᵀΣx for the row's term vector.
 
     Dummies of one categorical column are mutually exclusive, so their cross
     products vanish; what remains is a plain expression (whole-stage codegen).
-    Very wide models fall back to an Arrow-batched pandas UDF.
+    A fitted intercept adds its own variance and covariances.
     """
     terms = model.terms
     src = model.spec.source
@@ -72,14 +48,15 @@ def quadratic_form(model: LogitModel, overrides: dict | None = None) -> Column:
             if j != k and cj == ck and lj is not None and lk is not None:
                 continue            # two levels of one column are never both 1
             pairs.append((j, k))
-    if len(pairs) > MAX_EXPRESSION_PRODUCTS:
-        return _quadratic_form_udf(cov)(term_vector(model, overrides))
     x = [model.spec.term_sql(t, overrides) for t in terms]
     parts = ["0.0D"]
     for j, k in pairs:
         w = cov[j, k] if j == k else 2.0 * cov[j, k]
         prod = x[j] if (j == k and src[terms[j]][1] is not None) else f"{x[j]} * {x[k]}"
         parts.append(f"{number(w)} * {prod}")
+    const = model.info.get("intercept_cov")
+    if const is not None:
+        parts += [number(const[-1]), *(f"{number(2.0 * c)} * {v}" for c, v in zip(const, x))]
     return F.expr("(" + " + ".join(parts) + ")")
 
 

@@ -19,6 +19,7 @@ from riskloom.operators.profile import distribution_summary, risk_bands
 from riskloom.operators.sampling import bootstrap_sample
 from riskloom.operators.score import interval_columns, linear_predictor
 from riskloom.presets import Z_PREDICTION_INTERVAL
+from riskloom.session import checkpointed
 
 
 def _common_value(c: str) -> Column:
@@ -208,7 +209,7 @@ def bootstrap_risk(spark: SparkSession, pop: DataFrame, model: LogitModel, basel
                           F.lit(fit_type or model.fit_type).alias("Fit_Type"))
     # the draws feed several summaries: write them once to the checkpoint folder
     # (reliable, lineage cut) instead of re-running the indexing join per summary
-    scored = scored.checkpoint(eager=True)
+    scored = checkpointed(scored)
     base = baseline.select(*interval_columns(model))
     base_arr = base.select(F.array("Predicted_Probability", "CI_Lower_95", "CI_Upper_95")).scalar()
     summary = distribution_summary(scored, "Predicted_Probability").select(

@@ -106,7 +106,6 @@ COLLISION_CONTRAST = ("P_SEX", [("Female baseline", "F"), ("Male sensitivity", "
 
 VEHICLE_AGE_GRID = list(range(0, 21))
 PERSON_AGE_GRID = list(range(16, 81, 4))
-THRESHOLD_GRID = [round(0.01 * (i + 1), 2) for i in range(50)]   # 0.01 .. 0.50
 
 RISK_BANDS = [
     ("Below 0.25", None, 0.25),
@@ -281,6 +280,9 @@ BASELINE_SCENARIO_NAME = "Baseline (traffic signal)"
 BASELINE_SCENARIO_LABEL = "Baseline (traffic signals fully operational)"
 
 COMPARISON_COLUMNS = ["Model", "Family", "Accuracy", "Balanced_Accuracy", "Macro_F1", "ROC_AUC", "MAE"]
+COMPARISON_RENAMES = {"model": "Model", "Model_Name": "Model", "accuracy": "Accuracy",
+                      "balanced_accuracy": "Balanced_Accuracy", "macro_f1": "Macro_F1",
+                      "roc_auc": "ROC_AUC", "mae": "MAE"}
 METRIC_COLUMNS = ["Model", "Threshold", "Accuracy", "Balanced_Accuracy", "Macro_Precision",
                   "Macro_Recall", "Macro_F1", "ROC_AUC", "MAE", "Confusion_Matrix"]
 
