@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import labels as LB
 from riskloom.functions.scalar import (coerce_numeric, downcast, normalize_code, null_out_of_range,
-                                       round_numeric)
+                                       relative_change_percent, round_numeric)
 from riskloom.operators import evaluate as EV
 from riskloom.operators import hygiene as HY
 from riskloom.operators import profile as PR
@@ -32,7 +32,7 @@ from riskloom.presets import (DEFAULT_SPECIAL_LEVELS,
                               RECORD_RISK_PROFILES, RECORD_SCENARIO_LABELS, RECORD_SWITCH_SCENARIOS,
                               RECORD_TERM_OVERRIDES, RECORD_VALUE_LABELS, RECORD_VARIABLE_LABELS, RECORDS,
                               RISK_BANDS, VEHICLE_AGE_GRID, Z_COEF_INTERVAL)
-from riskloom.sources.tables import (ingest_csv, read_table, records, records_table, shape_summary,
+from riskloom.sources.tables import (ingest_csv, read_table, records, shape_summary,
                                      write_table, SCHEMAS)
 from riskloom.session import scratch_dir
 
@@ -79,7 +79,7 @@ _N_RECORD_COLS = 18
 
 @register("shape_summary", REC + f"SELECT count(*) AS n_rows, CAST({_N_RECORD_COLS} AS BIGINT) AS n_cols FROM records")
 def q_shape_summary(spark, d):
-    return shape_summary(records_table(spark, d))
+    return shape_summary(records(spark, d))
 
 
 # --------------------------------------------------------------------------- 2.2 scalar
@@ -117,7 +117,7 @@ def q_derive_age(spark, d):
 @register("null_out_of_range", REC + """
 SELECT row_key, CASE WHEN l_quantity BETWEEN 1 AND 45 THEN l_quantity END AS l_quantity_valid FROM records""")
 def q_null_out_of_range(spark, d):
-    return records_table(spark, d).select("row_key", null_out_of_range("l_quantity", 1.0, 45.0).alias("l_quantity_valid"))
+    return records(spark, d).select("row_key", null_out_of_range("l_quantity", 1.0, 45.0).alias("l_quantity_valid"))
 
 
 @register("filter_valid_class", REC + "SELECT row_key, y_ord FROM prepared WHERE y_ord IN (1, 2)")
@@ -143,7 +143,7 @@ _COLLAPSE_SQL = (f"CASE WHEN l_returnflag IN ({SPECIALS}) THEN 'OTHER' ELSE l_re
 
 @register("collapse_special_levels", REC + f"SELECT row_key, {_COLLAPSE_SQL} FROM records")
 def q_collapse(spark, d):
-    r = HY.collapse_special_levels(records_table(spark, d), ["l_returnflag", "l_linestatus"])
+    r = HY.collapse_special_levels(records(spark, d), ["l_returnflag", "l_linestatus"])
     return r.select("row_key", "l_returnflag", "l_linestatus")
 
 
@@ -151,7 +151,7 @@ def q_collapse(spark, d):
 SELECT * FROM (SELECT row_key, {_COLLAPSE_SQL} FROM records) t
 WHERE l_returnflag <> 'OTHER' AND l_linestatus <> 'OTHER'""")
 def q_drop_other_rows(spark, d):
-    r = HY.collapse_special_levels(records_table(spark, d), ["l_returnflag", "l_linestatus"])
+    r = HY.collapse_special_levels(records(spark, d), ["l_returnflag", "l_linestatus"])
     return HY.drop_other_rows(r, ["l_returnflag", "l_linestatus"]).select("row_key", "l_returnflag", "l_linestatus")
 
 
@@ -169,7 +169,7 @@ SELECT row_key, lpad(CAST(CAST(p_size AS BIGINT) AS VARCHAR), 2, '0') AS size_co
        {Q.normalize_sql("l_returnflag")} AS flag_norm
 FROM records""")
 def q_normalize_code(spark, d):
-    r = records_table(spark, d)
+    r = records(spark, d)
     code = F.lpad(F.col("p_size").cast("bigint").cast("string"), 2, "0")
     return r.select("row_key", code.alias("size_code"), normalize_code(code).alias("size_norm"),
                     normalize_code(F.col("l_quantity").cast("string")).alias("qty_norm"),
@@ -187,7 +187,7 @@ SELECT row_key,
   {Q.value_label_sql("'o_orderpriority'", "lower(o_orderpriority)", RECORD_VALUE_LABELS)} AS priority_label
 FROM records""")
 def q_decode_labels(spark, d):
-    r = records_table(spark, d)
+    r = records(spark, d)
     code = F.lpad(F.col("p_size").cast("bigint").cast("string"), 2, "0")
     return r.select(
         "row_key",
@@ -215,7 +215,7 @@ _TERMS_SQL = " UNION ".join(
 
 @register("term_labels", REC + f"SELECT term, {_term_label_sql('term')} AS label FROM ({_TERMS_SQL}) t")
 def q_term_labels(spark, d):
-    counts = HY.level_counts(records_table(spark, d), CATS).filter(F.col("level").isNotNull())
+    counts = HY.level_counts(records(spark, d), CATS).filter(F.col("level").isNotNull())
     terms = counts.select(F.concat(F.col("variable"), F.lit("_"), F.col("level")).alias("term"))
     extra = spark.range(1).select(F.explode(F.array(F.lit("const"), F.lit("l_quantity"), F.lit("ship_lag"))).alias("term"))
     allt = terms.unionByName(extra).distinct()
@@ -306,7 +306,7 @@ def q_fisher(spark, d):
 SELECT p_type, count(*) AS count, round(count(*) / (SELECT count(p_type) FROM records), 6) AS share
 FROM records GROUP BY p_type""")
 def q_value_counts(spark, d):
-    return r6(HY.value_counts(records_table(spark, d), "p_type"))
+    return r6(HY.value_counts(records(spark, d), "p_type"))
 
 
 _UNPIVOT_CATS = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS level FROM src" for c in CATS)
@@ -315,7 +315,7 @@ _UNPIVOT_CATS = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCH
 @register("level_counts_all", REC + f""", src AS (SELECT * FROM records)
 SELECT variable, level, count(*) AS count FROM ({_UNPIVOT_CATS}) u GROUP BY variable, level""")
 def q_level_counts_all(spark, d):
-    return HY.level_counts(records_table(spark, d), CATS)
+    return HY.level_counts(records(spark, d), CATS)
 
 
 def _rare_sql(col: str, share: float, keep: list[str], other: str = "OTHER", src: str = "records") -> str:
@@ -330,7 +330,7 @@ SELECT row_key, p_brand, CAST(p_brand IN {_rare_sql('p_brand', 0.04, RECORDS.kee
        CASE WHEN p_brand IN {_rare_sql('p_brand', 0.04, RECORDS.keep_levels['p_brand'])} THEN 'RARE' ELSE p_brand END AS p_brand_grouped
 FROM records""")
 def q_level_lookup(spark, d):
-    r = records_table(spark, d)
+    r = records(spark, d)
     rule = HY.fit_rare_levels(r, ["p_brand"], shares={"p_brand": 0.04}, keep_levels=RECORDS.keep_levels,
                               other_label="RARE")
     g = rule.apply(r.select("row_key", F.col("p_brand").alias("_orig"), "p_brand"))
@@ -343,7 +343,7 @@ SELECT CASE WHEN p_brand IN {_rare_sql('p_brand', 0.04, RECORDS.keep_levels['p_b
        count(*) AS count
 FROM records GROUP BY 1""")
 def q_group_rare_levels(spark, d):
-    r = records_table(spark, d)
+    r = records(spark, d)
     rule = HY.fit_rare_levels(r, ["p_brand"], shares={"p_brand": 0.04}, keep_levels=RECORDS.keep_levels,
                               other_label="RARE")
     return rule.apply(r).groupBy("p_brand").agg(F.count(F.lit(1)).alias("count"))
@@ -388,10 +388,10 @@ def q_variablewise_drop(spark, d):
 
 @register("level_outcome_rates", _VW + """
 SELECT p_brand, count(y) AS count, round(avg(CAST(y AS DOUBLE)), 6) AS event_rate
-FROM proc GROUP BY p_brand ORDER BY event_rate DESC, count DESC, p_brand LIMIT 8""")
+FROM proc GROUP BY p_brand""")
 def q_level_outcome_rates(spark, d):
     out, _ = HY.variablewise_preprocess(prepared_records(spark, d), RECORDS)
-    return r6(HY.level_outcome_rates(out, "p_brand", "y", 8))
+    return r6(HY.level_outcome_rates(out, "p_brand", "y"))
 
 
 _UNPIVOT_PROC = " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS level, y FROM proc" for c in CATS)
@@ -521,10 +521,20 @@ def _r6_cols(cols):
 
 
 @register("confusion_matrix", DOC + f"""
-SELECT CAST(y AS BIGINT) AS actual, CAST(p >= 0.1 AS BIGINT) AS predicted, count(*) AS n FROM docs GROUP BY 1, 2""")
+SELECT a.v AS actual, b.v AS predicted, (SELECT count(*) FROM docs WHERE y = a.v AND CAST(p >= 2.0 AS BIGINT) = b.v) AS n
+FROM (SELECT DISTINCT CAST(y AS BIGINT) AS v FROM docs UNION SELECT DISTINCT CAST(p >= 2.0 AS BIGINT) FROM docs) a,
+     (SELECT DISTINCT CAST(y AS BIGINT) AS v FROM docs UNION SELECT DISTINCT CAST(p >= 2.0 AS BIGINT) FROM docs) b""")
 def q_confusion_matrix(spark, d):
+    """At a threshold that no score reaches: the cells of the label that is never predicted are there with 0."""
     s = scored_documents(spark, d)
-    return EV.confusion_matrix(s.withColumn("pred", EV.predict_at("p", 0.1)), "y", "pred")
+    return EV.confusion_matrix(s.withColumn("pred", EV.predict_at("p", 2.0)), "y", "pred")
+
+
+@register("confusion_matrix_observed", DOC + """
+SELECT CAST(y AS BIGINT) AS actual, CAST(p >= 0.1 AS BIGINT) AS predicted, count(*) AS n FROM docs GROUP BY 1, 2""")
+def q_confusion_matrix_observed(spark, d):
+    s = scored_documents(spark, d)
+    return EV.confusion_matrix(s.withColumn("pred", EV.predict_at("p", 0.1)), "y", "pred").where("n > 0")
 
 
 @register("classification_metrics", DOC + f"SELECT {_r6_cols(_MCOLS)} FROM {_metrics_sql(0.1)} m")
@@ -582,16 +592,21 @@ def _eval_rows(spark, d):
 
 def _eval_rows_sql() -> str:
     cte = Q.DOCS_CTE + ",\ndocs2 AS (SELECT doc_id, y, 1.0 - p AS p FROM docs)"
-    parts = [f"SELECT 'length score @0.10' AS Model, 0.1 AS Threshold, m.* FROM {_metrics_sql(0.1)} m",
-             f"SELECT 'length score @0.50', 0.5, m.* FROM {_metrics_sql(0.5)} m",
-             f"SELECT 'inverse length @0.90', 0.9, m.* FROM {_metrics_sql(0.9, 'docs2')} m"]
+    def matrix(t: float, src: str = "docs") -> str:
+        n = [[f"count_if(y = {a} AND p {'>=' if b else '<'} {t})" for b in (0, 1)] for a in (0, 1)]
+        return (f"(SELECT '[[' || {n[0][0]} || ', ' || {n[0][1]} || '], [' || {n[1][0]} || ', ' || {n[1][1]} || ']]' "
+                f"FROM {src}) AS Confusion_Matrix")
+
+    parts = [f"SELECT 'length score @0.10' AS Model, 0.1 AS Threshold, m.*, {matrix(0.1)} FROM {_metrics_sql(0.1)} m",
+             f"SELECT 'length score @0.50', 0.5, m.*, {matrix(0.5)} FROM {_metrics_sql(0.5)} m",
+             f"SELECT 'inverse length @0.90', 0.9, m.*, {matrix(0.9, 'docs2')} FROM {_metrics_sql(0.9, 'docs2')} m"]
     return Q.with_ctes(cte) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") r"
 
 
 _EVAL_SQL = _eval_rows_sql()
 
 
-@register("union_results", _EVAL_SQL.replace("SELECT * FROM (", f"SELECT Model, Threshold, {_r6_cols(_MCOLS)} FROM (", 1))
+@register("union_results", _EVAL_SQL.replace("SELECT * FROM (", f"SELECT Model, Threshold, {_r6_cols(_MCOLS)}, Confusion_Matrix FROM (", 1))
 def q_union_results(spark, d):
     return r6(_eval_rows(spark, d))
 
@@ -603,22 +618,24 @@ def q_rename_and_pad(spark, d):
     return r6(EV.standardize_metrics(_eval_rows(spark, d), "Binary Logit"))
 
 
-@register("comparison_table", _EVAL_SQL.replace("SELECT * FROM (", f"SELECT Model, Threshold, {_r6_cols(_MCOLS)} FROM (", 1))
+@register("comparison_table", _EVAL_SQL.replace("SELECT * FROM (", f"SELECT Model, Threshold, {_r6_cols(_MCOLS)}, Confusion_Matrix, "
+          "row_number() OVER (ORDER BY ROC_AUC DESC NULLS LAST, Model) AS Position FROM (", 1))
 def q_comparison_table(spark, d):
-    return r6(EV.comparison_table(_eval_rows(spark, d)))
+    return RP.with_position(r6(EV.comparison_table(_eval_rows(spark, d))))
 
 
 @register("sort_results", _EVAL_SQL.replace(
     "SELECT * FROM (", "SELECT Model, 'Binary Logit' AS Family, "
-    + _r6_cols(["Accuracy", "Balanced_Accuracy", "Macro_F1", "ROC_AUC", "MAE"]) + " FROM (", 1))
+    + _r6_cols(["Accuracy", "Balanced_Accuracy", "Macro_F1", "ROC_AUC", "MAE"])
+    + ", row_number() OVER (ORDER BY ROC_AUC DESC NULLS LAST, Model) AS Position FROM (", 1))
 def q_sort_results(spark, d):
-    return r6(EV.sort_results(EV.standardize_metrics(_eval_rows(spark, d), "Binary Logit")))
+    return RP.with_position(r6(EV.sort_results(EV.standardize_metrics(_eval_rows(spark, d), "Binary Logit"))))
 
 
-@register("metric_ranking", _EVAL_SQL.replace("SELECT * FROM (", "SELECT Model, round(Macro_F1, 6) AS Macro_F1 FROM (", 1)
-          + " WHERE Macro_F1 IS NOT NULL")
+@register("metric_ranking", _EVAL_SQL.replace("SELECT * FROM (", "SELECT Model, round(Macro_F1, 6) AS Macro_F1, "
+          "row_number() OVER (ORDER BY Macro_F1 DESC, Model) AS Position FROM (", 1) + " WHERE Macro_F1 IS NOT NULL")
 def q_metric_ranking(spark, d):
-    return r6(RP.metric_ranking(_eval_rows(spark, d), "Macro_F1").select("Model", "Macro_F1"))
+    return RP.with_position(r6(RP.metric_ranking(_eval_rows(spark, d), "Macro_F1").select("Model", "Macro_F1")))
 
 
 _SUMMARY_SQL = f"""SELECT count(p) AS n_draws, round(avg(p), 6) AS mean_probability, round(median(p), 6) AS median_probability,
@@ -648,10 +665,10 @@ def q_risk_bands(spark, d):
     return r6(PR.risk_bands(scored_documents(spark, d), "p"))
 
 
-@register("ordered_category_sort", DOC + _bands_sql("docs", "p"))
+@register("ordered_category_sort", DOC + f"SELECT *, row_number() OVER (ORDER BY Band_Order) AS Position FROM ({_bands_sql('docs', 'p')}) b")
 def q_ordered_category_sort(spark, d):
-    return r6(RP.ordered_category_sort(PR.risk_bands(scored_documents(spark, d), "p"), "Risk_Band",
-                                       [b[0] for b in RISK_BANDS]))
+    bands = r6(PR.risk_bands(scored_documents(spark, d), "p")).orderBy("Count")
+    return RP.with_position(RP.ordered_category_sort(bands, "Risk_Band", [b[0] for b in RISK_BANDS]))
 
 
 @register("histogram", DOC + """, rng AS (SELECT min(p) AS lo, max(p) AS hi FROM docs),
@@ -670,7 +687,7 @@ def q_histogram(spark, d):
 @register("sample_n", REC + """
 SELECT row_key, l_orderkey, p_type, l_quantity FROM records ORDER BY md5('42:' || row_key), row_key LIMIT 5000""")
 def q_sample_n(spark, d):
-    return SA.sample_n(records_table(spark, d), 5000, 42).select("row_key", "l_orderkey", "p_type", "l_quantity")
+    return SA.sample_n(records(spark, d), 5000, 42).select("row_key", "l_orderkey", "p_type", "l_quantity")
 
 
 @register("stratified_split", REC + """
@@ -691,7 +708,7 @@ draws AS (SELECT range AS draw_id,
 
 @register("bootstrap_sample", _BOOT_SQL + "SELECT d.draw_id, x.row_key FROM draws d JOIN idx x ON d.i = x.i")
 def q_bootstrap_sample(spark, d):
-    return SA.bootstrap_sample(spark, records_table(spark, d), 5000, 42).select("draw_id", "row_key")
+    return SA.bootstrap_sample(spark, records(spark, d), 5000, 42).select("draw_id", "row_key")
 
 
 # --------------------------------------------------------------------------- encoding and pruning
@@ -701,18 +718,18 @@ _ENC_CATS = ["l_returnflag", "l_linestatus", "o_orderpriority", "p_type"]
 
 
 def _enc_spec(spark, d):
-    return fit_design(records_table(spark, d), _ENC_FEATS, _ENC_CATS)
+    return fit_design(records(spark, d), _ENC_FEATS, _ENC_CATS)
 
 
 @register("dummy_encode", None)
 def q_dummy_encode(spark, d):
     spec = _enc_spec(spark, d)
-    return spec.encode(records_table(spark, d), keep=["row_key"])
+    return spec.encode(records(spark, d), keep=["row_key"])
 
 
 @register("encode_with_training_levels", None)
 def q_encode_training_levels(spark, d):
-    r = records_table(spark, d)
+    r = records(spark, d)
     spec = fit_design(r.filter(F.col("l_returnflag") != "N"), ["l_returnflag", "p_size"], ["l_returnflag"])
     return spec.encode(r, keep=["row_key", "l_returnflag"])
 
@@ -772,7 +789,7 @@ def q_gram_matrix(spark, d):
            "l_linestatus_O": ("l_linestatus", "O"), "p_type_LARGE": ("p_type", "LARGE"),
            "p_type_SMALL": ("p_type", "SMALL")}
     spec = DesignSpec([], [], {}, list(_GRAM_TERMS), src)
-    g = gram_matrix(spec.encode(records_table(spark, d)), _GRAM_TERMS)
+    g = gram_matrix(spec.encode(records(spark, d)), _GRAM_TERMS)
     rows = [(i, j, float(round(g[i, j], 4))) for i in range(len(_GRAM_TERMS)) for j in range(len(_GRAM_TERMS))]
     return spark.createDataFrame(rows, "i int, j int, value double")
 
@@ -780,7 +797,7 @@ def q_gram_matrix(spark, d):
 @register("duplicate_columns", None)
 def q_duplicate_columns(spark, d):
     from riskloom.operators.linalg import duplicate_order
-    r = records_table(spark, d).withColumn("status_copy", F.col("l_linestatus"))
+    r = records(spark, d).withColumn("status_copy", F.col("l_linestatus"))
     spec = fit_design(r, ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority"],
                       ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority"])
     g = gram_matrix(spec.encode(r), spec.terms)
@@ -837,9 +854,11 @@ def q_what_if_switch(spark, d):
     return r6(_switch_df(spark, d))
 
 
-@register("relative_change", _SWITCH_SQL)
+@register("relative_change", REC + """
+SELECT row_key, round((l_quantity - l_discount) / nullif(l_discount, 0) * 100.0, 6) AS change_percent FROM records""")
 def q_relative_change(spark, d):
-    return r6(_switch_df(spark, d))
+    """Per record: the change from the discount to the quantity; NULL where the base is 0."""
+    return r6(records(spark, d).select("row_key", relative_change_percent(F.col("l_quantity"), F.col("l_discount")).alias("change_percent")))
 
 
 @register("tornado_table", "SELECT Scenario, Variable, Absolute_Change, CAST(sign(Absolute_Change) AS INTEGER) AS Direction FROM ("
@@ -1096,8 +1115,9 @@ SELECT Term, round(Coefficient, 6) AS Coefficient, {Q.value_label_sql('Variable'
 FROM terms""")
 def q_dim_lookup(spark, d):
     t = _level_logodds_df(spark, d)
-    return r6(t.select("Term", "Coefficient",
-                       LB.lookup_value_label(F.col("Variable"), F.col("Level"), RECORD_VALUE_LABELS).alias("Label")))
+    labels = LB.label_table(spark, RECORD_VALUE_LABELS)
+    same = (F.col("Variable") == F.col("label_variable")) & (normalize_code("Level") == F.col("label_code"))
+    return r6(t.join(labels, same, "left").select("Term", "Coefficient", F.col("label").alias("Label")))
 
 
 @register("top_bottom_k", _LOGODDS_SQL + """
@@ -1113,9 +1133,9 @@ def q_top_bottom_k(spark, d):
 
 @register("top_by_abs", _LOGODDS_SQL + """
 SELECT Term, round(Coefficient, 6) AS Coefficient FROM terms WHERE Coefficient <> 0
-ORDER BY abs(Coefficient) DESC, Term LIMIT 20""")
+ORDER BY abs(Coefficient) DESC, Term LIMIT 20""".replace("AS Coefficient FROM", "AS Coefficient, row_number() OVER (ORDER BY abs(Coefficient) DESC, Term) AS Position FROM"))
 def q_top_by_abs(spark, d):
-    return r6(RP.top_by_abs(_level_logodds_df(spark, d).select("Term", "Coefficient"), "Coefficient", 20))
+    return RP.with_position(r6(RP.top_by_abs(_level_logodds_df(spark, d).select("Term", "Coefficient"), "Coefficient", 20)))
 
 
 @register("nonzero_count", _LOGODDS_SQL + """
@@ -1144,10 +1164,10 @@ def q_odds_ratios_ordinal(spark, d):
     return r6(odds_ratios_ordinal(cuts.unionByName(feats)))
 
 
-# --------------------------------------------------------------------------- fitted models (rows-only checks)
+# --------------------------------------------------------------------------- fitted models
 
 from riskloom.operators.fit import fit_report, logit_l1, logit_l2, logit_mle, term_table  # noqa: E402
-from riskloom.operators.ordinal import ordinal_term_table  # noqa: E402
+from riskloom.operators.ordinal import ordered_logit, ordinal_term_table  # noqa: E402
 from riskloom.plans import suites as SU  # noqa: E402
 from riskloom.presets import (RECORD_COMBINED_CATEGORICAL, RECORD_COMBINED_FEATURES,  # noqa: E402
                               RECORD_CONTEXT_CATEGORICAL, RECORD_CONTEXT_FEATURES, RECORD_ITEM_CATEGORICAL,
@@ -1173,43 +1193,86 @@ def _combined_fit(spark, d, fit):
         SU.release(cached)
 
 
-@register("full_rank_columns")
+# One factor with all its levels as terms and no intercept: every fit has a closed form, which the oracles state.
+_ONE_FACTOR = REC + """, g AS (SELECT p_type AS lv, count(*) AS n, CAST(sum(y) AS DOUBLE) AS k FROM prepared WHERE p_type IS NOT NULL GROUP BY 1),
+q AS (SELECT *, k / n AS r FROM g)
+"""
+_L1_ALPHA, _L2_C = 40.0, 0.01
+
+
+def _one_factor(spark, d, fit):
+    p = prepared_records(spark, d)
+    return term_table(spark, fit(p, fit_design(p, ["p_type"], ["p_type"], drop_first=False))).drop("p_value")
+
+
+@register("full_rank_columns", """SELECT * FROM (VALUES (0, 'l_quantity', 'kept'), (-1, 'copy', 'dependent'), (1, 'p_size', 'kept'),
+  (-1, 'total', 'dependent'), (2, 'c_acctbal', 'kept')) AS t(Position, Term, Status)""")
 def q_full_rank_columns(spark, d):
-    spec, _ = _combined_fit(spark, d, lambda t, s: None)
-    rows = [(i, t, "kept") for i, t in enumerate(spec.terms)] + \
-           [(-1, t, why) for t, why in spec.dropped.items()]
+    """A copied and a summed column among three independent ones, over all records."""
+    from riskloom.operators.linalg import full_rank_order
+    r = records(spark, d).withColumn("copy", F.col("l_quantity")).withColumn("total", F.col("l_quantity") + F.col("p_size"))
+    cols = ["l_quantity", "copy", "p_size", "total", "c_acctbal"]
+    kept = full_rank_order(gram_matrix(r, cols))
+    rows = [(kept.index(i), c, "kept") if i in kept else (-1, c, "dependent") for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, "Position int, Term string, Status string")
 
 
-@register("logit_mle")
+@register("logit_mle", _ONE_FACTOR + """SELECT 'p_type_' || lv AS Term, 'p_type' AS Variable, lv AS Level,
+  round(ln(r / (1 - r)), 6) AS Coefficient, round(sqrt(1 / (n * r * (1 - r))), 6) AS Std_Error FROM q""")
 def q_logit_mle(spark, d):
-    _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
-    return term_table(spark, model)
+    return r6(_one_factor(spark, d, lambda t, s: logit_mle(t, s, "y")))
 
 
-@register("fit_report")
+@register("fit_report", _ONE_FACTOR + """SELECT 'One factor' AS Model, 'MLE' AS Fit_Type, true AS Converged,
+  CAST(count(*) AS INTEGER) AS N_Terms, CAST(count_if(k <> n / 2.0) AS INTEGER) AS N_Nonzero FROM q""")
 def q_fit_report(spark, d):
-    _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
-    return fit_report(spark, model, "Combined (with_other_group)")
+    p = prepared_records(spark, d)
+    model = logit_mle(p, fit_design(p, ["p_type"], ["p_type"], drop_first=False), "y")
+    return fit_report(spark, model, "One factor").drop("Iterations")
 
 
-@register("logit_l1")
+@register("logit_l1", _ONE_FACTOR + f"""SELECT 'p_type_' || lv AS Term, 'p_type' AS Variable, lv AS Level,
+  round(CASE WHEN abs(k - n / 2.0) <= {_L1_ALPHA} THEN 0.0 ELSE ln(m / (n - m)) END, 4) AS Coefficient, CAST(NULL AS DOUBLE) AS Std_Error
+FROM (SELECT *, k - {_L1_ALPHA} * sign(k - n / 2.0) AS m FROM q) s""")
 def q_logit_l1(spark, d):
-    _, model = _combined_fit(spark, d, lambda t, s: logit_l1(t, s, "y", alpha=0.1))
-    return term_table(spark, model)
+    return r6(_one_factor(spark, d, lambda t, s: logit_l1(t, s, "y", alpha=_L1_ALPHA)), 4)
 
 
-@register("logit_l2")
+def _l2_sql() -> str:
+    steps = ["b0 AS (SELECT lv, n, k, CAST(0 AS DOUBLE) AS b FROM q)"]
+    for i in range(1, 12):
+        p = "(1 / (1 + exp(-b)))"
+        steps.append(f"b{i} AS (SELECT lv, n, k, b - (n * {p} - k + b / {_L2_C}) / (n * {p} * (1 - {p}) + 1 / {_L2_C}) AS b FROM b{i - 1})")
+    return (_ONE_FACTOR.rstrip() + ",\n" + ",\n".join(steps) + """
+SELECT 'p_type_' || lv AS Term, 'p_type' AS Variable, lv AS Level, round(b, 4) AS Coefficient, CAST(NULL AS DOUBLE) AS Std_Error FROM b11""")
+
+
+@register("logit_l2", _l2_sql())
 def q_logit_l2(spark, d):
-    _, model = _combined_fit(spark, d, lambda t, s: logit_l2(t, s, "y", C=1.0))
-    return term_table(spark, model)
+    return r6(_one_factor(spark, d, lambda t, s: logit_l2(t, s, "y", C=_L2_C)), 4)
 
 
-@register("ordered_logit")
+@register("ordered_logit", REC + """, g AS (SELECT p_type AS lv, count(*) AS n, avg(CAST(y_ord = 1 AS DOUBLE)) AS r
+  FROM prepared WHERE y_ord IN (1, 2) GROUP BY 1),
+z AS (SELECT lv, ln(r / (1 - r)) AS z, 1 / (n * r * (1 - r)) AS v, row_number() OVER (ORDER BY lv) AS i FROM g),
+ref AS (SELECT * FROM z WHERE i = 1)
+SELECT '1/2' AS Term, 'cut' AS Kind, round(z, 5) AS Coefficient, round(sqrt(v), 5) AS Std_Error FROM ref
+UNION ALL SELECT 'p_type_' || z.lv, 'feature', round(ref.z - z.z, 5), round(sqrt(z.v + ref.v), 5) FROM z, ref WHERE z.i > 1""")
 def q_ordered_logit(spark, d):
-    p = prepared_records(spark, d)
-    res = SU.fit_ordinal(spark, p, ORD_COMBINED, "y_ord", RECORDS, include_other=True)
-    return ordinal_term_table(spark, res.model)
+    p = prepared_records(spark, d).where(F.col("y_ord").isin(1, 2))
+    model = ordered_logit(p, fit_design(p, ["p_type"], ["p_type"]), "y_ord", [1, 2])
+    return r6(ordinal_term_table(spark, model), 5)
+
+
+@register("logit_mle_combined")
+def q_logit_mle_combined(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
+    return term_table(spark, model)
+
+
+@register("ordered_logit_combined")
+def q_ordered_logit_combined(spark, d):
+    return ordinal_term_table(spark, SU.fit_ordinal(spark, prepared_records(spark, d), ORD_COMBINED, "y_ord", RECORDS, include_other=True, evaluate=False).model)
 
 
 @register("ordered_pipeline")
@@ -1276,7 +1339,7 @@ def q_load_or_compute(spark, d):
     """First call computes and stores the level-count table; the second finds it complete and reads it."""
     from riskloom.sources.tables import load_or_compute
     paths = {"level_counts": scratch_dir(spark, "reuse") + "/level_counts"}
-    compute = lambda: {"level_counts": HY.level_counts(records_table(spark, d), CATS)}
+    compute = lambda: {"level_counts": HY.level_counts(records(spark, d), CATS)}
     load_or_compute(spark, paths, compute)
     return load_or_compute(spark, paths, compute)["level_counts"]
 
@@ -1300,7 +1363,7 @@ FROM records WHERE l_returnflag = 'N'"""
 def q_align_terms(spark, d):
     """Train terms come from rows with flag A (reference) and R; rows with the unseen level N
     align to the train term list with zeros (the reference level)."""
-    r = records_table(spark, d)
+    r = records(spark, d)
     spec = fit_design(r.filter(F.col("l_returnflag") != "N"), ["l_returnflag", "p_size"], ["l_returnflag"])
     return spec.encode(r.filter(F.col("l_returnflag") == "N"), keep=["row_key", "l_returnflag"])
 

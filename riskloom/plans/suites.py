@@ -25,6 +25,7 @@ from riskloom.operators.report import top_by_abs
 from riskloom.operators.sampling import sample_n, stratified_split
 from riskloom.operators.score import batch_score, interval_columns
 from riskloom.presets import HygieneSpec
+from riskloom.session import checkpointed
 
 
 @dataclass
@@ -49,7 +50,7 @@ class BinaryResult:
 class OrdinalResult:
     label: str
     model: OrderedModel
-    metrics: DataFrame
+    metrics: DataFrame | None
 
 
 def prepare_binary(df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, include_other: bool):
@@ -103,7 +104,7 @@ def fit_binary(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hyg
         model = logit_mle(train, spec, y_col)
         scored = batch_score(test.select(y_col, *[c for c in spec.features if c in test.columns]), model)
         metrics = EV.evaluate_binary(scored, y_col, "Predicted_Probability", 0.5, m.label)
-        metrics = metrics.checkpoint(eager=True)      # one row; lets the cache go
+        metrics = checkpointed(metrics)      # one row; lets the cache go
     finally:
         release(cached)
     return BinaryResult(m.label, model, metrics)
@@ -126,11 +127,18 @@ def binary_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_
 
 def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *,
                 include_other: bool, classes=(1, 2, 3), seed: int = 42, test_share: float = 0.30,
-                key_col: str = "row_key", max_iter: int = 50) -> OrdinalResult:
-    """Ordinal path: coerce/filter classes, drop missing, hygiene, encode, split, Newton fit."""
-    src = _keep(df.select(list(dict.fromkeys([key_col, y_col] + m.features)))
-                .filter(F.col(y_col).cast("int").isin(list(classes))))
+                key_col: str = "row_key", max_iter: int = 50, evaluate: bool = True) -> OrdinalResult:
+    """Ordinal path: coerce class and numerics, filter classes, drop missing, hygiene, encode, split, Newton fit.
+
+    Classes and numeric features may be text; what is no number counts as missing.
+    """
+    numeric = [c for c in m.features if c not in m.categorical]
+    typed = df.select(list(dict.fromkeys([key_col, y_col] + m.features))).withColumns({c: HY.as_number(df, c) for c in [y_col, *numeric]})
+    src = _keep(typed.filter(F.col(y_col).isin([float(c) for c in classes])).withColumn(y_col, F.col(y_col).cast("int")))
     d = HY.drop_missing(src, m.features + [y_col])
+    if d.isEmpty():
+        release([src])
+        raise ValueError(f"no rows left: {y_col} has no class of {list(classes)} in a row without missing features")
     d, _ = HY.variablewise_preprocess(d, hygiene, m.categorical, include_other_group=include_other,
                                       default_threshold=m.default_threshold)
     keep = list(dict.fromkeys([key_col, y_col] + m.features))
@@ -141,12 +149,14 @@ def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hy
         train = d.filter(F.col("is_test") == 0)
         test = d.filter(F.col("is_test") == 1)
         model = ordered_logit(train, spec, y_col, list(classes), max_iter=max_iter)
+        if not evaluate:
+            return OrdinalResult(m.label, model, None)
         pred = ordered_predict(test.select(y_col, *spec.features), model)
-        cm = EV.confusion_matrix(pred, y_col, "predicted")
+        cm = checkpointed(EV.confusion_matrix(pred, y_col, "predicted"))
         auc = EV.roc_auc_ovr_macro(pred, y_col, {c: f"p_{c}" for c in model.classes}).select("ROC_AUC").scalar()
-        metrics = EV.classification_metrics(cm).select(
+        metrics = checkpointed(EV.classification_metrics(cm).select(
             F.lit(m.label).alias("Model"), "Accuracy", "Balanced_Accuracy", "Macro_Precision", "Macro_Recall",
-            "Macro_F1", auc.alias("ROC_AUC"), "MAE").checkpoint(eager=True)
+            "Macro_F1", auc.alias("ROC_AUC"), "MAE", EV.matrix_text(cm).scalar().alias("Confusion_Matrix")))
     finally:
         release([d, src])
     return OrdinalResult(m.label, model, metrics)
@@ -199,13 +209,13 @@ def exploratory(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, *,
         test = d.filter(F.col("is_test") == 1)
         model = logit_l1(train, spec, y_col, alpha=alpha)
         scored = batch_score(test.select(y_col, *spec.features), model).select(y_col, "Predicted_Probability")
-        scored = scored.checkpoint(eager=True)
+        scored = checkpointed(scored)
         best = EV.threshold_sweep(scored, y_col, "Predicted_Probability").first()
         at_half = EV.evaluate_binary(scored, y_col, "Predicted_Probability", 0.5, f"{m.label} (0.50)")
         tuned = EV.evaluate_binary(scored, y_col, "Predicted_Probability", float(best["best_threshold"]),
                                    f"{m.label} (tuned)")
         terms = term_table(spark, model)
-        out = {"metrics": at_half.unionByName(tuned).checkpoint(eager=True),
+        out = {"metrics": checkpointed(at_half.unionByName(tuned)),
                "top_coefficients": top_by_abs(terms, "Coefficient", 20),
                "fit": fit_report(spark, model, m.label)}
     finally:
@@ -228,7 +238,7 @@ def what_if_report(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str,
     try:
         spec = prune_design(fit_design(d, m.features, m.categorical), d, y_col)
         model = logit_mle(d, spec, y_col)
-        baseline = PR.baseline_profile(d, m.features, m.categorical, baseline_defaults).checkpoint(eager=True)
+        baseline = checkpointed(PR.baseline_profile(d, m.features, m.categorical, baseline_defaults))
         out = {
             "baseline_profile": baseline.select("*", *interval_columns(model)),
             "category_switch": WI.what_if_switch(baseline, model, switch_scenarios),
@@ -238,7 +248,7 @@ def what_if_report(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str,
         }
         for var, grid in curves:
             out[f"curve_{var}"] = WI.what_if_curve(baseline, model, var, grid)
-        out = {k: v.checkpoint(eager=True) for k, v in out.items()}
+        out = {k: checkpointed(v) for k, v in out.items()}
     finally:
         release([d, src])
     out["model"] = model  # type: ignore[assignment]
