@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import scratch_dir
@@ -55,44 +53,87 @@ def contested(spark: SparkSession, members: DataFrame) -> DataFrame:
     return saved(spark, shared.drop("n").join(weights, "id"), "members")
 
 
-def linked(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) of ids that verified links connect.
+#: Star rounds before the rest is compared in blocks, and shingle hashes in a block of a bucket.
+ROUNDS, BLOCK_HASHES = 2, 60_000
+
+
+def close_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union; known: (id, shingles array<long>)."""
+    x, y = (known.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where(_close(F.col("s_a"), F.col("s_b"), percent)).select("a", "b")
+
+
+def _close(a: Column, b: Column, percent: int) -> Column:
+    n, m = F.size(a), F.size(b)
+    both = F.size(F.array_intersect(a, b))
+    # sizes alone decide most pairs
+    return F.when(100 * F.least(n, m) >= percent * F.greatest(n, m), 100 * both >= percent * (n + m - both)).otherwise(False)
 
-    A round picks in each bucket the member whose buckets are the largest (the
-    likely origin of its copies; ties to the smaller id) and tests it against
-    the members of other components: a star, so the pairs are fewer than the
-    members. Then components grow, the tested centre leaves its bucket, and
-    buckets go on while they hold two components: every pair of one bucket that
-    could still join two components is tested in the end.
+
+def compared_in_blocks(active: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All close pairs (a, b) of ids of different components that share a bucket; active: (key, id, component).
+
+    A bucket's members are dealt to blocks of a bounded number of shingle
+    hashes, and each two blocks meet in one row, inside which their members are
+    compared: rows are pairs of blocks, and only close pairs come out. A pair
+    is compared in the first bucket that it shares.
     """
-    labels, done = None, None
-    active = members
-    while True:
-        if labels is not None:
-            known = labels.select("id", "component")
-            active = active.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            active = active.withColumn("component", F.col("id"))
-        centres = active.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), F.col("component").alias("of"))).alias("c"),
-                                            F.min("component").alias("low"), F.max("component").alias("high")) \
+    sized = known.select("id", F.size("shingles").alias("n"))
+    buckets = active.join(sized, "id").groupBy("key").agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
+        .where("low < high").select("key", F.ceil(F.col("n") / BLOCK_HASHES).cast("int").alias("blocks"))
+    rows = active.join(buckets, "key")
+    keys = rows.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    full = rows.join(keys, "id").join(known, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = full.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "keys", "shingles")).alias("members"))
+    other = blocks.select(F.col("key").alias("other_key"), F.col("block").alias("other"), F.col("members").alias("others"))
+    met = blocks.join(other, (F.col("key") == F.col("other_key")) & (F.col("block") <= F.col("other")))
+
+    def against(x: Column) -> Column:
+        def wanted(y: Column) -> Column:
+            fresh = (x["component"] != y["component"]) & ((F.col("block") < F.col("other")) | (x["id"] < y["id"]))
+            mine = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
+            return F.when(fresh, F.when(mine, _close(x["shingles"], y["shingles"], percent)).otherwise(False)).otherwise(False)
+        return F.transform(F.filter("others", wanted), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+
+    return met.select(F.inline(F.flatten(F.transform("members", against)))).distinct()
+
+
+def _merged(spark: SparkSession, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after more links (a, b)."""
+    if labels is None:
+        return components(spark, links)
+    at = [labels.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")) for c in ("a", "b")]
+    roots = links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    merged = components(spark, roots)
+    up = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    old = labels.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return saved(spark, old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
+
+
+def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of ids that links connect; members: ``contested``, known: (id, shingles).
+
+    A star round picks in each bucket the member whose buckets are the largest
+    (the likely origin of its copies; ties to the smaller id) and tests it
+    against the members of other components, so pairs are fewer than members;
+    then components grow and the tested centre leaves its bucket. Stars alone
+    would lose links between members that are both unlike the centre, so
+    buckets that still hold two components are then compared in blocks.
+    """
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("component", F.col("id"))
+        return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    labels, active = None, members
+    for _ in range(ROUNDS):
+        now = labelled(active)
+        centres = now.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), F.col("component").alias("of"))).alias("c"),
+                                         F.min("component").alias("low"), F.max("component").alias("high")) \
             .where("low < high").select("key", (-F.col("c.less")).alias("centre"), F.col("c.of").alias("centre_of"))
-        rows = saved(spark, active.join(centres, "key"), "round")
-        if rows.isEmpty():
-            return labels if labels is not None else members.select("id", F.col("id").alias("component")).limit(0)
+        rows = saved(spark, now.join(centres, "key"), "round")
         pairs = rows.where("component <> centre_of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = saved(spark, pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = verify(pairs)
-        if labels is None:
-            labels = components(spark, links)
-        else:
-            at = [labels.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")) for c in ("a", "b")]
-            roots = links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-            merged = components(spark, roots)
-            up = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
-            old = labels.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-            new = merged.join(labels, "id", "left_anti")
-            labels = saved(spark, old.unionByName(new), "labels")
+        labels = _merged(spark, labels, saved(spark, close_pairs(pairs, known, percent), "links"))
         active = rows.where("id <> centre").select("id", "key", "weight")
+    rest = compared_in_blocks(saved(spark, labelled(active).select("key", "id", "component"), "rest"), known, percent)
+    return _merged(spark, labels, saved(spark, rest, "links"))

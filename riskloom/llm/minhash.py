@@ -5,8 +5,8 @@ node. Each class's set is cut into bins by its hash's upper bits; the smallest
 hash of each bin is its sketch; an empty bin copies a full one that its own
 hash sequence chooses, the same for all sets (optimal densification). Bands of
 four bins are bucket keys: two sets of similarity 0.85 miss all 32 of them with
-probability 6e-11. ``linking.linked`` draws stars inside the buckets and every
-link is confirmed on the full sets.
+probability 6e-11. ``linking.linked`` draws stars inside the buckets, compares
+in blocks what stars cannot decide, and confirms every link on the full sets.
 """
 
 from __future__ import annotations
@@ -111,15 +111,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     members = contested(spark, classes.select("id", F.explode("bands").alias("key")).distinct())
     known = saved(spark, rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"), "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        sizes = known.select("id", F.size("shingles").alias("n"))
-        a, b = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
-        close = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        x, y = (known.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("a", "b"))
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        return saved(spark, close.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct(), "links")
-
-    labels = linked(spark, members, confirm).select(F.col("id").alias("label_id"), "component")
+    labels = linked(spark, members, known, percent).select(F.col("id").alias("label_id"), "component")
     named = classes.drop("bands").join(labels, F.col("id") == F.col("label_id"), "left").select("n", "one", "two", F.coalesce("component", "id").alias("component"))
     out = seen.drop("bands").join(named, ["n", "one", "two"], "left") \
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
