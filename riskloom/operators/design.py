@@ -204,8 +204,11 @@ def _full_rank(terms: list[str], gram: np.ndarray, index: dict[str, int], tol: f
 
 
 def prune_design(spec: DesignSpec, df: DataFrame, y_col: str | None, *, split_col: str | None = None,
-                 sparse: bool = True, rank_tol: float = 1e-9) -> DesignSpec:
-    """Reference pruning order, from one stats pass and one Gram pass.
+                 sparse: bool = True, rank: bool = True, rank_tol: float = 1e-9) -> DesignSpec:
+    """Pruning in the analysis' order, from one stats pass and one Gram pass.
+
+    ``rank=False`` leaves dependent terms in, for fits that can hold them
+    (a penalised fit, or an ordered fit after reference levels are dropped).
 
     All rows: constant -> duplicate -> full rank.  Then, on the training rows
     (``split_col`` == 0, or all rows without a split): constant -> duplicate ->
@@ -225,7 +228,7 @@ def prune_design(spec: DesignSpec, df: DataFrame, y_col: str | None, *, split_co
     kept, const, dups = _prune_constant_duplicate(terms, all_stats, all_gram, index)
     dropped.update({t: "constant" for t in const})
     dropped.update({t: "duplicate" for t in dups})
-    full = _full_rank(kept, all_gram, index, rank_tol)
+    full = _full_rank(kept, all_gram, index, rank_tol) if rank else kept
     dropped.update({t: "dependent" for t in kept if t not in set(full)})
 
     train_stats = parts[0]
@@ -237,7 +240,7 @@ def prune_design(spec: DesignSpec, df: DataFrame, y_col: str | None, *, split_co
         sp = set(sparse_dummy_drop(train_stats, kept))
         dropped.update({t: "sparse or separating" for t in kept if t in sp})
         kept = [t for t in kept if t not in sp]
-    final = _full_rank(kept, train_gram, index, rank_tol)
+    final = _full_rank(kept, train_gram, index, rank_tol) if rank else kept
     dropped.update({t: "dependent (train)" for t in kept if t not in set(final)})
     out = DesignSpec(spec.features, spec.numeric, spec.levels, final, spec.source, dict(spec.dropped))
     out.dropped.update(dropped)

@@ -55,18 +55,16 @@ def bootstrap_sample(spark: SparkSession, df: DataFrame, n_draws: int, seed: int
     n_rows = sum(n for _, n in tops)
     if n_rows == 0:
         return df.limit(0).withColumn("draw_id", F.lit(None).cast("bigint"))
-    starts, at = [], 0
-    for _, n in tops:
-        starts.append(at)
+    spans, at = [], 0
+    for top, n in tops:
+        spans.append((top, at, at + n))
         at += n
+    coarse = F.broadcast(spark.createDataFrame(spans, "_top bigint, _start bigint, _end bigint"))  # at most 4,096 rows
     draw_key = F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string"))
     pos = F.pmod(F.conv(F.substring(F.md5(draw_key), 1, 15), 16, 10).cast("bigint"), F.lit(n_rows))
-    start_of = F.expr("array(" + ", ".join(f"{s}L" for s in starts) + ")")
-    top_of = F.expr("array(" + ", ".join(f"{t}L" for t, _ in tops) + ")")
-    k = F.size(F.filter(start_of, lambda s: s <= F.col("_pos")))
-    draws = spark.range(n_draws).select(F.col("id").alias("draw_id"), pos.alias("_pos")).withColumn("_k", k) \
-        .select("draw_id", F.element_at(top_of, F.col("_k")).alias("_top"),
-                (F.col("_pos") - F.element_at(start_of, F.col("_k"))).alias("_in_top"))
+    draws = spark.range(n_draws).select(F.col("id").alias("draw_id"), pos.alias("_pos")) \
+        .join(coarse, (F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_end"))) \
+        .select("draw_id", "_top", (F.col("_pos") - F.col("_start")).alias("_in_top"))
     upto = F.sum("_cnt").over(Window.partitionBy("_top").orderBy("_p"))
     spans = fine.select("_top", "_p", "_cnt", (upto - F.col("_cnt")).alias("_from"))
     drawn = draws.join(spans, "_top").filter((F.col("_from") <= F.col("_in_top")) & (F.col("_in_top") < F.col("_from") + F.col("_cnt"))) \

@@ -1000,6 +1000,18 @@ def q_bootstrap_bands(spark, d):
     return r6(out["bands"])
 
 
+_DRAW_COLUMNS = [c for c in FIXED_LOGIT.spec.features]
+
+
+@register("bootstrap_draws", _bootstrap_scored_sql() + f"""SELECT s.draw_id, {', '.join('x.' + c for c in _DRAW_COLUMNS)},
+  round(s.p, 6) AS Predicted_Probability, CAST(NULL AS DOUBLE) AS CI_Lower_95, CAST(NULL AS DOUBLE) AS CI_Upper_95, 'Fixed' AS Fit_Type
+FROM scored s JOIN draws d ON s.draw_id = d.draw_id JOIN idx x ON d.i = x.i""")
+def q_bootstrap_draws(spark, d):
+    """The draws themselves: features, probability and kind of fit."""
+    out = WI.bootstrap_risk(spark, prepared_records(spark, d), FIXED_LOGIT, _baseline_df(spark, d), n_draws=5000, seed=42)
+    return out["draws"].withColumn("Predicted_Probability", F.round("Predicted_Probability", 6))
+
+
 @register("brief_details", None)
 def q_brief_details(spark, d):
     base = _baseline_scored_df(spark, d)
@@ -1167,7 +1179,7 @@ def q_odds_ratios_ordinal(spark, d):
 # --------------------------------------------------------------------------- fitted models
 
 from riskloom.operators.fit import fit_report, logit_l1, logit_l2, logit_mle, term_table  # noqa: E402
-from riskloom.operators.ordinal import ordered_logit, ordinal_term_table  # noqa: E402
+from riskloom.operators.ordinal import ordered_fit_report, ordered_logit, ordinal_term_table  # noqa: E402
 from riskloom.plans import suites as SU  # noqa: E402
 from riskloom.presets import (RECORD_COMBINED_CATEGORICAL, RECORD_COMBINED_FEATURES,  # noqa: E402
                               RECORD_CONTEXT_CATEGORICAL, RECORD_CONTEXT_FEATURES, RECORD_ITEM_CATEGORICAL,
@@ -1264,6 +1276,14 @@ def q_ordered_logit(spark, d):
     return r6(ordinal_term_table(spark, model), 5)
 
 
+@register("ordered_fit_report", REC + """SELECT 'One factor' AS Model, true AS Converged, CAST(2 AS INTEGER) AS N_Classes,
+  CAST(count(DISTINCT p_type) - 1 AS INTEGER) AS N_Terms FROM prepared WHERE y_ord IN (1, 2)""")
+def q_ordered_fit_report(spark, d):
+    p = prepared_records(spark, d).where(F.col("y_ord").isin(1, 2))
+    model = ordered_logit(p, fit_design(p, ["p_type"], ["p_type"]), "y_ord", [1, 2])
+    return ordered_fit_report(spark, model, "One factor").drop("Iterations", "Log_Likelihood")
+
+
 @register("logit_mle_combined")
 def q_logit_mle_combined(spark, d):
     _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
@@ -1333,6 +1353,14 @@ def q_write_table(spark, d):
     return spark.read.schema(SCHEMAS["orders"]).parquet(path)
 
 
+@register("write_table_csv", ORACLE["union_results"])
+def q_write_table_csv(spark, d):
+    """A result table written as CSV with a header and read back typed."""
+    result = r6(_eval_rows(spark, d))
+    path = write_table(result, scratch_dir(spark, "write") + "/metrics", fmt="csv")
+    return spark.read.schema(result.schema).option("header", True).csv(path)
+
+
 @register("load_or_compute", REC + f""", src AS (SELECT * FROM records)
 SELECT variable, level, count(*) AS count FROM ({_UNPIVOT_CATS}) u GROUP BY variable, level""")
 def q_load_or_compute(spark, d):

@@ -145,7 +145,7 @@ def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hy
     d = stratified_split(d.select(keep), y_col, test_share, seed, key_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         spec = fit_design(d, m.features, m.categorical)
-        spec = prune_design(spec, d, None, split_col="is_test", sparse=False)
+        spec = prune_design(spec, d, None, split_col="is_test", sparse=False, rank=False)
         train = d.filter(F.col("is_test") == 0)
         test = d.filter(F.col("is_test") == 1)
         model = ordered_logit(train, spec, y_col, list(classes), max_iter=max_iter)
@@ -204,7 +204,7 @@ def exploratory(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, *,
     d = stratified_split(d.select(keep), y_col, 0.30, seed, key_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         spec = fit_design(d, m.features, m.categorical)
-        spec = prune_design(spec, d, None, split_col="is_test", sparse=False)
+        spec = prune_design(spec, d, None, split_col="is_test", sparse=False, rank=False)
         train = d.filter(F.col("is_test") == 0)
         test = d.filter(F.col("is_test") == 1)
         model = logit_l1(train, spec, y_col, alpha=alpha)
