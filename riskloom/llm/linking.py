@@ -118,7 +118,7 @@ def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: i
     against the members of other components, so pairs are fewer than members;
     then components grow and the tested centre leaves its bucket. Stars alone
     would lose links between members that are both unlike the centre, so
-    buckets that still hold two components are then compared in blocks.
+    buckets that still hold two components are then compared in blocks, whole.
     """
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:

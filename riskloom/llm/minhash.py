@@ -22,6 +22,7 @@ from riskloom.llm import bytesops as B
 from riskloom.llm import ties
 from riskloom.llm.linking import contested, linked, saved
 
+#: Bins of a sketch, and bins of a band.
 BINS, ROWS = 128, 4
 _SPELL, _SHINGLE = B.Rolling(131), B.Rolling(149)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
