@@ -1,6 +1,6 @@
 """Shortest-pack-first packing over the length histogram.
 
-Tokenized documents are cut into pieces of at most one sequence. The histogram
+Tokenized documents are cut into pieces of at most one sequence (``spans``). The histogram
 of piece lengths (one count for each length, so its size does not follow the
 corpus) is packed on the driver, longest first, always into the shortest pack
 that is open; packs of equal contents are one group with a count. Every step
@@ -14,6 +14,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,45 @@ from riskloom.llm import ties
 from riskloom.llm.tokens import encoder
 from riskloom.session import scratch_dir
 
-#: Ranks are counted apart in so many shares of a length at least; one more for every million bytes of text.
-MIN_SHARES, SHARE_BYTES = 64, 1 << 20
+#: Ranks are counted apart in so many shares of a length at least; one more for every million pieces.
+MIN_SHARES, SHARE_PIECES = 64, 1_000_000
+
+
+#: ASCII characters that are neither letter, digit, white space nor apostrophe.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_MARKS_ASCII = _MARKS.encode()
+
+
+def letters_and_marks(word: bytes) -> tuple[bytes, ...]:
+    """A word of letters and then marks as these two parts, ASCII letters in lower case; any other as it is.
+
+    The tokenizer's pattern takes letters as one pre-token and the marks after
+    them as another (contractions begin with an apostrophe), and it lowers
+    case itself, so the parts have the word's ids.
+    """
+    if word.isascii():
+        head = word.rstrip(_MARKS_ASCII)
+        if not head.isalpha():
+            return (word,)
+        return (head.lower(), word[len(head):]) if len(head) < len(word) else (head.lower(),)
+    text = word.decode("utf-8", "replace")
+    head = text.rstrip(_MARKS)
+    if not (head.isalpha() and head.lower().isalpha()):
+        return (word,)
+    tail = text[len(head):].encode()
+    return (head.encode(), tail) if tail else (word,)
+
+
+def spans(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Where a document of n ids is cut: whole sequences, then a half if the rest is longer than that.
+
+    Two halves fill a sequence, and what is left is short, so that documents a
+    little longer than half a sequence do not each leave the other half empty.
+    """
+    cuts = list(range(0, n, capacity))
+    if cuts and capacity // 2 < n - cuts[-1] < capacity:
+        cuts.append(cuts[-1] + capacity // 2)
+    return list(zip(cuts, [*cuts[1:], n]))
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
@@ -46,14 +84,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str,
             edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(ends)])) if len(ends) else [0]
             for a, b in zip(edges[:-1], edges[1:]):
                 words = [raw[x:y].split() for x, y in zip(first[a:b], ends[a:b].tolist())]
-                ids = known.lookup([w for ws in words for w in ws])
+                ids = known.lookup(chain.from_iterable(words), letters_and_marks)
                 rows = []
                 for name, ws in zip(names[a:b], words):
                     whole = b"".join([ids[w] for w in ws]) + stop
                     n = len(whole) // 4
-                    for s in range(0, n, capacity):
-                        part = whole[4 * s:4 * (s + capacity)]
-                        rows.append((name, s, len(part) // 4, part, zlib.crc32(part), n))
+                    for s, e in spans(n, capacity):
+                        part = whole[4 * s:4 * e]
+                        rows.append((name, s, e - s, part, zlib.crc32(part), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))],
                                                  ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
@@ -98,11 +136,11 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, capac
     written once to the shared folder, so tokens are made once.
     """
     table = scratch_dir(spark, "pieces")
-    shares = max(MIN_SHARES, math.ceil(ties.total_bytes(docs, text_col) / SHARE_BYTES))
-    # the row's own number within its written file tells apart what is equal
-    pieces(docs, path, end_id, capacity, id_col, text_col).withColumn("piece", F.monotonically_increasing_id()) \
-        .withColumn("share", F.pmod(F.xxhash64("piece"), F.lit(shares))).write.parquet(table)
+    # the number given to a row when it is written tells apart what is equal
+    pieces(docs, path, end_id, capacity, id_col, text_col).withColumn("piece", F.monotonically_increasing_id()).write.parquet(table)
     made = spark.read.parquet(table)
+    shares = max(MIN_SHARES, math.ceil(made.count() / SHARE_PIECES))
+    made = made.withColumn("share", F.pmod(F.xxhash64("piece"), F.lit(shares)))
     counts = made.groupBy("length", "share").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     placed = shortest_pack_first(histogram, capacity)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 
 #: Chunks remembered in each of two generations by a Python worker.
-GENERATION = 150_000
+GENERATION = 350_000
 
 
 class Encoder:
@@ -23,8 +24,12 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def lookup(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """A mapping that holds the ids of all given chunks."""
+    def lookup(self, chunks: Iterable[bytes], parts: Callable[[bytes], tuple[bytes, ...]] | None = None) -> dict[bytes, bytes]:
+        """A mapping that holds the ids of all given chunks.
+
+        ``parts`` cuts a chunk where the tokenizer surely does, so that chunks
+        that differ only in such parts share the work.
+        """
         young, old = self.young, self.old
         unknown = []
         for c in set(chunks).difference(young):
@@ -32,14 +37,24 @@ class Encoder:
                 young[c] = ids
             else:
                 unknown.append(c)
-        for a in range(0, len(unknown), 1_000):
-            part = unknown[a:a + 1_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                young[c] = np.asarray(e.ids, "<u4").tobytes()
+        if parts:
+            cut = [(c, p) for c in unknown if len(p := parts(c)) > 1 or p[0] != c]
+            whole = set(unknown).difference(c for c, _ in cut)
+            self._encode(list(whole.union(q for _, p in cut for q in p).difference(young)))
+            for c, p in cut:
+                young[c] = b"".join([young[q] for q in p])
+        else:
+            self._encode(unknown)
         if len(young) > GENERATION:
             self.young, self.old = {}, young
         return young
 
+    def _encode(self, unknown: list[bytes]) -> None:
+        for a in range(0, len(unknown), 1_000):
+            part = unknown[a:a + 1_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
+                self.young[c] = np.asarray(e.ids, "<u4").tobytes()
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
