@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.linking import saved
 from riskloom.session import scratch_dir
 
 
@@ -94,6 +95,8 @@ def scan(spark: SparkSession, docs: DataFrame, ledger_path: str, rules: tuple[Ru
     wanted = [r.key for r in rules]
     known = table.parquet(ledger_path).select("blob", F.filter("findings", lambda f: f["rule"].isin(wanted)).alias("findings")) \
         .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("findings"))).alias("findings"))
+    # read back, both sides of the join are dealt for it alone, and a blob with very many paths can be split
+    known = saved(spark, known, "findings")
     return versions.select("doc_id", "blob").join(known, "blob").select("doc_id", "blob", "findings")
 
 
