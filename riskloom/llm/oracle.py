@@ -1,5 +1,7 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from riskloom.llm.secrets import BASE, RULES
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP6 = rf"""
@@ -25,7 +27,32 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM p QUALIFY rank <= 10
 """
 
+def _secrets() -> str:
+    """Positions from the lengths of the gaps between matches and of the matches."""
+    parts = []
+    for k, r in enumerate(RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        enough = f"length(regexp_extract(ms[i], {p}, {r.group})) >= {r.least}"
+        parts.append(f"""SELECT doc_id, '{r.kind}' AS kind, {k} AS k, ms[i] AS m,
+  list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS gs FROM d WHERE regexp_matches(t, {p})) a) b
+WHERE {enough}""")
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg({one}, ',' ORDER BY s, k) FILTER (WHERE kind IN ({base})) AS b, string_agg({one}, ',' ORDER BY s, k) AS a
+      FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 ORACLE = {
+    "op10_secrets": _secrets(),
     "op5_topk_bits": OP5,
     "op6_window_dedup": OP6,
 }
