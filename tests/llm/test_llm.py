@@ -196,6 +196,18 @@ def test_line_dedup_recall(spark):
     assert out == brute.line_dedup(data)
 
 
+def test_line_dedup_without_spaces(spark):
+    """One character changed at some place of lines without spaces: Chinese, Thai, a URL, tabs, base64."""
+    data = []
+    for line in ("".join(chr(0x4E00 + 37 * k % 5000) for k in range(60)), "".join(chr(0x0E01 + k * k % 46) for k in range(80)), "https://example.org/" + "a1b2c3d4e5/index/of/all/pages/by/date/2024",
+                 "\t".join(f"cell{k * 7919 % 997}" for k in range(12)), "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVowMTIzNDU2Nzg5"):
+        data += [line, *(line[:j] + "#" + line[j + 1:] for j in (0, 1, 2, 9, 23, 40, len(line) - 1))]
+    data = list(enumerate(data))
+    out = sorted((r.doc_id, r.n_lines, list(r.removed_lines)) for r in line_dedup.digest(spark, spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert out == brute.line_dedup(data)
+    assert sum(bool(r[2]) for r in out) > 25
+
+
 def test_secrets(spark, docs, rows, tmp_path):
     out = secrets.digest(spark, docs)
     assert got(out.drop("spans")) == brute.secret_spans(rows)
