@@ -196,6 +196,26 @@ def test_line_dedup_recall(spark):
     assert out == brute.line_dedup(data)
 
 
+def test_line_dedup_short_lines(spark):
+    """Pairs of lines of 2 to 12 words with one character or word changed, anywhere or at the end."""
+    rnd = random.Random(21)
+
+    def word():
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 11)))
+    data = ["Continued overleaf page 3", "Continued overleaf page 4", "Continued page 3", "Continued page 4", "abcdefgh", "abcdefghi", "aaaaa", "aaaaaaa"]
+    data += [f"Read more {w} on page {k}" for w in [word() for _ in range(30)] for k in (3, 4)]
+    for n in range(2, 13):
+        for k in range(16):
+            w = [word() for _ in range(n)]
+            line, at = " ".join(w), -1 if k % 2 else rnd.randrange(n)
+            place = len(line) - 1 if k % 4 else rnd.randrange(len(line))
+            data += [line, " ".join([*w[:at], "it", *w[at:][1:]]) if k < 8 else line[:place] + "#" + line[place + 1:]]
+    data = list(enumerate(data))
+    out = sorted((r.doc_id, r.n_lines, list(r.removed_lines)) for r in line_dedup.digest(spark, spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert out == brute.line_dedup(data)
+    assert sum(bool(r[2]) for r in out) > 70
+
+
 def test_line_dedup_without_spaces(spark):
     """One character changed at some place of lines without spaces: Chinese, Thai, a URL, tabs, base64."""
     data = []
