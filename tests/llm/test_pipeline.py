@@ -1,5 +1,7 @@
 """Every stage of the corpus pipeline against plain Python on the small table."""
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -42,3 +44,16 @@ def test_run_reads_the_table(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 100
+
+
+def test_language_rejects(spark):
+    """Gibberish and an unlearned script go, nearly all real texts stay; without labels all texts with a letter stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rnd = random.Random(2)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz    ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "αβγδεζηθικλμνξοπρστυφχψω    ", "абвгдежзийклмнопрстуфхцчшщъыьэюя    "]
+    bad = [(-1 - 10 * k - j, "".join(rnd.choice(a) for _ in range(1500)), None) for k, a in enumerate(alphabets) for j in range(10)]
+    more = spark.createDataFrame([*bad, (-100, "123 !?", None), (-101, None, None)], docs.schema)
+    ids = [r.doc_id for r in P.identify_language(spark, docs.unionByName(more), SF).collect()]
+    assert min(ids) >= 0 and len(ids) >= 0.98 * docs.count()
+    bare = spark.createDataFrame([(1, "the cat", None), (2, "12", None), (3, None, None), (4, "ναι", None)], docs.schema)
+    assert sorted(r.doc_id for r in P.identify_language(spark, bare, SF).collect()) == [1, 4]
