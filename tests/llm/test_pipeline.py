@@ -57,3 +57,19 @@ def test_language_rejects(spark):
     assert min(ids) >= 0 and len(ids) >= 0.98 * docs.count()
     bare = spark.createDataFrame([(1, "the cat", None), (2, "12", None), (3, None, None), (4, "ναι", None)], docs.schema)
     assert sorted(r.doc_id for r in P.identify_language(spark, bare, SF).collect()) == [1, 4]
+
+
+def test_repeated_and_null_ids(spark):
+    """Of copies with one id, or with none, one row stays after each dedup stage."""
+    rnd = random.Random(9)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    one, two, three = words(40), words(40), words(40)
+    data = [(7, one), (7, one), (3, one), (None, two), (None, two), (5, three), (5, three), (None, three), (9, words(40)), (None, words(40))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    lines = sorted(r.text for r in P.dedup_lines(spark, docs, SF).collect())
+    assert lines == sorted({t for _, t in data})
+    near = P.near_dedup(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert sorted((r.text, r.doc_id or 0) for r in near.collect()) == sorted([(one, 3), (two, 0), (three, 5), (data[8][1], 9), (data[9][1], 0)])
