@@ -5,13 +5,15 @@ cut alike in every document; a chunk is encoded once by a worker while it is
 remembered and reused in all documents after that. A join of two chunks agrees
 with the encoding of the whole if a pre-token begins there: the space stands
 between two characters that are no white space, so no run of white space, no
-``\\s+(?!\\S)`` and no other alternative of the pattern can reach across. Joins
-for which that cannot be shown are repaired: the chunks on both sides become
-one and are encoded again, until every join agrees.
+``\\s+(?!\\S)`` and no other alternative of the pattern can reach across. Cuts
+for which that cannot be shown are not taken, so the chunks are wider there.
+Nothing is encoded twice and no agreement is checked: the proof holds for
+byte-level BPE with the GPT-2 pattern alone, and other tokenizers are refused.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ GROUP_BYTES = 1 << 20
 
 
 def cuts(data: np.ndarray, ends: np.ndarray, taken: int = CUTS_IN_256) -> np.ndarray:
-    """Starts of chunks: each document's first byte and the rolling hash's cuts, less the joins that need repair."""
+    """Starts of chunks: each document's first byte and the rolling hash's cuts, less those not shown to be safe."""
     n = len(data)
     at = np.flatnonzero(data == 0x20)
     low = np.maximum(at - HASHED, 0)
@@ -44,12 +46,22 @@ def cuts(data: np.ndarray, ends: np.ndarray, taken: int = CUTS_IN_256) -> np.nda
     return np.unique(np.concatenate(([0], ends[:-1], at)))
 
 
+def require_pattern(tokenizer) -> None:
+    """ValueError unless the cuts are safe: the GPT-2 pattern without a prefix space, no normalizer, no added token that takes in white space."""
+    split = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    if tokenizer.normalizer is not None or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+        raise ValueError("chunk_bpe encodes with byte-level BPE and the GPT-2 pattern only")
+    if any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("chunk_bpe takes no added tokens that depend on white space")
+
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _encoding(path: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
+        require_pattern(known.tokenizer)
         for batch in batches:
             data, ends = B.columns(batch)
             first = np.concatenate(([0], ends[:-1]))
@@ -93,7 +105,7 @@ def _decoding(path: str) -> Batches:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text, as the tokenizer encodes it without added special tokens.
 
-    A null or empty text has no ids; null ids of documents stay; each input row
+    Tokenizers other than byte-level BPE with the GPT-2 pattern are refused. A null or empty text has no ids; null ids of documents stay; each input row
     gives one row; an empty table gives none; other columns are not read.
     """
     return ties.document_bytes(docs, id_col, text_col).mapInArrow(_encoding(path), "doc_id long, ids array<int>")

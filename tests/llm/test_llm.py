@@ -286,6 +286,17 @@ def test_chunk_bpe(spark, docs, rows):
     assert got(split) == sorted(((i, t or "") for i, t in rows + more), key=brute.key)
 
 
+def test_chunk_bpe_refuses_other_patterns():
+    chunk_bpe.require_pattern(Tokenizer.from_file(BYTES))
+    spaced = Tokenizer.from_file(BYTES)
+    spaced.add_special_tokens(["a b"])
+    bare = Tokenizer.from_file(BYTES)
+    bare.pre_tokenizer = None
+    for other in (Tokenizer.from_file(WORDS), spaced, bare):
+        with pytest.raises(ValueError):
+            chunk_bpe.require_pattern(other)
+
+
 def test_packing(spark, docs, rows):
     ids = brute.packed_ids(Tokenizer.from_file(WORDS), rows)
     out = packing.pack(spark, docs, WORDS, capacity=256).collect()
