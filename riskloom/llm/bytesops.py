@@ -17,39 +17,95 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _base(seed: int) -> tuple[int, int]:
-    """An odd multiplier (3 mod 8) and its inverse modulo 2^64."""
-    rng = np.random.default_rng(seed)
-    b = (int(rng.integers(1 << 62)) << 3 | 3) & (1 << 64) - 1
-    return b, pow(b, -1, 1 << 64)
+#: Modulus of the fingerprints, a prime: no pair of words collides for every base, as some do modulo 2^64.
+PRIME = (1 << 61) - 1
+_P = U64(PRIME)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any x below 2^64."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray, bits: int) -> np.ndarray:
+    """x * 2^bits modulo the prime, for x below it: a rotation of 61 bits."""
+    return ((x << U64(bits)) & _P) | (x >> U64(61 - bits))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves of 31 bits, for a and b below it."""
+    low = U64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U64(31), a & low, b >> U64(31), b & low
+    mid = a1 * b0 + a0 * b1
+    return _folded(U64(2) * (a1 * b1) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << U64(31)) + a0 * b0)
 
 
 class Rolling:
-    """Rabin-Karp fingerprints of any window from one prefix sum, modulo 2^64."""
+    """Rabin-Karp fingerprints of any window from prefix sums, modulo 2^61 - 1.
+
+    A prefix sum is kept as lanes, the bits of the terms cut into short fields
+    that are summed apart: sums of a window never overflow, so a step costs no
+    reduction and only the windows that are asked for are put together.
+    """
 
     def __init__(self, seed: int):
-        self.base, self.inverse = _base(seed)
-        self.table = np.random.default_rng(seed + 1).integers(0, 1 << 64, 256, dtype=U64)
+        self.base = int(np.random.default_rng(seed).integers(1 << 32, PRIME))
+        self.inverse = pow(self.base, -1, PRIME)
         self._up = self._down = np.ones(1, U64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            m = max(n, 1 << 16)
-            up, down = np.full(m, self.base, U64), np.full(m, self.inverse, U64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.cumprod(up), np.cumprod(down)
+            m = 1 << max(16, (n - 1).bit_length())
+            self._up, self._down = _geometric(self.base, m), _geometric(self.inverse, m)
         return self._up[:n], self._down[:n]
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums (one longer than values); uint8 values go through the random table."""
-        v = self.table[values] if values.dtype == np.uint8 else values
-        out = np.zeros(len(v) + 1, U64)
-        np.cumsum(v * self._powers(len(v))[0], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def prefix(self, values: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Lanes (bits they stand above, prefix sums one longer than values); values: uint8 or numbers below 2^64."""
+        up = self._powers(len(values) + 1)[0][:-1]
+        if values.dtype == np.uint8:
+            # 9 bits by 21: windows of up to 2^34 bytes
+            v, fields = values.astype(U64) + U64(1), [(k, up >> U64(k) & U64((1 << 21) - 1)) for k in (0, 21, 42)]
+            terms = [(k, v * f) for k, f in fields]
+        else:
+            t = times(_folded(values), up)
+            terms = [(0, t & U64(0xFFFFFFFF)), (32, t >> U64(32))]
+        lanes = []
+        for k, t in terms:
+            sums = np.zeros(len(values) + 1, U64)
+            np.cumsum(t, out=sums[1:])
+            lanes.append((k, sums))
+        return lanes
+
+    @staticmethod
+    def _sum(prefix: list[tuple[int, np.ndarray]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = None
+        for k, sums in prefix:
+            part = _folded(sums[end] - sums[start])
+            part = _shifted(part, k) if k else part
+            total = part if total is None else _folded(total + part)
+        return total
+
+    def spans(self, prefix: list[tuple[int, np.ndarray]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed fingerprint of values[start:end] for arrays of starts and ends."""
-        return mix((prefix[end] - prefix[start]) * self._powers(len(prefix))[1][start])
+        return mix(times(self._sum(prefix, start, end), self._powers(len(prefix[0][1]))[1][start]))
+
+    def without_one(self, values: np.ndarray) -> np.ndarray:
+        """For each place, the fingerprint of all values but the one there."""
+        n = len(values)
+        prefix, at = self.prefix(values), np.arange(n)
+        after = times(self._sum(prefix, at + 1, np.full(n, n)), np.full(n, self.inverse, U64))
+        return mix(_folded(self._sum(prefix, np.zeros(n, np.int64), at) + after))
+
+
+def _geometric(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo the prime, by doubling; n a power of two."""
+    out = np.ones(n, U64)
+    have = 1
+    while have < n:
+        out[have:2 * have] = times(out[:have], np.full(have, pow(base, have, PRIME), U64))
+        have *= 2
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from riskloom.llm import bytesops as B
 from riskloom.llm import ties
 
-_SPELL, _FIRST, _SECOND = B.Rolling(11), B.Rolling(23), B.Rolling(37)
+_SPELL, _FIRST = B.Rolling(11), B.Rolling(23)
+_SPELL_AGAIN, _SECOND = B.Rolling(29), B.Rolling(37)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                   ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -21,10 +22,11 @@ class _Windows:
     def __init__(self, batch: pa.RecordBatch, window: int, buckets: int):
         self.data, self.ends = B.columns(batch)
         self.starts, self.stops, self.upto = B.words(self.data, self.ends)
-        spelled = _SPELL.spans(_SPELL.prefix(self.data), self.starts, self.stops)
+        # the second fingerprint is made from the bytes again, so that a collision of the first spelling is none of both
+        first, second = (r.spans(r.prefix(self.data), self.starts, self.stops) for r in (_SPELL, _SPELL_AGAIN))
         until = np.repeat(self.upto, np.diff(self.upto, prepend=0))  # of each word's document
         self.at = np.flatnonzero(np.arange(len(self.starts)) + window <= until)
-        keys, spread = (r.spans(r.prefix(v), self.at, self.at + window) for r, v in ((_FIRST, spelled), (_SECOND, B.mix(spelled))))
+        keys, spread = (r.spans(r.prefix(v), self.at, self.at + window) for r, v in ((_FIRST, first), (_SECOND, second)))
         self.entries = ties.Entries(keys, spread, buckets)
 
 
