@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chunk_bpe, language, line_dedup, minhash, packing, quality, secrets, spelling, suffix_dedup, topk_bits, window_dedup
+from riskloom.llm import chunk_bpe, conversation, language, line_dedup, minhash, packing, quality, secrets, spelling, suffix_dedup, topk_bits, window_dedup
 from riskloom.llm.oracle import ORACLE as ORACLE
 
 
@@ -53,6 +53,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(spark, documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.digest(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(spark, documents(spark, sf_dir))
 
@@ -68,5 +72,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chunk_bpe": op9_chunk_bpe,
     "op10_secrets": op10_secrets,
+    "op11_conversations": op11_conversations,
     "op12_spelling": op12_spelling,
 }
