@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chunk_bpe, conversation, language, line_dedup, minhash, packing, quality, secrets, spelling, suffix_dedup, topk_bits, window_dedup
+from riskloom.llm import chunk_bpe, conversation, language, line_dedup, minhash, packing, quality, secrets, spelling, suffix_dedup, topk_bits, warc, window_dedup
 from riskloom.llm.oracle import ORACLE as ORACLE
 
 
@@ -61,6 +61,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(spark, documents(spark, sf_dir))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
@@ -74,4 +78,5 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_conversations": op11_conversations,
     "op12_spelling": op12_spelling,
+    "op13_warc": op13_warc,
 }

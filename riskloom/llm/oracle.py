@@ -41,6 +41,14 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS componen
 FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+OP13 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
 
 def _secrets() -> str:
     """Positions from the lengths of the gaps between matches and of the matches."""
@@ -71,4 +79,5 @@ ORACLE = {
     "op10_secrets": _secrets(),
     "op5_topk_bits": OP5,
     "op6_window_dedup": OP6,
+    "op13_warc": OP13,
 }
