@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -11,7 +12,7 @@ ORACLE = E.oracle_sql()
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if hasattr(v, "item"):
         v = v.item()
