@@ -4,7 +4,7 @@ Terms are column expressions: numerics first (feature order), then one 0/1
 term per non-reference level (levels sorted, the first dropped).  A missing or
 unseen level encodes to all zeros, i.e. joins the reference level.  The matrix
 is never materialised wide on the driver: pruning needs one aggregation pass
-and one Gram pass.
+and one pass of QR factors and fingerprints.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.sqltext import ident, literal
 from riskloom.operators.hygiene import level_counts
-from riskloom.operators.linalg import duplicate_order, full_rank_order, gram_by_group
+from riskloom.operators.linalg import column_summary, equal_columns, independent_columns
 
 
 @dataclass
@@ -186,26 +186,27 @@ def sparse_dummy_drop(stats: TermStats, terms: list[str]) -> list[str]:
     return drop
 
 
-def _prune_constant_duplicate(terms: list[str], stats: TermStats, gram: np.ndarray,
-                              index: dict[str, int]) -> tuple[list[str], list[str], list[str]]:
-    const = [t for t in terms if not stats.varies[t]]
-    rest = [t for t in terms if stats.varies[t]]
-    sub = gram[np.ix_([index[t] for t in rest], [index[t] for t in rest])]
-    dups = [rest[j] for j in duplicate_order(sub)]
-    kept = [t for t in rest if t not in set(dups)]
+def _prune_constant_duplicate(terms: list[str], stats: TermStats, equal: dict[str, str]) -> tuple[list[str], list[str], list[str]]:
+    """(kept, constant, duplicate) of the terms; ``equal`` names the first column that a column equals."""
+    kept, const, dups, seen = [], [], [], set()
+    for t in terms:
+        if not stats.varies[t]:
+            const.append(t)
+        elif equal[t] in seen:
+            dups.append(t)
+        else:
+            seen.add(equal[t])
+            kept.append(t)
     return kept, const, dups
 
 
-def _full_rank(terms: list[str], gram: np.ndarray, index: dict[str, int], tol: float) -> list[str]:
-    if not terms:
-        return []
-    sub = gram[np.ix_([index[t] for t in terms], [index[t] for t in terms])]
-    return [terms[j] for j in full_rank_order(sub, tol)]
+def _full_rank(terms: list[str], factor: np.ndarray, index: dict[str, int], tol: float) -> list[str]:
+    return [terms[j] for j in independent_columns(factor[:, [index[t] for t in terms]], tol)]
 
 
 def prune_design(spec: DesignSpec, df: DataFrame, y_col: str | None, *, split_col: str | None = None,
-                 sparse: bool = True, rank: bool = True, rank_tol: float = 1e-9) -> DesignSpec:
-    """Pruning in the analysis' order, from one stats pass and one Gram pass.
+                 sparse: bool = True, rank: bool = True, rank_tol: float = 1e-10) -> DesignSpec:
+    """Pruning in the analysis' order, from one stats pass and one pass for factors and fingerprints.
 
     ``rank=False`` leaves dependent terms in, for fits that can hold them
     (a penalised fit, or an ordered fit after reference levels are dropped).
@@ -213,34 +214,38 @@ def prune_design(spec: DesignSpec, df: DataFrame, y_col: str | None, *, split_co
     All rows: constant -> duplicate -> full rank.  Then, on the training rows
     (``split_col`` == 0, or all rows without a split): constant -> duplicate ->
     sparse/separating 0/1 terms -> full rank.  Test rows follow the train terms.
+    Columns of one fingerprint are compared value by value before one is dropped.
     """
     terms = list(spec.terms)
     cols = [F.col(c) for c in ([y_col] if y_col else []) + ([split_col] if split_col else [])]
     enc = df.select(*cols, *[spec.term_expr(t).alias(t) for t in terms])
     n_groups = 2 if split_col else 1
     parts = term_stats(enc, terms, y_col, split_col, n_groups, spec)
-    grams, _ = gram_by_group(enc, terms, split_col, n_groups)
+    factors, prints = column_summary(enc, terms, split_col, n_groups)
     index = {t: i for i, t in enumerate(terms)}
     all_stats = combine_stats(parts, terms)
-    all_gram = grams.sum(axis=0)
+    both = [x ^ y for x, y in zip(*prints)] if split_col else prints[0]
+    train_rows = F.col(split_col) == 0 if split_col else F.lit(True)
+    # terms that do not vary go anyway, and are not compared
+    live = [t for t in terms if all_stats.varies[t]]
+    equal, equal_train = equal_columns(enc, live, [[f[index[t]] for t in live] for f in (both, prints[0])], [F.lit(True), train_rows])
     dropped: dict[str, str] = {}
 
-    kept, const, dups = _prune_constant_duplicate(terms, all_stats, all_gram, index)
+    kept, const, dups = _prune_constant_duplicate(terms, all_stats, equal)
     dropped.update({t: "constant" for t in const})
     dropped.update({t: "duplicate" for t in dups})
-    full = _full_rank(kept, all_gram, index, rank_tol) if rank else kept
+    full = _full_rank(kept, np.vstack(factors), index, rank_tol) if rank else kept
     dropped.update({t: "dependent" for t in kept if t not in set(full)})
 
     train_stats = parts[0]
-    train_gram = grams[0]
-    kept, const, dups = _prune_constant_duplicate(full, train_stats, train_gram, index)
+    kept, const, dups = _prune_constant_duplicate(full, train_stats, equal_train)
     dropped.update({t: "constant (train)" for t in const})
     dropped.update({t: "duplicate (train)" for t in dups})
     if sparse and y_col:
         sp = set(sparse_dummy_drop(train_stats, kept))
         dropped.update({t: "sparse or separating" for t in kept if t in sp})
         kept = [t for t in kept if t not in sp]
-    final = _full_rank(kept, train_gram, index, rank_tol) if rank else kept
+    final = _full_rank(kept, factors[0], index, rank_tol) if rank else kept
     dropped.update({t: "dependent (train)" for t in kept if t not in set(final)})
     out = DesignSpec(spec.features, spec.numeric, spec.levels, final, spec.source, dict(spec.dropped))
     out.dropped.update(dropped)

@@ -1,9 +1,9 @@
-"""Binary logit fits on Spark ML, with the full coefficient covariance.
+"""Binary logit fits, with the full coefficient covariance.
 
-* ``logit_mle`` - GeneralizedLinearRegression (binomial, logit, IRLS): one
-  distributed pass per iteration, coefficients + standard errors + p-values;
-  the full covariance comes from one extra Fisher-information pass.
-* ``logit_l1`` / ``logit_l2`` - LogisticRegression with an elastic-net penalty.
+* ``logit_mle`` - Newton's method (``newton``): one distributed pass a step, over
+  patterns if all terms are levels; the last step's information gives the full
+  covariance. ``logit_or_l1`` goes over to the L1 fit where the data separate.
+* ``logit_l1`` / ``logit_l2`` - Spark ML's LogisticRegression with an elastic-net penalty.
 
 Only coefficient-sized results reach the driver.
 """
@@ -17,13 +17,12 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.operators import newton as NW
 from riskloom.operators.design import DesignSpec
-from riskloom.operators.linalg import logistic_information
 from riskloom.presets import Z_COEF_INTERVAL
 
 
@@ -39,6 +38,7 @@ class LogitModel:
     se: np.ndarray | None = None
     pvalues: np.ndarray | None = None
     info: dict = field(default_factory=dict)
+    separated: bool = False
 
     @property
     def terms(self) -> list[str]:
@@ -57,47 +57,38 @@ def _assemble(df: DataFrame, spec: DesignSpec, y_col: str, weight_col: str | Non
 
 
 def logit_mle(df: DataFrame, spec: DesignSpec, y_col: str, *, fit_intercept: bool = False,
-              max_iter: int = 100, tol: float = 1e-8, with_covariance: bool = True) -> LogitModel:
-    """Unpenalised binary logit by IRLS (one convex optimum: no solver ladder)."""
+              max_iter: int = 100, tol: float = 1e-6, with_covariance: bool = True) -> LogitModel:
+    """Unpenalised binary logit by Newton's method (one convex optimum: no solver ladder).
+
+    ``separated`` is true if the outcome is decided by some term, so that no
+    finite optimum exists; such a model has not converged.
+    """
     if not spec.terms:
         raise ValueError("no terms left to fit")
-    # IRLS makes one pass per iteration: cache the assembled vectors once
-    data = _assemble(df, spec, y_col).persist(StorageLevel.MEMORY_AND_DISK)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=fit_intercept,
-                                      maxIter=max_iter, tol=tol, regParam=0.0, labelCol="label",
-                                      featuresCol="features")
-    try:
-        m = glr.fit(data)
-    finally:
-        data.unpersist()
-    coef = np.array(m.coefficients.toArray(), dtype="float64")
-    s = m.summary
-    iters = int(s.numIterations)
-    converged = iters < max_iter
-    cov = intercept_cov = None
+    problem = NW.binary_problem(df, spec, y_col, fit_intercept, max_iter, tol)
+    NW.solve(df.sparkSession, [problem])
+    return mle_model(problem, spec, fit_intercept, with_covariance)
+
+
+def mle_model(problem: NW.Problem, spec: DesignSpec, fit_intercept: bool = False, with_covariance: bool = True) -> LogitModel:
+    """The fitted model of a solved problem; standard errors from the information of the last step."""
+    k = len(spec.terms)
+    coef, intercept = problem.at[:k], float(problem.at[k]) if fit_intercept else 0.0
+    full = problem.covariance()
     se = pv = None
-    if with_covariance:
-        info = logistic_information(spec.encode(df), spec.terms, coef, float(m.intercept), fit_intercept)
-        try:
-            # of the coefficients; the intercept's uncertainty is in it, its own row is not kept apart
-            full = np.linalg.inv(info)
-            k = len(spec.terms)
-            cov = full[:k, :k]
-            intercept_cov = full[k] if fit_intercept else None
-            se = np.sqrt(np.clip(np.diag(cov), 0, None))
-            z = coef / np.where(se > 0, se, np.nan)
-            pv = _normal_sf(z)
-        except np.linalg.LinAlgError:
-            cov = None
-    if se is None:
-        try:
-            k = len(spec.terms)
-            se = np.asarray(s.coefficientStandardErrors[:k], dtype="float64")
-            pv = np.asarray(s.pValues[:k], dtype="float64")
-        except Exception:  # singular information: no standard errors
-            se = pv = None
-    return LogitModel(spec, coef, cov, float(m.intercept), "MLE", converged, iters, se, pv,
-                      {} if intercept_cov is None else {"intercept_cov": intercept_cov})
+    if full is not None:
+        # of the coefficients; the intercept's uncertainty is in it, its own row is kept apart
+        se = np.sqrt(np.clip(np.diag(full)[:k], 0, None))
+        pv = _normal_sf(coef / np.where(se > 0, se, np.nan))
+    keep = full is not None and with_covariance
+    return LogitModel(spec, coef, full[:k, :k] if keep else None, intercept, "MLE", problem.converged, problem.iterations, se, pv,
+                      {"intercept_cov": full[k]} if keep and fit_intercept else {}, problem.separated)
+
+
+def logit_or_l1(df: DataFrame, spec: DesignSpec, y_col: str, alpha: float = 0.01, **kw) -> LogitModel:
+    """The unpenalised fit, or the L1 fit where the data separate (its ``fit_type`` says which)."""
+    model = logit_mle(df, spec, y_col, **kw)
+    return logit_l1(df, spec, y_col, alpha=alpha) if model.separated or model.cov is None else model
 
 
 def logit_penalized(df: DataFrame, spec: DesignSpec, y_col: str, *, alpha: float, l1_ratio: float,

@@ -14,9 +14,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -107,53 +108,106 @@ def logistic_information(df: DataFrame, x_cols: list[str], beta: np.ndarray,
     return partial_sums(df, x_cols, [], p * p, kernel).reshape(p, p)
 
 
-def full_rank_order(gram: np.ndarray, tol: float = 1e-9) -> list[int]:
-    """Greedy left-to-right independent columns from a Gram matrix.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose every bit depends on all others."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    Column j is kept if its residual after projecting on the kept columns keeps
-    more than ``tol`` of its (unit-scaled) norm; an in-order Cholesky does this
-    in O(p³) on the driver instead of p full-data rank tests.  Because the Gram
-    squares the condition number, ``tol`` is on squared scale.
+
+def column_summary(df: DataFrame, x_cols: list[str], group_col: str | None = None, n_groups: int = 1) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Per group: a triangular factor R with RᵀR = XᵀX, and a fingerprint of every column, from one pass.
+
+    R is a tall-skinny QR: each partition folds its batches into one p x p
+    factor, and factors are merged by the QR of one above the other, so nothing
+    is squared and columns that differ by 1e-7 of their length are told apart.
+    A fingerprint is the XOR of hash(row number, value) over the rows, the row
+    number being the same for all columns: equal columns have equal ones.
+    """
+    names, p = list(x_cols), len(x_cols)
+
+    def rows(parts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        flat = [np.vstack((r, np.zeros((p - len(r), p)))).ravel() for r, _ in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(flat, pa.list_(pa.float64())), pa.array([f.view(np.int64) for _, f in parts.values()], pa.list_(pa.int64()))], names=["g", "r", "f"])
+
+    def merged(parts, g, r, f):
+        had = parts.get(g)
+        return (np.linalg.qr(np.vstack((had[0], r)), mode="r"), had[1] ^ f) if had else (np.linalg.qr(r, mode="r"), f)
+
+    def fold(batches):
+        parts, seen, base = {}, 0, TaskContext.get().partitionId() << 33
+        for b in batches:
+            X = _batch_matrix(b, names)
+            if not np.isfinite(X).all():
+                bad = [n for n, ok in zip(names, np.isfinite(X).all(axis=0)) if not ok]
+                raise ValueError(f"missing or non-finite values in {bad}: drop or impute them first")
+            key = _mixed(np.arange(base + seen, base + seen + len(X), dtype=np.uint64))
+            seen += len(X)
+            hashes = _mixed(_mixed((X + 0.0).view(np.uint64)) ^ key[:, None])
+            group = b.column(b.schema.get_field_index(group_col)).to_numpy(zero_copy_only=False).astype(int) if group_col else np.zeros(len(X), int)
+            for g in np.unique(group):
+                own = group == g
+                parts[int(g)] = merged(parts, int(g), X[own], np.bitwise_xor.reduce(hashes[own], axis=0))
+        yield from rows(parts)
+
+    def merge(batches):
+        parts = {}
+        for b in batches:
+            for g, r, f in zip(b.column("g").to_pylist(), b.column("r").to_pylist(), b.column("f").to_pylist()):
+                parts[g] = merged(parts, g, np.array(r).reshape(p, p), np.array(f, np.int64).view(np.uint64))
+        yield from rows(parts)
+
+    schema = "g int, r array<double>, f array<long>"
+    fan_in = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sel = df.select(*[F.col(c).cast("double").alias(c) for c in names], *([F.col(group_col).cast("int").alias(group_col)] if group_col else []))
+    found = sel.mapInArrow(fold, schema).repartition(fan_in).mapInArrow(merge, schema).coalesce(1).mapInArrow(merge, schema).collect()
+    factors, prints = [np.zeros((p, p)) for _ in range(n_groups)], [[0] * p for _ in range(n_groups)]
+    for row in found:
+        factors[row["g"]], prints[row["g"]] = np.array(row["r"]).reshape(p, p), list(row["f"])
+    return factors, prints
+
+
+def independent_columns(factor: np.ndarray, tol: float = 1e-10) -> list[int]:
+    """Greedy left-to-right independent columns, from a triangular factor of the data.
+
+    Column j is kept if more than ``tol`` of its length is left beside the kept
+    ones; lengths are those of the data itself, not their squares.
     """
-    d = np.sqrt(np.clip(np.diag(gram), 0, None))
     keep: list[int] = []
-    L = np.zeros((0, 0))
-    for j in range(gram.shape[0]):
-        if d[j] == 0:
-            continue
-        if not keep:
-            keep.append(j)
-            L = np.array([[1.0]])
-            continue
-        g = gram[np.ix_(keep, [j])][:, 0] / (d[keep] * d[j])
-        v = np.linalg.solve(L, g)
-        r = 1.0 - float(v @ v)
-        if r > tol:
+    basis = np.zeros((len(factor), 0))
+    for j in range(factor.shape[1]):
+        v = factor[:, j]
+        rest = v - basis @ (basis.T @ v)
+        rest = rest - basis @ (basis.T @ rest)
+        size = np.linalg.norm(rest)
+        if size > tol * np.linalg.norm(v):
             keep.append(j)
-            n = L.shape[0]
-            L2 = np.zeros((n + 1, n + 1))
-            L2[:n, :n] = L
-            L2[n, :n] = v
-            L2[n, n] = math.sqrt(r)
-            L = L2
+            basis = np.column_stack((basis, rest / size))
     return keep
 
 
-def duplicate_order(gram: np.ndarray, tol: float = 1e-12) -> list[int]:
-    """Indices of columns equal to an earlier column (‖xi - xj‖² = 0 from the Gram)."""
-    p = gram.shape[0]
-    dup: list[int] = []
-    kept: list[int] = []
-    for j in range(p):
-        is_dup = False
-        for i in kept:
-            dist = gram[i, i] - 2 * gram[i, j] + gram[j, j]
-            scale = max(1.0, gram[i, i] + gram[j, j])
-            if abs(dist) <= tol * scale:
-                is_dup = True
-                break
-        if is_dup:
-            dup.append(j)
-        else:
-            kept.append(j)
-    return dup
+def equal_columns(df: DataFrame, cols: list[str], prints: list[list[int]], wheres: list[Column]) -> list[dict[str, str]]:
+    """For every filter: each column and the first column that equals it (itself, if none) on the rows of the filter.
+
+    ``prints`` are the columns' fingerprints on these rows: only columns of one
+    fingerprint are compared, value by value, all of them in one aggregation.
+    """
+    out = [{c: c for c in cols} for _ in wheres]
+    todo = []
+    for n, found in enumerate(prints):
+        same: dict[int, list[str]] = {}
+        for c, f in zip(cols, found):
+            same.setdefault(f, []).append(c)
+        todo += [(n, group) for group in same.values() if len(group) > 1]
+    while todo:
+        pairs = [(n, group[0], c) for n, group in todo for c in group[1:]]
+        row = df.agg(*[F.coalesce(F.bool_and(F.when(wheres[n], F.col(a).eqNullSafe(F.col(b)))), F.lit(True)).alias(f"e{i}") for i, (n, a, b) in enumerate(pairs)]).first()
+        rest: dict[tuple[int, str], list[str]] = {}
+        for i, (n, a, b) in enumerate(pairs):
+            if row[f"e{i}"]:
+                out[n][b] = a
+            else:
+                rest.setdefault((n, a), []).append(b)
+        todo = [(n, group) for (n, _), group in rest.items() if len(group) > 1]
+    return out

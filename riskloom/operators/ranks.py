@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from riskloom.session import checkpointed
 
-#: Bits of the 60-bit hash that a level of ``hash_cutoffs`` counts by, and levels.
-LEVEL_BITS, LEVELS = 12, 3
+#: Upper bits of the 60-bit hash that rows are counted by, in two steps of half as many.
+CUT_BITS = 20
 
 
 def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], sum_cols: list[str]) -> DataFrame:
@@ -38,39 +38,53 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], sum
         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sum_cols])
 
 
+def _cut_prefixes(df: DataFrame, hk: Column, quota, g: list[str]) -> DataFrame:
+    """Per group: ``_all`` (quota >= size), or the prefix in which the quota ends and how many rows of it are in.
+
+    One pass counts by prefix; a group has at most 2^20 of these counts. They
+    are summed by their upper half, and only the counts of the one upper half
+    where the quota ends are looked at one by one.
+    """
+    prefix = F.shiftrightunsigned(hk, 60 - CUT_BITS)
+    counts = df.groupBy(*g, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
+    tops = counts.groupBy(*g, F.shiftrightunsigned("_p", CUT_BITS // 2).alias("_top")) \
+        .agg(F.sum("_cnt").alias("_n"), F.sort_array(F.collect_list(F.struct("_p", "_cnt"))).alias("_low"))
+    upto = F.sum("_n").over(Window.partitionBy(*g).orderBy("_top"))
+    summed = tops.withColumn("_upto", upto).withColumn("_size", F.sum("_n").over(Window.partitionBy(*g))).withColumn("_need", quota(F.col("_size")))
+    hit = (F.col("_need") < F.col("_size")) & (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))
+    # groups that are in whole, or not at all, keep their first row without a prefix
+    edge = ((F.col("_need") >= F.col("_size")) | (F.col("_need") <= 0)) & (F.col("_upto") == F.col("_n"))
+    start = F.struct(F.lit(None).cast("bigint").alias("p"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("left"))
+    found = F.aggregate("_low", start, lambda a, x: F.when(a["p"].isNotNull(), a).when(x["_cnt"] >= a["left"], F.struct(x["_p"].alias("p"), a["left"].alias("left")))
+                        .otherwise(F.struct(F.lit(None).cast("bigint").alias("p"), (a["left"] - x["_cnt"]).alias("left"))))
+    return summed.filter(hit | edge).select(*g, (F.col("_need") >= F.col("_size")).alias("_all"), F.when(hit, found).alias("_f")) \
+        .select(*g, "_all", F.col("_f.p").alias("_prefix"), F.col("_f.left").alias("_left"))
+
+
 def hash_cutoffs(df: DataFrame, order_cols: list[str], quota, group_cols: list[str]) -> DataFrame:
     """Per group (NULL is a group), where its quota of rows in hash order ends.
 
-    The first order column is a 60-bit hash. Rows are counted by its upper bits;
-    only the prefix in which the quota ends is counted by the next bits, and
-    so on: after three levels about rows / 2^36 rows a group are left to rank.
-    ``quota`` maps the group size (a column) to the number of rows. One row a
-    group: the group columns as ``_g_<c>``, ``_all`` (quota >= size), the order
-    columns of the last row as ``_c_<c>``, and ``_ties``: how many of the rows
-    equal to it in all order columns are inside. Rows without a hash do not count.
+    The first order column is a 60-bit hash. One pass finds the prefix of 20
+    bits in which the quota ends, a second one ranks that prefix's distinct
+    keys (about rows / 2^20 a group; a repeated key is one, however often it
+    occurs). ``quota`` maps the group size (a column) to the number of rows. One
+    row a group, kept in the shared folder: the group columns as ``_g_<c>``,
+    ``_all`` (quota >= size), the order columns of the last row as ``_c_<c>``,
+    and ``_ties``: how many of the rows equal to it in all order columns are
+    inside (NULL: all of them). Rows without a hash do not count.
     """
     hk = F.col(order_cols[0])
     g = [f"_g_{c}" for c in group_cols]
     rows = df.filter(hk.isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(group_cols, g)], *order_cols)
-    need = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).withColumn("_need", quota(F.col("_n")))
-    rest = rows
-    done = need.select(*g, (F.col("_need") >= F.col("_n")).alias("_all"), "_need")
-    left = done.filter(~F.col("_all") & (F.col("_need") > 0)).drop("_all")
-    for level in range(1, LEVELS + 1):
-        prefix = F.shiftrightunsigned(hk, 60 - LEVEL_BITS * level)
-        counts = rest.groupBy(*g, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
-        upto = F.sum("_cnt").over(Window.partitionBy(*g).orderBy("_p"))
-        counts = counts.withColumn("_upto", upto)
-        hit = _join_groups(counts, left, g).filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_cnt") < F.col("_need")))
-        left = hit.select(*g, "_p", (F.col("_need") - F.col("_upto") + F.col("_cnt")).alias("_need"))
-        rest = _join_groups(rest.withColumn("_q", prefix), left, g).filter(F.col("_q") == F.col("_p")).select(*g, *order_cols)
-        left = left.drop("_p")
-    ranked = rest.withColumn("_rn", F.row_number().over(Window.partitionBy(*g).orderBy(*order_cols))) \
-        .withColumn("_ties", F.row_number().over(Window.partitionBy(*g, *order_cols).orderBy("_rn")))
-    last = _join_groups(ranked, left, g).filter(F.col("_rn") == F.col("_need"))
-    last = last.select(*[F.col(n).alias(f"_l{n}") for n in g], *[F.col(c).alias(f"_c_{c}") for c in order_cols], "_ties")
-    return done.drop("_need").join(last, [F.col(n).eqNullSafe(F.col(f"_l{n}")) for n in g] or F.lit(True), "left") \
-        .drop(*[f"_l{n}" for n in g])
+    cut = checkpointed(_cut_prefixes(rows, hk, quota, g))
+    inside = _join_groups(rows, cut.filter(F.col("_prefix").isNotNull()), g).filter(F.shiftrightunsigned(hk, 60 - CUT_BITS) == F.col("_prefix"))
+    keys = inside.groupBy(*g, *order_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.first("_left").alias("_left"))
+    keys = keys.withColumn("_upto", F.sum("_cnt").over(Window.partitionBy(*g).orderBy(*order_cols)))
+    last = keys.filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_cnt") < F.col("_left")))
+    ties = F.col("_left") - F.col("_upto") + F.col("_cnt")
+    last = last.select(*[F.col(n).alias(f"_l{n}") for n in g], *[F.col(c).alias(f"_c_{c}") for c in order_cols], F.when(ties < F.col("_cnt"), ties).alias("_ties"))
+    out = cut.drop("_prefix", "_left").join(last, [F.col(n).eqNullSafe(F.col(f"_l{n}")) for n in g] or F.lit(True), "left")
+    return checkpointed(out.drop(*[f"_l{n}" for n in g]))
 
 
 def _join_groups(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
@@ -84,12 +98,13 @@ def flag_first_n(df: DataFrame, order_cols: list[str], quota, group_cols: list[s
                  name: str = "_first_n") -> DataFrame:
     """Flag (1/0) the first ``quota`` rows per group in (order_cols) order.
 
-    Rows before a group's cut-off are in by a plain comparison; of the rows that
-    equal it in every order column (repeated keys) as many as the quota still
-    holds. NULL is a group like any other.
+    Rows up to a group's cut-off are in by a plain comparison. Only if the
+    cut-off falls inside a repeated key are the rows with that key numbered, by
+    the part they are kept in, so that many of them are no single task. NULL is a
+    group like any other.
     """
     g = list(group_cols or [])
-    cut = checkpointed(hash_cutoffs(df, order_cols, quota, g))
+    cut = hash_cutoffs(df, order_cols, quota, g)
     on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g] or F.lit(True)
     joined = df.join(cut, on, "left")
     equal, before = F.lit(True), F.lit(False)
@@ -97,12 +112,20 @@ def flag_first_n(df: DataFrame, order_cols: list[str], quota, group_cols: list[s
         before = before | (equal & (F.col(c) < F.col(f"_c_{c}")))
         equal = equal & (F.col(c) == F.col(f"_c_{c}"))
     whole = F.coalesce(F.col("_all"), F.lit(False))
-    equal = F.coalesce(equal & ~whole, F.lit(False))
-    inside = whole & F.col(order_cols[0]).isNotNull() | F.coalesce(before, F.lit(False))
-    plain = joined.filter(~equal).select(*[F.col(c) for c in df.columns], inside.cast("int").alias(name))
-    turn = F.row_number().over(Window.partitionBy(*g, *order_cols).orderBy(*order_cols))
-    tied = joined.filter(equal).select(*[F.col(c) for c in df.columns], (turn <= F.col("_ties")).cast("int").alias(name))
-    return plain.unionByName(tied)
+    inside = whole & F.col(order_cols[0]).isNotNull() | F.coalesce(before | equal, F.lit(False))
+    parted = cut.filter(F.col("_ties").isNotNull())
+    if parted.isEmpty():
+        return joined.select(*[F.col(c) for c in df.columns], inside.cast("int").alias(name))
+    tied = F.coalesce(equal & F.col("_ties").isNotNull(), F.lit(False))
+    plain = joined.filter(~tied).select(*[F.col(c) for c in df.columns], inside.cast("int").alias(name))
+    kept = checkpointed(joined.filter(tied).select(*[F.col(c) for c in df.columns], "_ties", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    same = list(dict.fromkeys([*g, *order_cols]))
+    sizes = kept.groupBy(*same, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    skip = F.coalesce(F.sum("_cnt").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    skips = sizes.select(F.col("_part").alias("_of"), *[F.col(c).alias(f"_s_{c}") for c in same], skip.alias("_skip"))
+    turn = F.row_number().over(Window.partitionBy(*same, "_part").orderBy("_at"))
+    numbered = kept.withColumn("_turn", turn).join(skips, [F.col("_part") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in same]])
+    return plain.unionByName(numbered.select(*[F.col(c) for c in df.columns], (F.col("_skip") + F.col("_turn") <= F.col("_ties")).cast("int").alias(name)))
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -796,24 +796,29 @@ def q_gram_matrix(spark, d):
 
 @register("duplicate_columns", None)
 def q_duplicate_columns(spark, d):
-    from riskloom.operators.linalg import duplicate_order
-    r = records(spark, d).withColumn("status_copy", F.col("l_linestatus"))
-    spec = fit_design(r, ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority"],
-                      ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority"])
-    g = gram_matrix(spec.encode(r), spec.terms)
-    dups = duplicate_order(g)
-    rows = []
-    for j in dups:
-        for i in range(j):
-            if i not in dups and abs(g[i, i] - 2 * g[i, j] + g[j, j]) <= 1e-12 * max(1.0, g[i, i] + g[j, j]):
-                rows.append((spec.terms[j], spec.terms[i]))
-                break
-    return spark.createDataFrame(rows, "Term string, Duplicate_Of string")
+    """Terms equal to an earlier one; ``almost`` differs from l_linestatus in the rows of one order only and must stay."""
+    from riskloom.operators.linalg import column_summary, equal_columns
+    r = records(spark, d)
+    one = F.col("l_orderkey") == r.agg(F.min("l_orderkey")).scalar()
+    almost = F.when(one, F.when(F.col("l_linestatus") == "O", F.lit("F")).otherwise(F.lit("O"))).otherwise(F.col("l_linestatus"))
+    r = r.withColumn("status_copy", F.col("l_linestatus")).withColumn("almost", almost)
+    cats = ["l_returnflag", "l_linestatus", "status_copy", "o_orderpriority", "almost"]
+    spec = fit_design(r, cats, cats)
+    enc = spec.encode(r)
+    _, prints = column_summary(enc, spec.terms)
+    equal = equal_columns(enc, spec.terms, prints, [F.lit(True)])[0]
+    return spark.createDataFrame([(t, of) for t, of in equal.items() if t != of], "Term string, Duplicate_Of string")
+
 
+def _duplicate_sql() -> str:
+    """Every later column against the first, row by row."""
+    almost = "CASE WHEN l_orderkey = (SELECT min(l_orderkey) FROM records) THEN CASE WHEN l_linestatus = 'O' THEN 'F' ELSE 'O' END ELSE l_linestatus END"
+    later = [f"SELECT '{n}_O' AS Term, 'l_linestatus_O' AS Duplicate_Of FROM records HAVING bool_and(({x} = 'O') = (l_linestatus = 'O'))"
+             for n, x in (("status_copy", "l_linestatus"), ("almost", almost))]
+    return REC + " UNION ALL ".join(later)
 
-ORACLE["duplicate_columns"] = REC + """
-SELECT 'status_copy_O' AS Term, 'l_linestatus_O' AS Duplicate_Of FROM records
-WHERE (SELECT bool_and(l_linestatus = l_linestatus) FROM records) GROUP BY 1, 2"""
+
+ORACLE["duplicate_columns"] = _duplicate_sql()
 
 
 # --------------------------------------------------------------------------- what-if with the fixed model
@@ -1217,15 +1222,40 @@ def _one_factor(spark, d, fit):
     return term_table(spark, fit(p, fit_design(p, ["p_type"], ["p_type"], drop_first=False))).drop("p_value")
 
 
-@register("full_rank_columns", """SELECT * FROM (VALUES (0, 'l_quantity', 'kept'), (-1, 'copy', 'dependent'), (1, 'p_size', 'kept'),
-  (-1, 'total', 'dependent'), (2, 'c_acctbal', 'kept')) AS t(Position, Term, Status)""")
+_RANK_COLUMNS = ["l_quantity", "copy", "p_size", "total", "near", "c_acctbal"]
+
+
+def _rank_sql() -> str:
+    """The same greedy test, as Gram-Schmidt over the rows: what is left of a column beside the kept ones."""
+    steps, kept = [f"v0 AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _RANK_COLUMNS)} FROM wide)"], []
+    for i, c in enumerate(_RANK_COLUMNS):
+        later = ", ".join(f"{x} - {c} * (sum({x} * {c}) OVER () / nullif(sum({c} * {c}) OVER (), 0)) AS {x}" for x in _RANK_COLUMNS[i + 1:])
+        if c in ("copy", "total"):
+            later = ", ".join(_RANK_COLUMNS[i + 1:])
+        steps.append(f"v{i + 1} AS (SELECT {later or '1 AS done'} FROM v{i})")
+        kept.append(f"SELECT {i} AS i, '{c}' AS Term, (SELECT sqrt(sum({c} * {c})) FROM v{i}) / (SELECT sqrt(sum(CAST({c} AS DOUBLE) * {c})) FROM wide) > 1e-10 AS keep")
+    return REC + ", wide AS (SELECT l_quantity, l_quantity AS copy, p_size, l_quantity + p_size AS total, l_quantity + 5e-5 * l_discount AS near, c_acctbal FROM records),\n" \
+        + ",\n".join(steps) + ",\nt AS (" + " UNION ALL ".join(kept) + """)
+SELECT CAST(CASE WHEN keep THEN row_number() OVER (PARTITION BY keep ORDER BY i) - 1 ELSE -1 END AS INTEGER) AS Position, Term,
+       CASE WHEN keep THEN 'kept' ELSE 'dependent' END AS Status FROM t"""
+
+
+@register("full_rank_columns", _rank_sql())
 def q_full_rank_columns(spark, d):
-    """A copied and a summed column among three independent ones, over all records."""
-    from riskloom.operators.linalg import full_rank_order
-    r = records(spark, d).withColumn("copy", F.col("l_quantity")).withColumn("total", F.col("l_quantity") + F.col("p_size"))
-    cols = ["l_quantity", "copy", "p_size", "total", "c_acctbal"]
-    kept = full_rank_order(gram_matrix(r, cols))
-    rows = [(kept.index(i), c, "kept") if i in kept else (-1, c, "dependent") for i, c in enumerate(cols)]
+    """A copied, a summed and an almost copied column (they differ by about 1e-7 of their length) among independent ones, over all records."""
+    from riskloom.operators.linalg import column_summary, independent_columns
+    r = records(spark, d).withColumn("copy", F.col("l_quantity")).withColumn("total", F.col("l_quantity") + F.col("p_size")) \
+        .withColumn("near", F.col("l_quantity") + 5e-5 * F.col("l_discount"))
+    kept = independent_columns(column_summary(r, _RANK_COLUMNS)[0][0])
+    rows = [(kept.index(i), c, "kept") if i in kept else (-1, c, "dependent") for i, c in enumerate(_RANK_COLUMNS)]
+    return spark.createDataFrame(rows, "Position int, Term string, Status string")
+
+
+@register("full_rank_columns_combined")
+def q_full_rank_columns_combined(spark, d):
+    """Every candidate term of the combined design, and whether it stays or why it goes."""
+    spec, _ = _combined_fit(spark, d, lambda t, s: None)
+    rows = [(i, t, "kept") for i, t in enumerate(spec.terms)] + [(-1, t, why) for t, why in spec.dropped.items()]
     return spark.createDataFrame(rows, "Position int, Term string, Status string")
 
 
@@ -1290,6 +1320,31 @@ def q_logit_mle_combined(spark, d):
     return term_table(spark, model)
 
 
+@register("fit_report_combined")
+def q_fit_report_combined(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_mle(t, s, "y"))
+    return fit_report(spark, model, "Combined")
+
+
+@register("logit_l1_combined")
+def q_logit_l1_combined(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_l1(t, s, "y", alpha=0.1))
+    return term_table(spark, model)
+
+
+@register("logit_l2_combined")
+def q_logit_l2_combined(spark, d):
+    _, model = _combined_fit(spark, d, lambda t, s: logit_l2(t, s, "y"))
+    return term_table(spark, model)
+
+
+@register("ordered_logit_three_classes")
+def q_ordered_logit_three_classes(spark, d):
+    """One factor, all three classes (no closed form)."""
+    p = prepared_records(spark, d)
+    return ordinal_term_table(spark, ordered_logit(p, fit_design(p, ["p_type"], ["p_type"]), "y_ord", [1, 2, 3]))
+
+
 @register("ordered_logit_combined")
 def q_ordered_logit_combined(spark, d):
     return ordinal_term_table(spark, SU.fit_ordinal(spark, prepared_records(spark, d), ORD_COMBINED, "y_ord", RECORDS, include_other=True, evaluate=False).model)
