@@ -40,16 +40,17 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", 1, r"[0-9a-f]{16,}"),
 )
-#: A key's header, and all up to its END line; without one, lines of base64 as far as they go (line ends may be written as \n).
+#: A key's header; its header fields; lines of base64 (line ends may be written as \n), the last of them short; its END line, if it is there.
+_PART = r"(?:\\[rn]|[\s>\"'|#*\\])"
 PEM = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    r"(?:(?:[^-]++|-{1,4}+(?!-))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
-    r"(?:(?:\\[rn]|[\s>\"'|#*\\])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+"
-    r"(?:(?:\\[rn]|[\s>\"'|#*\\])++[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\x20\t]*+(?:[\r\n\"'\\]|\z)))?+)"
+    r"(?:\s*+(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*+)*+"
+    rf"(?:{_PART}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    rf"(?:{_PART}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\x20\t]*+(?:[\r\n\"'\\]|-----END|\z)))?+"
+    rf"(?:{_PART}*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?+"
 )
 MORE = (
-    Rule("pem", 2, PEM),
+    Rule("pem", 3, PEM),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
