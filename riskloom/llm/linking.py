@@ -12,7 +12,15 @@ def saved(spark: SparkSession, df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder and read back: a lost executor costs no earlier step."""
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(spark: SparkSession, *steps: DataFrame) -> None:
+    """Give the space of saved steps back once nothing reads them any more: an empty table overwrites them."""
+    for step in steps:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(step.saved_at)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -26,31 +34,39 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     found = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = saved(spark, both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), "hook")
+        parents = saved(spark, both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component"), F.lit(True).alias("moved")), "hook")
         while True:
             up = parents.select(F.col("id").alias("component"), F.col("component").alias("top"))
-            parents = saved(spark, parents.join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") < F.col("component")).alias("moved")), "jump")
+            jumped = saved(spark, parents.drop("moved").join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") < F.col("component")).alias("moved")), "jump")
+            discard(spark, parents)
+            parents = jumped
             if parents.where("moved").isEmpty():
                 break
-            parents = parents.drop("moved")
-        parents = parents.drop("moved")
         if found is None:
-            found = parents
+            labels = saved(spark, parents.drop("moved"), "labels")
         else:
             up = parents.select(F.col("id").alias("component"), F.col("component").alias("top"))
-            found = saved(spark, found.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+            labels = saved(spark, found.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+            discard(spark, found)
+        found = labels
         at = [parents.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")) for c in ("a", "b")]
-        links = saved(spark, links.join(at[0], "a").join(at[1], "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-                      .where("a < b").distinct(), "edges")
+        rest = saved(spark, links.join(at[0], "a").join(at[1], "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+                     .where("a < b").distinct(), "edges")
+        discard(spark, links, parents)
+        links = rest
     return found if found is not None else links.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def contested(spark: SparkSession, members: DataFrame) -> DataFrame:
     """Members (id, key) of buckets with two ids at least; weight: the sum of the sizes of an id's buckets."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(spark, members.join(sizes, "key"), "members")
+    # dealt by key once, for the counts and for the join
+    dealt = members.repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = saved(spark, dealt.join(sizes, "key"), "members")
     weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    return saved(spark, shared.drop("n").join(weights, "id"), "members")
+    out = saved(spark, shared.drop("n").join(weights, "id"), "members")
+    discard(spark, shared)
+    return out
 
 
 #: Star rounds before the rest is compared in blocks, and shingle hashes in a block of a bucket.
@@ -125,15 +141,21 @@ def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: i
             return rows.withColumn("component", F.col("id"))
         return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    labels, active = None, members
+    labels, active, last = None, members, None
     for _ in range(ROUNDS):
         now = labelled(active)
         centres = now.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), F.col("component").alias("of"))).alias("c"),
                                          F.min("component").alias("low"), F.max("component").alias("high")) \
             .where("low < high").select("key", (-F.col("c.less")).alias("centre"), F.col("c.of").alias("centre_of"))
-        rows = saved(spark, now.join(centres, "key"), "round")
+        # read back, the centres have an exchange of their own, and a bucket with very many members can be split
+        rows = saved(spark, now.join(saved(spark, centres, "centres"), "key"), "round")
         pairs = rows.where("component <> centre_of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        labels = _merged(spark, labels, saved(spark, close_pairs(pairs, known, percent), "links"))
-        active = rows.where("id <> centre").select("id", "key", "weight")
-    rest = compared_in_blocks(saved(spark, labelled(active).select("key", "id", "component"), "rest"), known, percent)
-    return _merged(spark, labels, saved(spark, rest, "links"))
+        links = saved(spark, close_pairs(pairs, known, percent), "links")
+        labels = _merged(spark, labels, links)
+        if last:
+            discard(spark, last, links)
+        active, last = rows.where("id <> centre").select("id", "key", "weight"), rows
+    left = saved(spark, labelled(active).select("key", "id", "component"), "rest")
+    discard(spark, last)
+    rest = saved(spark, compared_in_blocks(left, known, percent), "links")
+    return _merged(spark, labels, rest)
