@@ -6,13 +6,15 @@ class counts), so a whole scored population costs one or two passes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import prefix_sums
 from riskloom.presets import COMPARISON_COLUMNS, COMPARISON_RENAMES, METRIC_COLUMNS
-from riskloom.session import checkpointed
 
 
 def threshold_grid(start: float = 0.01, stop: float = 0.50, num: int = 50) -> list[float]:
@@ -37,20 +39,14 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def _all_cells(seen: DataFrame) -> DataFrame:
     """Observed cells (actual, predicted, n) filled up with zeros; classes are few, so this is one row's work."""
-    cells = seen.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("actual", "predicted"), "n"))).alias("_n"),
-                     F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("_labels"))
-    rows = cells.select("_n", "_labels", F.explode("_labels").alias("actual"))
+    rows = seen.agg(*_row_aggregates()).select("_n", "_labels", F.explode("_labels").alias("actual"))
     pairs = rows.select("_n", "actual", F.explode("_labels").alias("predicted"))
-    n = F.coalesce(F.col("_n")[F.struct("actual", "predicted")], F.lit(0).cast("bigint"))
-    return pairs.select("actual", "predicted", n.alias("n"))
+    return pairs.select("actual", "predicted", _cell(F.col("actual"), F.col("predicted")).alias("n"))
 
 
 def matrix_text(cm: DataFrame) -> DataFrame:
     """The confusion table as one row, ``Confusion_Matrix``: '[[n, n], [n, n]]', rows by actual label."""
-    rows = cm.groupBy("actual").agg(F.array_sort(F.collect_list(F.struct("predicted", "n"))).alias("r"))
-    text = rows.select("actual", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["n"].cast("string")), ", "), F.lit("]")).alias("t"))
-    every = F.array_sort(F.collect_list(F.struct("actual", "t")))
-    return text.agg(F.concat(F.lit("["), F.array_join(F.transform(every, lambda x: x["t"]), ", "), F.lit("]")).alias("Confusion_Matrix"))
+    return cm.agg(*_row_aggregates()).select(_text_column().alias("Confusion_Matrix"))
 
 
 def _per_label(cm: DataFrame) -> DataFrame:
@@ -83,21 +79,50 @@ def classification_report(cm: DataFrame) -> DataFrame:
         F.col("support"))
 
 
+def _row_aggregates() -> list[Column]:
+    """Cells (actual, predicted, n) as one row: ``_n`` (map by pair), ``_labels`` (all labels in order). Classes are few."""
+    return [F.map_from_entries(F.collect_list(F.struct(F.struct("actual", "predicted"), "n"))).alias("_n"),
+            F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("_labels")]
+
+
+def _cell(a: Column, p: Column) -> Column:
+    return F.coalesce(F.col("_n")[F.struct(a.alias("actual"), p.alias("predicted"))], F.lit(0).cast("bigint"))
+
+
+def _total(items: Column, f) -> Column:
+    """Sum of f over an array."""
+    return F.aggregate(items, F.lit(0).cast("double"), lambda acc, x: acc + f(x).cast("double"))
+
+
+def _metric_columns() -> list[Column]:
+    """The metrics of ``classification_metrics`` from the columns of ``_row_aggregates``."""
+    labels = F.col("_labels")
+    k = F.size(labels).cast("double")
+    support = lambda x: _total(labels, lambda p: _cell(x, p))
+    made = lambda x: _total(labels, lambda a: _cell(a, x))
+    recall = lambda x: _ratio0(_cell(x, x), support(x))
+    precision = lambda x: _ratio0(_cell(x, x), made(x))
+    f1 = lambda x: _ratio0(2 * _cell(x, x), made(x) + support(x))
+    n = _total(labels, support)
+    present = _total(labels, lambda x: (support(x) > 0).cast("int"))
+    return [F.try_divide(_total(labels, lambda x: _cell(x, x)), n).alias("Accuracy"), F.try_divide(_total(labels, lambda x: F.when(support(x) > 0, recall(x)).otherwise(0.0)), present).alias("Balanced_Accuracy"),
+            F.try_divide(_total(labels, precision), k).alias("Macro_Precision"), F.try_divide(_total(labels, recall), k).alias("Macro_Recall"),
+            F.try_divide(_total(labels, f1), k).alias("Macro_F1"), F.try_divide(_total(labels, lambda a: _total(labels, lambda p: _cell(a, p) * F.abs(a - p))), n).alias("MAE")]
+
+
+def _text_column() -> Column:
+    """'[[n, n], [n, n]]', rows by actual label, from the columns of ``_row_aggregates``."""
+    row = lambda a: F.concat(F.lit("["), F.array_join(F.transform("_labels", lambda p: _cell(a, p).cast("string")), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform("_labels", row), ", "), F.lit("]"))
+
+
 def classification_metrics(cm: DataFrame) -> DataFrame:
     """Accuracy, balanced accuracy (mean recall over classes present), macro P/R/F1
-    over the label union, and MAE on the labels, as one row."""
-    rep = _per_label(cm).select(
-        "tp", "support", "abs_err",
-        _ratio0(F.col("tp"), F.col("pred")).alias("precision"),
-        _ratio0(F.col("tp"), F.col("support")).alias("recall"),
-        _ratio0(2 * F.col("tp"), F.col("tp") + F.col("pred") + F.col("support") - F.col("tp")).alias("f1"))
-    return rep.agg(
-        (F.sum("tp") / F.sum("support")).alias("Accuracy"),
-        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("Balanced_Accuracy"),
-        F.avg("precision").alias("Macro_Precision"),
-        F.avg("recall").alias("Macro_Recall"),
-        F.avg("f1").alias("Macro_F1"),
-        (F.sum("abs_err") / F.sum("support")).alias("MAE"))
+    over the label union, and MAE on the labels, as one row.
+
+    The cells become one row first, and all metrics are expressions on it.
+    """
+    return cm.agg(*_row_aggregates()).select(*_metric_columns())
 
 
 def roc_auc(df: DataFrame, label_col: str, score_col: str, positive=1) -> DataFrame:
@@ -109,25 +134,59 @@ def roc_auc(df: DataFrame, label_col: str, score_col: str, positive=1) -> DataFr
     return auc_from_counts(by_score)
 
 
+_STATE = "g long, part int, pos double, neg double, pairs double"
+
+
+def auc_states(by_score: DataFrame) -> DataFrame:
+    """(g, part, pos, neg, pairs): the AUC state of each range part of (g, score, pos, neg) counts.
+
+    ``pairs`` counts a positive above a negative inside the part, ties half. Two
+    neighbouring states merge to (pos + pos', neg + neg', pairs + pairs' + pos' * neg),
+    so one shuffle by range is enough and nothing runs over all rows.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, list[float]] = {}
+        for batch in batches:
+            g, pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "pos", "neg"))
+            for k in np.unique(g):
+                own = g == k
+                p, n = pos[own].astype(float), neg[own].astype(float)
+                state = states.setdefault(int(k), [0.0, 0.0, 0.0])
+                before = state[1] + np.cumsum(n) - n
+                state[2] += float((p * (before + 0.5 * n)).sum())
+                state[0] += float(p.sum())
+                state[1] += float(n.sum())
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int64()), pa.array([part] * len(states), pa.int32()),
+                                          *[pa.array([v[i] for v in states.values()], pa.float64()) for i in range(3)]], names=["g", "part", "pos", "neg", "pairs"])
+
+    ranged = by_score.select("g", "score", "pos", "neg").repartitionByRange("g", "score").sortWithinPartitions("g", "score")
+    return ranged.mapInArrow(fold, _STATE)
+
+
+def merged_auc(states: DataFrame) -> DataFrame:
+    """(g, auc) of states, merged in the order of their parts (one row a part and group); NULL with one class."""
+    start = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0.0).alias("pairs"))
+    every = F.array_sort(F.collect_list(F.struct("part", "pos", "neg", "pairs")))
+    one = F.aggregate(every, start, lambda a, x: F.struct((a["pos"] + x["pos"]).alias("pos"), (a["neg"] + x["neg"]).alias("neg"),
+                                                          (a["pairs"] + x["pairs"] + x["pos"] * a["neg"]).alias("pairs")))
+    return states.groupBy("g").agg(one.alias("s")).select("g", F.try_divide("s.pairs", F.col("s.pos") * F.col("s.neg")).alias("auc"))
+
+
 def auc_from_counts(by_score: DataFrame) -> DataFrame:
-    """ROC_AUC from (score, pos, neg) counts."""
-    pre = prefix_sums(by_score, [], ["score"], ["neg"])
-    return pre.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
-                                F.sum("pos").cast("double") * F.sum("neg")).alias("ROC_AUC"))
+    """ROC_AUC from (score, pos, neg) counts, one row also without any."""
+    found = merged_auc(auc_states(by_score.withColumn("g", F.lit(0).cast("bigint"))))
+    return found.agg(F.max("auc").alias("ROC_AUC"))
 
 
 def roc_auc_ovr_macro(df: DataFrame, label_col: str, prob_cols: dict) -> DataFrame:
     """Mean one-vs-rest AUC over classes; NULL if any class AUC is undefined."""
-    pairs = F.array(*[F.struct(F.lit(k).cast("bigint").alias("cls"), F.col(c).cast("double").alias("score"))
+    pairs = F.array(*[F.struct(F.lit(k).cast("bigint").alias("g"), F.col(c).cast("double").alias("score"))
                       for k, c in prob_cols.items()])
     long = df.select(F.col(label_col).cast("bigint").alias("_y"), F.inline(pairs)).filter(F.col("score").isNotNull())
-    pos = (F.col("_y") == F.col("cls")).cast("bigint")
-    by_score = long.groupBy("cls", "score").agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
-    pre = prefix_sums(by_score, ["cls"], ["score"], ["neg"])
-    per_class = pre.groupBy("cls").agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))),
-                     F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
-    return per_class.agg(F.when(F.count_if(F.col("auc").isNull()) == 0, F.avg("auc")).alias("ROC_AUC"))
+    pos = (F.col("_y") == F.col("g")).cast("bigint")
+    by_score = long.groupBy("g", "score").agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
+    return merged_auc(auc_states(by_score)).agg(F.when(F.count_if(F.col("auc").isNull()) == 0, F.avg("auc")).alias("ROC_AUC"))
 
 
 def threshold_sweep(df: DataFrame, label_col: str, score_col: str,
@@ -159,24 +218,39 @@ def threshold_sweep(df: DataFrame, label_col: str, score_col: str,
     return best.select(F.col("b.t").alias("best_threshold"), F.col("b.bacc").alias("best_balanced_accuracy"))
 
 
-def evaluate_binary(df: DataFrame, label_col: str, prob_col: str, threshold: float = 0.5,
-                    title: str = "Model") -> DataFrame:
-    """One metrics row for a scored table at a threshold (Model .. MAE, Confusion_Matrix).
+def evaluate_at(df: DataFrame, label_col: str, prob_col: str, cases: list[tuple[str, float]]) -> DataFrame:
+    """One metrics row (Model .. MAE, Confusion_Matrix) for each (title, threshold) of a scored table.
 
-    Rows are counted by (label, score) once and kept; the matrix, the metrics
-    and the AUC come from that table. A labelled row without a score is an error.
+    Rows are counted by (label, score) once; the matrices and metrics of all
+    thresholds and the AUC come from that one exchange. A labelled row without a
+    score is an error.
     """
     p = F.coalesce(F.col(prob_col).cast("double"), F.raise_error(F.lit(f"a row to evaluate has no {prob_col}")).cast("double"))
-    counted = checkpointed(df.filter(F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("_y"), p.alias("_p"))
-                           .groupBy("_y", "_p").agg(F.count(F.lit(1)).alias("_n")))
-    by_cell = counted.groupBy(F.col("_y").cast("bigint").alias("actual"), predict_at("_p", threshold).cast("bigint").alias("predicted")).agg(F.sum("_n").alias("n"))
-    cm = checkpointed(_all_cells(by_cell))
+    counted = df.filter(F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("_y"), p.alias("_p")) \
+        .groupBy("_y", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("_case"), F.lit(float(t)).alias("_t")) for k, (_, t) in enumerate(cases)])
+    cells = counted.select("_y", "_p", "_n", F.inline(wanted)) \
+        .groupBy("_case", F.col("_y").cast("bigint").alias("actual"), (F.col("_p") >= F.col("_t")).cast("bigint").alias("predicted")).agg(F.sum("_n").alias("n"))
+    rows = cells.groupBy("_case").agg(*_row_aggregates())
     auc = auc_from_counts(counted.groupBy(F.col("_p").alias("score")).agg(F.sum(F.when(F.col("_y") == 1, F.col("_n")).otherwise(0)).alias("pos"),
                                                                        F.sum(F.when(F.col("_y") == 1, 0).otherwise(F.col("_n"))).alias("neg")))
-    m = classification_metrics(cm)
-    return m.select(F.lit(title).alias("Model"), F.lit(float(threshold)).alias("Threshold"),
-                    "Accuracy", "Balanced_Accuracy", "Macro_Precision", "Macro_Recall", "Macro_F1",
-                    auc.select("ROC_AUC").scalar().alias("ROC_AUC"), "MAE", matrix_text(cm).scalar().alias("Confusion_Matrix"))
+    title, threshold = (F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_case") + 1) for values in ([t for t, _ in cases], [float(t) for _, t in cases]))
+    accuracy, balanced, precision, recall, f1, mae = _metric_columns()
+    return rows.select(title.alias("Model"), threshold.alias("Threshold"), accuracy, balanced, precision, recall, f1,
+                       auc.select("ROC_AUC").scalar().alias("ROC_AUC"), mae, _text_column().alias("Confusion_Matrix"))
+
+
+def metrics_row(cells: DataFrame, title: str, auc: Column) -> DataFrame:
+    """One metrics row of cells (actual, predicted, n) and an AUC that is known already."""
+    accuracy, balanced, precision, recall, f1, mae = _metric_columns()
+    return cells.agg(*_row_aggregates()).select(F.lit(title).alias("Model"), accuracy, balanced, precision, recall, f1, auc.alias("ROC_AUC"), mae,
+                                                _text_column().alias("Confusion_Matrix"))
+
+
+def evaluate_binary(df: DataFrame, label_col: str, prob_col: str, threshold: float = 0.5,
+                    title: str = "Model") -> DataFrame:
+    """One metrics row for a scored table at a threshold."""
+    return evaluate_at(df, label_col, prob_col, [(title, threshold)])
 
 
 def standardize_metrics(df: DataFrame, family: str) -> DataFrame:

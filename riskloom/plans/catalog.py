@@ -584,10 +584,8 @@ def q_threshold_sweep(spark, d):
 
 def _eval_rows(spark, d):
     s = scored_documents(spark, d)
-    a = EV.evaluate_binary(s, "y", "p", 0.1, "length score @0.10")
-    b = EV.evaluate_binary(s, "y", "p", 0.5, "length score @0.50")
-    c = EV.evaluate_binary(s.withColumn("p2", F.lit(1.0) - F.col("p")), "y", "p2", 0.9, "inverse length @0.90")
-    return a.unionByName(b).unionByName(c)
+    ab = EV.evaluate_at(s, "y", "p", [("length score @0.10", 0.1), ("length score @0.50", 0.5)])
+    return ab.unionByName(EV.evaluate_binary(s.withColumn("p2", F.lit(1.0) - F.col("p")), "y", "p2", 0.9, "inverse length @0.90"))
 
 
 def _eval_rows_sql() -> str:

@@ -18,9 +18,9 @@ from riskloom.operators import hygiene as HY
 from riskloom.operators import profile as PR
 from riskloom.operators import whatif as WI
 from riskloom.operators.design import DesignSpec, fit_design, prune_design
-from riskloom.operators.fit import LogitModel, fit_report, logit_l1, logit_mle, odds_ratios, term_table
-from riskloom.operators.ordinal import (OrderedModel, class_probabilities, ordered_logit, ordered_predict,
-                                        ordinal_term_table)
+from riskloom.operators import newton as NW
+from riskloom.operators.fit import LogitModel, fit_report, logit_l1, logit_or_l1, mle_model, odds_ratios, term_table
+from riskloom.operators.ordinal import OrderedModel, class_probabilities, ordered_model, ordered_predict, ordinal_term_table
 from riskloom.operators.report import top_by_abs
 from riskloom.operators.sampling import sample_n, stratified_split
 from riskloom.operators.score import batch_score, interval_columns
@@ -93,42 +93,35 @@ def release(frames) -> None:
         f.unpersist()
 
 
-def fit_binary(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *,
-               include_other: bool, seed: int = 42, test_share: float = 0.30,
-               key_col: str = "row_key") -> BinaryResult:
-    d, spec, cached = prepare_split_design(df, m, y_col, hygiene, include_other=include_other, seed=seed,
-                                           test_share=test_share, key_col=key_col)
-    try:
-        train = d.filter(F.col("is_test") == 0)
-        test = d.filter(F.col("is_test") == 1)
-        model = logit_mle(train, spec, y_col)
-        scored = batch_score(test.select(y_col, *[c for c in spec.features if c in test.columns]), model)
-        metrics = EV.evaluate_binary(scored, y_col, "Predicted_Probability", 0.5, m.label)
-        metrics = checkpointed(metrics)      # one row; lets the cache go
-    finally:
-        release(cached)
-    return BinaryResult(m.label, model, metrics)
-
+@dataclass
+class Prepared:
+    """A model ready to fit: its prepared, split and cached rows, its pruned design and its Newton problem."""
 
-def binary_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_col: str,
-                 hygiene: HygieneSpec, variants=(("with_other_group", True), ("without_other_group", False)),
-                 **kw) -> tuple[DataFrame, list[BinaryResult]]:
-    """Each model under each hygiene variant; one comparison table."""
-    results = []
-    for vname, inc in variants:
-        for m in models:
-            mm = ModelSpec(f"{m.label} ({vname})", m.features, m.categorical, m.impute, m.default_threshold)
-            results.append(fit_binary(spark, df, mm, y_col, hygiene, include_other=inc, **kw))
-    table = results[0].metrics
-    for r in results[1:]:
-        table = table.unionByName(r.metrics)
-    return EV.comparison_table(table), results
+    label: str
+    rows: DataFrame
+    spec: DesignSpec
+    y_col: str
+    problem: NW.Problem
+    cached: list[DataFrame]
+    classes: list[int] | None = None    # of an ordered model
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rows.filter(F.col("is_test") == 1).select(self.y_col, *[c for c in self.spec.features if c in self.rows.columns])
+
+
+def prepare_binary_model(df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *, include_other: bool, seed: int = 42,
+                         test_share: float = 0.30, key_col: str = "row_key") -> Prepared:
+    d, spec, cached = prepare_split_design(df, m, y_col, hygiene, include_other=include_other, seed=seed, test_share=test_share, key_col=key_col)
+    if not spec.terms:
+        release(cached)
+        raise ValueError(f"no terms left to fit in {m.label}")
+    return Prepared(m.label, d, spec, y_col, NW.binary_problem(d.filter(F.col("is_test") == 0), spec, y_col), cached)
 
 
-def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *,
-                include_other: bool, classes=(1, 2, 3), seed: int = 42, test_share: float = 0.30,
-                key_col: str = "row_key", max_iter: int = 50, evaluate: bool = True) -> OrdinalResult:
-    """Ordinal path: coerce class and numerics, filter classes, drop missing, hygiene, encode, split, Newton fit.
+def prepare_ordinal_model(df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *, include_other: bool, classes=(1, 2, 3), seed: int = 42,
+                          test_share: float = 0.30, key_col: str = "row_key", max_iter: int = 50) -> Prepared:
+    """Ordinal path: coerce class and numerics, filter classes, drop missing, hygiene, encode, split.
 
     Classes and numeric features may be text; what is no number counts as missing.
     """
@@ -142,51 +135,96 @@ def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hy
     d, _ = HY.variablewise_preprocess(d, hygiene, m.categorical, include_other_group=include_other,
                                       default_threshold=m.default_threshold)
     keep = list(dict.fromkeys([key_col, y_col] + m.features))
-    d = stratified_split(d.select(keep), y_col, test_share, seed, key_col).persist(StorageLevel.MEMORY_AND_DISK)
+    d = _keep(stratified_split(d.select(keep), y_col, test_share, seed, key_col))
+    spec = fit_design(d, m.features, m.categorical)
+    spec = prune_design(spec, d, None, split_col="is_test", sparse=False, rank=False)
+    problem = NW.ordered_problem(d.filter(F.col("is_test") == 0), spec, y_col, sorted(classes), max_iter)
+    return Prepared(m.label, d, spec, y_col, problem, [d, src], sorted(classes))
+
+
+def binary_result(p: Prepared) -> BinaryResult:
+    """The fitted model of a solved problem and its metrics on the test rows (one row, kept)."""
+    model = mle_model(p.problem, p.spec)
+    scored = batch_score(p.test, model)
+    return BinaryResult(p.label, model, checkpointed(EV.evaluate_binary(scored, p.y_col, "Predicted_Probability", 0.5, p.label)))
+
+
+def ordinal_result(p: Prepared) -> OrdinalResult:
+    model = ordered_model(p.problem, p.spec, p.classes)
+    # the predictions are counted once, by class, prediction and probabilities
+    probs = [f"p_{c}" for c in model.classes]
+    pred = ordered_predict(p.test, model).select(p.y_col, "predicted", *probs)
+    cells = pred.groupBy(F.col(p.y_col).cast("bigint").alias("actual"), F.col("predicted").cast("bigint").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    auc = EV.roc_auc_ovr_macro(pred, p.y_col, dict(zip(model.classes, probs))).select("ROC_AUC").scalar()
+    return OrdinalResult(p.label, model, checkpointed(EV.metrics_row(cells, p.label, auc)))
+
+
+def fit_suite(spark: SparkSession, prepared: list[Prepared]) -> list[BinaryResult | OrdinalResult]:
+    """Fit all models in shared data passes, evaluate each, and let their rows go."""
     try:
-        spec = fit_design(d, m.features, m.categorical)
-        spec = prune_design(spec, d, None, split_col="is_test", sparse=False, rank=False)
-        train = d.filter(F.col("is_test") == 0)
-        test = d.filter(F.col("is_test") == 1)
-        model = ordered_logit(train, spec, y_col, list(classes), max_iter=max_iter)
-        if not evaluate:
-            return OrdinalResult(m.label, model, None)
-        pred = ordered_predict(test.select(y_col, *spec.features), model)
-        cm = checkpointed(EV.confusion_matrix(pred, y_col, "predicted"))
-        auc = EV.roc_auc_ovr_macro(pred, y_col, {c: f"p_{c}" for c in model.classes}).select("ROC_AUC").scalar()
-        metrics = checkpointed(EV.classification_metrics(cm).select(
-            F.lit(m.label).alias("Model"), "Accuracy", "Balanced_Accuracy", "Macro_Precision", "Macro_Recall",
-            "Macro_F1", auc.alias("ROC_AUC"), "MAE", EV.matrix_text(cm).scalar().alias("Confusion_Matrix")))
+        NW.solve(spark, [p.problem for p in prepared])
+        return [ordinal_result(p) if p.classes else binary_result(p) for p in prepared]
     finally:
-        release([d, src])
-    return OrdinalResult(m.label, model, metrics)
+        release([f for p in prepared for f in p.cached])
 
 
-def ordinal_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_col: str, hygiene: HygieneSpec,
-                  variants=(("with_other_group", True), ("without_other_group", False)),
-                  **kw) -> tuple[DataFrame, list[OrdinalResult]]:
-    results = []
-    for vname, inc in variants:
-        for m in models:
-            mm = ModelSpec(f"{m.label} ({vname})", m.features, m.categorical, m.impute, m.default_threshold)
-            results.append(fit_ordinal(spark, df, mm, y_col, hygiene, include_other=inc, **kw))
+VARIANTS = (("with_other_group", True), ("without_other_group", False))
+
+
+def _variants(models: list[ModelSpec], variants) -> list[tuple[ModelSpec, bool]]:
+    return [(ModelSpec(f"{m.label} ({name})", m.features, m.categorical, m.impute, m.default_threshold), inc) for name, inc in variants for m in models]
+
+
+def _stacked(results) -> DataFrame:
     table = results[0].metrics
     for r in results[1:]:
         table = table.unionByName(r.metrics)
-    return EV.comparison_table(table), results
+    return table
+
+
+def fit_binary(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *,
+               include_other: bool, **kw) -> BinaryResult:
+    return fit_suite(spark, [prepare_binary_model(df, m, y_col, hygiene, include_other=include_other, **kw)])[0]
+
+
+def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *,
+                include_other: bool, evaluate: bool = True, **kw) -> OrdinalResult:
+    p = prepare_ordinal_model(df, m, y_col, hygiene, include_other=include_other, **kw)
+    if evaluate:
+        return fit_suite(spark, [p])[0]
+    try:
+        NW.solve(spark, [p.problem])
+        return OrdinalResult(m.label, ordered_model(p.problem, p.spec, p.classes), None)
+    finally:
+        release(p.cached)
+
+
+def binary_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_col: str,
+                 hygiene: HygieneSpec, variants=VARIANTS, **kw) -> tuple[DataFrame, list[BinaryResult]]:
+    """Each model under each hygiene variant, all fitted in the same passes; one comparison table."""
+    results = fit_suite(spark, [prepare_binary_model(df, m, y_col, hygiene, include_other=inc, **kw) for m, inc in _variants(models, variants)])
+    return EV.comparison_table(_stacked(results)), results
+
+
+def ordinal_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_col: str, hygiene: HygieneSpec,
+                  variants=VARIANTS, **kw) -> tuple[DataFrame, list[OrdinalResult]]:
+    results = fit_suite(spark, [prepare_ordinal_model(df, m, y_col, hygiene, include_other=inc, **kw) for m, inc in _variants(models, variants)])
+    return EV.comparison_table(_stacked(results)), results
 
 
 def model_comparison(spark: SparkSession, df: DataFrame, binary_models: list[ModelSpec], y_bin: str,
                      ordinal_models: list[ModelSpec], y_ord: str, hygiene: HygieneSpec,
                      sample: int | None = None, seed: int = 42) -> DataFrame:
-    """Binary and ordinal suites on one shared (optionally sampled) table; one sorted table."""
+    """Binary and ordinal models on one shared (optionally sampled) table, fitted in the same passes; one sorted table."""
     base = df.filter(F.col(y_ord).cast("int").isin(1, 2, 3))
     if sample:
         base = sample_n(base, sample, seed)
-    b, _ = binary_suite(spark, base, binary_models, y_bin, hygiene)
-    o, _ = ordinal_suite(spark, base, ordinal_models, y_ord, hygiene)
-    return EV.sort_results(EV.standardize_metrics(b, "Binary Logit").unionByName(
-        EV.standardize_metrics(o, "Ordinal Logit")))
+    prepared = [prepare_binary_model(base, m, y_bin, hygiene, include_other=inc) for m, inc in _variants(binary_models, VARIANTS)]
+    prepared += [prepare_ordinal_model(base, m, y_ord, hygiene, include_other=inc) for m, inc in _variants(ordinal_models, VARIANTS)]
+    results = fit_suite(spark, prepared)
+    n = len(binary_models) * len(VARIANTS)
+    binary, ordinal = EV.comparison_table(_stacked(results[:n])), EV.comparison_table(_stacked(results[n:]))
+    return EV.sort_results(EV.standardize_metrics(binary, "Binary Logit").unionByName(EV.standardize_metrics(ordinal, "Ordinal Logit")))
 
 
 def exploratory(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, *, alpha: float = 0.1,
@@ -211,11 +249,9 @@ def exploratory(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, *,
         scored = batch_score(test.select(y_col, *spec.features), model).select(y_col, "Predicted_Probability")
         scored = checkpointed(scored)
         best = EV.threshold_sweep(scored, y_col, "Predicted_Probability").first()
-        at_half = EV.evaluate_binary(scored, y_col, "Predicted_Probability", 0.5, f"{m.label} (0.50)")
-        tuned = EV.evaluate_binary(scored, y_col, "Predicted_Probability", float(best["best_threshold"]),
-                                   f"{m.label} (tuned)")
+        both = EV.evaluate_at(scored, y_col, "Predicted_Probability", [(f"{m.label} (0.50)", 0.5), (f"{m.label} (tuned)", float(best["best_threshold"]))])
         terms = term_table(spark, model)
-        out = {"metrics": checkpointed(at_half.unionByName(tuned)),
+        out = {"metrics": checkpointed(both.orderBy("Model")),
                "top_coefficients": top_by_abs(terms, "Coefficient", 20),
                "fit": fit_report(spark, model, m.label)}
     finally:
@@ -237,7 +273,7 @@ def what_if_report(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str,
     d = _keep(d)
     try:
         spec = prune_design(fit_design(d, m.features, m.categorical), d, y_col)
-        model = logit_mle(d, spec, y_col)
+        model = logit_or_l1(d, spec, y_col)
         baseline = checkpointed(PR.baseline_profile(d, m.features, m.categorical, baseline_defaults))
         out = {
             "baseline_profile": baseline.select("*", *interval_columns(model)),
@@ -245,10 +281,12 @@ def what_if_report(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str,
             "group_contrast": WI.group_contrast(baseline, model, contrast),
             "risk_profiles": WI.risk_profiles(baseline, model, risk_profile_list),
             "odds_ratios": odds_ratios(term_table(spark, model)),
+            "fit": fit_report(spark, model, m.label),
         }
         for var, grid in curves:
             out[f"curve_{var}"] = WI.what_if_curve(baseline, model, var, grid)
-        out = {k: checkpointed(v) for k, v in out.items()}
+        # every table says which fit it comes from
+        out = {k: checkpointed(v if "Fit_Type" in v.columns else v.withColumn("Fit_Type", F.lit(model.fit_type))) for k, v in out.items()}
     finally:
         release([d, src])
     out["model"] = model  # type: ignore[assignment]
