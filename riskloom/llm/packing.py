@@ -11,6 +11,7 @@ their own rank.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -55,6 +56,22 @@ def letters_and_marks(word: bytes) -> tuple[bytes, ...]:
     return (head.encode(), tail) if tail else (word,)
 
 
+# The pattern of the tokenizers whose words can be encoded apart.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def require_words(tokenizer) -> None:
+    """ValueError unless words may be encoded apart: marks at the ends of words, lower case, white space dropped, the known pattern."""
+    made = json.loads(tokenizer.to_str())
+    kinds = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+    split = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    known = split.get("type") == "Split" and split["pattern"].get("Regex") == PATTERN and split["behavior"] == "Removed" and split["invert"]
+    if not known or kinds != ["NFC", "Replace", "Lowercase"] or made["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError("packing takes word-level BPE with marks at the ends of words and the known pattern only")
+    if any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("packing takes no added tokens that depend on white space")
+
+
 def spans(n: int, capacity: int) -> list[tuple[int, int]]:
     """Where a document of n ids is cut: whole sequences, then a half if the rest is longer than that.
 
@@ -76,6 +93,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str,
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, stop = encoder(path), np.asarray([end_id], "<u4").tobytes()
+        require_words(known.tokenizer)
         for batch in batches:
             data, ends = B.columns(batch)
             raw, names = data.tobytes(), batch.column("doc_id").to_pylist()
@@ -133,7 +151,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, capac
     are the one id ``end_id``; null and repeated doc_ids are packed as the rows
     they are (a repeated id's pieces are told apart by their place, not by
     name); an empty table gives no rows; other columns are not read. Pieces are
-    written once to the shared folder, so tokens are made once.
+    written once to the shared folder, so tokens are made once. Tokenizers whose
+    words cannot be encoded apart are refused (``require_words``).
     """
     table = scratch_dir(spark, "pieces")
     # the number given to a row when it is written tells apart what is equal

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -23,6 +25,16 @@ class Encoder:
         self.tokenizer.no_padding()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self._ends: np.ndarray | None = None
+
+    @property
+    def ends(self) -> np.ndarray:
+        """For each id whether it ends a pre-token (vocabularies with a mark at the end of words)."""
+        if self._ends is None:
+            suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+            self._ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self._ends[[i for w, i in self.tokenizer.get_vocab(False).items() if w.endswith(suffix)]] = True
+        return self._ends
 
     def lookup(self, chunks: Iterable[bytes], parts: Callable[[bytes], tuple[bytes, ...]] | None = None) -> dict[bytes, bytes]:
         """A mapping that holds the ids of all given chunks.
@@ -40,7 +52,10 @@ class Encoder:
         if parts:
             cut = [(c, p) for c in unknown if len(p := parts(c)) > 1 or p[0] != c]
             whole = set(unknown).difference(c for c, _ in cut)
-            self._encode(list(whole.union(q for _, p in cut for q in p).difference(young)))
+            left = whole.union(q for _, p in cut for q in p).difference(young)
+            letters = [c for c in left if c.isalpha()]
+            self._encode_joined(letters)
+            self._encode(list(left.difference(letters)))
             for c, p in cut:
                 young[c] = b"".join([young[q] for q in p])
         else:
@@ -53,7 +68,21 @@ class Encoder:
         for a in range(0, len(unknown), 1_000):
             part = unknown[a:a + 1_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                self.young[c] = np.asarray(e.ids, "<u4").tobytes()
+                self.young[c] = array("I", e.ids).tobytes()
+
+    def _encode_joined(self, words: list[bytes]) -> None:
+        """Words of ASCII letters, each one pre-token, a thousand at a time as one text; their last ids part them again."""
+        for a in range(0, len(words), 1_000):
+            part = words[a:a + 1_000]
+            ids = array("I", self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids)
+            last = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1) * 4
+            if len(last) != len(part):
+                self._encode(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for c, end in zip(part, last.tolist()):
+                self.young[c] = raw[start:end]
+                start = end
 
 
 @lru_cache(maxsize=4)

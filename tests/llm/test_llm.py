@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,32 @@ def test_window_dedup(docs, rows):
     assert got(window_dedup.digest(docs, 12)) == brute.window_dedup(rows, 12)
 
 
+def test_words_that_collide_for_every_base_modulo_two_to_the_64(spark):
+    """A Thue-Morse word of 1,024 letters and its complement are two words, in windows and in shingles."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = morse.translate({97: 98, 98: 97})
+    same = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{same} {morse}"), (2, f"{same} {other}"), (3, morse), (4, other), (5, f"{same} {morse}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(window_dedup.digest(df)) == brute.window_dedup(rows, 35)
+    assert got(minhash.near_duplicates(spark, df)) == brute.near(rows)
+
+
+def test_rolling_fingerprints_are_those_of_the_bytes():
+    """Against whole numbers in plain Python, also over long runs and at every length."""
+    rnd = np.random.default_rng(1)
+    data = rnd.integers(0, 256, 3000).astype(np.uint8)
+    r = bytesops.Rolling(5)
+    lanes = r.prefix(data)
+
+    def plain(values):
+        return sum(int(v) * pow(r.base, k, bytesops.PRIME) for k, v in enumerate(values)) % bytesops.PRIME
+    for a, b in [(0, 3000), (0, 1), (17, 17), (5, 205), (2999, 3000), (1000, 2400)]:
+        assert int(r.spans(lanes, np.array([a]), np.array([b]))[0]) == int(bytesops.mix(np.array([plain(data[a:b].astype(int) + 1)], np.uint64))[0])
+    without = r.without_one(data[:50])
+    assert all(int(without[k]) == int(bytesops.mix(np.array([plain(np.delete(data[:50], k).astype(int) + 1)], np.uint64))[0]) for k in range(50))
+
+
 def test_window_dedup_table(spark):
     df = sampled(spark)
     assert got(window_dedup.digest(df)) == brute.window_dedup(pairs(df), 35)
@@ -352,6 +379,24 @@ def test_packing(spark, docs, rows):
     assert len(seats) <= -(-total // 256) + 1
 
 
+def test_packing_refuses_other_tokenizers(spark, docs):
+    packing.require_words(Tokenizer.from_file(WORDS))
+    with pytest.raises(ValueError):
+        packing.require_words(Tokenizer.from_file(BYTES))
+    with pytest.raises(Exception, match="packing takes"):
+        packing.pack(spark, docs, BYTES).collect()
+
+
+def test_words_encoded_together_equal_words_encoded_alone():
+    from riskloom.llm.tokens import Encoder
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ"
+    made = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 30))).encode() for _ in range(5000)} | {b"st", b"re", b"ll", b"d", b"x" * 5000})
+    got = Encoder(WORDS).lookup(made, packing.letters_and_marks)
+    alone = Tokenizer.from_file(WORDS)
+    assert all(got[w] == brute.packed_ids(alone, [(0, w.decode())])[0][:-4] for w in made)
+
+
 def test_shortest_pack_first_hot_length():
     placed = packing.shortest_pack_first({100: 1_000_000_000, 4096: 5, 1: 7}, 4096)
     assert len(placed) < 100 and placed[-1][0] == 4096
