@@ -9,11 +9,14 @@ avoids that:
   modulo v is in D). So two equal strings of ``length`` bytes always hold two
   aligned sample suffixes that agree on ``length - v + 1`` bytes.
 * Round 1 ranks the sample suffixes, one suffix bucket sorted at a time, on
-  ``length - v + 1`` and on ``length + v - 1`` bytes. A tie on the shorter key
-  marks where a match can be at all; a tie on the longer one decides all v
-  suffixes that begin at the sample position, however long the common prefix
-  is: long ties are resolved by these ranks and their suffixes never enter a
-  sort.
+  ``length - v + 1`` and on ``length + v - 1`` bytes, with 32 bits of each key. A
+  tie on the shorter key marks where a match can be at all; a tie on the longer
+  one may decide all v suffixes that begin at the sample position, however long
+  the common prefix is.
+* A tie on the longer key is confirmed by whole fingerprints of the longer
+  prefix, dealt by themselves, since very many texts may share the shorter one.
+  Confirmed long ties are resolved by these ranks and their suffixes never enter
+  a sort.
 * Round 2 tells each tied sample group whether any of its members still has an
   undecided suffix nearby (the ends of repeated passages).
 * Round 3 sorts, again one bucket at a time, only the suffixes next to such
@@ -38,6 +41,8 @@ _FIRST, _SECOND = B.Rolling(51), B.Rolling(67)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                   ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 _REQUESTS = "block long, round int, bucket long, entries binary"
+#: Number of the confirming round among the requests.
+CONFIRM = 4
 
 
 class _Suffixes:
@@ -76,12 +81,20 @@ class _Suffixes:
         at = np.flatnonzero(B.cover(self.n, low, samples - low + 1))
         return at[at + self.length <= self.end_of[at]]
 
-    def decide_long(self, answers: pa.Table) -> None:
+    def long_ties(self, answers: pa.Table) -> ties.Entries:
+        """Confirmation: whole fingerprints of the long prefixes that seem to be tied."""
         entries = self.ranks()
         equal, tied = entries.answers(answers, 1)
         again = entries.repeated[entries.index]
         self.tied = tied | again
-        self.gone = B.cover(self.n, self.sample[(equal | again) & self.whole], self.length + self.v - 1)
+        self.long = self.sample[(equal | again) & self.whole]
+        keys, spread = (r.spans(x, self.long, self.long + self.length + self.v - 1) for r, x in ((_FIRST, self.p), (_SECOND, self.q)))
+        return ties.Entries(keys, spread, self.buckets)
+
+    def decide_long(self, answers: pa.Table) -> None:
+        entries = self.long_ties(answers)
+        equal, _ = entries.answers(answers, CONFIRM)
+        self.gone = B.cover(self.n, self.long[equal | entries.repeated[entries.index]], self.length + self.v - 1)
 
     def groups(self) -> ties.Entries:
         """Round 2: tied sample ranks, lowest bit set where an undecided suffix is near."""
@@ -137,6 +150,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc
     def load(batch: pa.RecordBatch) -> _Suffixes:
         return _Suffixes(batch, length, buckets)
 
+    def confirm(block: int, batch: pa.RecordBatch, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([load(batch).long_ties(answers).requests(block, CONFIRM)])
+
     def second(block: int, batch: pa.RecordBatch, answers: pa.Table) -> pa.Table:
         s = load(batch)
         s.decide_long(answers)
@@ -154,6 +170,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc
         return _remove(s, batch)
 
     known = ties.resolve(ties.ask(parts, lambda batch: load(batch).ranks()))
+    known = known.unionByName(ties.resolve(ties.with_answers(parts, known, confirm, _REQUESTS)))
     known = known.unionByName(ties.resolve(ties.with_answers(parts, known, second, _REQUESTS), ties.group_has_mark))
     known = known.unionByName(ties.resolve(ties.with_answers(parts, known, third, _REQUESTS)))
     return ties.with_answers(parts, known, last, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")

@@ -7,8 +7,8 @@ buckets are sorted one at a time, and the answer that goes back is one bit an
 entry, in the order in which the block sent them. Memory is bounded by one
 block or one bucket; both counts grow with the data. Nothing is collected.
 
-An entry is 64 bits and the bucket number, taken from an independent
-fingerprint, adds log2(buckets) more. With a million entries a bucket, the
+An entry is 64 bits (61 of one fingerprint, three of an independent one) and the
+bucket number, taken from that other fingerprint, adds log2(buckets) more. With a million entries a bucket, the
 expected number of false ties among N entries is N / 2^45 (0.3 for 10^13).
 """
 
@@ -88,6 +88,7 @@ class Entries:
     def __init__(self, keys: np.ndarray, spread: np.ndarray, buckets: int):
         """spread: independent 64-bit fingerprints, from which the bucket comes."""
         bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        keys = keys ^ (spread << np.uint64(61))
         order = np.lexsort((keys, bucket))
         k, b = keys[order], bucket[order]
         new = np.ones(len(k), bool)

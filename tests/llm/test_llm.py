@@ -60,6 +60,27 @@ def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
+def test_false_ties_of_texts_with_one_beginning(spark):
+    """Of 400,000 texts with one 68-byte beginning, those whose long keys agree in the upper 32 bits keep all their bytes."""
+    rnd = np.random.default_rng(12)
+    prefix = b"The same sixty-eight bytes begin each of these texts, as of boilerpl"
+    found = []
+    for _ in range(4):
+        tails = rnd.integers(97, 123, (100_000, 264)).astype(np.uint8)
+        found.append(tails)
+    tails = np.concatenate(found)
+    rows = np.concatenate((np.broadcast_to(np.frombuffer(prefix, np.uint8), (len(tails), 68)), tails), axis=1)
+    data = np.ascontiguousarray(rows).reshape(-1)
+    keys = np.concatenate([suffix_dedup._FIRST.spans(suffix_dedup._FIRST.prefix(part), np.arange(0, len(part), 332), np.arange(0, len(part), 332) + 332) for part in np.split(data, 20)])
+    upper = np.maximum(keys >> np.uint64(32), np.uint64(1))
+    order = np.argsort(upper)
+    same = np.flatnonzero(upper[order][1:] == upper[order][:-1])
+    pairs = sorted({int(k) for p in same for k in (order[p], order[p + 1])})
+    assert len(pairs) >= 4
+    df = spark.createDataFrame([(k, rows[k].tobytes().decode()) for k in pairs], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.digest(df).collect()] == [0] * len(pairs)
+
+
 @pytest.mark.parametrize("length", [8, 40, 200])
 def test_suffix_dedup(docs, rows, length):
     assert got(suffix_dedup.digest(docs, length)) == brute.byte_dedup(rows, length)
