@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +75,15 @@ def contested(spark: SparkSession, members: DataFrame) -> DataFrame:
 ROUNDS, BLOCK_HASHES = 2, 60_000
 
 
-def close_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union; known: (id, shingles array<long>)."""
-    x, y = (known.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("a", "b"))
-    return pairs.join(x, "a").join(y, "b").where(_close(F.col("s_a"), F.col("s_b"), percent)).select("a", "b")
+Sets = Callable[[Column], Column]
+
+
+def close_pairs(pairs: DataFrame, known: DataFrame, percent: int, sets: Sets) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union; known: (id, n, held), ``sets`` makes the set (array<long>) of what is held."""
+    x, y = (known.select(F.col("id").alias(c), F.col("held").alias(f"h_{c}")) for c in ("a", "b"))
+    # what is held moves, which may be much smaller than its set
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", sets(F.col("h_a")).alias("s_a"), sets(F.col("h_b")).alias("s_b"))
+    return met.where(_close(F.col("s_a"), F.col("s_b"), percent)).select("a", "b")
 
 
 def _close(a: Column, b: Column, percent: int) -> Column:
@@ -86,7 +93,7 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return F.when(100 * F.least(n, m) >= percent * F.greatest(n, m), 100 * both >= percent * (n + m - both)).otherwise(False)
 
 
-def compared_in_blocks(active: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def compared_in_blocks(active: DataFrame, known: DataFrame, percent: int, sets: Sets) -> DataFrame:
     """All close pairs (a, b) of ids of different components that share a bucket; active: (key, id, component).
 
     A bucket's members are dealt to blocks of a bounded number of shingle
@@ -94,24 +101,28 @@ def compared_in_blocks(active: DataFrame, known: DataFrame, percent: int) -> Dat
     compared: rows are pairs of blocks, and only close pairs come out. A pair
     is compared in the first bucket that it shares.
     """
-    sized = known.select("id", F.size("shingles").alias("n"))
-    buckets = active.join(sized, "id").groupBy("key").agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
+    buckets = active.join(known.select("id", "n"), "id").groupBy("key").agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
         .where("low < high").select("key", F.ceil(F.col("n") / BLOCK_HASHES).cast("int").alias("blocks"))
     rows = active.join(buckets, "key")
     keys = rows.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    full = rows.join(keys, "id").join(known, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = full.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "keys", "shingles")).alias("members"))
+    full = rows.join(keys, "id").join(known.drop("n"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = full.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "keys", "held")).alias("members"))
     other = blocks.select(F.col("key").alias("other_key"), F.col("block").alias("other"), F.col("members").alias("others"))
     met = blocks.join(other, (F.col("key") == F.col("other_key")) & (F.col("block") <= F.col("other")))
 
+    def made(members: Column) -> Column:
+        return F.transform(members, lambda m: F.struct(m["id"].alias("id"), m["component"].alias("component"), m["keys"].alias("keys"), sets(m["held"]).alias("shingles")))
+
     def against(x: Column) -> Column:
         def wanted(y: Column) -> Column:
             fresh = (x["component"] != y["component"]) & ((F.col("block") < F.col("other")) | (x["id"] < y["id"]))
             mine = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
             return F.when(fresh, F.when(mine, _close(x["shingles"], y["shingles"], percent)).otherwise(False)).otherwise(False)
-        return F.transform(F.filter("others", wanted), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+        return F.transform(F.filter("right", wanted), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
 
-    return met.select(F.inline(F.flatten(F.transform("members", against)))).distinct()
+    # the sets are made once a row; both columns are named again and again, so that the planner keeps them columns
+    ready = met.select("key", "block", "other", made(F.col("members")).alias("left"), made(F.col("others")).alias("right")).where((F.size("left") > 0) & (F.size("right") > 0))
+    return ready.select(F.inline(F.when((F.size("left") > 0) & (F.size("right") > 0), F.flatten(F.transform("left", against))))).distinct()
 
 
 def _merged(spark: SparkSession, labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -126,8 +137,11 @@ def _merged(spark: SparkSession, labels: DataFrame | None, links: DataFrame) ->
     return saved(spark, old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
 
 
-def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of ids that links connect; members: ``contested``, known: (id, shingles).
+def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: int, sets: Sets = lambda held: held) -> DataFrame:
+    """(id, component) of ids that links connect; members: ``contested``, known: (id, n, held).
+
+    ``sets`` makes an id's set of shingle hashes of what is held for it (by
+    itself the set); n is about the set's size.
 
     A star round picks in each bucket the member whose buckets are the largest
     (the likely origin of its copies; ties to the smaller id) and tests it
@@ -150,12 +164,12 @@ def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: i
         # read back, the centres have an exchange of their own, and a bucket with very many members can be split
         rows = saved(spark, now.join(saved(spark, centres, "centres"), "key"), "round")
         pairs = rows.where("component <> centre_of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        links = saved(spark, close_pairs(pairs, known, percent), "links")
+        links = saved(spark, close_pairs(pairs, known, percent, sets), "links")
         labels = _merged(spark, labels, links)
         if last:
             discard(spark, last, links)
         active, last = rows.where("id <> centre").select("id", "key", "weight"), rows
     left = saved(spark, labelled(active).select("key", "id", "component"), "rest")
     discard(spark, last)
-    rest = saved(spark, compared_in_blocks(left, known, percent), "links")
+    rest = saved(spark, compared_in_blocks(left, known, percent, sets), "links")
     return _merged(spark, labels, rest)

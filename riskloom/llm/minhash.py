@@ -105,12 +105,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
         for batch in batches:
             for part in pieces(batch):
                 found = [s.view(np.int64) for s in shingle_sets(part, size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "held"])
 
     seen = saved(spark, rows.mapInArrow(sketches, "doc_id long, n long, one long, two long, bands array<long>"), "sketches")
     classes = saved(spark, seen.where("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     members = contested(spark, classes.select("id", F.explode("bands").alias("key")).distinct())
-    known = saved(spark, rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"), "sets")
+    known = saved(spark, rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "id long, n long, held array<long>"), "sets")
 
     labels = linked(spark, members, known, percent).select(F.col("id").alias("label_id"), "component")
     named = classes.drop("bands").join(labels, F.col("id") == F.col("label_id"), "left").select("n", "one", "two", F.coalesce("component", "id").alias("component"))
