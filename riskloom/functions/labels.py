@@ -1,7 +1,7 @@
-"""Code -> label decoding and display labels, as column expressions.
+"""Code -> label decoding and display labels.
 
-Label dictionaries are small fixed presets; they become literal maps inside
-the projection (no join, no UDF).
+Label tables of any size are joined (``decode_labels``, ``term_labels``). Display
+columns of small reports take the fixed presets as literal maps.
 """
 
 from __future__ import annotations
@@ -34,35 +34,67 @@ def lookup_value_label(variable: Column, value: Column, value_labels: dict[str,
     return F.when(value.isNotNull() & (raw != F.lit("")), found)
 
 
+def code_key(value: Column) -> Column:
+    """What codes are compared by: trimmed, without leading zeros or a zero fraction, in upper case; blank is none."""
+    raw = F.trim(value.cast("string"))
+    return F.when(raw != F.lit(""), F.upper(normalize_code(raw)))
+
+
 def label_table(spark: SparkSession, value_labels: dict[str, dict[str, str]]) -> DataFrame:
     """(label_variable, label_code, label) of the presets, codes normalised once, for joins."""
     rows = [(var, code, label) for var, codes in value_labels.items() for code, label in codes.items()]
     table = spark.createDataFrame(rows, "label_variable string, label_code string, label string")
-    return table.withColumn("label_code", normalize_code("label_code")).dropDuplicates(["label_variable", "label_code"])
+    return keyed_labels(table)
 
 
-def variable_label(variable: Column, variable_labels: dict[str, str]) -> Column:
-    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in variable_labels.items()))
-    return F.coalesce(F.try_element_at(m, variable), F.regexp_replace(variable, "_", " "))
+def keyed_labels(labels: DataFrame) -> DataFrame:
+    """A label table of any size (label_variable, label_code, label) with its codes as keys, one row a key (ties: the least label)."""
+    return labels.withColumn("label_code", code_key(F.col("label_code"))).where("label_code is not null") \
+        .groupBy("label_variable", "label_code").agg(F.min("label").alias("label"))
+
 
+def decode_labels(df: DataFrame, wanted: dict[str, tuple[str, Column]], labels: DataFrame) -> DataFrame:
+    """``df`` with a label column for each (variable, code) of ``wanted``; labels: ``keyed_labels``.
 
-def term_label(term: Column, variable_labels: dict[str, str], value_labels: dict[str, dict[str, str]],
-               overrides: dict[str, str]) -> Column:
-    """Override; else longest variable prefix -> value label or 'Variable (code)';
-    else the term with underscores as spaces."""
-    out = F.regexp_replace(term, "_", " ")
-    for var in sorted(variable_labels, key=len):     # longest prefix applied last, wins
-        marker = f"{var}_"
-        code = F.substring(term, len(marker) + 1, 1 << 20)
-        mapped = lookup_value_label(F.lit(var), code, value_labels)
-        lab = F.coalesce(mapped, F.concat(F.lit(f"{variable_labels[var]} ("), code, F.lit(")")))
-        out = F.when(term.startswith(marker), lab).otherwise(out)
-    if overrides:
-        om = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in overrides.items()))
-        out = F.coalesce(F.try_element_at(om, term), out)
+    One equi-join a column, on the code's key; whether the labels are broadcast
+    is left to the planner. A code without a label, and a missing one, gets NULL.
+    """
+    out = df
+    for name, (variable, code) in wanted.items():
+        side = labels.where(F.col("label_variable") == variable).select(F.col("label_code").alias("_code"), F.col("label").alias(name))
+        out = out.withColumn("_key", code_key(code)).join(side, F.col("_key") == F.col("_code"), "left").drop("_key", "_code")
     return out
 
 
+def term_labels(terms: DataFrame, variables: DataFrame, labels: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(term, label) of distinct terms ``VARIABLE_LEVEL``, by joins with tables of any size.
+
+    A term is cut at each of its underscores; the cuts meet the table of variables
+    (variable, variable_label), and the longest variable wins. Its level meets the
+    value labels (``keyed_labels``); a level without a label is shown in brackets.
+    ``overrides`` (term, override) come first; what meets nothing is the term with spaces.
+    """
+    term = F.col("term")
+    places = F.filter(F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.when(F.substring(term, i, F.lit(1)) == "_", i)), lambda i: i.isNotNull())
+    cuts = terms.select("term", F.explode(F.when(F.length(term) > 0, places)).alias("at")) \
+        .select("term", "at", F.substring(term, F.lit(1), F.col("at") - 1).alias("variable"), F.substring(term, F.col("at") + 1, F.length(term)).alias("level"))
+    longest = cuts.join(variables, "variable").groupBy("term").agg(F.max(F.struct("at", "variable", "level", "variable_label")).alias("m")).select("term", "m.variable", "m.level", "m.variable_label")
+    named = decode_level(longest, labels).select(F.col("term").alias("_t"), F.coalesce("value_label", F.concat("variable_label", F.lit(" ("), "level", F.lit(")"))).alias("found"))
+    return terms.join(named, term == F.col("_t"), "left").join(overrides, "term", "left") \
+        .select("term", F.coalesce("override", "found", F.regexp_replace("term", "_", " ")).alias("label"))
+
+
+def decode_level(levels: DataFrame, labels: DataFrame) -> DataFrame:
+    """(.., variable, level) with value_label, by variable and key."""
+    side = labels.select(F.col("label_variable").alias("_v"), F.col("label_code").alias("_c"), F.col("label").alias("value_label"))
+    return levels.join(side, (F.col("variable") == F.col("_v")) & (code_key(F.col("level")) == F.col("_c")), "left").drop("_v", "_c")
+
+
+def variable_label(variable: Column, variable_labels: dict[str, str]) -> Column:
+    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in variable_labels.items()))
+    return F.coalesce(F.try_element_at(m, variable), F.regexp_replace(variable, "_", " "))
+
+
 def format_value(variable: Column, text: Column, number: Column,
                  value_labels: dict[str, dict[str, str]]) -> Column:
     """Display value: Missing / label / trimmed text / whole number / one decimal.
@@ -94,5 +126,5 @@ def scenario_label(scenario: Column, variable: Column, scenario_value: Column, *
             .otherwise(scenario))
 
 
-__all__ = ["lookup_value_label", "variable_label", "term_label", "format_value", "scenario_label",
+__all__ = ["lookup_value_label", "variable_label", "decode_labels", "term_labels", "format_value", "scenario_label",
            "NUMERIC_PATTERN"]

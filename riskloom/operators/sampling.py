@@ -8,7 +8,9 @@ matter are looked at row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ranks import ceil_share, flag_first_n, hashed_order_key
@@ -73,3 +75,31 @@ def bootstrap_sample(spark: SparkSession, df: DataFrame, n_draws: int, seed: int
     numbered = h.join(drawn.select("_p").distinct(), "_p", "left_semi") \
         .withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_hk", "_h", key_col)))
     return numbered.join(drawn, ["_p", "_rn"]).select(*[F.col(c) for c in df.columns], "draw_id")
+
+
+#: A Poisson(1) weight is the number of these limits, of 2^32, that a uniform number reaches.
+POISSON_LIMITS = [int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Weights that one hash gives, each from eight of its digits.
+WEIGHTS_A_HASH = 4
+
+
+def bootstrap_replicates(df: DataFrame, value: Column, replicates: int, seed: int = 42, key_col: str = "row_key") -> DataFrame:
+    """Bootstrap replicates of a value's summary from one pass: replicate, n_draws, mean, std, min, max.
+
+    Every row has in every replicate a Poisson(1) number of draws, hashed from
+    ``md5("<seed>:poisson:<block>:<key>")``: the limit of drawing as many rows as
+    there are, without numbering them. Rows are expanded to replicates inside a
+    task and summed there, so ``replicates`` rows a task are shuffled. Rows
+    without a key or a value are in no draw.
+    """
+    v = value.cast("double")
+    rows = df.select(F.col(key_col).cast("string").alias("_key"), v.alias("_v")).where(F.col("_key").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    blocks = rows.select("_v", "_key", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // WEIGHTS_A_HASH))).alias("_b")) \
+        .select("_v", "_b", F.md5(F.concat(F.lit(f"{seed}:poisson:"), F.col("_b").cast("string"), F.lit(":"), F.col("_key"))).alias("_h"))
+    uniform = [F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("bigint") for j in range(WEIGHTS_A_HASH)]
+    weight = [sum(((u >= F.lit(t)).cast("int") for t in POISSON_LIMITS), F.lit(0)) for u in uniform]
+    drawn = blocks.select("_v", F.inline(F.array(*[F.struct((F.col("_b") * WEIGHTS_A_HASH + j).alias("replicate"), w.alias("_w")) for j, w in enumerate(weight)]))) \
+        .where((F.col("_w") > 0) & (F.col("replicate") < replicates))
+    n, total, square = F.sum("_w"), F.sum(F.col("_w") * F.col("_v")), F.sum(F.col("_w") * F.col("_v") * F.col("_v"))
+    spread = F.sqrt(F.greatest(F.try_divide(square - total * total / n, n - 1), F.lit(0.0)))
+    return drawn.groupBy("replicate").agg(n.cast("bigint").alias("n_draws"), (total / n).alias("mean"), spread.alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"))

@@ -41,6 +41,21 @@ def _override_vector(model: LogitModel, ov: dict) -> tuple[set[int], np.ndarray]
     return idx, d
 
 
+def scenario_cross(profiles: DataFrame, scenarios: list[tuple]) -> DataFrame:
+    """Every profile under every scenario (name, column, value or None for the baseline).
+
+    Scenarios are few and given, so each row is expanded in place; a column that
+    a scenario sets takes its value as text or number, as the column is.
+    """
+    kinds = {f.name: f.dataType for f in profiles.schema.fields}
+
+    def under(name: str, var: str, value) -> Column:
+        cells = [F.lit(value).cast(kinds[c]).alias(c) if c == var and value is not None else F.col(f"`{c}`").alias(c) for c in profiles.columns]
+        return F.struct(F.lit(name).alias("Scenario"), *cells)
+
+    return profiles.select(F.inline(F.array(*[under(*s) for s in scenarios])))
+
+
 def scenario_means(pop: DataFrame, model: LogitModel, overrides: list[dict], with_ci: bool = True):
     """Per-row scenario scores, ready to average.
 

@@ -74,6 +74,20 @@ def q_ingest_csv(spark, d):
     return ingest_csv(spark, f"{base}/csv", SCHEMAS["orders"], f"{base}/parquet")
 
 
+@register("ingest_csv_rejects", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, count_if(o_orderkey % 50 <> 1) AS n_good, count_if(o_orderkey % 50 = 1) AS n_rejected FROM orders GROUP BY 1""")
+def q_ingest_csv_rejects(spark, d):
+    """Orders as CSV, of which some have a price that is no number: good rows by year, and rejected lines by the year in them."""
+    base = scratch_dir(spark, "ingest")
+    orders = read_table(spark, d, "orders")
+    bad = orders.select(*[F.when(F.col("o_orderkey") % 50 == 1, F.lit("12 EUR")).otherwise(F.col(c).cast("string")).alias(c) if c == "o_totalprice" else F.col(c) for c in orders.columns])
+    write_table(bad, f"{base}/csv", fmt="csv")
+    good = ingest_csv(spark, f"{base}/csv", SCHEMAS["orders"], f"{base}/parquet", f"{base}/rejects", {"o_year": F.year("o_orderdate")})
+    lines = spark.read.parquet(f"{base}/rejects").select(F.regexp_extract("_corrupt_record", r"(\d{4})-\d\d-\d\dT", 1).cast("int").alias("o_year"))
+    both = good.select("o_year", F.lit(1).alias("g")).unionByName(lines.withColumn("g", F.lit(0)))
+    return both.groupBy("o_year").agg(F.count_if(F.col("g") == 1).alias("n_good"), F.count_if(F.col("g") == 0).alias("n_rejected"))
+
+
 _N_RECORD_COLS = 18
 
 
@@ -187,14 +201,9 @@ SELECT row_key,
   {Q.value_label_sql("'o_orderpriority'", "lower(o_orderpriority)", RECORD_VALUE_LABELS)} AS priority_label
 FROM records""")
 def q_decode_labels(spark, d):
-    r = records(spark, d)
     code = F.lpad(F.col("p_size").cast("bigint").cast("string"), 2, "0")
-    return r.select(
-        "row_key",
-        LB.lookup_value_label(F.lit("o_orderstatus"), F.col("o_orderstatus"), RECORD_VALUE_LABELS).alias("status_label"),
-        LB.lookup_value_label(F.lit("p_size"), code, RECORD_VALUE_LABELS).alias("size_label"),
-        LB.lookup_value_label(F.lit("o_orderpriority"), F.lower("o_orderpriority"),
-                              RECORD_VALUE_LABELS).alias("priority_label"))
+    wanted = {"status_label": ("o_orderstatus", F.col("o_orderstatus")), "size_label": ("p_size", code), "priority_label": ("o_orderpriority", F.lower("o_orderpriority"))}
+    return LB.decode_labels(records(spark, d), wanted, LB.label_table(spark, RECORD_VALUE_LABELS)).select("row_key", *wanted)
 
 
 def _term_label_sql(term: str) -> str:
@@ -219,8 +228,9 @@ def q_term_labels(spark, d):
     terms = counts.select(F.concat(F.col("variable"), F.lit("_"), F.col("level")).alias("term"))
     extra = spark.range(1).select(F.explode(F.array(F.lit("const"), F.lit("l_quantity"), F.lit("ship_lag"))).alias("term"))
     allt = terms.unionByName(extra).distinct()
-    return allt.select("term", LB.term_label(F.col("term"), RECORD_VARIABLE_LABELS, RECORD_VALUE_LABELS,
-                                             RECORD_TERM_OVERRIDES).alias("label"))
+    variables = spark.createDataFrame(list(RECORD_VARIABLE_LABELS.items()), "variable string, variable_label string")
+    overrides = spark.createDataFrame(list(RECORD_TERM_OVERRIDES.items()), "term string, override string")
+    return LB.term_labels(allt, variables, LB.label_table(spark, RECORD_VALUE_LABELS), overrides)
 
 
 @register("round_numeric", REC + """
@@ -472,9 +482,20 @@ def q_profile_unpivot(spark, d):
                               RECORD_VALUE_LABELS)
 
 
-@register("format_value", _profile_unpivot_sql())
+def _format_value_sql() -> str:
+    number = "CASE WHEN p_size <= 20 THEN l_quantity WHEN p_size <= 40 THEN l_quantity + 0.375 END"
+    shown = f"CASE WHEN ({number}) = floor({number}) THEN CAST(CAST(floor({number}) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', {number}) END"
+    return REC + f"""SELECT row_key, coalesce({Q.value_label_sql("'o_orderstatus'", "o_orderstatus", RECORD_VALUE_LABELS)}, trim(o_orderstatus)) AS status_shown,
+  CASE WHEN ({number}) IS NULL THEN 'Missing' ELSE {shown} END AS quantity_shown FROM records"""
+
+
+@register("format_value", _format_value_sql())
 def q_format_value(spark, d):
-    return q_profile_unpivot(spark, d)
+    """Every record's status as its label, and a number as Missing, whole, or with one decimal."""
+    number = F.when(F.col("p_size") <= 20, F.col("l_quantity")).when(F.col("p_size") <= 40, F.col("l_quantity") + 0.375).cast("double")
+    none = F.lit(None)
+    return records(spark, d).select("row_key", LB.format_value(F.lit("o_orderstatus"), F.col("o_orderstatus"), none.cast("double"), RECORD_VALUE_LABELS).alias("status_shown"),
+                                    LB.format_value(F.lit("l_quantity"), none.cast("string"), number, RECORD_VALUE_LABELS).alias("quantity_shown"))
 
 
 _PROF_COLS = ["l_returnflag", "ship_lag", "p_size", "l_quantity", "o_orderstatus", "y"]
@@ -709,6 +730,24 @@ def q_bootstrap_sample(spark, d):
     return SA.bootstrap_sample(spark, records(spark, d), 5000, 42).select("draw_id", "row_key")
 
 
+_REPLICATES = 20
+
+
+def _replicates_sql() -> str:
+    limits = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in SA.POISSON_LIMITS)
+    return REC + f""", u AS (SELECT CAST(range AS INTEGER) AS replicate, l_quantity AS v,
+  ('0x' || substr(md5('42:poisson:' || CAST(range // 4 AS VARCHAR) || ':' || row_key), 1 + 8 * (range % 4), 8))::BIGINT AS u FROM records, range(0, {_REPLICATES})),
+w AS (SELECT replicate, v, {limits} AS w FROM u)
+SELECT replicate, CAST(sum(w) AS BIGINT) AS n_draws, round(sum(w * v) / sum(w), 6) AS mean,
+       round(sqrt(greatest((sum(w * v * v) - sum(w * v) * sum(w * v) / sum(w)) / (sum(w) - 1), 0.0)), 6) AS std, min(v) AS min, max(v) AS max
+FROM w WHERE w > 0 GROUP BY replicate"""
+
+
+@register("bootstrap_replicates", _replicates_sql())
+def q_bootstrap_replicates(spark, d):
+    return r6(SA.bootstrap_replicates(records(spark, d), F.col("l_quantity"), _REPLICATES, 42))
+
+
 # --------------------------------------------------------------------------- encoding and pruning
 
 _ENC_FEATS = ["l_quantity", "p_size", "l_returnflag", "l_linestatus", "o_orderpriority", "p_type"]
@@ -1131,7 +1170,7 @@ FROM terms""")
 def q_dim_lookup(spark, d):
     t = _level_logodds_df(spark, d)
     labels = LB.label_table(spark, RECORD_VALUE_LABELS)
-    same = (F.col("Variable") == F.col("label_variable")) & (normalize_code("Level") == F.col("label_code"))
+    same = (F.col("Variable") == F.col("label_variable")) & (LB.code_key(F.col("Level")) == F.col("label_code"))
     return r6(t.join(labels, same, "left").select("Term", "Coefficient", F.col("label").alias("Label")))
 
 
@@ -1396,6 +1435,20 @@ def q_what_if_report(spark, d):
     return _what_if(spark, d)["category_switch"]
 
 
+@register("what_if_tables")
+def q_what_if_tables(spark, d):
+    """All tables of the what-if report from one fit, in long form: table, row, column, value as text."""
+    long = None
+    for name, table in _what_if(spark, d).items():
+        if name == "model":
+            continue
+        rows = RP.with_position(table)
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in table.columns])
+        part = rows.select(F.lit(name).alias("table"), F.col("Position").alias("row"), F.inline(cells))
+        long = part if long is None else long.unionByName(part)
+    return long
+
+
 # --------------------------------------------------------------------------- sinks, reuse, alignment
 
 
@@ -1417,22 +1470,36 @@ def q_write_table_csv(spark, d):
 @register("load_or_compute", REC + f""", src AS (SELECT * FROM records)
 SELECT variable, level, count(*) AS count FROM ({_UNPIVOT_CATS}) u GROUP BY variable, level""")
 def q_load_or_compute(spark, d):
-    """First call computes and stores the level-count table; the second finds it complete and reads it."""
-    from riskloom.sources.tables import load_or_compute
-    paths = {"level_counts": scratch_dir(spark, "reuse") + "/level_counts"}
-    compute = lambda: {"level_counts": HY.level_counts(records(spark, d), CATS)}
-    load_or_compute(spark, paths, compute)
-    return load_or_compute(spark, paths, compute)["level_counts"]
+    """First call computes and stores two tables as one set; the second finds the set of this input and reads it."""
+    from riskloom.sources.tables import input_fingerprint, load_or_compute
+    base = scratch_dir(spark, "reuse")
+    made = input_fingerprint(spark, *[f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part")])
+
+    def compute():
+        counts = HY.level_counts(records(spark, d), CATS)
+        return {"level_counts": counts, "variables": counts.select("variable").distinct()}
+
+    load_or_compute(spark, base, ["level_counts", "variables"], compute, made)
+    return load_or_compute(spark, base, ["level_counts", "variables"], compute, made)["level_counts"]
+
+
+_CROSS_COLS = sorted({v for _, v, _ in RECORD_SWITCH_SCENARIOS})
 
 
 def _scenario_cross_sql() -> str:
-    return ("SELECT Scenario, Variable, Scenario_Value, Predicted_Probability FROM (" + _SWITCH_SQL + ") s")
+    parts = []
+    for name, var, value in RECORD_SWITCH_SCENARIOS:
+        cols = ", ".join(f"{Q.lit(value)} AS {c}" if c == var and value is not None else c for c in _CROSS_COLS)
+        parts.append(f"SELECT {Q.lit(name)} AS Scenario, {cols}, n FROM g")
+    return REC + f", g AS (SELECT {', '.join(_CROSS_COLS)}, count(*) AS n FROM records GROUP BY ALL)\n" \
+        + f"SELECT Scenario, {', '.join(_CROSS_COLS)}, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(parts) + ") s GROUP BY ALL"
 
 
 @register("scenario_cross", _scenario_cross_sql())
 def q_scenario_cross(spark, d):
-    """Every row under every scenario, scored in one projection (no cross join), averaged."""
-    return r6(_switch_df(spark, d)).select("Scenario", "Variable", "Scenario_Value", "Predicted_Probability")
+    """Every profile that occurs under every scenario, with the number of rows behind it (expanded in the row, no cross join)."""
+    profiles = records(spark, d).groupBy(*_CROSS_COLS).agg(F.count(F.lit(1)).alias("n"))
+    return WI.scenario_cross(profiles, RECORD_SWITCH_SCENARIOS).groupBy("Scenario", *_CROSS_COLS).agg(F.sum("n").alias("n"))
 
 
 ORACLE_ALIGN = REC + """

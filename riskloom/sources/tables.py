@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,29 +136,66 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
-def ingest_csv(spark: SparkSession, csv_path: str, schema: T.StructType, out_path: str) -> DataFrame:
-    """CSV with header -> typed snappy Parquet; returns the Parquet-backed frame."""
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(csv_path)
-    write_table(raw, out_path)
-    return spark.read.schema(schema).parquet(out_path)
+def ingest_csv(spark: SparkSession, csv_path: str, schema: T.StructType, out_path: str, rejects_path: str | None = None,
+               partition_by: dict[str, Column] | None = None) -> DataFrame:
+    """CSV with header -> typed snappy Parquet; returns the Parquet-backed frame.
 
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
-
-
-def load_or_compute(spark: SparkSession, paths: dict[str, str],
-                    compute: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Reuse stored tables only if every one is complete; else compute and store all.
-
-    Stored tables are typed Parquet, so codes such as "01" survive the round trip.
+    Lines that do not fit the schema go, as they are, to a table at
+    ``rejects_path`` (``_corrupt_record``); without one they stop the run.
+    ``partition_by`` names derived columns by which the output is laid out, so
+    that a filter on them prunes folders.
+    """
+    derived = partition_by or {}
+    mode = "PERMISSIVE" if rejects_path else "FAILFAST"
+    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("header", True).option("mode", mode) \
+        .option("columnNameOfCorruptRecord", "_corrupt_record").csv(csv_path)
+    if rejects_path:
+        # the reader fills this column only if it reads the others too
+        write_table(raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", F.struct(*schema.names).alias("parsed")), rejects_path)
+        raw = raw.where(F.col("_corrupt_record").isNull())
+    good = raw.select(*schema.names).withColumns(derived)
+    good.write.mode("overwrite").option("compression", "snappy").partitionBy(*derived).parquet(out_path)
+    return spark.read.schema(good.schema).parquet(out_path)
+
+
+def input_fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files at the paths; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length", F.col("modificationTime").cast("string").alias("time"))
+    row = files.agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.bit_xor(F.xxhash64("path", "length", "time")).alias("hash")).first()
+    return f"{row['n']}-{row['size']}-{row['hash']}"
+
+
+_MANIFEST = "fingerprint string, folder string, tables map<string,string>, published timestamp"
+
+
+def load_or_compute(spark: SparkSession, base: str, names: list[str], compute: Callable[[], dict[str, DataFrame]], fingerprint: str = "") -> dict[str, DataFrame]:
+    """The set of tables ``names`` stored under ``base`` for this input, or computed and stored now.
+
+    All tables of a set are written to a folder of their own; only then one row
+    of the manifest (fingerprint of the input, folder, schema of every table) is
+    appended, which publishes them together. A set without its row (a run that
+    died between two tables), of another input, or with other tables is not
+    there, and is computed again. Tables are typed Parquet, so codes such as "01"
+    survive the round trip.
     """
-    if all(_complete(spark, p) for p in paths.values()):
-        return {k: spark.read.parquet(p) for k, p in paths.items()}
+    def stored() -> dict[str, DataFrame] | None:
+        try:
+            rows = spark.read.schema(_MANIFEST).parquet(f"{base}/manifest")
+            last = rows.where(F.col("fingerprint") == fingerprint).orderBy(F.desc("published")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        if last is None or set(last["tables"]) != set(names):
+            return None
+        return {n: spark.read.schema(T.StructType.fromJson(json.loads(last["tables"][n]))).parquet(f"{last['folder']}/{n}") for n in names}
+
+    if (found := stored()) is not None:
+        return found
+    folder = f"{base}/set-{uuid.uuid4().hex[:12]}"
     produced = compute()
-    for k, p in paths.items():
-        write_table(produced[k], p)
-    return {k: spark.read.parquet(p) for k, p in paths.items()}
+    for n in names:
+        write_table(produced[n], f"{folder}/{n}")
+    row = (fingerprint, folder, {n: produced[n].schema.json() for n in names}, datetime.datetime.now())
+    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+    return stored()
