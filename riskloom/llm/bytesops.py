@@ -7,6 +7,8 @@ task spends its time in numpy, not in a Python loop per word or byte.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,10 +24,18 @@ PRIME = (1 << 61) - 1
 _P = U64(PRIME)
 
 
+#: Numbers that are worked on at once, so that what is between stays in the cache.
+STEP = 1 << 14
+
+
+def _in_steps(n: int) -> Iterator[slice]:
+    return (slice(a, min(a + STEP, n)) for a in range(0, n, STEP))
+
+
 def _folded(x: np.ndarray) -> np.ndarray:
     """x modulo the prime, for any x below 2^64."""
     x = (x & _P) + (x >> U64(61))
-    return np.where(x >= _P, x - _P, x)
+    return x - _P * (x >= _P)
 
 
 def _shifted(x: np.ndarray, bits: int) -> np.ndarray:
@@ -33,14 +43,21 @@ def _shifted(x: np.ndarray, bits: int) -> np.ndarray:
     return ((x << U64(bits)) & _P) | (x >> U64(61 - bits))
 
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo the prime, by halves of 31 bits, for a and b below it."""
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low = U64((1 << 31) - 1)
     a1, a0, b1, b0 = a >> U64(31), a & low, b >> U64(31), b & low
     mid = a1 * b0 + a0 * b1
     return _folded(U64(2) * (a1 * b1) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << U64(31)) + a0 * b0)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves of 31 bits, for a and b below it."""
+    out = np.empty(len(a), U64)
+    for k in _in_steps(len(a)):
+        out[k] = _times(a[k], b[k])
+    return out
+
+
 class Rolling:
     """Rabin-Karp fingerprints of any window from prefix sums, modulo 2^61 - 1.
 
@@ -49,6 +66,9 @@ class Rolling:
     reduction and only the windows that are asked for are put together.
     """
 
+    #: Bits of a lane's field for bytes: 9 bits by 21 hold windows of up to 2^34 bytes.
+    FIELD = 21
+
     def __init__(self, seed: int):
         self.base = int(np.random.default_rng(seed).integers(1 << 32, PRIME))
         self.inverse = pow(self.base, -1, PRIME)
@@ -62,19 +82,17 @@ class Rolling:
 
     def prefix(self, values: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Lanes (bits they stand above, prefix sums one longer than values); values: uint8 or numbers below 2^64."""
-        up = self._powers(len(values) + 1)[0][:-1]
-        if values.dtype == np.uint8:
-            # 9 bits by 21: windows of up to 2^34 bytes
-            v, fields = values.astype(U64) + U64(1), [(k, up >> U64(k) & U64((1 << 21) - 1)) for k in (0, 21, 42)]
-            terms = [(k, v * f) for k, f in fields]
-        else:
-            t = times(_folded(values), up)
-            terms = [(0, t & U64(0xFFFFFFFF)), (32, t >> U64(32))]
-        lanes = []
-        for k, t in terms:
-            sums = np.zeros(len(values) + 1, U64)
-            np.cumsum(t, out=sums[1:])
-            lanes.append((k, sums))
+        n, letters = len(values), values.dtype == np.uint8
+        up = self._powers(n + 1)[0]
+        lanes = [(k, np.zeros(n + 1, U64)) for k in (range(0, 63, self.FIELD) if letters else (0, 32))]
+        field = U64((1 << (self.FIELD if letters else 32)) - 1)
+        for k in _in_steps(n):
+            v = values[k].astype(U64) + U64(1) if letters else _times(_folded(values[k]), up[k])
+            for bits, sums in lanes:
+                # the terms of a lane, summed on from where it stands
+                term = v * (up[k] >> U64(bits) & field) if letters else v >> U64(bits) & field
+                np.cumsum(term, out=sums[k.start + 1:k.stop + 1])
+                sums[k.start + 1:k.stop + 1] += sums[k.start]
         return lanes
 
     @staticmethod
@@ -88,7 +106,11 @@ class Rolling:
 
     def spans(self, prefix: list[tuple[int, np.ndarray]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed fingerprint of values[start:end] for arrays of starts and ends."""
-        return mix(times(self._sum(prefix, start, end), self._powers(len(prefix[0][1]))[1][start]))
+        down = self._powers(len(prefix[0][1]))[1]
+        out = np.empty(len(start), U64)
+        for k in _in_steps(len(start)):
+            out[k] = mix(_times(self._sum(prefix, start[k], end[k]), down[start[k]]))
+        return out
 
     def without_one(self, values: np.ndarray) -> np.ndarray:
         """For each place, the fingerprint of all values but the one there."""
@@ -108,6 +130,47 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return out
 
 
+class Wrapping:
+    """Fingerprints modulo 2^64, for windows of fewer than 512 bytes; ``prefix`` and ``spans`` as ``Rolling``.
+
+    Cheaper, and enough there: the strings that collide for every base (words
+    of Thue and Morse, whose difference is divisible by a growing power of two)
+    keep 11 differing bits at 511 bytes and collide from 1,024 bytes on.
+    """
+
+    WINDOW = 512
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.base = (int(rng.integers(1 << 62)) << 3 | 3) & (1 << 64) - 1
+        self.inverse = pow(self.base, -1, 1 << 64)
+        # odd differences of two bytes would not matter; even ones lose no more than the few bits that they share
+        self.table = rng.integers(0, 1 << 64, 256, dtype=U64)
+        self._up = self._down = np.ones(1, U64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._up) < n:
+            m = 1 << max(16, (n - 1).bit_length())
+            up, down = np.full(m, self.base, U64), np.full(m, self.inverse, U64)
+            up[0] = down[0] = 1
+            self._up, self._down = np.cumprod(up), np.cumprod(down)
+        return self._up[:n], self._down[:n]
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        out, up = np.zeros(len(values) + 1, U64), self._powers(len(values) + 1)[0]
+        for k in _in_steps(len(values)):
+            np.cumsum(self.table[values[k]] * up[k], out=out[k.start + 1:k.stop + 1])
+            out[k.start + 1:k.stop + 1] += out[k.start]
+        return out
+
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        down = self._powers(len(prefix))[1]
+        out = np.empty(len(start), U64)
+        for k in _in_steps(len(start)):
+            out[k] = mix((prefix[end[k]] - prefix[start[k]]) * down[start[k]])
+        return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that every bit depends on all others."""
     x = x ^ (x >> U64(31))

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from riskloom.llm import bytesops as B
 from riskloom.llm import ties
 
-_FIRST, _SECOND = B.Rolling(51), B.Rolling(67)
+_FIRST, _SECOND = B.Wrapping(51), B.Wrapping(67)
+_WIDE = B.Rolling(51), B.Rolling(67)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                   ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 _REQUESTS = "block long, round int, bucket long, entries binary"
@@ -62,9 +63,10 @@ class _Suffixes:
         at = np.arange(self.n)
         short = length - self.v + 1
         self.sample = np.flatnonzero(on_cover[(at - self.start_of) % self.v] & (at + short <= self.end_of))
-        self.p, self.q = _FIRST.prefix(self.data), _SECOND.prefix(self.data)
-        self.rank = _FIRST.spans(self.p, self.sample, self.sample + short)
-        self.spread = _SECOND.spans(self.q, self.sample, self.sample + short)
+        self.first, self.second = (_FIRST, _SECOND) if length + self.v - 1 < B.Wrapping.WINDOW else _WIDE
+        self.p, self.q = self.first.prefix(self.data), self.second.prefix(self.data)
+        self.rank = self.first.spans(self.p, self.sample, self.sample + short)
+        self.spread = self.second.spans(self.q, self.sample, self.sample + short)
 
     def ranks(self) -> ties.Entries:
         """Round 1: upper half the short key, lower half the long one (0: the document ends before)."""
@@ -72,7 +74,7 @@ class _Suffixes:
         self.whole = self.sample + size <= self.end_of[self.sample]
         s = self.sample[self.whole]
         low = np.zeros(len(self.sample), np.uint64)
-        low[self.whole] = np.maximum(_FIRST.spans(self.p, s, s + size) >> np.uint64(32), np.uint64(1))
+        low[self.whole] = np.maximum(self.first.spans(self.p, s, s + size) >> np.uint64(32), np.uint64(1))
         return ties.Entries(self.rank >> np.uint64(32) << np.uint64(32) | low, self.spread, self.buckets)
 
     def near(self, samples: np.ndarray) -> np.ndarray:
@@ -88,7 +90,7 @@ class _Suffixes:
         again = entries.repeated[entries.index]
         self.tied = tied | again
         self.long = self.sample[(equal | again) & self.whole]
-        keys, spread = (r.spans(x, self.long, self.long + self.length + self.v - 1) for r, x in ((_FIRST, self.p), (_SECOND, self.q)))
+        keys, spread = (r.spans(x, self.long, self.long + self.length + self.v - 1) for r, x in ((self.first, self.p), (self.second, self.q)))
         return ties.Entries(keys, spread, self.buckets)
 
     def decide_long(self, answers: pa.Table) -> None:
@@ -110,7 +112,7 @@ class _Suffixes:
         """Round 3: the suffixes near groups with an undecided member."""
         marked, _ = self.groups().answers(answers, 2)
         self.at = self.near(self.sample[self.tied][marked])
-        keys, spread = (r.spans(x, self.at, self.at + self.length) for r, x in ((_FIRST, self.p), (_SECOND, self.q)))
+        keys, spread = (r.spans(x, self.at, self.at + self.length) for r, x in ((self.first, self.p), (self.second, self.q)))
         return ties.Entries(keys, spread, self.buckets)
 
     def decide_rest(self, answers: pa.Table) -> None:

@@ -7,7 +7,7 @@ buckets are sorted one at a time, and the answer that goes back is one bit an
 entry, in the order in which the block sent them. Memory is bounded by one
 block or one bucket; both counts grow with the data. Nothing is collected.
 
-An entry is 64 bits (61 of one fingerprint, three of an independent one) and the
+An entry is 64 bits (of one fingerprint, three of them mixed with an independent one) and the
 bucket number, taken from that other fingerprint, adds log2(buckets) more. With a million entries a bucket, the
 expected number of false ties among N entries is N / 2^45 (0.3 for 10^13).
 """
