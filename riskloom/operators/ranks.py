@@ -1,14 +1,19 @@
-"""Distributed ordered statistics: prefix sums, exact quantiles, hashed cut-offs.
+"""Distributed ordered statistics: exact quantiles by radix selection, hashed cut-offs.
 
 A running sum over a global order is the one shape Spark cannot run without
-care: ``Window.orderBy`` with no partition puts every row into one task. Here
-rows are range-partitioned by the order (as many parts as the session shuffles
-into, so they grow with the cluster and the data), the totals of the parts give
-each its offset, and the running sum is only computed inside a part.
+care: ``Window.orderBy`` with no partition puts every row into one task. Nothing
+here orders rows: values and hashes are counted by their upper bits, and only
+the counts in which a wanted place lies are looked at more closely.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +21,8 @@ from riskloom.session import checkpointed
 
 #: Upper bits of the 60-bit hash that rows are counted by, in two steps of half as many.
 CUT_BITS = 20
-
-
-def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], sum_cols: list[str]) -> DataFrame:
-    """Add ``<c>_before``: the sum of ``c`` over rows strictly earlier in
-    (group, order) order. ``order_cols`` must identify a row within a group.
-
-    The range-partitioned rows are kept in the shared folder, so the totals and
-    the running sums see the same parts, and the input is computed once.
-    """
-    parts = checkpointed(df.repartitionByRange(*group_cols, *order_cols).withColumn("_part", F.spark_partition_id()))
-    keys = [*group_cols, "_part"]
-    totals = parts.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    earlier = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                            *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    inside = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(offsets, same).select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sum_cols])
+#: Bits of a digit of radix selection.
+DIGIT_BITS = 16
 
 
 def _cut_prefixes(df: DataFrame, hk: Column, quota, g: list[str]) -> DataFrame:
@@ -128,56 +115,135 @@ def flag_first_n(df: DataFrame, order_cols: list[str], quota, group_cols: list[s
     return plain.unionByName(numbered.select(*[F.col(c) for c in df.columns], (F.col("_skip") + F.col("_turn") <= F.col("_ties")).cast("int").alias(name)))
 
 
-def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(variable, value) pairs for numeric columns, NULL/NaN dropped."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
-                      for c in cols])
-    long = df.select(F.inline(pairs))
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles (-0.0 is 0.0)."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> np.int64(63)) & np.int64(0x7FFFFFFFFFFFFFFF))
 
 
-def _quantiles(counted: DataFrame, probs: list[float], names: list[str]) -> DataFrame:
-    """Quantiles of (variable, value, cnt) by linear interpolation between order statistics."""
-    sizes = counted.groupBy("variable").agg(F.sum("cnt").alias("n"))
-    pre = prefix_sums(counted, ["variable"], ["value"], ["cnt"]).join(sizes, "variable")
-    aggs = [F.first("n").alias("n")]
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when(F.col("cnt_before") <= lo, F.col("value"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("cnt_before") <= hi, F.col("value"))).alias(f"_hi{i}"), F.first(h - lo).alias(f"_fr{i}")]
-    out = pre.groupBy("variable").agg(*aggs)
-    return out.select("variable", "n", *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-                                         for i, nm in enumerate(names)])
+def _double(key: int) -> float:
+    k = np.array([key], np.int64)
+    return float((k ^ ((k >> np.int64(63)) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0])
 
 
-def quantiles_frame(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas / ``quantile_cont`` rule).
+def _digit_counts(df: DataFrame, cols: list[str], level: int, targets: dict[int, list[int]]) -> list:
+    """Rows (v, t, d, n, low, high): how many keys of column v that begin with the digits t have d as the next one, and the least and largest of them.
 
-    One row per variable: ``variable, n, <name_i>...``. Values are counted by
-    distinct value first (partial aggregation), so repeated values cost nothing.
+    Digits are 16 bits, so a task holds 65,536 counts a target. At the first
+    level the missing values of a column are its digit None.
+    """
+    up, down = np.int64(64 - DIGIT_BITS * level), np.int64(64 - DIGIT_BITS * (level + 1))
+    size, low_end, high_end = 1 << DIGIT_BITS, np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {(v, t): (np.zeros(size, np.int64), np.full(size, low_end), np.full(size, high_end)) for v, ts in targets.items() for t in ts}
+        missing = dict.fromkeys(targets, 0)
+        for batch in batches:
+            for v, ts in targets.items():
+                values = np.asarray(batch.column(v).to_numpy(zero_copy_only=False), dtype="float64")
+                known = values[~np.isnan(values)]
+                missing[v] += len(values) - len(known)
+                keys = np.sort(_ordered(known))
+                for t in ts:
+                    own = keys if level == 0 else keys[np.searchsorted(keys >> up, t):np.searchsorted(keys >> up, t, side="right")]
+                    if len(own):
+                        digit = (own >> down) & np.int64(size - 1)
+                        first = np.flatnonzero(np.diff(own >> down, prepend=(own[0] >> down) - 1))
+                        last = np.append(first[1:], len(own))
+                        d = digit[first]
+                        n, low, high = held[v, t]
+                        n[d] += last - first
+                        low[d] = np.minimum(low[d], own[first])
+                        high[d] = np.maximum(high[d], own[last - 1])
+        for (v, t), (n, low, high) in held.items():
+            d = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), v, np.int32)), pa.array(np.full(len(d), t)), pa.array(d.astype(np.int32)), pa.array(n[d]), pa.array(low[d]), pa.array(high[d])], names=names)
+        if level == 0:
+            at = list(missing)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([0] * len(at), pa.int64()), pa.array([None] * len(at), pa.int32()),
+                                              pa.array([missing[v] for v in at], pa.int64()), pa.array([0] * len(at), pa.int64()), pa.array([0] * len(at), pa.int64())], names=names)
+
+    names = ["v", "t", "d", "n", "low", "high"]
+    made = df.select(*cols).mapInArrow(run, "v int, t long, d int, n long, low long, high long")
+    return made.groupBy("v", "t", "d").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # at most 65,536 a target
+
+
+def order_statistics(df: DataFrame, cols: list[str], ranks) -> tuple[list[int], list[dict[int, float]], list[int]]:
+    """By radix selection: the size of each column, its values at the ranks (from 0) that ``ranks(size)`` asks for, and its missing values.
+
+    A pass counts by the next 16 bits of the values' order-preserving key, and
+    only the digits in which a rank ends are looked at again: at most four
+    passes, one if the values there are equal already. No value is shuffled.
     """
-    counted = checkpointed(long_values(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    return _quantiles(counted, probs, names or [f"q{i}" for i in range(len(probs))])
+    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).persist(StorageLevel.MEMORY_AND_DISK)
+    names = [f"_{i}" for i in range(len(cols))]
+    sizes, missing, found = [0] * len(cols), [0] * len(cols), [{} for _ in cols]
+    try:
+        # (column, digits so far) -> the ranks asked for, with the rank inside
+        todo: dict[tuple[int, int], list[tuple[int, int]]] = {(v, 0): [] for v in range(len(cols))}
+        for level in range(64 // DIGIT_BITS):
+            targets: dict[int, list[int]] = {}
+            for v, t in todo:
+                targets.setdefault(v, []).append(t)
+            bins: dict[tuple[int, int], list] = {}
+            for r in _digit_counts(numeric, names, level, targets):
+                if r["d"] is None:
+                    missing[r["v"]] = r["n"]
+                else:
+                    bins.setdefault((r["v"], r["t"]), []).append(r)
+            rest: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for (v, t), asked in todo.items():
+                # the least key tells the order of the digits, whose first one has a sign
+                rows = sorted(bins.get((v, t), []), key=lambda r: r["low"])
+                if level == 0:
+                    sizes[v] = sum(r["n"] for r in rows)
+                    asked = [(k, k) for k in sorted(set(ranks(sizes[v])))] if sizes[v] else []
+                for rank, inside in asked:
+                    for r in rows:
+                        if inside < r["n"]:
+                            break
+                        inside -= r["n"]
+                    if r["low"] == r["high"]:
+                        found[v][rank] = _double(r["low"])
+                    else:
+                        rest.setdefault((v, r["low"] >> (64 - DIGIT_BITS * (level + 1))), []).append((rank, inside))
+            todo = rest
+            if not todo:
+                break
+    finally:
+        numeric.unpersist()
+    return sizes, found, missing
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], missing: dict | None = None, sizes: dict | None = None) -> dict[str, list[float | None]]:
+    """Driver-side dict {column: [quantile per prob]} (pandas / ``quantile_cont`` rule); None for all-missing columns.
+
+    ``missing`` and ``sizes`` (if given) receive the NULL/NaN and the other counts from the same passes.
+    """
+    places = lambda n: [k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+    counts, found, gone = order_statistics(df, cols, places)
+    if missing is not None:
+        missing.update(zip(cols, gone))
+    if sizes is not None:
+        sizes.update(zip(cols, counts))
 
+    def at(v: int, p: float) -> float | None:
+        if not counts[v]:
+            return None
+        h = (counts[v] - 1) * p
+        low, high = found[v][math.floor(h)], found[v][math.ceil(h)]
+        return low + (h - math.floor(h)) * (high - low)
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], missing: dict | None = None) -> dict[str, list[float | None]]:
-    """Driver-side dict {column: [quantile per prob]}; None for all-missing columns.
+    return {c: [at(v, p) for p in probs] for v, c in enumerate(cols)}
 
-    Values are counted per distinct value once, missing ones as a group of their
-    own, so ``missing`` (if given) receives the NULL/NaN count per column from
-    the same pass; one row a column reaches the driver.
-    """
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
-    v = F.col("value")
-    counted = checkpointed(df.select(F.inline(pairs)).select("variable", F.when(v.isNotNull() & ~F.isnan(v), v).alias("value"))
-                           .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    if missing is not None:
-        missing.update({c: 0 for c in cols})
-        missing.update({r["variable"]: r["cnt"] for r in counted.filter(F.col("value").isNull()).collect()})
-    names = [f"q{i}" for i in range(len(probs))]
-    found = {r["variable"]: [r[n] for n in names] for r in _quantiles(counted.filter(F.col("value").isNotNull()), probs, names).collect()}
-    return {c: found.get(c, [None] * len(probs)) for c in cols}
+
+def quantiles_frame(df: DataFrame, cols: list[str], probs: list[float], names: list[str] | None = None) -> DataFrame:
+    """Exact quantiles as one row per variable that has a value: ``variable, n, <name_i>...``."""
+    sizes: dict[str, int] = {}
+    got = exact_quantiles(df, cols, probs, sizes=sizes)
+    names = names or [f"q{i}" for i in range(len(probs))]
+    rows = [(c, sizes[c], *got[c]) for c in cols if sizes[c]]
+    return df.sparkSession.createDataFrame(rows, "variable string, n bigint, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def hashed_order_key(seed: int, key: Column) -> tuple[Column, Column]:

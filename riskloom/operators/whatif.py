@@ -8,7 +8,13 @@ baseline profile) reproduces the single-profile analysis exactly.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,15 +146,65 @@ def scenario_means(pop: DataFrame, model: LogitModel, overrides: list[dict], wit
     return scored, aggs
 
 
+#: Terms up to which a quadratic form is an expression; generated code for more would pass the limit of a method.
+EXPRESSION_TERMS = 16
+
+
+def scenario_averages(pop: DataFrame, model: LogitModel, overrides: list[dict]) -> DataFrame:
+    """One row: the mean probability of the population (``pb``) and, per scenario i, of ``s<i>_`` probability and bounds.
+
+    Models of up to ``EXPRESSION_TERMS`` terms are scored by expressions inside
+    whole-stage codegen. For wider ones the quadratic forms are matrix products
+    on Arrow batches, and a task sends one vector of sums.
+    """
+    p = len(model.terms)
+    if model.cov is None or p <= EXPRESSION_TERMS:
+        scored, aggs = scenario_means(pop, model, overrides)
+        return scored.agg(*aggs)
+    b, cov = np.asarray(model.coef, dtype="float64"), np.asarray(model.cov, dtype="float64")
+    names, intercept, z = list(model.terms), float(model.intercept), float(Z_PREDICTION_INTERVAL)
+    fixed = [(sorted(skip), d) for skip, d in (_override_vector(model, ov) for ov in overrides)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, count = np.zeros(1 + 3 * len(fixed)), 0
+        for batch in batches:
+            X = np.column_stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype="float64") for i in range(p)]).reshape(batch.num_rows, p)
+            X = X[~np.isnan(X).any(axis=1)]  # a row with a missing number has no score and is in no mean
+            out = [_sigmoid(X @ b + intercept)]
+            for skip, d in fixed:
+                Y = X.copy()
+                Y[:, skip] = d[skip]
+                eta = Y @ b + intercept
+                half = z * np.sqrt(np.clip(((Y @ cov) * Y).sum(axis=1), 0.0, None))
+                out += [_sigmoid(eta), _sigmoid(eta - half), _sigmoid(eta + half)]
+            sums += [v.sum() for v in out]
+            count += len(X)
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(sums, count)], pa.list_(pa.float64()))], names=["s"])
+
+    fan_in = max(1, math.isqrt(int(pop.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = model.spec.encode(pop).mapInArrow(fold, "s array<double>").select(array_to_vector("s").alias("v")).repartition(fan_in)
+    one = parts.agg(Summarizer.sum(F.col("v")).alias("t")).select(vector_to_array("t").alias("t"))
+    n = 1 + 3 * len(fixed)
+    mean = [F.try_divide(F.get("t", F.lit(i)), F.get("t", F.lit(n))) for i in range(n)]
+    cells = [mean[0].alias("pb")]
+    for i in range(len(fixed)):
+        cells += [mean[1 + 3 * i + k].alias(f"s{i}_{name}") for k, name in enumerate(("Predicted_Probability", "CI_Lower_95", "CI_Upper_95"))]
+    return one.select(*cells)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -700.0, 700.0)))
+
+
 def what_if_switch(pop: DataFrame, model: LogitModel, scenarios: list[tuple]) -> DataFrame:
     """Switch one column per scenario; probability, interval and change vs the baseline."""
     overrides = [({} if v is None else {var: v}) for _, var, v in scenarios]
-    scored, aggs = scenario_means(pop, model, overrides)
+    means = scenario_averages(pop, model, overrides)
     variables = sorted({var for _, var, _ in scenarios})
     # text min/max needs a sort-based aggregate: keep it out of the numeric pass
     common = pop.agg(*[_common_value(v).alias(f"base_{v}") for v in variables])
     arr = common.select(F.array(*[F.col(f"base_{v}") for v in variables])).scalar()
-    one = scored.agg(*aggs).select("*", *[arr[i].alias(f"base_{v}") for i, v in enumerate(variables)])
+    one = means.select("*", *[arr[i].alias(f"base_{v}") for i, v in enumerate(variables)])
     rows = []
     for i, (name, var, value) in enumerate(scenarios):
         p = F.col(f"s{i}_Predicted_Probability")
@@ -167,8 +223,8 @@ def what_if_switch(pop: DataFrame, model: LogitModel, scenarios: list[tuple]) ->
 def what_if_curve(pop: DataFrame, model: LogitModel, variable: str, values: list) -> DataFrame:
     """Vary one numeric column over a grid; mean probability and interval per value."""
     overrides = [{variable: float(v)} for v in values]
-    scored, aggs = scenario_means(pop, model, overrides)
-    one = scored.agg(*aggs)
+    means = scenario_averages(pop, model, overrides)
+    one = means
     rows = [F.struct(F.lit(variable).alias("Variable"), F.lit(float(v)).alias("Value"),
                      F.col(f"s{i}_Predicted_Probability").alias("Predicted_Probability"),
                      F.col(f"s{i}_CI_Lower_95").alias("CI_Lower_95"),
@@ -180,8 +236,8 @@ def what_if_curve(pop: DataFrame, model: LogitModel, variable: str, values: list
 def risk_profiles(pop: DataFrame, model: LogitModel, profiles: list[tuple]) -> DataFrame:
     """Named bundles of overrides, ordered by probability (lowest first)."""
     overrides = [dict(ov) for _, ov in profiles]
-    scored, aggs = scenario_means(pop, model, overrides)
-    one = scored.agg(*aggs)
+    means = scenario_averages(pop, model, overrides)
+    one = means
     rows = [F.struct(F.lit(name).alias("Profile"),
                      F.col(f"s{i}_Predicted_Probability").alias("Predicted_Probability"),
                      F.col(f"s{i}_CI_Lower_95").alias("CI_Lower_95"),
@@ -195,8 +251,8 @@ def group_contrast(pop: DataFrame, model: LogitModel, contrast: tuple) -> DataFr
     var, cases = contrast
     ref_value = cases[0][1]
     overrides = [{var: v} for _, v in cases]
-    scored, aggs = scenario_means(pop, model, overrides)
-    one = scored.agg(*aggs)
+    means = scenario_averages(pop, model, overrides)
+    one = means
     p0 = F.col("s0_Predicted_Probability")
     rows = []
     for i, (name, v) in enumerate(cases):

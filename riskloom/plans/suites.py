@@ -71,7 +71,7 @@ def _keep(df: DataFrame) -> DataFrame:
 
 def prepare_split_design(df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *,
                          include_other: bool, seed: int = 42, test_share: float = 0.30,
-                         key_col: str = "row_key", sparse: bool = True):
+                         key_col: str = "row_key", sparse: bool = True, cache_source: bool = True):
     """Prepared, split and cached model table plus its pruned design.
 
     The source projection is cached first, so the hygiene, imputation and split
@@ -79,13 +79,13 @@ def prepare_split_design(df: DataFrame, m: ModelSpec, y_col: str, hygiene: Hygie
     Returns (table, spec, [cached frames to release]).
     """
     cols = list(dict.fromkeys([key_col, y_col] + m.features))
-    src = _keep(df.select(cols))
+    src = _keep(df.select(cols)) if cache_source else df.select(cols)
     d, feats = prepare_binary(src, m, y_col, hygiene, include_other)
     keep = list(dict.fromkeys([key_col, y_col] + feats))
     d = _keep(stratified_split(d.select(keep), y_col, test_share, seed, key_col))
     spec = fit_design(d, feats, m.categorical)
     spec = prune_design(spec, d, y_col if sparse else None, split_col="is_test", sparse=sparse)
-    return d, spec, [d, src]
+    return d, spec, [d, src] if cache_source else [d]
 
 
 def release(frames) -> None:
@@ -111,8 +111,8 @@ class Prepared:
 
 
 def prepare_binary_model(df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *, include_other: bool, seed: int = 42,
-                         test_share: float = 0.30, key_col: str = "row_key") -> Prepared:
-    d, spec, cached = prepare_split_design(df, m, y_col, hygiene, include_other=include_other, seed=seed, test_share=test_share, key_col=key_col)
+                         test_share: float = 0.30, key_col: str = "row_key", cache_source: bool = True) -> Prepared:
+    d, spec, cached = prepare_split_design(df, m, y_col, hygiene, include_other=include_other, seed=seed, test_share=test_share, key_col=key_col, cache_source=cache_source)
     if not spec.terms:
         release(cached)
         raise ValueError(f"no terms left to fit in {m.label}")
@@ -120,17 +120,18 @@ def prepare_binary_model(df: DataFrame, m: ModelSpec, y_col: str, hygiene: Hygie
 
 
 def prepare_ordinal_model(df: DataFrame, m: ModelSpec, y_col: str, hygiene: HygieneSpec, *, include_other: bool, classes=(1, 2, 3), seed: int = 42,
-                          test_share: float = 0.30, key_col: str = "row_key", max_iter: int = 50) -> Prepared:
+                          test_share: float = 0.30, key_col: str = "row_key", max_iter: int = 50, cache_source: bool = True) -> Prepared:
     """Ordinal path: coerce class and numerics, filter classes, drop missing, hygiene, encode, split.
 
     Classes and numeric features may be text; what is no number counts as missing.
     """
     numeric = [c for c in m.features if c not in m.categorical]
     typed = df.select(list(dict.fromkeys([key_col, y_col] + m.features))).withColumns({c: HY.as_number(df, c) for c in [y_col, *numeric]})
-    src = _keep(typed.filter(F.col(y_col).isin([float(c) for c in classes])).withColumn(y_col, F.col(y_col).cast("int")))
+    src = typed.filter(F.col(y_col).isin([float(c) for c in classes])).withColumn(y_col, F.col(y_col).cast("int"))
+    src = _keep(src) if cache_source else src
     d = HY.drop_missing(src, m.features + [y_col])
     if d.isEmpty():
-        release([src])
+        release([src] if cache_source else [])
         raise ValueError(f"no rows left: {y_col} has no class of {list(classes)} in a row without missing features")
     d, _ = HY.variablewise_preprocess(d, hygiene, m.categorical, include_other_group=include_other,
                                       default_threshold=m.default_threshold)
@@ -139,7 +140,7 @@ def prepare_ordinal_model(df: DataFrame, m: ModelSpec, y_col: str, hygiene: Hygi
     spec = fit_design(d, m.features, m.categorical)
     spec = prune_design(spec, d, None, split_col="is_test", sparse=False, rank=False)
     problem = NW.ordered_problem(d.filter(F.col("is_test") == 0), spec, y_col, sorted(classes), max_iter)
-    return Prepared(m.label, d, spec, y_col, problem, [d, src], sorted(classes))
+    return Prepared(m.label, d, spec, y_col, problem, [d, src] if cache_source else [d], sorted(classes))
 
 
 def binary_result(p: Prepared) -> BinaryResult:
@@ -168,9 +169,22 @@ def fit_suite(spark: SparkSession, prepared: list[Prepared]) -> list[BinaryResul
         release([f for p in prepared for f in p.cached])
 
 
+def _fitted(spark: SparkSession, source: DataFrame, prepare) -> list[BinaryResult | OrdinalResult]:
+    """``fit_suite`` of the models that ``prepare`` makes of a kept source, which is read once for all of them."""
+    try:
+        return fit_suite(spark, prepare())
+    finally:
+        release([source])
+
+
 VARIANTS = (("with_other_group", True), ("without_other_group", False))
 
 
+def _needed(df: DataFrame, models: list[ModelSpec], *y_cols: str, key_col: str = "row_key", **_) -> DataFrame:
+    """The columns that the models read."""
+    return df.select(list(dict.fromkeys([key_col, *y_cols] + [c for m in models for c in m.features])))
+
+
 def _variants(models: list[ModelSpec], variants) -> list[tuple[ModelSpec, bool]]:
     return [(ModelSpec(f"{m.label} ({name})", m.features, m.categorical, m.impute, m.default_threshold), inc) for name, inc in variants for m in models]
 
@@ -202,13 +216,15 @@ def fit_ordinal(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str, hy
 def binary_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_col: str,
                  hygiene: HygieneSpec, variants=VARIANTS, **kw) -> tuple[DataFrame, list[BinaryResult]]:
     """Each model under each hygiene variant, all fitted in the same passes; one comparison table."""
-    results = fit_suite(spark, [prepare_binary_model(df, m, y_col, hygiene, include_other=inc, **kw) for m, inc in _variants(models, variants)])
+    df = _keep(_needed(df, models, y_col, **kw))
+    results = _fitted(spark, df, lambda: [prepare_binary_model(df, m, y_col, hygiene, include_other=inc, cache_source=False, **kw) for m, inc in _variants(models, variants)])
     return EV.comparison_table(_stacked(results)), results
 
 
 def ordinal_suite(spark: SparkSession, df: DataFrame, models: list[ModelSpec], y_col: str, hygiene: HygieneSpec,
                   variants=VARIANTS, **kw) -> tuple[DataFrame, list[OrdinalResult]]:
-    results = fit_suite(spark, [prepare_ordinal_model(df, m, y_col, hygiene, include_other=inc, **kw) for m, inc in _variants(models, variants)])
+    df = _keep(_needed(df, models, y_col, **kw))
+    results = _fitted(spark, df, lambda: [prepare_ordinal_model(df, m, y_col, hygiene, include_other=inc, cache_source=False, **kw) for m, inc in _variants(models, variants)])
     return EV.comparison_table(_stacked(results)), results
 
 
@@ -219,9 +235,10 @@ def model_comparison(spark: SparkSession, df: DataFrame, binary_models: list[Mod
     base = df.filter(F.col(y_ord).cast("int").isin(1, 2, 3))
     if sample:
         base = sample_n(base, sample, seed)
-    prepared = [prepare_binary_model(base, m, y_bin, hygiene, include_other=inc) for m, inc in _variants(binary_models, VARIANTS)]
-    prepared += [prepare_ordinal_model(base, m, y_ord, hygiene, include_other=inc) for m, inc in _variants(ordinal_models, VARIANTS)]
-    results = fit_suite(spark, prepared)
+    base = _keep(_needed(base, [*binary_models, *ordinal_models], y_bin, y_ord))
+    kw = {"cache_source": False}
+    results = _fitted(spark, base, lambda: [prepare_binary_model(base, m, y_bin, hygiene, include_other=inc, **kw) for m, inc in _variants(binary_models, VARIANTS)]
+                      + [prepare_ordinal_model(base, m, y_ord, hygiene, include_other=inc, **kw) for m, inc in _variants(ordinal_models, VARIANTS)])
     n = len(binary_models) * len(VARIANTS)
     binary, ordinal = EV.comparison_table(_stacked(results[:n])), EV.comparison_table(_stacked(results[n:]))
     return EV.sort_results(EV.standardize_metrics(binary, "Binary Logit").unionByName(EV.standardize_metrics(ordinal, "Ordinal Logit")))

@@ -141,3 +141,15 @@ def test_empty_group_has_a_zero_factor(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0), (3.0, 4.0, 0)], "a double, b double, g int")
     factors, prints = column_summary(df, ["a", "b"], "g", 2)
     assert np.allclose(factors[1], 0) and prints[1] == [0, 0] and independent_columns(factors[0]) == [0, 1]
+
+
+def test_wide_scenarios_equal_narrow_ones(frame, monkeypatch):
+    """The matrix form of the scenario means is the expression form, also with missing numbers in the population."""
+    from riskloom.operators import whatif as WI
+    model = logit_mle(frame, fit_design(frame, ["a", "b", "x"], ["a", "b"]), "y")
+    pop = frame.withColumn("x", F.when(F.col("row_key") % 7 != 0, F.col("x")))
+    overrides = [{}, {"a": "r"}, {"x": 1990.0}, {"a": "q", "x": 2010.0}]
+    narrow = WI.scenario_averages(pop, model, overrides).first().asDict()
+    monkeypatch.setattr(WI, "EXPRESSION_TERMS", 0)
+    wide = WI.scenario_averages(pop, model, overrides).first().asDict()
+    assert narrow.keys() == wide.keys() and all(np.isclose(narrow[k], wide[k], rtol=1e-10) for k in narrow)
