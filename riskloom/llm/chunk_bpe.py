@@ -2,12 +2,13 @@
 
 A rolling hash over the last bytes picks cuts at spaces, so the same passage is
 cut alike in every document; a chunk is encoded once by a worker while it is
-remembered and reused in all documents after that. A join of two chunks agrees
-with the encoding of the whole if a pre-token begins there: the space stands
-between two characters that are no white space, so no run of white space, no
-``\\s+(?!\\S)`` and no other alternative of the pattern can reach across. Cuts
-for which that cannot be shown are not taken, so the chunks are wider there.
-Nothing is encoded twice and no agreement is checked: the proof holds for
+remembered and reused in all documents after that. Then the joins are repaired. A
+join agrees with the encoding of the whole if a pre-token begins there: the space
+stands between two characters that are no white space, so no run of white space,
+no ``\\s+(?!\\S)`` and no other alternative of the pattern can reach across.
+Every other join is encoded again, in a window that is widened on both sides to
+the next join that is sure to agree; where its ids differ from those of its
+chunks, they replace them. So all joins agree in the end. The proof holds for
 byte-level BPE with the GPT-2 pattern alone, and other tokenizers are refused.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import bytesops as B
 from riskloom.llm import ties
-from riskloom.llm.tokens import encoder, token_bytes
+from riskloom.llm.tokens import Encoder, encoder, token_bytes
 
 _ROLL = B.Rolling(83)
 #: Bytes under the rolling hash, and cuts taken of every 256 candidates.
@@ -32,18 +33,35 @@ HASHED, CUTS_IN_256 = 4, 224
 GROUP_BYTES = 1 << 20
 
 
-def cuts(data: np.ndarray, ends: np.ndarray, taken: int = CUTS_IN_256) -> np.ndarray:
-    """Starts of chunks: each document's first byte and the rolling hash's cuts, less those not shown to be safe."""
+def cuts(data: np.ndarray, ends: np.ndarray, taken: int = CUTS_IN_256) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of chunks (each document's first byte and the rolling hash's cuts), and whether the join before each is sure to agree."""
     n = len(data)
     at = np.flatnonzero(data == 0x20)
     low = np.maximum(at - HASHED, 0)
     at = at[(_ROLL.spans(_ROLL.prefix(data), low, at) & np.uint64(255)) < taken]
-    at = at[(at >= 3) & (at + 1 < n)]
-    before, second, third, after = data[at - 1], data[at - 2], data[at - 3], data[at + 1]
+    before, second, third, after = (data[np.clip(at + k, 0, n - 1)] for k in (-1, -2, -3, 1))
     wide_before = (before >= 0x80) & ((second == 0xC2) | np.isin(third, (0xE1, 0xE2, 0xE3)))
     wide_after = np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))
-    at = at[(before > 0x20) & (after > 0x20) & ~wide_before & ~wide_after]
-    return np.unique(np.concatenate(([0], ends[:-1], at)))
+    sure = at[(before > 0x20) & (after > 0x20) & ~wide_before & ~wide_after & (at >= 3) & (at + 1 < n)]
+    firsts = np.concatenate(([0], ends[:-1]))
+    starts = np.unique(np.concatenate((firsts, at)))
+    return starts, np.isin(starts, np.concatenate((firsts, sure)))
+
+
+def repair(known: Encoder, text: bytes, starts: np.ndarray, sure: np.ndarray, pieces: list[bytes]) -> int:
+    """Encode again round every join that is not sure to agree, and put the ids in place where they differ; how many did."""
+    begins = np.flatnonzero(sure)
+    ends = np.append(begins[1:], len(starts))
+    wide = ends - begins > 1
+    places = np.append(starts, len(text))
+    windows = [(a, b, text[x:y]) for a, b, x, y in zip(begins[wide].tolist(), ends[wide].tolist(), places[begins[wide]].tolist(), places[ends[wide]].tolist())]
+    ids = known.lookup(w for _, _, w in windows)
+    repaired = 0
+    for a, b, w in windows:
+        if b"".join(pieces[a:b]) != ids[w]:
+            pieces[a:b] = [ids[w], *[b""] * (b - a - 1)]
+            repaired += 1
+    return repaired
 
 
 def require_pattern(tokenizer) -> None:
@@ -70,11 +88,12 @@ def _encoding(path: str) -> Batches:
             for a, b in zip(edges[:-1], edges[1:]):
                 raw = data[first[a]:ends[b - 1]]
                 upto = ends[a:b] - first[a]
-                starts = cuts(raw, upto) if len(raw) else np.zeros(0, np.int64)
+                starts, sure = cuts(raw, upto) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, bool))
                 text = raw.tobytes()
                 chunks = [text[x:y] for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(text)])]
                 ids = known.lookup(chunks)
                 pieces = [ids[c] for c in chunks]
+                repair(known, text, starts, sure, pieces)
                 flat = np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)
                 so_far = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)))
                 offsets = np.concatenate(([0], so_far[np.searchsorted(starts, upto)]))

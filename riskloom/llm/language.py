@@ -108,9 +108,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     """Adds lang_pred and score to all columns of ``docs`` but its own of these names.
 
     ``und`` with score 0 if the text is null, empty or without letters, or if
-    there is no prototype. The score is the cosine with the chosen prototype,
-    at least 0; equal cosines go to the language first in order. Rows keep
-    their number, nulls in other columns stay, an empty table stays empty.
+    there is no prototype. The language is chosen by the cosine with prototypes
+    less their mean; the score is the cosine with the chosen prototype as it is,
+    at least 0, so another language's may be higher. Equal cosines go to the
+    language first in order. Rows keep their number, nulls in other columns
+    stay, an empty table stays empty.
     """
     names = sorted(prototypes)
     raw = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names]).reshape(-1, dimensions)

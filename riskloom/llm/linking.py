@@ -80,9 +80,10 @@ Sets = Callable[[Column], Column]
 
 def close_pairs(pairs: DataFrame, known: DataFrame, percent: int, sets: Sets) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union; known: (id, n, held), ``sets`` makes the set (array<long>) of what is held."""
-    x, y = (known.select(F.col("id").alias(c), F.col("held").alias(f"h_{c}")) for c in ("a", "b"))
-    # what is held moves, which may be much smaller than its set
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", sets(F.col("h_a")).alias("s_a"), sets(F.col("h_b")).alias("s_b"))
+    x, y = (known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("held").alias(f"h_{c}")) for c in ("a", "b"))
+    # what is held moves, which may be much smaller than its set; sizes alone decide many pairs before a set is made
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    met = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", sets(F.col("h_a")).alias("s_a"), sets(F.col("h_b")).alias("s_b"))
     return met.where(_close(F.col("s_a"), F.col("s_b"), percent)).select("a", "b")
 
 
@@ -141,7 +142,7 @@ def linked(spark: SparkSession, members: DataFrame, known: DataFrame, percent: i
     """(id, component) of ids that links connect; members: ``contested``, known: (id, n, held).
 
     ``sets`` makes an id's set of shingle hashes of what is held for it (by
-    itself the set); n is about the set's size.
+    itself the set); n is the set's size.
 
     A star round picks in each bucket the member whose buckets are the largest
     (the likely origin of its copies; ties to the smaller id) and tests it

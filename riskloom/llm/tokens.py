@@ -14,6 +14,14 @@ import numpy as np
 GENERATION = 350_000
 
 
+def _of_letters(word: bytes) -> bool:
+    """Is the word one pre-token of letters, also in lower case?"""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and text.lower().isalpha()
+
+
 class Encoder:
     """Encodes byte chunks to little-endian uint32 ids; each distinct chunk once while it is remembered."""
 
@@ -53,7 +61,7 @@ class Encoder:
             cut = [(c, p) for c in unknown if len(p := parts(c)) > 1 or p[0] != c]
             whole = set(unknown).difference(c for c, _ in cut)
             left = whole.union(q for _, p in cut for q in p).difference(young)
-            letters = [c for c in left if c.isalpha()]
+            letters = [c for c in left if _of_letters(c)]
             self._encode_joined(letters)
             self._encode(list(left.difference(letters)))
             for c, p in cut:
@@ -71,10 +79,10 @@ class Encoder:
                 self.young[c] = array("I", e.ids).tobytes()
 
     def _encode_joined(self, words: list[bytes]) -> None:
-        """Words of ASCII letters, each one pre-token, a thousand at a time as one text; their last ids part them again."""
-        for a in range(0, len(words), 1_000):
-            part = words[a:a + 1_000]
-            ids = array("I", self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids)
+        """Words of letters, each one pre-token, a thousand at a time as one text; their last ids part them again."""
+        parts = [words[a:a + 1_000] for a in range(0, len(words), 1_000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+            ids = array("I", e.ids)
             last = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1) * 4
             if len(last) != len(part):
                 self._encode(part)

@@ -366,6 +366,25 @@ def test_chunk_bpe(spark, docs, rows):
     assert got(split) == sorted(((i, t or "") for i, t in rows + more), key=brute.key)
 
 
+def test_joins_are_repaired_until_they_agree():
+    """Cuts inside runs of white space change the ids; after the repair they are those of the whole text."""
+    from riskloom.llm.tokens import Encoder
+    rnd = random.Random(15)
+    text = "".join(rnd.choice(["word", " ", "  ", "   ", "\n ", " x", "é ", " 日", ".", "'s "]) for _ in range(4000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, sure = chunk_bpe.cuts(data, np.array([len(text)]), 256)
+    assert 0 < (~sure).sum() < len(sure)
+    known = Encoder(BYTES)
+    chunks = [text[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(text)])]
+    ids = known.lookup(chunks)
+    pieces = [ids[c] for c in chunks]
+    want = np.asarray(Tokenizer.from_file(BYTES).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    assert b"".join(pieces) != want
+    assert chunk_bpe.repair(known, text, starts, sure, pieces) > 50
+    assert b"".join(pieces) == want
+    assert chunk_bpe.repair(known, text, starts, sure, pieces) == 0
+
+
 def test_chunk_bpe_refuses_other_patterns():
     chunk_bpe.require_pattern(Tokenizer.from_file(BYTES))
     spaced = Tokenizer.from_file(BYTES)
@@ -411,7 +430,7 @@ def test_packing_refuses_other_tokenizers(spark, docs):
 def test_words_encoded_together_equal_words_encoded_alone():
     from riskloom.llm.tokens import Encoder
     rnd = random.Random(8)
-    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ"
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZéÉßçİΣς日本ǅ가ą́"
     made = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 30))).encode() for _ in range(5000)} | {b"st", b"re", b"ll", b"d", b"x" * 5000})
     got = Encoder(WORDS).lookup(made, packing.letters_and_marks)
     alone = Tokenizer.from_file(WORDS)
@@ -430,6 +449,50 @@ def test_language(spark):
     assert out.where("score < 0 or score > 1").isEmpty()
 
 
+def test_language_against_plain_python(spark):
+    """Trigrams bound, bundled and compared one by one: the same languages and scores for every document."""
+    import unicodedata
+    import zlib
+    places = language._vectors(language.DIMENSIONS)[0].astype(int)
+
+    def symbol(c):
+        if unicodedata.category(c)[0] != "L":
+            return 0
+        return ord(c) + 1 if ord(c) < language.OWN else language.OWN + 1 + ord(c) % 4096
+
+    def bundled(text):
+        gaps = [0]
+        for c in (text or "").lower() + " ":
+            if symbol(c) or gaps[-1]:
+                gaps.append(symbol(c))
+        total = np.zeros(language.DIMENSIONS)
+        for x, y, z in zip(gaps, gaps[1:], gaps[2:]):
+            total += np.roll(places[x], 2) * np.roll(places[y], 1) * places[z]
+        return total if any(gaps) else None
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    rows = [tuple(r) for r in df.collect()] + [(1001, None, "en"), (1002, "12 !", None), (1003, "é", None), (1004, "日本 語x", "ja")]
+    sums = {}
+    for i, text, lang in rows:
+        v = bundled(text)
+        if lang is not None and v is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + v
+    names = sorted(sums)
+    raw = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    centred = raw - raw.mean(axis=0)
+    centred /= np.linalg.norm(centred, axis=1, keepdims=True)
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, text, _ in rows:
+        v = bundled(text)
+        if v is None:
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        cosines = centred @ v / np.linalg.norm(v)
+        k = names.index(found[i].lang_pred)
+        assert cosines[k] >= cosines.max() - 1e-6
+        assert abs(found[i].score - max(raw[k] @ v / np.linalg.norm(v), 0.0)) < 1e-5
+        assert found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(None, None, None), (1, "", "en"), (2, "123 !?", "en"), (3, "le chat et le chien", "fr"), (4, "the cat and the dog", "en"), (5, "the dog", None)],
                                "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))

@@ -73,3 +73,31 @@ def test_repeated_and_null_ids(spark):
     near = P.near_dedup(spark, docs, SF)
     assert near.columns == docs.columns
     assert sorted((r.text, r.doc_id or 0) for r in near.collect()) == sorted([(one, 3), (two, 0), (three, 5), (data[8][1], 9), (data[9][1], 0)])
+
+
+def test_empty_table(spark):
+    """Every stage gives no rows for no rows, with the columns that it has for others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.collect() == []
+    assert P.pack(spark, docs, SF).collect() == []
+
+
+def test_columns_with_names_of_ours_stay(spark):
+    """_key, _row, _id, _removed, findings, blob, gone and removed of the user come through the stages; null texts too."""
+    names = ["_key", "_row", "_id", "_version", "_nth", "_removed", "_findings", "_blob", "findings", "blob", "gone", "removed", "version", "place", "of", "n"]
+    rnd = random.Random(3)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    line = words(20)
+    texts = [f"{line}\n{words(30)}", f"{line}\n{words(30)} password: 0123456789abcdef0123", None, "", words(50), words(50)]
+    docs = spark.createDataFrame([(k, t, *[f"{n}-{k}" for n in names]) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (P.dedup_lines, P.near_dedup, P.scan_secrets):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    clean = {r.doc_id: r.text for r in P.scan_secrets(spark, docs, SF).collect()}
+    assert clean[1].endswith("[SECRET]") and clean[2] is None and clean[3] == ""
