@@ -89,7 +89,12 @@ class Entries:
         """spread: independent 64-bit fingerprints, from which the bucket comes."""
         bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         keys = keys ^ (spread << np.uint64(61))
-        order = np.lexsort((keys, bucket))
+        if buckets <= 1 << 16:
+            # by key, then stable by bucket, which is a radix sort of 16 bits
+            order = np.argsort(keys)
+            order = order[np.argsort(bucket[order].astype(np.uint16), kind="stable")]
+        else:
+            order = np.lexsort((keys, bucket))
         k, b = keys[order], bucket[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
