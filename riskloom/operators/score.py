@@ -6,9 +6,13 @@ whole-stage codegen), and so is the quadratic form xᵀΣx that the interval nee
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.scalar import sigmoid
 from riskloom.functions.sqltext import number
@@ -79,6 +83,32 @@ def batch_score(df: DataFrame, model: LogitModel, out_col: str = "Predicted_Prob
     return df.select("*", sigmoid(linear_predictor(model)).alias(out_col))
 
 
+#: Terms up to which a quadratic form is an expression; for more it would be too long to parse, and its code too long for a method.
+EXPRESSION_TERMS = 16
+
+
 def score_with_interval(df: DataFrame, model: LogitModel, z: float = Z_PREDICTION_INTERVAL) -> DataFrame:
-    """Inputs plus probability and Wald interval on the logit scale."""
-    return df.select("*", *interval_columns(model, z=z))
+    """Inputs plus probability and Wald interval on the logit scale.
+
+    Up to ``EXPRESSION_TERMS`` terms this is an expression; wider models take
+    the quadratic form as a matrix product on Arrow batches.
+    """
+    p = len(model.terms)
+    if model.cov is None or p <= EXPRESSION_TERMS:
+        return df.select("*", *interval_columns(model, z=z))
+    b, cov, const = np.asarray(model.coef, dtype="float64"), np.asarray(model.cov, dtype="float64"), model.info.get("intercept_cov")
+    intercept, names = float(model.intercept), [*df.columns, "Predicted_Probability", "CI_Lower_95", "CI_Upper_95"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x = batch.num_rows, batch.column(batch.num_columns - 1)
+            X = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, p)
+            eta, var = X @ b + intercept, ((X @ cov) * X).sum(axis=1)
+            if const is not None:
+                var = var + const[-1] + 2.0 * (X @ np.asarray(const[:p]))
+            half = z * np.sqrt(np.clip(var, 0.0, None))
+            scores = [pa.array(1.0 / (1.0 + np.exp(-np.clip(v, -700.0, 700.0))), from_pandas=True) for v in (eta, eta - half, eta + half)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *scores], names=names)
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names[-3:]]])
+    return df.select("*", F.array(*[model.spec.term_expr(t).cast("double") for t in model.terms]).alias("_x")).mapInArrow(run, schema)

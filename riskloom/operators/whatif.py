@@ -23,7 +23,7 @@ from riskloom.functions.sqltext import number
 from riskloom.operators.fit import LogitModel
 from riskloom.operators.profile import distribution_summary, risk_bands
 from riskloom.operators.sampling import bootstrap_sample
-from riskloom.operators.score import interval_columns, linear_predictor
+from riskloom.operators.score import EXPRESSION_TERMS, linear_predictor, score_with_interval
 from riskloom.presets import Z_PREDICTION_INTERVAL
 from riskloom.session import checkpointed
 
@@ -146,10 +146,6 @@ def scenario_means(pop: DataFrame, model: LogitModel, overrides: list[dict], wit
     return scored, aggs
 
 
-#: Terms up to which a quadratic form is an expression; generated code for more would pass the limit of a method.
-EXPRESSION_TERMS = 16
-
-
 def scenario_averages(pop: DataFrame, model: LogitModel, overrides: list[dict]) -> DataFrame:
     """One row: the mean probability of the population (``pb``) and, per scenario i, of ``s<i>_`` probability and bounds.
 
@@ -281,7 +277,7 @@ def bootstrap_risk(spark: SparkSession, pop: DataFrame, model: LogitModel, basel
     # the draws feed several summaries: write them once to the checkpoint folder
     # (reliable, lineage cut) instead of re-running the indexing join per summary
     scored = checkpointed(scored)
-    base = baseline.select(*interval_columns(model))
+    base = score_with_interval(baseline, model).select("Predicted_Probability", "CI_Lower_95", "CI_Upper_95")
     base_arr = base.select(F.array("Predicted_Probability", "CI_Lower_95", "CI_Upper_95")).scalar()
     summary = distribution_summary(scored, "Predicted_Probability").select(
         "*", base_arr[0].alias("Baseline_Probability"), base_arr[1].alias("Baseline_CI_Lower_95"),

@@ -23,7 +23,7 @@ from riskloom.operators.fit import LogitModel, fit_report, logit_l1, logit_or_l1
 from riskloom.operators.ordinal import OrderedModel, class_probabilities, ordered_model, ordered_predict, ordinal_term_table
 from riskloom.operators.report import top_by_abs
 from riskloom.operators.sampling import sample_n, stratified_split
-from riskloom.operators.score import batch_score, interval_columns
+from riskloom.operators.score import batch_score, score_with_interval
 from riskloom.presets import HygieneSpec
 from riskloom.session import checkpointed
 
@@ -293,7 +293,7 @@ def what_if_report(spark: SparkSession, df: DataFrame, m: ModelSpec, y_col: str,
         model = logit_or_l1(d, spec, y_col)
         baseline = checkpointed(PR.baseline_profile(d, m.features, m.categorical, baseline_defaults))
         out = {
-            "baseline_profile": baseline.select("*", *interval_columns(model)),
+            "baseline_profile": score_with_interval(baseline, model),
             "category_switch": WI.what_if_switch(baseline, model, switch_scenarios),
             "group_contrast": WI.group_contrast(baseline, model, contrast),
             "risk_profiles": WI.risk_profiles(baseline, model, risk_profile_list),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.fit import LogitModel
-from riskloom.operators.score import interval_columns
+from riskloom.operators.score import score_with_interval
 
 
 def scored_stream(spark: SparkSession, source_dir: str, schema: T.StructType, model: LogitModel,
@@ -23,7 +23,7 @@ def scored_stream(spark: SparkSession, source_dir: str, schema: T.StructType, mo
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(source_dir)
-    return rows.select(*keep, *interval_columns(model))
+    return score_with_interval(rows, model).select(*keep, "Predicted_Probability", "CI_Lower_95", "CI_Upper_95")
 
 
 def start_scoring(spark: SparkSession, source_dir: str, schema: T.StructType, model: LogitModel,
