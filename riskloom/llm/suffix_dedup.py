@@ -56,22 +56,28 @@ class _Suffixes:
         self.n = len(self.data)
         self.firsts = np.concatenate(([0], self.ends[:-1]))
         sizes = self.ends - self.firsts
-        self.end_of = np.repeat(self.ends, sizes)
-        self.start_of = np.repeat(self.firsts, sizes)
-        on_cover = np.zeros(self.v, bool)
-        on_cover[residues] = True
-        at = np.arange(self.n)
         short = length - self.v + 1
-        self.sample = np.flatnonzero(on_cover[(at - self.start_of) % self.v] & (at + short <= self.end_of))
+        # the cover's places in the longest document, of which each document takes those that hold a short key
+        most = max(int(sizes.max(initial=0)) - short + 1, 0)
+        cover = (np.arange(0, most, self.v)[:, None] + np.sort(residues)).reshape(-1)
+        taken = np.searchsorted(cover, sizes - short + 1)
+        self.sample = np.concatenate([np.zeros(0, np.int64), *(cover[:k] + a for k, a in zip(taken.tolist(), self.firsts.tolist()) if k)])
         self.first, self.second = (_FIRST, _SECOND) if length + self.v - 1 < B.Wrapping.WINDOW else _WIDE
         self.p, self.q = self.first.prefix(self.data), self.second.prefix(self.data)
         self.rank = self.first.spans(self.p, self.sample, self.sample + short)
         self.spread = self.second.spans(self.q, self.sample, self.sample + short)
 
+    def first_of(self, at: np.ndarray) -> np.ndarray:
+        """Where the documents of the places begin."""
+        return self.firsts[np.searchsorted(self.ends, at, side="right")]
+
+    def end_of(self, at: np.ndarray) -> np.ndarray:
+        return self.ends[np.searchsorted(self.ends, at, side="right")]
+
     def ranks(self) -> ties.Entries:
         """Round 1: upper half the short key, lower half the long one (0: the document ends before)."""
         size = self.length + self.v - 1
-        self.whole = self.sample + size <= self.end_of[self.sample]
+        self.whole = self.sample + size <= self.end_of(self.sample)
         s = self.sample[self.whole]
         low = np.zeros(len(self.sample), np.uint64)
         low[self.whole] = np.maximum(self.first.spans(self.p, s, s + size) >> np.uint64(32), np.uint64(1))
@@ -79,9 +85,9 @@ class _Suffixes:
 
     def near(self, samples: np.ndarray) -> np.ndarray:
         """Starts of the strings of ``length`` bytes that contain one of the samples at an offset below v."""
-        low = np.maximum(samples - self.v + 1, self.start_of[samples])
+        low = np.maximum(samples - self.v + 1, self.first_of(samples))
         at = np.flatnonzero(B.cover(self.n, low, samples - low + 1))
-        return at[at + self.length <= self.end_of[at]]
+        return at[at + self.length <= self.end_of(at)]
 
     def long_ties(self, answers: pa.Table) -> ties.Entries:
         """Confirmation: whole fingerprints of the long prefixes that seem to be tied."""
@@ -105,7 +111,7 @@ class _Suffixes:
         open_ = open_[left[open_ + self.length] > left[open_]]
         seen = np.concatenate(([0], np.cumsum(np.bincount(open_, minlength=self.n))))
         s = self.sample[self.tied]
-        mark = seen[s + 1] > seen[np.maximum(s - self.v + 1, self.start_of[s])]
+        mark = seen[s + 1] > seen[np.maximum(s - self.v + 1, self.first_of(s))]
         return ties.Entries(self.rank[self.tied] & ~np.uint64(1) | mark.astype(np.uint64), self.spread[self.tied], self.buckets)
 
     def suffixes(self, answers: pa.Table) -> ties.Entries:

@@ -367,22 +367,25 @@ def test_chunk_bpe(spark, docs, rows):
 
 
 def test_joins_are_repaired_until_they_agree():
-    """Cuts inside runs of white space change the ids; after the repair they are those of the whole text."""
+    """Joins that are not sure to agree, also some inside words: after the repair the ids are those of the whole text."""
     from riskloom.llm.tokens import Encoder
     rnd = random.Random(15)
     text = "".join(rnd.choice(["word", " ", "  ", "   ", "\n ", " x", "é ", " 日", ".", "'s "]) for _ in range(4000)).encode()
     data = np.frombuffer(text, np.uint8)
     starts, sure = chunk_bpe.cuts(data, np.array([len(text)]), 256)
     assert 0 < (~sure).sum() < len(sure)
+    inside = np.flatnonzero(data == ord("r"))[::5]
+    merged = np.unique(np.concatenate((starts, inside)))
+    sure = np.isin(merged, starts[sure])
     known = Encoder(BYTES)
-    chunks = [text[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(text)])]
+    chunks = [text[a:b] for a, b in zip(merged.tolist(), [*merged[1:].tolist(), len(text)])]
     ids = known.lookup(chunks)
     pieces = [ids[c] for c in chunks]
     want = np.asarray(Tokenizer.from_file(BYTES).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
     assert b"".join(pieces) != want
-    assert chunk_bpe.repair(known, text, starts, sure, pieces) > 50
+    assert chunk_bpe.repair(known, text, merged, sure, pieces) > 20
     assert b"".join(pieces) == want
-    assert chunk_bpe.repair(known, text, starts, sure, pieces) == 0
+    assert chunk_bpe.repair(known, text, merged, sure, pieces) == 0
 
 
 def test_chunk_bpe_refuses_other_patterns():
