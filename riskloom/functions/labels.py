@@ -11,6 +11,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import stored
 from riskloom.functions.scalar import NUMERIC_PATTERN, format_number_text, normalize_code
 
 _SEP = "\u0001"
@@ -31,7 +32,8 @@ def lookup_value_label(variable: Column, value: Column, value_labels: dict[str,
     cands = [raw, F.upper(raw), norm, F.upper(norm),
              F.when(norm.rlike(r"^\d+$"), F.lpad(norm, 2, "0"))]
     found = F.coalesce(*[F.try_element_at(m, F.concat(variable, F.lit(_SEP), c)) for c in cands])
-    return F.when(value.isNotNull() & (raw != F.lit("")), found)
+    # a variable without labels is told first: its values would go through all forms to find nothing
+    return F.when(variable.isin(list(value_labels)) & value.isNotNull() & (raw != F.lit("")), found)
 
 
 def code_key(value: Column) -> Column:
@@ -49,8 +51,9 @@ def label_table(spark: SparkSession, value_labels: dict[str, dict[str, str]]) ->
 
 def keyed_labels(labels: DataFrame) -> DataFrame:
     """A label table of any size (label_variable, label_code, label) with its codes as keys, one row a key (ties: the least label)."""
-    return labels.withColumn("label_code", code_key(F.col("label_code"))).where("label_code is not null") \
+    keyed = labels.withColumn("label_code", code_key(F.col("label_code"))).where("label_code is not null") \
         .groupBy("label_variable", "label_code").agg(F.min("label").alias("label"))
+    return stored(keyed)  # its true size decides on a broadcast: codes are few, and a shuffle by them is one of few large parts
 
 
 def decode_labels(df: DataFrame, wanted: dict[str, tuple[str, Column]], labels: DataFrame) -> DataFrame:
