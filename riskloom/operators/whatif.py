@@ -149,12 +149,12 @@ def scenario_means(pop: DataFrame, model: LogitModel, overrides: list[dict], wit
 def scenario_averages(pop: DataFrame, model: LogitModel, overrides: list[dict]) -> DataFrame:
     """One row: the mean probability of the population (``pb``) and, per scenario i, of ``s<i>_`` probability and bounds.
 
-    Models of up to ``EXPRESSION_TERMS`` terms are scored by expressions inside
-    whole-stage codegen. For wider ones the quadratic forms are matrix products
-    on Arrow batches, and a task sends one vector of sums.
+    With a covariance the quadratic forms are matrix products on Arrow batches,
+    and a task sends one vector of sums: as expressions they make a method that is
+    too long to be compiled. Models without one are scored by expressions.
     """
     p = len(model.terms)
-    if model.cov is None or p <= EXPRESSION_TERMS:
+    if model.cov is None or p == 0:
         scored, aggs = scenario_means(pop, model, overrides)
         return scored.agg(*aggs)
     b, cov = np.asarray(model.coef, dtype="float64"), np.asarray(model.cov, dtype="float64")
@@ -165,12 +165,14 @@ def scenario_averages(pop: DataFrame, model: LogitModel, overrides: list[dict])
         sums, count = np.zeros(1 + 3 * len(fixed)), 0
         for batch in batches:
             X = np.column_stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype="float64") for i in range(p)]).reshape(batch.num_rows, p)
-            X = X[~np.isnan(X).any(axis=1)]  # a row with a missing number has no score and is in no mean
+            # a row with a missing number has no score and is in no mean
+            gone = np.isnan(X).any(axis=1) if p > EXPRESSION_TERMS else np.any([batch.column(i).is_null().to_numpy(zero_copy_only=False) for i in range(p)], axis=0)
+            X = X[~gone]
             out = [_sigmoid(X @ b + intercept)]
             for skip, d in fixed:
                 Y = X.copy()
                 Y[:, skip] = d[skip]
-                eta = Y @ b + intercept
+                eta = np.where(np.isnan(X).any(axis=1), np.nan, Y @ b + intercept)
                 half = z * np.sqrt(np.clip(((Y @ cov) * Y).sum(axis=1), 0.0, None))
                 out += [_sigmoid(eta), _sigmoid(eta - half), _sigmoid(eta + half)]
             sums += [v.sum() for v in out]
