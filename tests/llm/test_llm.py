@@ -232,6 +232,50 @@ def test_line_dedup(spark, docs, rows):
         assert r.text == (None if texts[r.doc_id] is None else "\n".join(x for k, x in enumerate(lines) if k not in r.removed_lines))
 
 
+def test_contested_deals_the_members_once(spark, tmp_path):
+    members = linking.saved(spark, spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12), (4, 12), (5, 12)], "id long, key long"))
+    plans, write = [], linking.saved
+    linking.saved = lambda s, df, name="step": plans.append(df) or write(s, df, name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = {tuple(r) for r in linking.contested(spark, members).select("id", "key", "weight").collect()}
+        plans[0].collect()
+        physical = plans[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        linking.saved = write
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(1, 10, 2), (2, 10, 2), (3, 12, 3), (4, 12, 3), (5, 12, 3)}
+    assert physical.count("ReusedExchange") == 1
+
+
+def test_marks_keep_close_pairs_and_drop_most_others(spark):
+    rnd, made = random.Random(5), []
+    for n in [1, 2, 5, 20, 60, 150] * 20:
+        a = [rnd.randrange(-2**63, 2**63) for _ in range(n)]
+        made += [a, [x for x in a if rnd.random() > 0.15] or a, [x for x in a if rnd.random() > 0.5] + [rnd.randrange(-2**63, 2**63)]]
+    known = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(made)], "id long, n long, held array<long>").withColumn("marks", linking.marks(F.col("held")))
+    near = [(a, b) for a in range(len(made)) for b in range(a + 1, min(a + 4, len(made)))]
+    pairs = spark.createDataFrame(near, "a long, b long")
+    want = {(a, b) for a, b in near if 100 * len(set(made[a]) & set(made[b])) >= 80 * len(set(made[a]) | set(made[b]))}
+    for of in (known, known.drop("marks")):
+        assert {tuple(r) for r in linking.close_pairs(pairs, of, 80, lambda h: h).collect()} == want
+    x, y = known.alias("x"), known.alias("y")
+    passed = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(linking._near(F.col("x.n"), F.col("y.n"), F.col("x.marks"), F.col("y.marks"), 80))
+    assert len(want) <= passed.count() <= 1.2 * len(want)
+
+
+def test_bands_of_few_values_and_of_characters_above_the_first_plane(spark):
+    """A band of neighbours is the hash of their array, whatever the number of values; halves of a character begin no shingle."""
+    values = spark.createDataFrame([([7],), ([7, 8],), ([7, 8, 9, 10],), ([7, 8, 9, 10, 11, 12],)], "v array<long>").withColumn("ring", line_dedup._ring(F.col("v"), 4))
+    keys = line_dedup._bands(F.col("v"), F.col("ring"), 4, True)
+    want = F.transform("v", lambda h, i: F.xxhash64(F.slice("ring", i + 1, F.least(F.lit(4), F.size("v")))))
+    assert all(r.k == r.w for r in values.select(keys.alias("k"), want.alias("w")).collect())
+    line = "\U0001F600ab\U0001F601c\U0001F602d"
+    want = {line[i:i + 5] for i in range(len(line) - 4)}
+    row = spark.createDataFrame([(line, sorted(want))], "line string, want array<string>")
+    assert row.select(F.size(F.array_except(F.transform("want", lambda g: F.xxhash64(g)), line_dedup.shingles(F.col("line")))).alias("n"), F.size(line_dedup.shingles(F.col("line"))).alias("m")).first() == (0, len(want))
+
+
 def test_line_dedup_recall(spark):
     """Lines with one word of forty changed have a similarity of 0.8 or more and are found."""
     rnd = random.Random(12)
