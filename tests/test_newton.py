@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import newton as NW
-from riskloom.operators.design import fit_design, prune_design
+from riskloom.operators.design import fit_design, prune_design, stats_of, term_stats
 from riskloom.operators.fit import logit_mle, logit_or_l1
-from riskloom.operators.linalg import column_summary, equal_columns, independent_columns
+from riskloom.operators.linalg import column_summary, equal_columns, independent_columns, summaries
 from riskloom.operators.ordinal import ordered_logit
 
 
@@ -153,3 +153,43 @@ def test_wide_scenarios_equal_narrow_ones(frame, monkeypatch):
     monkeypatch.setattr(WI, "EXPRESSION_TERMS", 0)
     wide = WI.scenario_averages(pop, model, overrides).first().asDict()
     assert narrow.keys() == wide.keys() and all(np.isclose(narrow[k], wide[k], rtol=1e-10) for k in narrow)
+
+
+def test_rows_are_packed_and_unpacked(frame):
+    """A row holds its numbers and one level number a categorical column, not one number a term; unpacked it is the encoded matrix."""
+    odd = frame.withColumn("a", F.when(F.col("row_key") % 5 != 0, F.col("a"))).withColumn("b", F.when(F.col("row_key") % 7 == 0, F.lit("new")).otherwise(F.col("b")))
+    spec = fit_design(frame, ["a", "b", "x"], ["a", "b"], drop_first=False)
+    spec = spec.with_terms([*spec.terms, "a_q"])     # a repeated term
+    x, packing = spec.packed(intercept=True)
+    rows = odd.select("row_key", x.alias("x")).orderBy("row_key").collect()
+    assert len(rows[0].x) == packing.size == 4 < packing.width == 8
+    wanted = np.array(spec.encode(odd, ["row_key"], spec.terms[:-1]).orderBy("row_key").drop("row_key").collect())
+    found = packing.unpacked(np.array([r.x for r in rows]))
+    assert np.array_equal(found[:, :6], wanted) and np.array_equal(found[:, 6], wanted[:, spec.terms.index("a_q")]) and (found[:, 7] == 1).all()
+    assert len(NW.problem_rows(frame, fit_design(frame, ["a", "b", "x"], ["a", "b"]), F.col("y"))[0].first().x) == 3
+
+
+def test_one_pass_gives_the_statistics_too(frame):
+    """Counts, variation and fingerprints of the packed pass are those of the encoded columns, also with missing outcomes and levels."""
+    rows = frame.select("row_key", "x", F.when(F.col("row_key") % 6 != 0, F.col("a")).alias("a"), "b", F.when(F.col("row_key") % 9 != 0, F.col("y")).alias("y"),
+                        (F.col("row_key") % 3 == 0).cast("int").alias("t"), F.lit(1.0).alias("one"), (F.col("row_key") % 2).cast("double").alias("flag")).cache()
+    spec = fit_design(rows, ["x", "one", "flag", "a", "b"], ["a", "b"], drop_first=False)
+    enc = rows.select("y", "t", *[spec.term_expr(t).alias(t) for t in spec.terms])
+    x, packing = spec.packed()
+    found = summaries(rows.select(x.alias("x"), F.col("t").alias("g"), F.coalesce(F.col("y") == 1, F.lit(False)).alias("y")), packing, spec.terms, 3)
+    wanted = term_stats(enc, spec.terms, "y", "t", 3, spec)
+    assert [stats_of(s, spec.terms, spec) for s in found] == wanted
+    factors, prints = column_summary(enc, spec.terms, "t", 3)
+    for s, factor, p in zip(found, factors, prints):
+        assert np.allclose(s.factor.T @ s.factor, factor.T @ factor, rtol=1e-12) and s.prints.tolist() == p
+
+
+def test_report_without_a_sample_needs_no_keys(frame):
+    """Without a sample no row key is read (it was kept with every row), and the fit is the same."""
+    from riskloom.plans import suites as SU
+    from riskloom.presets import HygieneSpec
+    spec = HygieneSpec(categorical=["a", "b"], default_threshold=1)
+    def report(df):
+        return SU.what_if_report(df.sparkSession, df, SU.ModelSpec("m", ["x", "a", "b"], ["a", "b"]), "y", spec, baseline_defaults={"a": "p"}, switch_scenarios=[("q", "a", "q")],
+                                 risk_profile_list=[("r", {"a": "r"})], contrast=("a", [("q", "q"), ("r", "r")]), curves=[("x", [1990.0, 2010.0])])
+    assert np.isfinite(report(frame.drop("row_key"))["curve_x"].first()["Predicted_Probability"])
