@@ -264,6 +264,17 @@ def test_marks_keep_close_pairs_and_drop_most_others(spark):
     assert len(want) <= passed.count() <= 1.2 * len(want)
 
 
+def test_saved_steps_leave_no_shuffle_files(spark, tmp_path):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+    before = files()
+    assert linking.saved(spark, spark.range(0, 5000, 1, 4).groupBy(F.pmod("id", F.lit(1000)).alias("k")).agg(F.count("*").alias("n"))).count() == 1000
+    step = {f for f in files() - before if f.startswith("shuffle_") and f.endswith(".data")}
+    assert len(step) <= 1  # that of the count above, which is no saved step
+    assert spark.conf.get(linking.CLEANUP) == "false"
+
+
 def test_bands_of_few_values_and_of_characters_above_the_first_plane(spark):
     """A band of neighbours is the hash of their array, whatever the number of values; halves of a character begin no shingle."""
     values = spark.createDataFrame([([7],), ([7, 8],), ([7, 8, 9, 10],), ([7, 8, 9, 10, 11, 12],)], "v array<long>").withColumn("ring", line_dedup._ring(F.col("v"), 4))
