@@ -264,6 +264,13 @@ def test_marks_keep_close_pairs_and_drop_most_others(spark):
     assert len(want) <= passed.count() <= 1.2 * len(want)
 
 
+def test_marks_by_aggregation_are_those_of_the_column(spark):
+    rnd = random.Random(6)
+    sets = spark.createDataFrame([(i, [rnd.randrange(-2**63, 2**63) for _ in range(n)]) for i, n in enumerate([1, 3, 40, 700])], "id long, set array<long>")
+    want = [tuple(r) for r in sets.select("id", F.size("set").cast("long"), linking.marks(F.col("set"))).orderBy("id").collect()]
+    assert [tuple(r) for r in linking.marked(sets).orderBy("id").collect()] == want
+
+
 def test_saved_steps_leave_no_shuffle_files(spark, tmp_path):
     def files():
         found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
@@ -275,6 +282,33 @@ def test_saved_steps_leave_no_shuffle_files(spark, tmp_path):
     assert spark.conf.get(linking.CLEANUP) == "false"
 
 
+@pytest.mark.parametrize("few", [128, 1])
+def test_buckets_are_compared_whole(spark, monkeypatch, few):
+    """The pairs of small buckets and the blocks of large ones give the same links, each once, and none inside a component."""
+    monkeypatch.setattr(linking, "FEW_MEMBERS", few)
+    rnd, made = random.Random(17), []
+    for _ in range(12):
+        a = [rnd.randrange(-2**63, 2**63) for _ in range(30)]
+        made += [a, a[:-2] + [1, 2], a[3:] + [4], [rnd.randrange(-2**63, 2**63) for _ in range(28)]]
+    known = linking.saved(spark, spark.createDataFrame([(i, len(s), s) for i, s in enumerate(made)], "id long, n long, held array<long>").withColumn("marks", linking.marks(F.col("held"))))
+    buckets = {7: range(48), 8: range(24), 9: [0], 10: [4, 5]}
+    component = {i: 0 if i in (0, 1) else i for i in range(48)}
+    active = spark.createDataFrame([(k, i, component[i]) for k, ids in buckets.items() for i in ids], "key long, id long, component long")
+    want = [(a, b) for a in range(48) for b in range(a + 1, 48) if component[a] != component[b] and 100 * len(set(made[a]) & set(made[b])) >= 80 * len(set(made[a]) | set(made[b]))]
+    assert sorted(tuple(r) for r in linking.compared(spark, active, known, 80, lambda h: h).collect()) == want
+    assert len(want) > 20
+
+
+def test_line_keys_are_counted_without_a_join(spark, monkeypatch):
+    """Keys of one line alone are dropped by a count over sorted keys: one exchange, no join of all keys."""
+    plans, write = {}, linking.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda s, df, name="step": plans.setdefault(name, df) and write(s, df, name))
+    data = [(1, "the quick brown fox jumps over the dog\nanother line here"), (2, "the quick brown fox jumps over the dogs")]
+    assert [list(r.removed_lines) for r in line_dedup.digest(spark, spark.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()] == [[], [0]]
+    plan = plans["keys"]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_bands_of_few_values_and_of_characters_above_the_first_plane(spark):
     """A band of neighbours is the hash of their array, whatever the number of values; halves of a character begin no shingle."""
     values = spark.createDataFrame([([7],), ([7, 8],), ([7, 8, 9, 10],), ([7, 8, 9, 10, 11, 12],)], "v array<long>").withColumn("ring", line_dedup._ring(F.col("v"), 4))
