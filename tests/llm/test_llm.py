@@ -620,3 +620,28 @@ def test_token_hash_is_of_decimal_ids(spark):
     df = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
     ids = Tokenizer.from_file(BYTES).encode("hello world").ids
     assert chunk_bpe.digest(df, BYTES).first().ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_keys_are_made_of_rows(spark):
+    """The keys of a line are the bands of its values, as the array functions make them, but they come from no function of arrays; a short line keeps those of its smallest values."""
+    rng = random.Random(8)
+    lines = ["", "abc", "abcde", "abcdef", "abcdefg", words(rng, 6), words(rng, 12), words(rng, 16), words(rng, 40), words(rng, 300), "q" * 300, "0 " * 200, "\U0001F600" * 90]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    out = line_dedup.dealt(df)
+    assert "transform(values" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append(r.key)
+    c = lambda x: F.sort_array(line_dedup._grams(F.col("line"), x))
+    made = df.withColumn("a", F.when(F.length("line") < 5, F.array(F.xxhash64("line"))).otherwise(c(line_dedup.ANY))).withColumn("s", c(line_dedup.ANCHORS))
+    made = made.withColumn("ar", line_dedup._ring(F.col("a"), 4)).withColumn("sr", line_dedup._ring(F.col("s"), 5))
+    bands = made.select("id", F.length("line").alias("length"), F.size("a").alias("n"), F.size("s").alias("m"), line_dedup._bands(F.col("a"), F.col("ar"), 4, True).alias("every"),
+                        line_dedup._bands(F.col("a"), F.col("ar"), 4, False, line_dedup._tenths(F.col("a"))).alias("tenths"), line_dedup._bands(F.col("s"), F.col("sr"), 5, False, line_dedup._tenths(F.col("s"))).alias("sample"))
+    for r in bands.collect():
+        few = r.m if r.length > 80 else -1
+        want = []
+        if r.length <= 105 or few < 32:
+            want += r.tenths if r.n > 105 else r.every if r.n > 80 else r.every[:max(r.n - max(-(-r.n // 5), 1) + 1, 1)]
+        if few >= 8:
+            want += r.sample
+        assert sorted(got[r.id]) == sorted(want), lines[r.id][:40]
